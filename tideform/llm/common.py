@@ -51,4 +51,6 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """An input table, read chunk by chunk: vectored reads keep a direct buffer of a whole column chunk in every reader
+    thread, outside the heap, and long texts make large chunks."""
+    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false").parquet(f"{sf_dir}/{name}.parquet")
