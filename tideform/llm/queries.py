@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideform.llm import bpe, embeddings, exact, html, licenses, simhash, toxicity
+from tideform.llm import bpe, embeddings, exact, html, licenses, mixing, ordinal, simhash, toxicity
 from tideform.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_links(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return ordinal.quality_scores(docs, labels.where(~toxicity.held_out()), "quality")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -48,6 +53,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages as domains: the text tells them, unlike ``source``, whose names say nothing about the text."""
+    docs = table(spark, sf_dir, "documents")
+    labelled = table(spark, sf_dir, "labels").select("doc_id").join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id")
+    rates = mixing.mixing_rates(docs, labelled, 0.7)
+    return rates.select("doc_id", "n_tokens", "rate", mixing.copies_of(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

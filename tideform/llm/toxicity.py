@@ -273,7 +273,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
     return apply_rules(docs, rules, model)
 
 
-def apply_rules(docs: DataFrame, rules: dict[str, float], model: list) -> DataFrame:
+def _score_udf(docs: DataFrame, rules: dict[str, float], model: list):
     sent = docs.sparkSession.sparkContext.broadcast((rules, model))  # SIZE cubed numbers and the few rules
 
     @F.pandas_udf("double")
@@ -282,10 +282,19 @@ def apply_rules(docs: DataFrame, rules: dict[str, float], model: list) -> DataFr
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
 
-    out = docs.select("doc_id", run(text_or_empty()).alias("score"))
+    return run
+
+
+def apply_rules(docs: DataFrame, rules: dict[str, float], model: list) -> DataFrame:
+    out = docs.select("doc_id", _score_udf(docs, rules, model)(text_or_empty()).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= CERTAIN).cast("int"))
 
 
+def without(docs: DataFrame, rules: dict[str, float], model: list) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose text is not predicted to bear the label."""
+    return docs.where(_score_udf(docs, rules, model)(text_or_empty()) < CERTAIN)
+
+
 def held_out(column: str = "doc_id"):
     """Rows whose labels are never learnt from: crc32 of the identifier as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
