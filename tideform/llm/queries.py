@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideform.llm import bpe, embeddings, exact, html, licenses, mixing, ordinal, simhash, toxicity
+from tideform.llm import bpe, embeddings, exact, html, licenses, mixing, ordinal, simhash, suffixes, toxicity
 from tideform.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_links(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return ordinal.quality_scores(docs, labels.where(~toxicity.held_out()), "quality")
