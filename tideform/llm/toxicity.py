@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideform.llm.common import text_or_empty
+from tideform.llm.common import Scratch, text_or_empty
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 OTHER, EDGE, SIZE = 26, 27, 28  # any other letter; the space around words
@@ -165,44 +165,46 @@ def fit_rules(docs: DataFrame, labels: DataFrame, model: list, label: str = "tox
     # At most TRAIN_ROWS rows of 12 bytes: safe to broadcast at any size of the tables.
     train = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id")
 
-    def sets(frames: Iterator[pd.DataFrame], keep: frozenset | None) -> Iterator[pd.DataFrame]:
+    def sets(frames: Iterator[pd.DataFrame], keep: frozenset | None, docs_too: bool) -> Iterator[pd.DataFrame]:
         reader = Reader(model)
         for frame in frames:
             for at in range(0, len(frame), 200):
                 part = frame.iloc[at : at + 200]
-                rows = []
-                for text, doc in zip(part["text"], part["doc_id"]):
-                    got = features(reader.words(text))
-                    rows.append((doc, hash(text) & 0x7FFFFFFFFFFFFFFF, got if keep is None else got & keep))
-                if keep is None:
-                    yield pd.DataFrame([(f, d, h) for d, h, fs in rows for f in fs], columns=["f", "doc", "h"])
+                rows = [(doc, features(reader.words(text))) for doc, text in zip(part["doc_id"], part["text"])]
+                rows = [(doc, got if keep is None else got & keep) for doc, got in rows]
+                if docs_too:
+                    yield pd.DataFrame([(f, d) for d, fs in rows for f in fs], columns=["f", "doc"])
                 else:
-                    n = Counter(f for _, _, fs in rows for f in fs)
+                    n = Counter(f for _, fs in rows for f in fs)
                     yield pd.DataFrame({"f": list(n), "n": list(n.values())})
 
+    def counted(rows: DataFrame, keep: frozenset | None) -> DataFrame:
+        return rows.mapInPandas(partial(sets, keep=keep, docs_too=False), "f string, n bigint").groupBy("f").agg(F.sum("n").alias("n"))
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = train.groupBy(F.xxhash64("text").alias("h"), "y").agg(F.min("doc_id").alias("doc_id"))
-    distinct = train.join(F.broadcast(texts.select("doc_id")), "doc_id")  # one row per text, at most TRAIN_ROWS ids
+    # One row per text, TRAIN_ROWS at most: written once for the passes below.
+    distinct = Scratch(docs.sparkSession, "toxicity").save(train.join(F.broadcast(texts.select("doc_id")), "doc_id"), "train")
     totals = {y: n for y, n in texts.groupBy("y").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos:
         return {}
-    met = distinct.where("y = 1").mapInPandas(partial(sets, keep=None), f"f string, doc {kind}, h bigint")
-    least = max(3, math.ceil(0.001 * pos))
-    often = met.groupBy("f").agg(F.collect_set("doc").alias("docs")).where(F.size("docs") >= least)
-    found = {f: frozenset(d) for f, d in often.collect()}  # bounded: features of at most TRAIN_ROWS texts
-    keep = frozenset(found)
-    other = {f: 0 for f in found}
-    for f, n in distinct.where("y = 0").mapInPandas(partial(sets, keep=keep), "f string, n bigint").groupBy("f").agg(F.sum("n")).collect():
-        other[f] = n
     base = pos / (pos + neg)
-    bar = math.log(0.01 / max(1, len(found)))
+    # Fewer texts than this cannot be told from chance among a thousand features, even if no other text has the feature.
+    least = max(3, math.ceil(0.001 * pos), math.ceil(math.log(1e5) / -math.log(base)) if neg else 3)
+    often = {f: n for f, n in counted(distinct.where("y = 1"), None).where(F.col("n") >= least).collect()}  # of TRAIN_ROWS texts at most
+    other = {f: n for f, n in counted(distinct.where("y = 0"), frozenset(often)).collect()}
+    bar = math.log(0.01 / max(1, len(often)))
     strong = {}
-    for f, d in found.items():
-        precision = (len(d) + 0.5 * base) / (len(d) + other[f] + 0.5)
-        if precision >= 0.9 and _tail(len(d) + other[f], len(d), base if neg else 0.5) <= bar:
+    for f, n in often.items():
+        m = n + other.get(f, 0)
+        precision = (n + 0.5 * base) / (m + 0.5)
+        if precision >= 0.9 and _tail(m, n, base if neg else 0.5) <= bar:
             strong[f] = precision
-    rules, left = {}, set().union(*[found[f] for f in strong]) if strong else set()
+    del often, other
+    met = distinct.where("y = 1").mapInPandas(partial(sets, keep=frozenset(strong), docs_too=True), f"f string, doc {kind}")
+    found = {f: frozenset(d) for f, d in met.groupBy("f").agg(F.collect_set("doc")).collect()}
+    rules, left = {}, set().union(*(found[f] for f in strong))
     while left:
         # Longer features first where they explain as much; then by name, so the result is the same everywhere.
         f = max(strong, key=lambda x: (len(found[x] & left), len(x), x))
