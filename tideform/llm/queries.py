@@ -26,7 +26,7 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.simhash_components(table(spark, sf_dir, "documents"), size=3, words=1, radius=2, band=None)
+    out = simhash.simhash_components(table(spark, sf_dir, "documents"), size=3, words=1, radius=2, sketches=0)
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("fp", 1)), 16, "0")).alias("fingerprint"), "component_id")
 
 

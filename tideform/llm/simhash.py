@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints of word shingles, compared exactly in tiles by exclusive-or and bit counts.
 
 Where the radius is small, fingerprints within it agree in at least one of radius + 1 bit blocks, so only rows that share a
-block meet. Where it is large, rows meet that have alike numbers of shingles, as similar texts must. Either way rows meet
-in runs; a run is cut into tiles ordered by bit count, and tile pairs whose counts differ beyond the radius are skipped.
+block meet. Where it is large, rows meet that share the shingle which hashes lowest, under one of several hashes: texts of
+similarity s do so with probability 1 - (1 - s) ** sketches. Either way rows meet in runs; a run is cut into tiles ordered by bit count, and tile pairs whose counts differ beyond the radius are skipped.
 Runs longer than a bound are dealt out as pairs of parts, so no task holds a whole hot run.
 """
 
@@ -23,7 +23,7 @@ from tideform.llm.components import connected_components
 
 SEED = 42
 TILE = 256
-PART = 2048  # rows of a run that one task compares with as many others (four times as many with bands)
+PART = 2048  # rows of a run that one task compares with as many others
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -45,11 +45,11 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprint(text: str, size: int, words: int = 1) -> tuple[list[int], int]:
-    """Fingerprint of ``words`` x 64 bits, and the number of shingles; repeats count."""
+def fingerprint(text: str, size: int, words: int = 1, sketches: int = 0) -> tuple[list[int], list[int]]:
+    """Fingerprint of ``words`` x 64 bits (repeats count), and the lowest shingle hash under each of ``sketches`` hashes."""
     parts, n = _shingles(text, size)
     if not n:
-        return [0] * words, 0
+        return [0] * words, [0] * sketches
     base = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, n)
     out = []
     for k in range(words):
@@ -59,17 +59,19 @@ def fingerprint(text: str, size: int, words: int = 1) -> tuple[list[int], int]:
         else:
             counts = np.concatenate([np.bincount(octets[:, j], minlength=256) @ _BITS for j in range(8)])
         out.append(int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]))
-    return out, n
+    return out, [int(_mixed(base, words + k).min()) for k in range(sketches)]
 
 
-def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp array<bigint>, n_shingles)`` per row; null texts count as empty, whose fingerprint is zero."""
+def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, sketches: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, fp array<bigint>, low array<bigint>)`` per row; null texts count as empty, whose fingerprint is zero."""
 
-    @F.pandas_udf("fp array<bigint>, n_shingles bigint")
+    def signed(x: list[int]) -> list[int]:
+        return np.array(x, np.uint64).view(np.int64).tolist()
+
+    @F.pandas_udf("fp array<bigint>, low array<bigint>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        got = [fingerprint(t, size, words) for t in texts]
-        signed = [np.array(f, np.uint64).view(np.int64).tolist() for f, _ in got]
-        return pd.DataFrame({"fp": signed, "n_shingles": [n for _, n in got]})
+        got = [fingerprint(t, size, words, sketches) for t in texts]
+        return pd.DataFrame({"fp": [signed(f) for f, _ in got], "low": [signed(m) for _, m in got]})
 
     return docs.select(F.col(id_col).alias("doc_id"), run(text_or_empty(text_col)).alias("s")).select("doc_id", "s.*")
 
@@ -89,8 +91,8 @@ def _roots(match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def tile_links(fps: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of one run that keep its components: pairs of row numbers, fewer than there are rows.
 
-    ``fps`` is rows x words. ``side`` is 2 * part + guest. Where a run has two parts, each part met itself elsewhere and
-    only pairs across are compared; guests of a band never meet guests, as they do so in the band they come from.
+    ``fps`` is rows x words. ``side`` tells two parts of a run apart: each met itself elsewhere, and only pairs across are
+    compared; a run of one part has side 0.
     """
     parent = list(range(len(fps)))
 
@@ -105,11 +107,11 @@ def tile_links(fps: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int
     f, p, s = fps[order], pops[order], side[order]
     cuts = sorted({0, len(f), *range(0, len(f), TILE), *(np.flatnonzero(np.diff(s)) + 1).tolist()})
     tiles = list(zip(cuts[:-1], cuts[1:]))
-    two = bool((s >= 2).any())
+    two = bool(s.any())
     out = []
     for i, (a, b) in enumerate(tiles):
         for c, d in tiles[i:]:
-            if (two and s[a] // 2 == s[c] // 2) or s[a] % 2 and s[c] % 2:
+            if two and s[a] == s[c]:
                 continue
             if p[c] - p[b - 1] > radius or p[a] - p[d - 1] > radius:
                 continue  # bit counts further apart than the radius
@@ -167,35 +169,34 @@ def _runs(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]
         yield from done(pd.concat(rest))
 
 
-def fingerprint_links(reps: DataFrame, radius: int, scratch: Scratch, band: float | None = None) -> DataFrame:
+def fingerprint_links(reps: DataFrame, radius: int, scratch: Scratch, sketches: int = 0) -> DataFrame:
     """Links ``(a, b)`` between representatives whose fingerprints differ in at most ``radius`` bits.
 
-    ``reps``: (rep, fp, n_shingles), fingerprints distinct. Returns links that keep every component (not each pair).
-    With ``band`` (least ratio of shingle counts, below 1) rows meet by size instead of by bit blocks.
+    ``reps``: (rep, fp, low), fingerprints distinct. Returns links that keep every component (not each pair). With
+    ``sketches`` rows meet by their lowest shingles instead of by bit blocks.
     """
-    if band is None:
-        width = math.ceil(64 / (radius + 1))
-        part = F.shiftrightunsigned
-        cut = [F.struct(F.lit(i).alias("block"), part(F.element_at("fp", 1), width * i).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)).alias("value"), F.lit(0).alias("guest")) for i in range(radius + 1)]
+    if sketches:
+        keys = F.transform("low", lambda v, i: F.struct(i.alias("block"), v.alias("value")))
     else:
-        step = F.floor(F.log(F.greatest(F.col("n_shingles"), F.lit(1))) / -math.log(band)).cast("bigint")
-        cut = [F.struct(F.lit(0).alias("block"), (step + i).alias("value"), F.lit(i).alias("guest")) for i in range(2)]
-    keyed = reps.select("rep", "fp", F.explode(F.array(*cut)).alias("k")).select("rep", "fp", "k.*")
-    sizes = reps.select(F.explode(F.array(*cut)).alias("k")).groupBy("k.block", "k.value").count().where("count > 1")
-    sizes = scratch.save(sizes.select("block", "value", F.ceil(F.col("count") / (PART if band is None else 4 * PART)).alias("parts")), "sizes")
+        width = math.ceil(64 / (radius + 1))
+        mask = F.lit((1 << width) - 1 if width < 64 else -1)
+        keys = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.element_at("fp", 1), width * i).bitwiseAND(mask).alias("value")) for i in range(radius + 1)])
+    keyed = reps.select("rep", "fp", F.explode(keys).alias("k")).select("rep", "fp", "k.*")
+    sizes = reps.select(F.explode(keys).alias("k")).groupBy("k.block", "k.value").count().where("count > 1")
+    sizes = scratch.save(sizes.select("block", "value", F.ceil(F.col("count") / PART).alias("parts")), "sizes")
     keyed = keyed.join(sizes, ["block", "value"])
     own = F.pmod(F.xxhash64("rep"), F.col("parts"))
     # A run of p parts becomes p * (p + 1) / 2 pairs of parts; a row goes to the p pairs that its part is in.
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, F.col("own")) * F.col("parts") + F.greatest(o, F.col("own")))
     keyed = keyed.withColumn("own", own).withColumn("pair", F.explode(pair))
     low, high = F.expr("pair div parts"), F.expr("pair % parts")
-    second = ((low != high) & (F.col("own") == high)).cast("int")
-    keyed = keyed.select("rep", "fp", "block", "value", "pair", (second * 2 + F.col("guest")).alias("side"))
+    side = ((low != high) & (F.col("own") == high)).cast("int")
+    keyed = keyed.select("rep", "fp", "block", "value", "pair", side.alias("side"))
     rows = keyed.repartition("block", "value", "pair").sortWithinPartitions("block", "value", "pair")
     return rows.mapInPandas(lambda frames: _runs(frames, radius), reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).schema)
 
 
-def simhash_components(docs: DataFrame, size: int = 5, words: int = 4, radius: int = 40, band: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_components(docs: DataFrame, size: int = 5, words: int = 4, radius: int = 40, sketches: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups.
 
     Returns one row per input row: ``(id_col, fp array<bigint>, component_id)``; the component is the smallest
@@ -204,15 +205,16 @@ def simhash_components(docs: DataFrame, size: int = 5, words: int = 4, radius: i
     null; a repeated one keeps its rows, all in the group of its smallest fingerprint link. Empty tables give empty
     results; extra columns are ignored.
 
-    The defaults (five words, 256 bits, 40 of them, sizes within 0.8) stand for a shingle similarity of 0.8 or more:
-    at that similarity about 38.8 of 256 bits are expected to differ.
+    The defaults (five words, 40 of 256 bits) stand for a shingle similarity of 0.8 or more: at that similarity about
+    38.8 bits are expected to differ, and six sketches let all but 0.01 % of such pairs meet. Without sketches every pair
+    within the radius is found.
     """
-    if band is None and words != 1:
-        raise ValueError("bit blocks are cut from one word; give a band for longer fingerprints")
+    if not sketches and words != 1:
+        raise ValueError("bit blocks are cut from one word; longer fingerprints need sketches")
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.save(fingerprints(docs, size, words, id_col, text_col), "prints")
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
-    links = fingerprint_links(reps.select("rep", "fp", "n_shingles"), radius, scratch, band)
+    prints = scratch.save(fingerprints(docs, size, words, sketches, id_col, text_col), "prints")
+    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("low").alias("low"))
+    links = fingerprint_links(reps.select("rep", "fp", "low"), radius, scratch, sketches)
     joined = connected_components(scratch.save(links, "links"), scratch)
     groups = reps.select("fp", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     groups = scratch.save(groups.select("fp", F.coalesce("component", "rep").alias("component_id")), "groups")
