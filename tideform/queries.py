@@ -6,10 +6,155 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tideform.functions import folds
+from tideform.operators import audit, bars, execution, features, indicators, metrics, signals, structure, universe
+from tideform.plans.sql import Plan
+from tideform.sources import tape
+
+TAPE = (tape.TICKS,)
+RAW = (*TAPE, tape.RAW)
+SESSIONS = (*TAPE, tape.SESSIONS)
+BARS = (*TAPE, bars.bars())
+NUMBERED = (*BARS, bars.NUMBERED)
+RANGE = (*NUMBERED, indicators.TRUE_RANGE)
+LEVELS = (*NUMBERED, structure.FRACTALS, structure.LEVELS)
+BREAKS = (*LEVELS, structure.BREAKS)
+LEDGER = (*SESSIONS, tape.INTENTS, *execution.STEPS)
+EQUITY = (*LEDGER, metrics.EQUITY)
+DAILY = (*LEDGER, metrics.DAILY)
+FOLDS = (*DAILY, metrics.FOLDS)
+SHOCKS = (*RANGE, signals.SHOCKS)
+STATUS = (universe.DECODED, universe.STATUS)
+TOKENS = (universe.TOKENS, universe.PRIORS, universe.IDF)
+
+PLANS: dict[str, Plan] = {
+    name: Plan(*steps, select=select)
+    for name, steps, select in (
+        ("tick_view", TAPE, "SELECT symbol, seq, ts_ns, session_day, bid_u, ask_u FROM ticks"),
+        ("tick_audit", RAW, audit.TAPE),
+        ("spread_percentiles", RAW, audit.SPREADS),
+        ("session_map", SESSIONS, audit.SESSION_MAP),
+        ("session_membership", SESSIONS, audit.MEMBERS),
+        ("session_audit", SESSIONS, audit.SESSIONS),
+        ("shard_chain", TAPE, audit.SHARD_CHAIN),
+        ("time_segments", (*TAPE, audit.SEGMENTS, audit.ANCHORS), audit.TIME_AUTHORITY),
+        ("bars_hour", BARS, "SELECT symbol, session_day, bucket, open_u, high_u, low_u, close_u, first_seq, last_seq, n_ticks FROM bars"),
+        ("bars_minute", (*TAPE, bars.bars(60_000, "m1")), "SELECT symbol, session_day, bucket, open_u, high_u, low_u, close_u, first_seq, last_seq FROM m1"),
+        ("bars_multi", TAPE, bars.MULTI),
+        ("bars_coarser", (*BARS, bars.coarser(4, "b4")), "SELECT symbol, bucket, open_u, high_u, low_u, close_u, first_seq, last_seq FROM b4"),
+        ("bars_weekly", TAPE, bars.WEEKLY),
+        ("bars_executable", (*TAPE, bars.bars(name="xb", where="ask_u > bid_u")), "SELECT symbol, session_day, bucket, open_u, high_u, low_u, close_u FROM xb"),
+        ("exec_quote_cache", RAW, bars.EXEC_CACHE),
+        ("tick_counts", BARS, bars.COUNTS),
+        ("quote_coverage", RAW, bars.COVERAGE),
+        ("gap_runs", NUMBERED, bars.GAPS),
+        ("bars_valid", NUMBERED, bars.VALID),
+        ("zone_map", TAPE, bars.ZONES),
+        ("feat_prev_bar", NUMBERED, features.PREVIOUS),
+        ("feat_scalar", NUMBERED, features.SCALAR),
+        ("feat_lag_cross", NUMBERED, features.CROSSES),
+        ("feat_highest_lowest", NUMBERED, features.EXTREMES),
+        ("ind_atr_sma", RANGE, indicators.ATR),
+        ("ind_roc", NUMBERED, indicators.ROC),
+        ("ind_cci", NUMBERED, indicators.CCI),
+        ("ind_stoch", NUMBERED, indicators.STOCHASTIC),
+        ("ctx_rolling_quantile", RANGE, indicators.CONTEXT),
+        ("ind_imbalance", TAPE, indicators.IMBALANCE),
+        ("ind_score", RANGE, indicators.SCORE),
+        ("fractals", LEVELS[:-1], structure.PIVOTS),
+        ("levels", LEVELS, "SELECT symbol, bar, high_level, high_id, low_level, low_id FROM levels"),
+        ("level_breaks", BREAKS, "SELECT symbol, bar, level_id, side FROM breaks"),
+        ("box_history", LEVELS, structure.BOXES),
+        ("touch_reclaim", BREAKS, structure.RECLAIMS),
+        ("tick_crosses", NUMBERED, structure.TICK_CROSSES),
+        ("replay_intents", LEDGER, execution.REPLAY),
+        ("target_before_stop", LEDGER, execution.LABELS),
+        ("cost_scenarios", LEDGER, execution.COSTS),
+        ("ledger_validate", LEDGER, execution.VALIDATE),
+        ("ledger_parity", LEDGER, execution.PARITY),
+        ("ledger_metrics", LEDGER, metrics.METRICS),
+        ("drawdown", EQUITY, metrics.DRAWDOWN),
+        ("underwater", EQUITY, metrics.UNDERWATER),
+        ("streaks", EQUITY, metrics.STREAKS),
+        ("daily_sharpe", DAILY, metrics.SHARPE),
+        ("period_concentration", LEDGER, metrics.CONCENTRATION),
+        ("var_cvar", DAILY, metrics.TAIL),
+        ("walk_forward", FOLDS, metrics.WALK),
+        ("cpcv_pairs", FOLDS, metrics.CPCV),
+        ("leave_fold_out", FOLDS, metrics.LEAVE_OUT),
+        ("top_removed", LEDGER, metrics.TOP_REMOVED),
+        ("gate_screen", (*LEDGER, ("metrics", metrics.METRICS)), metrics.SCREEN),
+        ("hac_test", (*DAILY, metrics.HAC), metrics.HAC_T),
+        ("bh_by_adjust", (*DAILY, metrics.TESTS), metrics.ADJUSTED),
+        ("by_reject", (*DAILY, metrics.TESTS), metrics.REJECTED),
+        ("corr_daily", DAILY, metrics.CORRELATION),
+        ("shock_signals", SHOCKS, signals.SHOCK_COUNTS),
+        ("confirmations", SHOCKS, signals.CONFIRMED),
+        ("bar_shape_filters", NUMBERED, signals.WICKS),
+        ("persistence", NUMBERED, signals.PERSISTENCE),
+        ("gate_trend", NUMBERED, signals.TREND),
+        ("gate_session", NUMBERED, signals.SESSION_GATE),
+        ("gate_cross_recency", NUMBERED, signals.RECENCY),
+        ("mtf_asof", (*NUMBERED, bars.coarser(4, "b4")), signals.MTF),
+        ("mask_dedupe", (*SHOCKS, signals.MASKS), signals.CLASSES),
+        ("jaccard_pairs", SHOCKS, signals.JACCARD),
+        ("set_algebra", SHOCKS, signals.SETS),
+        ("universe_decode", STATUS[:1], "SELECT birth, expiry, fast, slow, stop FROM decoded"),
+        ("universe_aliases", STATUS, universe.ALIASES),
+        ("universe_account", STATUS, universe.ACCOUNT),
+        ("universe_pairs", STATUS, universe.PAIRS),
+        ("text_tokens", TOKENS[:1], universe.TOKEN_STATS),
+        ("tfidf_nearest", TOKENS, universe.NEAREST),
+        ("text_tags", (), universe.TAGS),
+        ("url_hosts", (), universe.URLS),
+    )
+}
+
+BARS_TR = Plan(*RANGE, select="SELECT symbol, bar, high_u, low_u, close_u, tr FROM tr")
+TRADES = Plan(*LEDGER, select="SELECT symbol, session_day, intent_id, entry_seq, exit_seq, entry_ts_ns, exit_ts_ns FROM ledger")
+DAYS = Plan(*DAILY, select="SELECT symbol, d, r FROM daily")
+EVENTS = Plan(*SHOCKS, select="SELECT symbol, threshold, side, bar FROM shocks")
+
+
+def _recursive(plan: Plan, name: str, steps: str, select: str) -> str:
+    """The checking SQL of a fold: a recursion over the same rows."""
+    inner = plan.text(False)
+    return f"WITH RECURSIVE {name} AS ({inner}),\n{steps}\n{select}"
+
+
+FOLDED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "ind_folds": (lambda s, d: folds.indicator_folds(BARS_TR.run(s, d)), None),
+    "feat_ema_int": (
+        lambda s, d: folds.indicator_folds(BARS_TR.run(s, d)).select("symbol", "bar", "ema_int5"),
+        _recursive(BARS_TR, "b", """e AS (SELECT symbol, bar, close_u AS ema_int5 FROM b WHERE bar = 1
+ UNION ALL SELECT b.symbol, b.bar, e.ema_int5 + CAST(2 * (b.close_u - e.ema_int5) // 6 AS BIGINT) FROM e JOIN b ON b.symbol = e.symbol AND b.bar = e.bar + 1)""", "SELECT symbol, bar, ema_int5 FROM e"),
+    ),
+    "ind_atr_wilder": (
+        lambda s, d: folds.indicator_folds(BARS_TR.run(s, d)).where("atr14 is not null").selectExpr("symbol", "bar", "round(atr14, 4) as atr14"),
+        _recursive(BARS_TR, "b", """e AS (SELECT symbol, CAST(14 AS BIGINT) AS bar, avg(tr) AS atr FROM b WHERE bar <= 14 GROUP BY symbol HAVING count(*) = 14
+ UNION ALL SELECT b.symbol, b.bar, e.atr + (b.tr - e.atr) / 14.0 FROM e JOIN b ON b.symbol = e.symbol AND b.bar = e.bar + 1)""", "SELECT symbol, bar, round(atr, 4) AS atr14 FROM e"),
+    ),
+    "non_overlap_select": (
+        lambda s, d: folds.greedy(TRADES.run(s, d)).where("accepted").select("symbol", "intent_id"),
+        _recursive(TRADES, "l", """o AS (SELECT symbol, intent_id, entry_seq, exit_seq, row_number() OVER (PARTITION BY symbol ORDER BY entry_seq, intent_id) AS n FROM l),
+nx AS (SELECT o.n, o.symbol, o.intent_id, o.exit_seq, (SELECT min(x.n) FROM o x WHERE x.symbol = o.symbol AND x.entry_seq > o.exit_seq) AS next_n FROM o),
+a AS (SELECT symbol, intent_id, next_n FROM nx WHERE n = 1 UNION ALL SELECT nx.symbol, nx.intent_id, nx.next_n FROM a JOIN nx ON nx.symbol = a.symbol AND nx.n = a.next_n)""", "SELECT symbol, intent_id FROM a"),
+    ),
+    "overlap_admission": (lambda s, d: folds.greedy(TRADES.run(s, d)), None),
+    "refractory": (
+        lambda s, d: folds.refractory(EVENTS.run(s, d), 5),
+        _recursive(EVENTS, "l", """nx AS (SELECT o.symbol, o.threshold, o.side, o.bar, (SELECT min(x.bar) FROM l x WHERE x.symbol = o.symbol AND x.threshold = o.threshold AND x.side = o.side AND x.bar > o.bar + 5) AS next_bar FROM l o),
+a AS (SELECT symbol, threshold, side, bar, next_bar FROM nx WHERE bar = (SELECT min(bar) FROM l WHERE l.symbol = nx.symbol AND l.threshold = nx.threshold AND l.side = nx.side)
+ UNION ALL SELECT nx.symbol, nx.threshold, nx.side, nx.bar, nx.next_bar FROM a JOIN nx ON nx.symbol = a.symbol AND nx.threshold = a.threshold AND nx.side = a.side AND nx.bar = a.next_bar)""", "SELECT symbol, threshold, side, bar FROM a"),
+    ),
+    "portfolio_allocation": (lambda s, d: folds.portfolio(TRADES.run(s, d)), None),
+    "bootstrap": (lambda s, d: folds.block_bootstrap(DAYS.run(s, d)), None),
+}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: plan.run for name, plan in PLANS.items()} | {name: f for name, (f, _) in FOLDED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: plan.text(False) for name, plan in PLANS.items()} | {name: sql for name, (_, sql) in FOLDED.items() if sql}
