@@ -10,8 +10,8 @@ FROM (SELECT symbol, seq, ts_ns, session_day, bid_u, ask_u, lag(seq) OVER w AS p
 GROUP BY symbol"""
 
 SPREADS = """
-SELECT symbol, min(s) AS min_spread, percentile_disc(0.5) WITHIN GROUP (ORDER BY s) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY s) AS p95,
-       percentile_disc(0.99) WITHIN GROUP (ORDER BY s) AS p99, max(s) AS max_spread
+SELECT symbol, min(s) AS min_spread, CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY s) AS BIGINT) AS p50, CAST(percentile_disc(0.95) WITHIN GROUP (ORDER BY s) AS BIGINT) AS p95,
+       CAST(percentile_disc(0.99) WITHIN GROUP (ORDER BY s) AS BIGINT) AS p99, max(s) AS max_spread
 FROM (SELECT symbol, ask_u - bid_u AS s FROM raw WHERE ask_u >= bid_u) GROUP BY symbol"""
 
 SESSION_MAP = "SELECT symbol, session_day, open_seq, close_seq, open_ts_ns, close_ts_ns, utc_offset_seconds FROM sessions"

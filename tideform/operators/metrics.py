@@ -40,7 +40,7 @@ JOIN (SELECT symbol, QUANTILE(r, 0.05) AS var5 FROM daily GROUP BY symbol) q ON
 
 FOLDS = ("folds", "SELECT symbol, (d - 1) ~div~ 5 AS fold, sum(r) AS r, count(*) AS days FROM daily GROUP BY symbol, (d - 1) ~div~ 5")
 WALK = """
-SELECT symbol, fold, round(r, 6) AS out_r, round(before_r, 6) AS in_r, round((r / days) / nullif(before_r / before_days, 0), 6) AS wfe FROM (
+SELECT symbol, fold, round(r, 6) AS out_r, round(before_r, 6) AS in_r, round((r / days) / nullif(before_r / before_days, 0), 6) + 0.0 AS wfe FROM (
   SELECT symbol, fold, r, days, sum(r) OVER w AS before_r, sum(days) OVER w AS before_days FROM folds WINDOW w AS (PARTITION BY symbol ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE before_days IS NOT NULL"""
 CPCV = """
 SELECT a.symbol, a.fold AS fold_a, b.fold AS fold_b, round(a.r + b.r, 6) AS test_r, round(t.r - a.r - b.r, 6) AS train_r

@@ -27,8 +27,22 @@ TOKENS = {
 }
 
 
+def _counted(text: str) -> str:
+    """count_if(x) as a filtered count, whose type is the same in both engines."""
+    while (at := text.find("count_if(")) >= 0:
+        depth, end = 0, at + len("count_if")
+        while True:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            if not depth:
+                break
+            end += 1
+        text = f"{text[:at]}count(*) FILTER (WHERE {text[at + len('count_if(') : end]}){text[end + 1 :]}"
+    return text
+
+
 def dialect(text: str, spark: bool) -> str:
     """Text for one engine. Numbers with a point are doubles in both, not decimals."""
+    text = _counted(text)
     for token, forms in TOKENS.items():
         text = re.sub(token, forms[0 if spark else 1], text)
     text = re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", text)

@@ -18,7 +18,8 @@ def _little(start: int, size: int):
 
 def _signed(start: int, size: int):
     v = _little(start, size)
-    return F.when(v >= 2 ** (8 * size - 1), v - 2 ** (8 * size)).otherwise(v).cast("bigint")
+    half, whole = (F.lit(str(2**n)).cast("decimal(20,0)") for n in (8 * size - 1, 8 * size))
+    return F.when(v >= half, v - whole).otherwise(v).cast("bigint")
 
 
 def read_packed(spark: SparkSession, path: str, first_seq: int = 1) -> DataFrame:
