@@ -15,7 +15,6 @@ from tideform.llm.common import Scratch, text_or_empty
 
 #: Bits of a run's filter: a fixed number, so that what is broadcast (bits / 8 bytes, 512 KB) never grows with the data.
 FILTER_BITS = 1 << 22
-MERGED = [F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"), F.sum("n").alias("n")]
 
 
 def _slot() -> Column:
@@ -59,7 +58,7 @@ class DigestIndex:
         merged = parts[0]
         for p in parts[1:]:
             merged = merged.unionByName(p)
-        merged = merged.groupBy("digest").agg(*MERGED)
+        merged = merged.groupBy("digest").agg(F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"), F.sum("n").alias("n"))
         self.level = self.scratch.save(merged.sortWithinPartitions("digest"), f"level-{self.flushed}")
         self.runs = []
         return self.level

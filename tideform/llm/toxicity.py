@@ -29,8 +29,9 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
-BETWEEN = set(".-_*~'`^,:;/\\#%&=<>\"?)[]{}") | set(STANDS_FOR)  # signs that may also be noise
-COST_SWAP, COST_DROP, COST_REPEAT, COST_KEEP_REPEAT = 1.0, 2.5, 0.3, 1.5
+COST_SWAP, COST_REPEAT, COST_KEEP_REPEAT = 1.0, 0.3, 1.5
+# Signs without a letter to stand for, and runs of one sign, are likely noise; digits hardly ever are.
+COST_DROP_NOISE, COST_DROP_SIGN, COST_DROP_DIGIT = 1.0, 4.0, 7.5
 TRAIN_ROWS = 20_000  # labelled texts that the rules are fitted on, at most
 MIN_PREFIX, MAX_PREFIX = 4, 8
 CACHE_ROWS = 600_000
@@ -100,7 +101,7 @@ def restore(word: str, model: list) -> str:
                 if letter == last and run > 2 and cost + price + COST_REPEAT < new.get((a, b, last), (math.inf,))[0]:
                     new[a, b, last] = (cost + price + COST_REPEAT, text)  # the same letter, stretched
             if not ch.isalpha():
-                drop = cost + (COST_DROP if ch in BETWEEN or not ch.isalnum() else 2 * COST_DROP)
+                drop = cost + (COST_DROP_NOISE if run > 2 or ch not in STANDS_FOR and not ch.isalnum() else COST_DROP_DIGIT if ch.isalnum() else COST_DROP_SIGN)
                 if drop < new.get((a, b, last), (math.inf,))[0]:
                     new[a, b, last] = (drop, text)
         beam = new
@@ -172,10 +173,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, model: list, label: str = "tox
                 part = frame.iloc[at : at + 200]
                 rows = [(doc, features(reader.words(text))) for doc, text in zip(part["doc_id"], part["text"])]
                 rows = [(doc, got if keep is None else got & keep) for doc, got in rows]
-                if docs_too:
+                n = Counter(f for _, fs in rows for f in fs)
+                if n and docs_too:
                     yield pd.DataFrame([(f, d) for d, fs in rows for f in fs], columns=["f", "doc"])
-                else:
-                    n = Counter(f for _, fs in rows for f in fs)
+                elif n:
                     yield pd.DataFrame({"f": list(n), "n": list(n.values())})
 
     def counted(rows: DataFrame, keep: frozenset | None) -> DataFrame:
@@ -202,6 +203,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, model: list, label: str = "tox
         if precision >= 0.9 and _tail(m, n, base if neg else 0.5) <= bar:
             strong[f] = precision
     del often, other
+    if not strong:
+        return {}
     met = distinct.where("y = 1").mapInPandas(partial(sets, keep=frozenset(strong), docs_too=True), f"f string, doc {kind}")
     found = {f: frozenset(d) for f, d in met.groupBy("f").agg(F.collect_set("doc")).collect()}
     rules, left = {}, set().union(*(found[f] for f in strong))
