@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def ema_int(x: np.ndarray, n: int) -> list[int]:
@@ -143,3 +146,104 @@ def block_bootstrap(daily: DataFrame, reps: int = 500, block: int = 5, seed: int
         return pd.DataFrame({"symbol": [f["symbol"].iloc[0]], "p_not_positive": [float((means <= 0).mean())], "q05": [float(np.quantile(means, 0.05))]})
 
     return daily.groupBy("symbol").applyInPandas(run, "symbol string, p_not_positive double, q05 double")
+
+
+def retests(breaks: DataFrame, rest: int = 3) -> DataFrame:
+    """Breaks of a symbol's side in bar order, each with its touch and reclaim: one is pending at a time. A break while one is
+    pending is blocked; a pending one ends at its reclaim (accepted), at replacement or when ten bars are over, and the
+    side is armed again ``rest`` bars later."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        f = frame.sort_values(["bar", "level_id"])
+        free, out = -1, []
+        for bar, reclaim, until in zip(f["bar"], f["reclaim_bar"], f["until_bar"]):
+            if bar < free:
+                out.append("BLOCKED")
+                continue
+            done = reclaim if not pd.isna(reclaim) else min(bar + 10, until if not pd.isna(until) else bar + 10)
+            out.append("RETEST" if not pd.isna(reclaim) else "LAPSED")
+            free = done + rest
+        return pd.DataFrame({"symbol": f["symbol"], "side": f["side"], "level_id": f["level_id"], "bar": f["bar"], "state": out})
+
+    return breaks.groupBy("symbol", "side").applyInPandas(run, "symbol string, side int, level_id bigint, bar bigint, state string")
+
+
+def schedule(outcomes: DataFrame, per_day: int = 3) -> DataFrame:
+    """Outcomes worked out beforehand, admitted in entry order within a symbol's session: no overlap, ``per_day`` at most.
+    Sessions are independent. Every offer comes back with its reason."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        f = frame.sort_values(["entry_seq", "intent_id"])
+        busy, n, out = -1, 0, []
+        for a, b in zip(f["entry_seq"], f["exit_seq"]):
+            reason = "OVERLAP" if a <= busy else "DAILY_LIMIT" if n >= per_day else ""
+            out.append(reason)
+            if not reason:
+                busy, n = b, n + 1
+        return pd.DataFrame({"symbol": f["symbol"], "session_day": f["session_day"], "intent_id": f["intent_id"], "accepted": [not x for x in out], "reason": out})
+
+    return outcomes.groupBy("symbol", "session_day").applyInPandas(run, "symbol string, session_day bigint, intent_id bigint, accepted boolean, reason string")
+
+
+def xorshift_signs(rows: int, columns: int, seed: int = 76) -> np.ndarray:
+    """Signs from a 64-bit xorshift* generator, the top bit of each output, row by row."""
+    x, out = seed or 1, np.empty(rows * columns, np.int8)
+    for i in range(len(out)):
+        x ^= x >> 12
+        x ^= (x << 25) & (2**64 - 1)
+        x ^= x >> 27
+        out[i] = 1 if (x * 0x2545F4914F6CDD1D) & (2**63) else -1
+    return out.reshape(rows, columns)
+
+
+def sign_flip(blocks: DataFrame, reps: int = 499, seed: int = 76) -> DataFrame:
+    """Chance that randomly signed block totals sum to at least what a symbol's do, (hits + 1) / (reps + 1); each symbol
+    sees the same signs."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        r = frame.sort_values("fold")["r"].to_numpy(float)
+        hits = int((xorshift_signs(reps, len(r), seed) @ r >= r.sum() - 1e-12).sum())
+        return pd.DataFrame({"symbol": [frame["symbol"].iloc[0]], "blocks": [len(r)], "p": [(hits + 1) / (reps + 1)]})
+
+    return blocks.groupBy("symbol").applyInPandas(run, "symbol string, blocks bigint, p double")
+
+
+def one_sided(tests: DataFrame, statistic: str = "t") -> DataFrame:
+    """Adds ``p``, the upper tail of the normal distribution; null where the statistic is."""
+
+    @F.pandas_udf("double")
+    def tail(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if pd.isna(x) else 0.5 * math.erfc(x / math.sqrt(2))).astype("float64")
+
+    return tests.withColumn("p", tail(statistic))
+
+
+def impulses(bars: DataFrame, arm: float = 1.5, low: float = 0.15, cancel: float = 0.6, expire: int = 20) -> DataFrame:
+    """Impulse, pullback, confirmation: a bar longer than ``arm`` ranges arms its direction; a retracement between ``low``
+    and ``cancel`` of it readies, a close beyond the impulse's end confirms; deeper retracement, age or a new day cancels."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out, now = [], None
+        for bar, day, o, h, lo, c, atr in frame.sort_values("bar")[["bar", "session_day", "open_u", "high_u", "low_u", "close_u", "atr14"]].itertuples(index=False):
+            if now and (day != now[1] or bar - now[0] > expire):
+                out.append((*now[:3], bar, "EXPIRED"))
+                now = None
+            if now:
+                start, _, side, begin, end, ready = now
+                back = (end - (lo if side == 1 else h)) / (end - begin)
+                if back > cancel:
+                    out.append((*now[:3], bar, "CANCELLED"))
+                    now = None
+                elif ready and side * (c - end) > 0:
+                    out.append((*now[:3], bar, "CONFIRMED"))
+                    now = None
+                elif back >= low:
+                    now = (start, day, side, begin, end, True)
+            if now is None and not pd.isna(atr) and abs(c - o) >= arm * atr and c != o:
+                side = 1 if c > o else -1
+                now = (bar, day, side, lo if side == 1 else h, h if side == 1 else lo, False)
+        f = pd.DataFrame(out, columns=["bar", "session_day", "side", "end_bar", "state"])
+        f.insert(0, "symbol", frame["symbol"].iloc[0])
+        return f
+
+    return bars.groupBy("symbol").applyInPandas(run, "symbol string, bar bigint, session_day bigint, side int, end_bar bigint, state string")

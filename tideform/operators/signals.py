@@ -12,7 +12,7 @@ SHOCK_COUNTS = "SELECT symbol, threshold, side, count(*) AS n, min(bar) AS first
 #: First bar within three that closes beyond the shock bar on its side; the signal moves there.
 CONFIRMED = """
 SELECT s.symbol, s.threshold, s.side, s.bar, min(b.bar) AS confirmed_bar FROM shocks s JOIN nb k ON k.symbol = s.symbol AND k.bar = s.bar
-JOIN nb b ON b.symbol = s.symbol AND b.bar BETWEEN s.bar + 1 AND s.bar + 3 AND (s.side = 1 AND b.close_u > k.high_u OR s.side = -1 AND b.close_u < k.low_u)
+CROSS JOIN (SELECT SERIES(1, 3) AS o) z JOIN nb b ON b.symbol = s.symbol AND b.bar = s.bar + z.o WHERE s.side = 1 AND b.close_u > k.high_u OR s.side = -1 AND b.close_u < k.low_u
 GROUP BY s.symbol, s.threshold, s.side, s.bar"""
 WICKS = """
 SELECT symbol, bar, (close_u - low_u) * 3 >= 2 * (high_u - low_u) AS close_top_third, (high_u - close_u) * 3 >= 2 * (high_u - low_u) AS close_bottom_third,

@@ -31,12 +31,12 @@ WINDOW w AS (PARTITION BY symbol ORDER BY bar)"""
 
 #: After a break: first bar within ten that touches the level again, then the first that closes back beyond it.
 RECLAIMS = """
-SELECT k.symbol, k.level_id, k.side, k.bar, k.touch_bar, min(b.bar) AS reclaim_bar FROM (
+SELECT k.symbol, k.level_id, k.side, k.bar, k.touch_bar, min(CASE WHEN k.side = 1 AND b.close_u > k.level OR k.side = -1 AND b.close_u < k.level THEN b.bar END) AS reclaim_bar FROM (
   SELECT k.symbol, k.level_id, k.side, k.bar, k.level, min(b.bar) AS touch_bar FROM (
     SELECT k.symbol, k.level_id, k.side, k.bar, CASE WHEN k.side = 1 THEN l.high_level ELSE l.low_level END AS level FROM breaks k JOIN levels l ON l.symbol = k.symbol AND l.bar = k.bar) k
-  JOIN nb b ON b.symbol = k.symbol AND b.bar BETWEEN k.bar + 1 AND k.bar + 10 AND (k.side = 1 AND b.low_u <= k.level OR k.side = -1 AND b.high_u >= k.level)
+  CROSS JOIN (SELECT SERIES(1, 10) AS o) z JOIN nb b ON b.symbol = k.symbol AND b.bar = k.bar + z.o WHERE k.side = 1 AND b.low_u <= k.level OR k.side = -1 AND b.high_u >= k.level
   GROUP BY k.symbol, k.level_id, k.side, k.bar, k.level) k
-LEFT JOIN nb b ON b.symbol = k.symbol AND b.bar BETWEEN k.touch_bar AND k.bar + 10 AND (k.side = 1 AND b.close_u > k.level OR k.side = -1 AND b.close_u < k.level)
+CROSS JOIN (SELECT SERIES(1, 10) AS o) z LEFT JOIN nb b ON b.symbol = k.symbol AND b.bar = k.bar + z.o AND b.bar >= k.touch_bar
 GROUP BY k.symbol, k.level_id, k.side, k.bar, k.touch_bar"""
 
 #: Ticks that cross the previous bar's high by a buffer, from the tick before (of whatever bar).

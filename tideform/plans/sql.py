@@ -66,6 +66,7 @@ class Plan:
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         text = self.text(True)
         used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)}
+        text = text.replace("{", "{{").replace("}", "}}")
         for t in used:
             text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
         return spark.sql(text, **used)

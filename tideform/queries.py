@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideform.functions import folds
-from tideform.operators import audit, bars, execution, features, indicators, metrics, signals, structure, universe
+from tideform.functions import clusters, folds
+from tideform.operators import audit, bars, brackets, contexts, execution, features, indicators, metrics, retests, signals, structure, universe
 from tideform.plans.sql import Plan
 from tideform.sources import tape
 
@@ -24,6 +24,13 @@ EQUITY = (*LEDGER, metrics.EQUITY)
 DAILY = (*LEDGER, metrics.DAILY)
 FOLDS = (*DAILY, metrics.FOLDS)
 SHOCKS = (*RANGE, signals.SHOCKS)
+ATRS = (*RANGE, brackets.ATRS)
+HELD = (*SHOCKS, execution.NEXT, *brackets.STEPS)
+PATHS = (*HELD, brackets.PATHS, brackets.managed())
+BROKEN = (*BREAKS, retests.BROKEN)
+BOXED = (*LEVELS, retests.BOX_MARKS, retests.BOX_STATE)
+PAIRED = (*SHOCKS, brackets.ATRS, contexts.CONDITIONS)
+MASKED = (*PAIRED, contexts.PAIR_MASKS)
 STATUS = (universe.DECODED, universe.STATUS)
 TOKENS = (universe.TOKENS, universe.PRIORS, universe.IDF)
 
@@ -99,6 +106,24 @@ PLANS: dict[str, Plan] = {
         ("mask_dedupe", (*SHOCKS, signals.MASKS), signals.CLASSES),
         ("jaccard_pairs", SHOCKS, signals.JACCARD),
         ("set_algebra", SHOCKS, signals.SETS),
+        ("atr_brackets", (*HELD, execution.XBARS, brackets.REACHED, brackets.STRUCK), brackets.BRACKETS),
+        ("managed_exits", PATHS, brackets.MANAGED),
+        ("exact_decimal_r", HELD, brackets.EXACT_R),
+        ("level_replacement", (*LEVELS, retests.REPLACED), retests.REPLACEMENT),
+        ("first_return", (*BROKEN, retests.RETURNED), retests.FIRST_RETURN),
+        ("close_reclaim", BROKEN, retests.CLOSE_RECLAIM),
+        ("event_ids", BREAKS, retests.EVENT_IDS),
+        ("gate_volatility", ATRS, contexts.VOLATILITY),
+        ("atr_periods", RANGE, contexts.SMOOTHING),
+        ("shock_numerators", ATRS, contexts.NUMERATORS),
+        ("ctx_spread", NUMBERED, contexts.SPREAD),
+        ("ctx_intensity", NUMBERED, contexts.INTENSITY),
+        ("gap_conditioned", SHOCKS, contexts.GAP_KINDS),
+        ("interactions", PAIRED, contexts.INTERACTIONS),
+        ("ternary_masks", MASKED, contexts.TERNARY),
+        ("result_audit", MASKED, contexts.RESULT_AUDIT),
+        ("content_roots", BREAKS, contexts.ROOTS),
+        ("mask_merge", MASKED, contexts.MERGED),
         ("universe_decode", STATUS[:1], "SELECT birth, expiry, fast, slow, stop FROM decoded"),
         ("universe_aliases", STATUS, universe.ALIASES),
         ("universe_account", STATUS, universe.ACCOUNT),
@@ -113,6 +138,13 @@ PLANS: dict[str, Plan] = {
 BARS_TR = Plan(*RANGE, select="SELECT symbol, bar, high_u, low_u, close_u, tr FROM tr")
 TRADES = Plan(*LEDGER, select="SELECT symbol, session_day, intent_id, entry_seq, exit_seq, entry_ts_ns, exit_ts_ns FROM ledger")
 DAYS = Plan(*DAILY, select="SELECT symbol, d, r FROM daily")
+BAR_ATR = Plan(*ATRS, select="SELECT b.symbol, b.bar, b.session_day, b.open_u, b.high_u, b.low_u, b.close_u, b.prev_close, a.tr, a.atr14 FROM nb b JOIN atrs a ON a.symbol = b.symbol AND a.bar = b.bar")
+BOXES = Plan(*BOXED, indicators.TRUE_RANGE, brackets.ATRS, select="SELECT x.symbol, x.bar, x.middle, x.width, x.width1, x.width2, a.atr14 FROM box_state x JOIN atrs a ON a.symbol = x.symbol AND a.bar = x.bar")
+CARRIER = Plan(*BROKEN, select=retests.CARRIER)
+OUTCOMES = Plan(*PATHS, select=brackets.MANAGED)
+BLOCKS = Plan(*FOLDS, select="SELECT symbol, fold, r FROM folds")
+HAC = Plan(*DAILY, metrics.HAC, select=metrics.HAC_T)
+EDGES = Plan(*SHOCKS, select=f"SELECT symbol || ':' || CAST(side AS VARCHAR(9)) || ':' || CAST(threshold_a AS VARCHAR(9)) AS a, symbol || ':' || CAST(side AS VARCHAR(9)) || ':' || CAST(threshold_b AS VARCHAR(9)) AS b, jaccard AS weight FROM ({signals.JACCARD}) WHERE jaccard >= 0.5")
 EVENTS = Plan(*SHOCKS, select="SELECT symbol, threshold, side, bar FROM shocks")
 
 
@@ -122,6 +154,16 @@ def _recursive(plan: Plan, name: str, steps: str, select: str) -> str:
     return f"WITH RECURSIVE {name} AS ({inner}),\n{steps}\n{select}"
 
 
+_EMA8 = '''e AS (SELECT symbol, CAST(8 AS BIGINT) AS bar, avg(close_u) AS ema8 FROM b WHERE bar <= 8 GROUP BY symbol HAVING count(*) = 8
+ UNION ALL SELECT b.symbol, b.bar, e.ema8 + (b.close_u - e.ema8) * 2 / 9.0 FROM e JOIN b ON b.symbol = e.symbol AND b.bar = e.bar + 1)'''
+
+
+def _near_ema(boxes: DataFrame, emas: DataFrame) -> DataFrame:
+    """Boxes that contract, are narrow against the range, and lie around the average."""
+    rows = boxes.where("atr14 is not null").join(emas.where("ema8 is not null").select("symbol", "bar", "ema8"), ["symbol", "bar"])
+    return rows.selectExpr("symbol", "bar", "coalesce(width < width1 and width1 < width2, false) as contracting", "width <= 3 * atr14 as narrow", "abs(middle - ema8) <= atr14 as near_ema")
+
+
 FOLDED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "ind_folds": (lambda s, d: folds.indicator_folds(BARS_TR.run(s, d)), None),
     "feat_ema_int": (
@@ -148,6 +190,32 @@ a AS (SELECT symbol, threshold, side, bar, next_bar FROM nx WHERE bar = (SELECT
  UNION ALL SELECT nx.symbol, nx.threshold, nx.side, nx.bar, nx.next_bar FROM a JOIN nx ON nx.symbol = a.symbol AND nx.threshold = a.threshold AND nx.side = a.side AND nx.bar = a.next_bar)""", "SELECT symbol, threshold, side, bar FROM a"),
     ),
     "portfolio_allocation": (lambda s, d: folds.portfolio(TRADES.run(s, d)), None),
+    "gate_geometry": (
+        lambda s, d: _near_ema(BOXES.run(s, d), folds.indicator_folds(BARS_TR.run(s, d))),
+        f"WITH RECURSIVE x AS ({BOXES.text(False)}), b AS ({BARS_TR.text(False)}), {_EMA8}" + '''
+SELECT x.symbol, x.bar, coalesce(x.width < x.width1 AND x.width1 < x.width2, FALSE) AS contracting, x.width <= 3 * x.atr14 AS narrow, abs(x.middle - e.ema8) <= x.atr14 AS near_ema
+FROM x JOIN e ON e.symbol = x.symbol AND e.bar = x.bar WHERE x.atr14 IS NOT NULL''',
+    ),
+    "gate_momentum": (
+        lambda s, d: folds.indicator_folds(BARS_TR.run(s, d)).where("rsi14 is not null").selectExpr("symbol", "bar", "round(rsi14, 6) as rsi14", "rsi14 >= 55 as up", "rsi14 <= 45 as down"),
+        f"WITH RECURSIVE b AS ({BAR_ATR.text(False)})," + '''
+e AS (SELECT symbol, CAST(15 AS BIGINT) AS bar, avg(greatest(close_u - prev_close, 0)) AS u, avg(greatest(prev_close - close_u, 0)) AS dn FROM b WHERE bar BETWEEN 2 AND 15 GROUP BY symbol HAVING count(*) = 14
+ UNION ALL SELECT b.symbol, b.bar, e.u + (greatest(b.close_u - b.prev_close, 0) - e.u) / 14.0, e.dn + (greatest(b.prev_close - b.close_u, 0) - e.dn) / 14.0 FROM e JOIN b ON b.symbol = e.symbol AND b.bar = e.bar + 1)
+SELECT symbol, bar, round(r, 6) AS rsi14, r >= 55 AS up, r <= 45 AS down FROM (SELECT symbol, bar, CASE WHEN u + dn > 0 THEN 100 * u / (u + dn) ELSE 50.0 END AS r FROM e)''',
+    ),
+    "gate_trend_strength": (lambda s, d: folds.indicator_folds(BARS_TR.run(s, d)).selectExpr("symbol", "bar", "adx14 >= 25 as strong", "atr14 > 0 and abs(ema8 - lag(ema8) over (partition by symbol order by bar)) >= 0.1 * atr14 as sloped"), None),
+    "retest_filter": (lambda s, d: folds.retests(CARRIER.run(s, d)), None),
+    "daily_schedule": (lambda s, d: folds.schedule(OUTCOMES.run(s, d)), None),
+    "impulse_states": (lambda s, d: folds.impulses(BAR_ATR.run(s, d)), None),
+    "sign_flip": (lambda s, d: folds.sign_flip(BLOCKS.run(s, d)), None),
+    "hac_p": (lambda s, d: folds.one_sided(HAC.run(s, d)), None),
+    "config_clusters": (
+        lambda s, d: clusters.medoids(EDGES.run(s, d)),
+        f"WITH RECURSIVE g AS ({EDGES.text(False)}), w AS (SELECT a AS u, b AS v, weight FROM g UNION ALL SELECT b, a, weight FROM g)," + '''
+r AS (SELECT DISTINCT u AS node, u AS seen FROM w UNION SELECT r.node, w.v FROM r JOIN w ON w.u = r.seen),
+c AS (SELECT node, min(seen) AS component FROM r GROUP BY node), s AS (SELECT u AS node, round(sum(weight), 6) AS weight FROM w GROUP BY u)
+SELECT component, count(*) AS members, arg_min(node, (-weight, node)) AS medoid, max(weight) AS weight FROM c JOIN s USING (node) GROUP BY component''',
+    ),
     "bootstrap": (lambda s, d: folds.block_bootstrap(DAYS.run(s, d)), None),
 }
 
