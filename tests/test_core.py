@@ -62,6 +62,17 @@ def test_packed_round_trip(spark, tmp_path):
         (tmp_path / f"{k}.bin").write_bytes(b"".join(struct.pack("<qiiB", *r) for r in rows[k * 25 : k * 25 + 25]))
     tape = packed.read_packed(spark, str(tmp_path), 5)
     assert [tuple(r) for r in tape.orderBy("seq").collect()] == [(5 + i, t * 1_000_000, b, a, f) for i, (t, b, a, f) in enumerate(rows)]
+    many = [(k, k % 97, k % 89, k % 7) for k in range(60_000)]
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "0.bin").write_bytes(b"".join(struct.pack("<qiiB", *r) for r in many))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("mapreduce.input.fileinputformat.split.maxsize", "100000")
+    big = packed.read_packed(spark, str(tmp_path / "big"))
+    assert big.select(F.spark_partition_id()).distinct().count() > 5
+    assert [(r.seq, r.ts_ns // 1_000_000, r.bid_u, r.ask_u, r.flags) for r in big.orderBy("seq").collect()] == [(k + 1, *r) for k, r in enumerate(many)]
+    conf.unset("mapreduce.input.fileinputformat.split.maxsize")
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     same = packed.conversion_parity(tape.withColumn("session_day", F.lit(1)), tape).first()
     assert tuple(same) == (50, 0, 0)
     (tmp_path / "2.bin").write_bytes(b"123")
