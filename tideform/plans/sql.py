@@ -22,6 +22,11 @@ TOKENS = {
     r"LASTKNOWN\((\w+)\)": (r"last(\1, true)", r"last_value(\1 IGNORE NULLS)"),
     r"QUANTILE\((\w+), ([\d.]+)\)": (r"percentile(\1, \2)", r"quantile_cont(\1, \2)"),
     r"WORDS\((\w+)\)": (r"explode(split(trim(regexp_replace(lower(\1), '[^a-z0-9]+', ' ')), ' '))", r"unnest(string_split(trim(regexp_replace(lower(\1), '[^a-z0-9]+', ' ', 'g')), ' '))"),
+    r"EACHMATCH\((\w+), ('[^']*')\)": (r"explode(regexp_extract_all(\1, r\2, 1))", r"unnest(regexp_extract_all(\1, \2, 1))"),
+    # A bucket of hours as civil time seven hours earlier; that time in New York as London's; the hour of a civil time.
+    r"BACK7\((\w+)\)": (r"CAST(timestamp_seconds((\1 - 7) * 3600) AS TIMESTAMP_NTZ)", r"CAST(make_timestamp((\1 - 7) * 3600000000) AS TIMESTAMP)"),
+    r"ZONED\((\w+)\)": (r"convert_timezone('America/New_York', 'Europe/London', \1)", r"timezone('Europe/London', timezone('America/New_York', \1))"),
+    r"HOUROF\(": ("hour(", "hour("),
     r"JOINED\((\w+)\)": (r"array_join(array_sort(collect_list(\1)), ',')", r"array_to_string(list_sort(list(\1)), ',')"),
     r"MATCHES\((\w+), ('[^']*')\)": (r"(\1 RLIKE \2)", r"regexp_matches(\1, \2)"),
 }
@@ -66,7 +71,8 @@ class Plan:
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         text = self.text(True)
         used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)}
-        text = text.replace("{", "{{").replace("}", "}}")
+        if used:  # only then is the text a template
+            text = text.replace("{", "{{").replace("}", "}}")
         for t in used:
             text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
         return spark.sql(text, **used)

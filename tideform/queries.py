@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideform.functions import clusters, folds
-from tideform.operators import audit, bars, brackets, contexts, execution, features, indicators, metrics, retests, signals, structure, universe
+from tideform.operators import audit, bars, brackets, catalogue, contexts, execution, features, indicators, metrics, retests, signals, structure, universe
 from tideform.plans.sql import Plan
 from tideform.sources import tape
 
@@ -106,6 +106,19 @@ PLANS: dict[str, Plan] = {
         ("mask_dedupe", (*SHOCKS, signals.MASKS), signals.CLASSES),
         ("jaccard_pairs", SHOCKS, signals.JACCARD),
         ("set_algebra", SHOCKS, signals.SETS),
+        ("gate_zones", NUMBERED, catalogue.ZONES),
+        ("offset_brackets", (*TAPE, audit.SEGMENTS, audit.ANCHORS), catalogue.BRACKETED),
+        ("family_combinations", (catalogue.SETTINGS, catalogue.COMBINED), catalogue.COMBINATIONS),
+        ("signature_partitions", (catalogue.SETTINGS, catalogue.COMBINED), catalogue.PARTITIONS),
+        ("config_ids", STATUS[:1], catalogue.IDENTITIES),
+        ("universe_parity", STATUS[:1], catalogue.PARITY),
+        ("page_sections", (), catalogue.SECTIONS),
+        ("text_normalised", (catalogue.NORMALISED,), catalogue.NORMAL_STATS),
+        ("gate_report", (*EQUITY, *DAILY[len(LEDGER) :], ("metrics", metrics.METRICS), metrics.TESTS, ("adjusted", metrics.ADJUSTED)), catalogue.REPORT),
+        ("median_spread", RAW, catalogue.MEDIAN_SPREAD),
+        ("tolerant_parity", ATRS, catalogue.TOLERANT),
+        ("pivot_windows", NUMBERED, catalogue.PIVOT_WINDOWS),
+        ("level_crosses", (*LEVELS, indicators.TRUE_RANGE, brackets.ATRS), catalogue.LEVEL_CROSSES),
         ("atr_brackets", (*HELD, execution.XBARS, brackets.REACHED, brackets.STRUCK), brackets.BRACKETS),
         ("managed_exits", PATHS, brackets.MANAGED),
         ("exact_decimal_r", HELD, brackets.EXACT_R),
