@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideform.llm.common import Scratch
 from tideform.llm.components import connected_components
@@ -75,7 +76,7 @@ def plan(rows: int, dim: int, threshold: float) -> tuple[int, int]:
     return hashes, max(1, math.ceil(math.log(1 - RECALL) / math.log(max(1e-9, 1 - min(p, 1 - 1e-9)))))
 
 
-def _hashed(frames: Iterator[pd.DataFrame], rows: int, threshold: float, slim: bool) -> Iterator[pd.DataFrame]:
+def _hashed(frames: Iterator[pd.DataFrame], rows: int, threshold: float, slim: bool, packed: type = np.float64) -> Iterator[pd.DataFrame]:
     for whole in frames:
         lengths = whole["vec"].map(len)
         for dim, frame in whole.groupby(lengths.to_numpy()):
@@ -87,17 +88,17 @@ def _hashed(frames: Iterator[pd.DataFrame], rows: int, threshold: float, slim: b
                     out = pd.DataFrame({"dim": np.int32(dim), "tab": np.int32(t), "code": codes[:, t, j]})
                     if not slim:
                         out["rep"], out["size"] = frame["rep"].to_numpy(), frame["size"].to_numpy()
-                        out["vec"] = [v.tobytes() for v in x]
+                        out["vec"] = [v.tobytes() for v in x.astype(packed)]
                         out["codes"] = [c.tobytes() for c in codes]
                     yield out
 
 
-def _verified(frame: pd.DataFrame, threshold: float, tables: int) -> pd.DataFrame | None:
+def _verified(frame: pd.DataFrame, threshold: float, tables: int, packed: type) -> pd.DataFrame | None:
     """Links that one run owns: for each vector how many others, and edges that keep the components."""
     tab, code = int(frame["tab"].iloc[0]), int(frame["code"].iloc[0])
     frame = frame.sort_values("side", kind="stable")
     side, ids, size = frame["side"].to_numpy(), frame["rep"].to_numpy(), frame["size"].to_numpy()
-    x = np.stack([np.frombuffer(v, np.float64) for v in frame["vec"]])
+    x = np.stack([np.frombuffer(v, packed) for v in frame["vec"]]).astype(np.float64)
     norm = np.sqrt((x * x).sum(1))
     codes = np.stack([np.frombuffer(c, np.int64) for c in frame["codes"]]).reshape(len(x), tables, -1)
     links = np.zeros(len(x))
@@ -143,7 +144,7 @@ def _verified(frame: pd.DataFrame, threshold: float, tables: int) -> pd.DataFram
     return pd.concat([counted, pd.DataFrame({"a": ids[a], "b": ids[b], "links": np.int64(0)})])
 
 
-def _compare(frames: Iterator[pd.DataFrame], rows: int, threshold: float) -> Iterator[pd.DataFrame]:
+def _compare(frames: Iterator[pd.DataFrame], rows: int, threshold: float, packed: type) -> Iterator[pd.DataFrame]:
     """Frames sorted by run; a run is at most two parts long and may go on into the next frame."""
     rest: pd.DataFrame | None = None
 
@@ -151,7 +152,7 @@ def _compare(frames: Iterator[pd.DataFrame], rows: int, threshold: float) -> Ite
         for _, run in frame.groupby(["dim", "tab", "code", "pair"], sort=False):
             if len(run) > 1:
                 tables = plan(rows, int(run["dim"].iloc[0]), threshold)[1]
-                if (out := _verified(run, threshold, tables)) is not None:
+                if (out := _verified(run, threshold, tables, packed)) is not None:
                     yield out
 
     for frame in frames:
@@ -186,18 +187,20 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     reps = scratch.save(reps.select("rep", "size", "vec"), "reps")
     n = reps.count()
     key = "dim int, tab int, code bigint"
+    # Single-precision input moves as such, which loses nothing; it is compared in double precision all the same.
+    packed = np.float32 if isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType) else np.float64
     kind = vectors.schema[id_col].dataType.simpleString()
     codes = reps.mapInPandas(lambda f: _hashed(f, n, threshold, True), key)
     sizes = codes.groupBy("dim", "tab", "code").count().where("count > 1")
     sizes = scratch.save(sizes.withColumn("parts", F.ceil(F.col("count") / PART)).drop("count"), "sizes")
-    keyed = reps.mapInPandas(lambda f: _hashed(f, n, threshold, False), f"{key}, rep {kind}, size bigint, vec binary, codes binary")
+    keyed = reps.mapInPandas(lambda f: _hashed(f, n, threshold, False, packed), f"{key}, rep {kind}, size bigint, vec binary, codes binary")
     keyed = keyed.join(sizes, ["dim", "tab", "code"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, F.col("own")) * F.col("parts") + F.greatest(o, F.col("own")))
     keyed = keyed.withColumn("pair", F.explode(pair))
     low, high = F.expr("pair div parts"), F.expr("pair % parts")
     keyed = keyed.withColumn("side", ((low != high) & (F.col("own") == high)).cast("int")).drop("parts", "own")
     keyed = keyed.repartition("dim", "tab", "code", "pair").sortWithinPartitions("dim", "tab", "code", "pair")
-    found = scratch.save(keyed.mapInPandas(lambda f: _compare(f, n, threshold), f"a {kind}, b {kind}, links bigint"), "found")
+    found = scratch.save(keyed.mapInPandas(lambda f: _compare(f, n, threshold, packed), f"a {kind}, b {kind}, links bigint"), "found")
     joined = connected_components(found.where("links = 0").select("a", "b"), scratch)
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     info = reps.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
