@@ -90,6 +90,7 @@ PLANS: dict[str, Plan] = {
         ("cpcv_pairs", FOLDS, metrics.CPCV),
         ("leave_fold_out", FOLDS, metrics.LEAVE_OUT),
         ("top_removed", LEDGER, metrics.TOP_REMOVED),
+        ("missed_trades", LEDGER, metrics.MISSED),
         ("gate_screen", (*LEDGER, ("metrics", metrics.METRICS)), metrics.SCREEN),
         ("hac_test", (*DAILY, metrics.HAC), metrics.HAC_T),
         ("bh_by_adjust", (*DAILY, metrics.TESTS), metrics.ADJUSTED),
