@@ -399,3 +399,36 @@ def test_pipeline(spark, docs):
     assert near.columns == docs.columns and near.count() <= one.count()
     out = p.run(spark, DATA)
     assert 0 < out.count() <= near.count() and out.columns[0] == "doc_id"
+
+
+def _shingle_sets(rows):
+    out = {}
+    for i, t in rows:
+        words = t.lower().split()
+        out[i] = {tuple(words[j : j + 5]) for j in range(len(words) - 4)} or {tuple(words)}
+    return out
+
+
+def test_near_copies_are_those_of_similarity_080(spark, monkeypatch):
+    import corpus_pipeline as p
+    from tideform.llm import near
+
+    rng = random.Random(8)
+    rows = []
+    for k in (4, 5, 6, 6, 7, 8, 9) * 20:  # 274 words, so 270 shingles: k lone changes leave a similarity of (54 - k) / (54 + k)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(274)]
+        other = list(words)
+        for at in rng.sample(range(4, 264, 6), k):
+            other[at] += "x"
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    line = " ".join(f"c{j}" for j in range(30))
+    rows += [(len(rows) + j, line + " " + " ".join(rng.choices("abcdefgh", k=40))) for j in range(40)]  # one common line
+    rows += [(len(rows), "a b c"), (len(rows) + 1, "A  b c"), (len(rows) + 2, ""), (len(rows) + 3, " ")]
+    sets = _shingle_sets(rows)
+    near_pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert 70 < len(near_pairs) < 110
+    want = sorted({v for v in components(sorted(sets), near_pairs).values()})
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in p.drop_near_copies(spark, df, DATA).collect()) == want
+    monkeypatch.setattr(near, "PART_ROWS", 3)
+    assert sorted(r.doc_id for r in p.drop_near_copies(spark, df, DATA).collect()) == want

@@ -205,9 +205,9 @@ def simhash_components(docs: DataFrame, size: int = 5, words: int = 4, radius: i
     null; a repeated one keeps its rows, all in the group of its smallest fingerprint link. Empty tables give empty
     results; extra columns are ignored.
 
-    The defaults (five words, 40 of 256 bits) stand for a shingle similarity of 0.8 or more: at that similarity about
-    38.8 bits are expected to differ, and six sketches let all but 0.01 % of such pairs meet. Without sketches every pair
-    within the radius is found.
+    The radius bounds differing bits, which follow similarity only roughly: at a shingle similarity of 0.8 about 38.8 of
+    256 bits differ, give or take six. Where similarity itself decides, see ``near``. Without sketches every pair within the
+    radius is found.
     """
     if not sketches and words != 1:
         raise ValueError("bit blocks are cut from one word; longer fingerprints need sketches")
