@@ -432,3 +432,18 @@ def test_near_copies_are_those_of_similarity_080(spark, monkeypatch):
     assert sorted(r.doc_id for r in p.drop_near_copies(spark, df, DATA).collect()) == want
     monkeypatch.setattr(near, "PART_ROWS", 3)
     assert sorted(r.doc_id for r in p.drop_near_copies(spark, df, DATA).collect()) == want
+
+
+def test_full_licenses_and_wrapped_lines(spark):
+    rows = dict(licenses.license_rows())
+    bsd = rows["BSD-3-Clause"]
+    at = bsd.index("COPYRIGHT HOLDER OR CONTRIBUTORS")
+    with open("/usr/share/common-licenses/GPL-2") as f, open("/usr/share/common-licenses/Apache-2.0") as g:
+        gpl, apache = f.read(), g.read()
+    mit = " ".join(rows["MIT"].removeprefix("MIT License").split())
+    wrapped = bsd[:at].rstrip() + "\n" + bsd[at:]
+    items = [gpl, apache, wrapped, "Copyright (c) 2020 Some Body " + mit, "© 2019 A\n# Copyright 2020 B\nCopyright by C\n" + mit, bsd[:at] + bsd[at + 32 :], "(c) You must retain"]
+    df = spark.createDataFrame(list(enumerate(items)), "doc_id int, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(df, licenses.known_licenses(spark)).collect()}
+    assert [got[i].license_id for i in range(7)] == ["GPL-2.0", "Apache-2.0", "BSD-3-Clause", "MIT", "MIT", None, None]
+    assert got[6].canonical_sha256 == hashlib.sha256(b"c  you  must  retain").hexdigest()

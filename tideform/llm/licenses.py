@@ -23,18 +23,24 @@ SPELLINGS = (
     ("sub licenses", "sublicenses"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# A line that opens with a copyright mark, whatever comment sign stands before it, up to the line's end.
+# For the checking SQL only: a line that opens with a copyright mark, whatever comment sign stands before it, up to its end.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|copr\.|\(c\)|©)[^a-z\n][^\n]*"
+# A notice: such a mark with a year (or the place for one), a second mark or "by", up to the line's end or to where the licence
+# itself begins on that line. Other lines that begin with the word belong to the licence ("copyright holders be liable").
+COPYRIGHT_NOTICE = (
+    r"(^|\n)[^a-z0-9\n]*(?:(?:copyright|copr\.|©)[^a-z0-9\n]*(?:\(c\)|©|[12][0-9]{3}|19yy|<?\[?(?:year|yyyy)\b|by )|©|\(c\)[^a-z0-9\n]*(?:copyright|[12][0-9]{3}))"
+    r"[^\n]*?(?=\n|\z|permission is hereby granted|permission to use,|redistribution and use|this software is provided|licensed under)"
+)
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case (A-Z), no copyright lines, words joined by two spaces, one spelling for each word.
+    """Lower case (A-Z), no copyright notices, words joined by two spaces, one spelling for each word.
 
     Equal texts up to these have equal canonical forms; a text of punctuation only becomes empty.
     """
     out = F.translate(text, UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
+    out = F.regexp_replace(out, COPYRIGHT_NOTICE, "$1")
     # Two spaces between words give each word a space of its own on either side, so neighbours are replaced alike.
     out = F.regexp_replace(out, NOT_WORD, "  ")
     out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
@@ -50,9 +56,15 @@ def license_rows() -> list[tuple[str, str]]:
     return [(name.strip(), text.strip()) for name, _, text in parts]
 
 
+def full_rows() -> list[tuple[str, str]]:
+    """Full texts of the longer licences as (name, text)."""
+    folder = resources.files("tideform.llm").joinpath("license_full_texts")
+    return sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in folder.iterdir())
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """Those texts as (license_id, text); any table of that form can take its place."""
-    return spark.createDataFrame(license_rows(), "license_id string, text string")
+    return spark.createDataFrame(license_rows() + full_rows(), "license_id string, text string")
 
 
 def license_scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
