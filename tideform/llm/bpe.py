@@ -10,6 +10,7 @@ not grow with a word's length.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -26,6 +27,8 @@ from tideform.llm.common import text_or_empty
 SCHEMA = "doc_id {id}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 CACHE_ROWS = 500_000  # chunks that a task remembers at most; then it forgets all and goes on
 LONG_CHUNK = 200  # longer chunks are encoded as a stream and not remembered
+PORTION = 4096  # ids that leave the encoder at once, or a few more
+SLICE = 1 << 16  # characters of a text that are split at once
 
 
 def byte_symbols() -> list[str]:
@@ -57,7 +60,7 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int])
 
 
 class Transducer:
-    """Streaming encoder of the pieces that pre-tokenising yields, with the text side of decoding."""
+    """Streaming encoder of the pieces that pre-tokenising yields; ``text_of`` is what a decoder needs."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -74,22 +77,25 @@ class Transducer:
         self.text_of = {i: s for s, i in [*self.vocab.items(), *self.added.items()]}
 
     def _merge(self, s: list[str]) -> list[str]:
-        rank, none = self.rank.get, len(self.rank)
-        while len(s) > 1:
-            ranks = [rank(p, none) for p in zip(s, s[1:])]
-            least = min(ranks)
-            if least == none:
-                break
-            out, i, n = [], 0, len(s)
-            while i < n:
-                if i < n - 1 and ranks[i] == least:
-                    out.append(s[i] + s[i + 1])
-                    i += 2
-                else:
-                    out.append(s[i])
-                    i += 1
-            s = out
-        return s
+        """Merge by rank, equal ranks from the left: a queue of pairs, over a chain of the symbols that are left."""
+        n, rank = len(s), self.rank
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(r, i, s[i], s[i + 1]) for i in range(n - 1) if (r := rank.get((s[i], s[i + 1]))) is not None]
+        heapq.heapify(queue)
+        while queue:
+            _, i, left, right = heapq.heappop(queue)
+            j = after[i]
+            if s[i] != left or j >= n or s[j] != right:
+                continue  # one of the two is gone by now
+            s[i], s[j] = left + right, ""
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank.get((s[i], s[k]))) is not None:
+                    heapq.heappush(queue, (r, i, s[i], s[k]))
+            if (h := before[i]) >= 0 and (r := rank.get((s[h], s[i]))) is not None:
+                heapq.heappush(queue, (r, h, s[h], s[i]))
+        return [x for x in s if x]
 
     def stream(self, piece: Iterable[int]) -> Iterator[str]:
         """Tokens of one piece (bytes in order), each emitted once nothing to come can change it."""
@@ -120,8 +126,11 @@ class Transducer:
             else:  # one token longer than the stable part: look further
                 room *= 2
 
-    def piece(self, text: str) -> list[str]:
-        return [t for t in self.stream(text.encode("utf-8")) if t in self.vocab]
+    def piece(self, text: str) -> Iterator[int]:
+        """Ids of one piece; a token that the vocabulary does not hold gives none."""
+        for token in self.stream(text.encode("utf-8")):
+            if (i := self.vocab.get(token)) is not None:
+                yield i
 
 
 class WordBpe(Transducer):
@@ -134,84 +143,82 @@ class WordBpe(Transducer):
     def __init__(self, path: str) -> None:
         super().__init__(path)
         self.special = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
-        self.starts = sorted({x[0] for x in self.added})
-        self.words: dict[str, tuple[str, str]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def normal(self, chunk: str) -> str:
         if chunk.isascii():
             return chunk.lower()
         return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # no final form of sigma
 
-    def chunk(self, chunk: str) -> tuple[str, str]:
-        """Ids and token texts of a chunk without white space, each with a space behind every item."""
-        ids, texts = [], []
-        for piece in self.PIECE.findall(self.normal(chunk)):
-            if (got := self.words.get(piece)) is None:
-                tokens = self.piece(piece)
-                got = "".join(f"{self.vocab[t]} " for t in tokens), "".join(f"{t} " for t in tokens)
-                if len(piece) <= LONG_CHUNK:
-                    if len(self.words) >= CACHE_ROWS:
-                        self.words.clear()
-                    self.words[piece] = got
-            ids.append(got[0])
-            texts.append(got[1])
-        return "".join(ids), "".join(texts)
-
-    def chunks(self, text: str) -> list[str]:
-        return self.SPACE.split(text) if self.SEPARATORS.search(text) else text.split()
-
-
-class _Memo(dict):
-    """Chunk to ids (side 0) or to token texts (side 1); a miss on one side fills the other too."""
-
-    def __init__(self, bpe: WordBpe, side: int) -> None:
-        self.bpe, self.side, self.other = bpe, side, {}
-
-    def __missing__(self, chunk: str) -> str:
-        got = self.bpe.chunk(chunk)
-        if len(chunk) <= LONG_CHUNK:
-            if len(self) >= CACHE_ROWS:
-                self.clear()
-                self.other.clear()
-            self[chunk], self.other[chunk] = got[self.side], got[1 - self.side]
-        return got[self.side]
-
-
-class Encoder:
-    """Whole texts to ids and back."""
-
-    def __init__(self, path: str) -> None:
-        self.bpe = WordBpe(path)
-        self.ids, self.texts = _Memo(self.bpe, 0), _Memo(self.bpe, 1)
-        self.ids.other, self.texts.other = self.texts, self.ids
-
-    def encode(self, text: str) -> tuple[str, str]:
-        """Decimal ids and token texts, space-joined."""
-        bpe, parts = self.bpe, []
-        if bpe.special and any(x in text for x in bpe.added):
-            at = 0
-            for m in bpe.special.finditer(text):
-                parts += [(text[at : m.start()], None), ("", m[0])]
-                at = m.end()
-            parts.append((text[at:], None))
-        else:
-            parts.append((text, None))
-        ids, texts = [], []
-        for plain, special in parts:
-            chunks = bpe.chunks(plain)
-            ids += map(self.ids.__getitem__, chunks)
-            texts += map(self.texts.__getitem__, chunks)
-            if special:
-                ids.append(f"{bpe.added[special]} ")
-                texts.append(f"{special} ")
-        return "".join(ids)[:-1], "".join(texts)[:-1]
+    def portions(self, text: str) -> Iterator[list[int]]:
+        """Ids of a text, in order, in portions of a bounded size: a long piece leaves as its tokens become stable."""
+        out: list[int] = []
+        for plain, special in self._parts(text):
+            for chunk in self._chunks(plain):
+                if (got := self.known.get(chunk)) is not None:
+                    out += got
+                elif len(chunk) <= LONG_CHUNK:
+                    if len(self.known) >= CACHE_ROWS:
+                        self.known.clear()
+                    got = self.known[chunk] = tuple(self._ids(self.normal(chunk)))
+                    out += got
+                else:
+                    for i in self._ids(self.normal(chunk)):
+                        out.append(i)
+                        if len(out) >= PORTION:
+                            yield out
+                            out = []
+                if len(out) >= PORTION:
+                    yield out
+                    out = []
+            if special is not None:
+                out.append(special)
+        if out:
+            yield out
+
+    def _ids(self, chunk: str) -> Iterator[int]:
+        for m in self.PIECE.finditer(chunk):
+            piece = m[0]
+            if (got := self.words.get(piece)) is not None:
+                yield from got
+            elif len(piece) <= LONG_CHUNK:
+                if len(self.words) >= CACHE_ROWS:
+                    self.words.clear()
+                got = self.words[piece] = tuple(self.piece(piece))
+                yield from got
+            else:
+                yield from self.piece(piece)
+
+    def _parts(self, text: str) -> Iterator[tuple[str, int | None]]:
+        """Text between special tokens, each with the special token that ends it."""
+        if not self.special or not any(x in text for x in self.added):
+            yield text, None
+            return
+        at = 0
+        for m in self.special.finditer(text):
+            yield text[at : m.start()], self.added[m[0]]
+            at = m.end()
+        yield text[at:], None
+
+    def _chunks(self, text: str) -> Iterator[str]:
+        """What stands between white space, from slices of the text that end at a space."""
+        split = self.SPACE.split if self.SEPARATORS.search(text) else str.split
+        at, end = 0, len(text)
+        while at < end:
+            to = at + SLICE
+            if to < end:
+                to = m.end() if (m := self.SPACE.search(text, to)) else end
+            yield from filter(None, split(text[at:to]))
+            at = to
 
 
 class Decoder:
     """Incremental decoding: ids come in any portions, text leaves as soon as it is complete.
 
     Without a decoder in its file the tokenizer joins token texts by one space; ``byte_level`` instead turns them back
-    into bytes and keeps the bytes of an unfinished character until the rest arrives (invalid ones become U+FFFD).
+    into bytes and keeps the bytes of an unfinished character until the rest arrives (invalid ones become U+FFFD). Ids that
+    the vocabulary does not know give nothing.
     """
 
     def __init__(self, bpe: Transducer, byte_level: bool = False) -> None:
@@ -222,37 +229,43 @@ class Decoder:
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int], final: bool = False) -> str:
+        tokens = [t for t in map(self.bpe.text_of.get, ids) if t is not None]
+        if not self.byte_level:
+            lead = " " if self.begun and tokens else ""
+            self.begun = self.begun or bool(tokens)
+            return lead + " ".join(tokens)
         out = []
-        for i in ids:
-            token = self.bpe.text_of.get(i)
-            if token is None:
-                continue
-            if self.byte_level:
-                end = self.bpe.suffix and token.endswith(self.bpe.suffix)
-                core = token.removesuffix(self.bpe.suffix) if end else token
-                out.append(self.state.decode(bytes(self.bytes_of[c] for c in core)) + " " * bool(end))
-            else:
-                out.append(f" {token}" if self.begun else token)
-                self.begun = True
-        if final and self.byte_level:
+        for token in tokens:
+            end = self.bpe.suffix and token.endswith(self.bpe.suffix)
+            core = token.removesuffix(self.bpe.suffix) if end else token
+            out.append(self.state.decode(bytes(self.bytes_of[c] for c in core)) + " " * bool(end))
+        if final:
             out.append(self.state.decode(b"", True))
         return "".join(out)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def digests_of(portions: Iterable[list[int]], decoder: Decoder) -> tuple[int, str, str]:
+    """Number of ids, digest of the ids and digest of what they decode to, both fed as the ids come."""
+    n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
+    for ids in portions:
+        body = " ".join(map(str, ids))
+        ids_sha.update((f" {body}" if n else body).encode())
+        text_sha.update(decoder.feed(ids).encode("utf-8"))
+        n += len(ids)
+    text_sha.update(decoder.feed((), True).encode("utf-8"))
+    return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
-def _digest(s: str) -> str:
-    return hashlib.sha256(s.encode("utf-8")).hexdigest()
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordBpe:
+    return WordBpe(path)
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every whole text.
 
-    Returns one row per input row: ``(id_col, n_tokens, ids_sha256, decoded_sha256)``. Null texts count as empty and
-    give no tokens. Rows are independent, so repeats give equal results; extra columns are ignored; an empty table
+    Returns one row per input row: ``(id_col, n_tokens, ids_sha256, decoded_sha256)``; ids leave the encoder in portions,
+    and the decoder turns each portion back into text before the next comes. Null texts count as empty and give no tokens. Rows are independent, so repeats give equal results; extra columns are ignored; an empty table
     gives an empty result. ``path`` is the tokenizer's file as executors see it.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -261,11 +274,11 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         own = encoder(path)
         for batch in batches:
             n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids, texts = own.encode(text)
-                n.append(ids.count(" ") + 1 if ids else 0)
-                a.append(_digest(ids))
-                b.append(_digest(texts))
+            for text in batch.column(1):
+                count, ids, decoded = digests_of(own.portions(text.as_py()), Decoder(own))
+                n.append(count)
+                a.append(ids)
+                b.append(decoded)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
@@ -279,8 +292,8 @@ def bpe_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path)
         for frame in frames:
-            ids = [list(map(int, own.encode(t)[0].split())) for t in frame["text"]]
-            yield pd.DataFrame({id_col: frame.iloc[:, 0], "ids": ids, "decoded": [Decoder(own.bpe).feed(x, True) for x in ids]})
+            ids = [[i for part in own.portions(t) for i in part] for t in frame["text"]]
+            yield pd.DataFrame({id_col: frame.iloc[:, 0], "ids": ids, "decoded": [Decoder(own).feed(x, True) for x in ids]})
 
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
     return rows.mapInPandas(run, f"`{id_col}` {kind}, ids array<int>, decoded string")

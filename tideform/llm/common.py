@@ -9,16 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Tables are read chunk by chunk: vectored reads keep a direct buffer of a whole column chunk in every reader thread,
+#: outside the heap, and long texts make large chunks.
+UNVECTORED = ("parquet.hadoop.vectored.io.enabled", "false")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests in local mode) is a folder of
-    our own made and set.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder of our own is made and set in local
+    mode (as in tests); on a cluster it is an error, because executors would not see it.
     """
     known = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} is not set")
         known = tempfile.mkdtemp(prefix="tideform-")
         spark.conf.set(CHECKPOINT_KEY, known)
     return known.rstrip("/")
@@ -37,7 +42,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.option(*UNVECTORED).schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
@@ -51,6 +56,5 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table, read chunk by chunk: vectored reads keep a direct buffer of a whole column chunk in every reader
-    thread, outside the heap, and long texts make large chunks."""
-    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false").parquet(f"{sf_dir}/{name}.parquet")
+    """An input table."""
+    return spark.read.option(*UNVECTORED).parquet(f"{sf_dir}/{name}.parquet")

@@ -22,27 +22,28 @@ TRAIN_ROWS = 6_000  # rated texts that the weights are fitted on, at most
 DIM = 1 << 14
 STEPS, RATE, RIDGE = 250, 0.1, 1e-4
 CACHE_ROWS = 600_000
-LONG_WORD = 64
-MAX_GRADES = 32
-_UP, _LOW, _NUM, _RUN = re.compile(r"[^\W\d_a-z]"), re.compile(r"[a-zß-öø-ÿ]"), re.compile(r"\d"), re.compile(r"(.)\1+", re.S)
+LONG_WORD = 64  # longer tokens are read whole like any other, but not remembered
+_RUN = re.compile(r"(.)\1+", re.S)
 
 
 def shape(token: str) -> str:
     """Letter cases, digits and signs of a token, runs written once: "Word!!" becomes "Aa!"."""
-    flat = "".join("a" if c.islower() else "A" if c.isalpha() else "0" if c.isdigit() else c for c in token[:LONG_WORD])
+    flat = "".join("a" if c.islower() else "A" if c.isalpha() else "0" if c.isdigit() else c for c in token)
     return _RUN.sub(r"\1", flat)
 
 
 def slots(token: str) -> tuple[int, int]:
     """Hashed features of a token: its shape and its lower-case form."""
-    return 2 + xxhash.xxh32_intdigest(shape(token)) % (DIM // 4 - 2), DIM // 4 + xxhash.xxh32_intdigest(token[:LONG_WORD].lower(), 1) % (DIM - DIM // 4)
+    return 2 + xxhash.xxh32_intdigest(shape(token)) % (DIM // 4 - 2), DIM // 4 + xxhash.xxh32_intdigest(token.lower(), 1) % (DIM - DIM // 4)
 
 
 class _Slots(dict):
     def __missing__(self, token: str) -> tuple[int, int]:
         if len(self) >= CACHE_ROWS:
             self.clear()
-        out = self[token] = slots(token)
+        out = slots(token)
+        if len(token) <= LONG_WORD:
+            self[token] = out
         return out
 
 
@@ -124,12 +125,10 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, rating: str = "quality") ->
         return None
     rows.sort(key=lambda r: (str(r["doc_id"]), r["i"], r["v"]))
     grades = sorted({r["y"] for r in rows})
-    if len(grades) > MAX_GRADES:
-        raise ValueError(f"more than {MAX_GRADES} grades")
     index = [np.frombuffer(r["i"], np.int32) for r in rows]
     value = [np.frombuffer(r["v"], np.float32) for r in rows]
     start = np.concatenate([[0], np.cumsum([len(i) for i in index])])
-    grade = np.array([grades.index(r["y"]) for r in rows])
+    grade = np.searchsorted(grades, [r["y"] for r in rows])
     if len(grades) == 1:
         return Model(np.zeros(DIM), np.zeros(0), grades)
     return fit(np.concatenate(index), np.concatenate(value).astype(float), start, grade, grades)
@@ -161,7 +160,7 @@ class _Weights(dict):
 def quality_scores(docs: DataFrame, ratings: DataFrame, rating: str = "quality", keep_from: float = 0.5) -> DataFrame:
     """Expected grade and tail probability of every whole text.
 
-    ``ratings`` (doc_id, rating) may hold any ordered grades, at most MAX_GRADES of them. Returns one row per input row:
+    ``ratings`` (doc_id, rating) may hold any number of ordered grades. Returns one row per input row:
     ``(doc_id, expected_grade, tail_prob, kept)``: the mean of the grade's distribution, the probability of the highest
     grade, and whether that reaches ``keep_from``. Null texts count as empty and get the distribution of a score of
     zero. Without ratings, expected_grade and tail_prob are null and everything is kept; with a single grade they are
