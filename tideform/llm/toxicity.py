@@ -1,8 +1,9 @@
 """Toxicity: noisy-channel restoration of disguised words, then a rule score over the restored text.
 
-A disguised word (digits and signs for letters, signs or spaces between letters, stretched letters) is a lattice of the
-characters that each written one may stand for. Viterbi decoding finds the letters that the channel costs and a character
-trigram model, counted over the whole corpus, make likeliest. Restored words give features (the word and its first
+A disguised word (digits and signs for letters, signs or spaces between letters, doubled or stretched letters) is a lattice of
+the characters that each written one may stand for; a run of short fragments is one lattice whose spaces may be dropped or
+end a word. Viterbi decoding finds the letters that the channel costs and a character trigram model, counted over the whole
+corpus, make likeliest. Tokens of any length are restored and scored. Restored words give features (the word and its first
 letters); a greedy cover over labelled texts picks the few whose presence marks the label beyond chance, and words that do so
 without following others join them.
 """
@@ -29,14 +30,16 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
-COST_SWAP, COST_REPEAT, COST_KEEP_REPEAT = 1.0, 0.3, 1.5
+COST_SWAP, COST_REPEAT, COST_KEEP_REPEAT, COST_DOUBLE, COST_JOIN = 1.0, 0.3, 1.5, 3.0, 0.2
 # Signs without a letter to stand for, and runs of one sign, are likely noise; digits hardly ever are.
 COST_DROP_NOISE, COST_DROP_SIGN, COST_DROP_DIGIT = 1.0, 4.0, 7.5
 TRAIN_ROWS = 20_000  # labelled texts that the rules are fitted on, at most
 MIN_PREFIX, MAX_PREFIX = 4, 8
 CACHE_ROWS = 600_000
-LONG_WORD = 64  # longer tokens are not words: they are kept as they are
-SPACED = re.compile(r"(?<!\S)(?:\w[ .\-_*]){2,}\w(?!\S)")
+REMEMBERED = 64  # tokens up to this length are remembered once restored; longer ones are restored each time
+FRAGMENTS = re.compile(r"(?<!\S)(?:\S{1,3}\s+){2,}\S{1,3}(?!\S)")
+DOUBLED = re.compile(r"(.)\1", re.S)
+STRETCHED = re.compile(r"(.)\1{3,}", re.S)
 EDGES = ".,;:!?%#&*\"'()[]{}|<>«»“”„…-_~`^/\\="
 PRIOR, CERTAIN = 0.02, 0.7
 
@@ -50,6 +53,7 @@ def _table() -> np.ndarray:
 
 
 _CODE = _table()
+_LETTER = {c: i for i, c in enumerate(LETTERS)}
 
 
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -81,32 +85,52 @@ def log_model(counts: np.ndarray) -> list:
     return np.log(p3).tolist()
 
 
-def restore(word: str, model: list) -> str:
-    """Likeliest letters behind a disguised lower-case word without white space; a plain word comes back unchanged."""
-    if word.isalpha() and not any(a == b == c for a, b, c in zip(word, word[1:], word[2:])) or len(word) > LONG_WORD:
-        return word
-    code = {c: i for i, c in enumerate(LETTERS)}
-    # State: the last two letters (codes), and the last letter as text. Value: cost, text so far.
-    beam: dict[tuple[int, int, str], tuple[float, str]] = {(EDGE, EDGE, ""): (0.0, "")}
-    runs = [len(m[0]) for m in re.finditer(r"(.)\1*", word, re.S) for _ in m[0]]
-    for ch, run in zip(word, runs):
-        new: dict[tuple[int, int, str], tuple[float, str]] = {}
-        options = [(ch, 0.0)] if ch.isalpha() else [(x, COST_SWAP) for x in STANDS_FOR.get(ch, "")]
-        for (a, b, last), (cost, text) in beam.items():
+def decode(written: str, model: list) -> str:
+    """Likeliest letters behind lower-case characters; a space may be dropped, or stays as the end of a word.
+
+    Linear in the length: a state is the last two letters and the last one as text, and its text is a chain of letters that
+    states share. Runs of one character count as three at most.
+    """
+    written = STRETCHED.sub(r"\1\1\1", written)
+    beam: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(EDGE, EDGE, ""): (0.0, None)}
+    runs = [len(m[0]) for m in re.finditer(r"(.)\1*", written, re.S) for _ in m[0]]
+    for ch, run in zip(written, runs):
+        new: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
+
+        def offer(state: tuple[int, int, str], cost: float, chain: tuple | None) -> None:
+            if cost < new.get(state, (math.inf,))[0]:
+                new[state] = (cost, chain)
+
+        letter_written = ch.isalpha()
+        options = [(ch, 0.0)] if letter_written else [(x, COST_SWAP) for x in STANDS_FOR.get(ch, "")]
+        for (a, b, last), (cost, chain) in beam.items():
+            if ch == " ":
+                offer((a, b, last), cost + COST_JOIN, chain)
+                if b != EDGE:
+                    offer((b, EDGE, " "), cost - model[a][b][EDGE], (" ", chain))
+                continue
             for letter, price in options:
-                k = code.get(letter, OTHER)
-                step = cost + price - model[a][b][k] + (COST_KEEP_REPEAT if letter == last and run > 2 else 0.0)
-                if step < new.get((b, k, letter), (math.inf,))[0]:
-                    new[b, k, letter] = (step, text + letter)
-                if letter == last and run > 2 and cost + price + COST_REPEAT < new.get((a, b, last), (math.inf,))[0]:
-                    new[a, b, last] = (cost + price + COST_REPEAT, text)  # the same letter, stretched
-            if not ch.isalpha():
-                drop = cost + (COST_DROP_NOISE if run > 2 or ch not in STANDS_FOR and not ch.isalnum() else COST_DROP_DIGIT if ch.isalnum() else COST_DROP_SIGN)
-                if drop < new.get((a, b, last), (math.inf,))[0]:
-                    new[a, b, last] = (drop, text)
+                k = _LETTER.get(letter, OTHER)
+                again = letter == last
+                offer((b, k, letter), cost + price - model[a][b][k] + (COST_KEEP_REPEAT if again and run > 2 else 0.0), (letter, chain))
+                if again and run > 1:  # the same letter, doubled or stretched
+                    offer((a, b, last), cost + price + (COST_REPEAT if run > 2 else COST_DOUBLE), chain)
+            if not letter_written:
+                noise = run > 2 or ch not in STANDS_FOR and not ch.isalnum()
+                offer((a, b, last), cost + (COST_DROP_NOISE if noise else COST_DROP_DIGIT if ch.isalnum() else COST_DROP_SIGN), chain)
         beam = new
-    best = min(((cost - model[a][b][EDGE], text) for (a, b, _), (cost, text) in beam.items()), default=(0, word))
-    return best[1]
+    # Of equally likely readings the one reached first, which is the same everywhere.
+    chain = min(((cost - model[a][b][EDGE], i, chain) for i, ((a, b, _), (cost, chain)) in enumerate(beam.items())), key=lambda x: x[:2])[2]
+    out = []
+    while chain is not None:
+        out.append(chain[0])
+        chain = chain[1]
+    return "".join(reversed(out))
+
+
+def restore(word: str, model: list) -> str:
+    """A lower-case word without white space, restored; one of letters only, none of them doubled, comes back unchanged."""
+    return word if word.isalpha() and not DOUBLED.search(word) else decode(word, model)
 
 
 def _plain(token: str) -> str:
@@ -114,24 +138,45 @@ def _plain(token: str) -> str:
     return token.lower().strip(EDGES)
 
 
-def _spaced(text: str) -> list[str]:
-    """Words written with a sign or space between the letters."""
-    return [re.sub(r"[ .\-_*]", "", m) for m in SPACED.findall(text)]
+def _fragments(text: str) -> Iterator[tuple[str, bool]]:
+    """Runs of three or more fragments of one or two characters, with a space between; whether most are single letters."""
+    for m in FRAGMENTS.finditer(text):
+        run: list[str] = []
+        for token in [*m[0].lower().split(), ""]:
+            part = token if len(token) == 1 and (token.isalnum() or token in STANDS_FOR) else token.strip(EDGES)
+            if 0 < len(part) <= 2 and (part.isalnum() or len(part) == 1):
+                run.append(part)
+                continue
+            single = sum(len(x) == 1 and x.isalpha() for x in run)
+            if len(run) >= 3 and len(set(run)) > 1:
+                yield " ".join(run), single >= 3 and 2 * single >= len(run)
+            run = []
 
 
-class Reader:
-    """Restored words of a text, remembering tokens it has met (at most CACHE_ROWS)."""
+class Reader(dict):
+    """Restored words of a text, remembering words it has met (at most CACHE_ROWS of REMEMBERED characters)."""
 
     def __init__(self, model: list) -> None:
         self.model = model
 
+    def __missing__(self, word: str) -> str:
+        out = restore(word, self.model)
+        if len(self) >= CACHE_ROWS:
+            self.clear()
+        if len(word) <= REMEMBERED:
+            self[word] = out
+        return out
+
     def words(self, text: str) -> set[str]:
         out = set()
-        for token in {*text.split(), *_spaced(text)}:
+        for token in set(text.split()):
             word = _plain(token)
             out.add(word)
-            if (again := restore(word, self.model)) != word:
-                out.add(again)
+            out.add(self[word])
+        for run, spelt in _fragments(text):
+            if spelt:
+                out.add(run.replace(" ", ""))
+                out.update(decode(run, self.model).split())
         out.discard("")
         return out
 
@@ -140,9 +185,8 @@ def features(words: set[str]) -> set[str]:
     """A restored word in full (with a sign of its end) and its first letters."""
     out = set()
     for w in words:
-        if len(w) <= LONG_WORD:
-            out.add(f"{w}$")
-            out.update(w[:n] for n in range(MIN_PREFIX, min(MAX_PREFIX, len(w)) + 1))
+        out.add(f"{w}$")
+        out.update(w[:n] for n in range(MIN_PREFIX, min(MAX_PREFIX, len(w)) + 1))
     return out
 
 
@@ -242,27 +286,33 @@ class _Scorer(dict):
 
     def __init__(self, rules: dict[str, float], model: list) -> None:
         self.rules, self.model = rules, model
+        words = sorted({f.rstrip("$") for f in rules})
+        self.hint = re.compile("|".join(map(re.escape, words))) if words else None
+
+    def word(self, w: str) -> float:
+        return min((1 - self.rules[f] for f in features({w}) if f in self.rules), default=1.0) if w else 1.0
 
     def __missing__(self, token: str) -> float:
         word = _plain(token)
-        out = 1.0
-        for w in {word, restore(word, self.model)}:
-            if 0 < len(w) <= LONG_WORD:
-                for f in [f"{w}$", *(w[:n] for n in range(MIN_PREFIX, min(MAX_PREFIX, len(w)) + 1))]:
-                    if f in self.rules:
-                        out = min(out, 1 - self.rules[f])
+        out = min(self.word(w) for w in {word, restore(word, self.model)})
         if len(self) >= CACHE_ROWS:
             self.clear()
-        if len(token) <= LONG_WORD:
+        if len(token) <= REMEMBERED:
             self[token] = out
         return out
 
     def score(self, text: str) -> float:
-        clean = 1 - PRIOR
-        for x in {*text.split(), *_spaced(text)}:
-            if (p := self[x]) != 1.0:
-                clean *= p
-        return 1 - clean
+        if not self.rules:
+            return PRIOR
+        found = set(text.split())
+        for run, spelt in _fragments(text):
+            joined = run.replace(" ", "")
+            if spelt:
+                found.add(joined)
+            # Longer fragments are common in plain text: decoded where, joined, they hold a word or stem of a rule.
+            if spelt or self.hint.search(joined):
+                found.update(decode(run, self.model).split())
+        return 1 - (1 - PRIOR) * math.prod(sorted(p for x in found if (p := self[x]) != 1.0))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
