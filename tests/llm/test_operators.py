@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -290,9 +291,114 @@ def test_pages_against_plain_reading(spark):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
 
 
+def test_html_template_decides(spark):
+    """Element and class names say nothing here: what every page of the host repeats is template, the rest is the article."""
+    words = "amber bridge cedar delta ember forest garden harbor island jungle".split()
+    rng = random.Random(3)
+
+    def story() -> list[str]:
+        return [" ".join(rng.choice(words) for _ in range(rng.randint(5, 30))) + f" {rng.random()}" for _ in range(rng.randint(1, 5))]
+
+    stories = [story() for _ in range(12)]
+    pages = []
+    for i, paras in enumerate(stories):
+        body = "".join(f"<p>{p}</p>" for p in paras)
+        odd = '<div class="k9"><p>Special offer</p></div>' if i % 2 else ""
+        page = f'<div class="a1"><div>Start</div><div>Find</div></div><div class="b2">note {i}</div><div class="c3" id="s{i}"><h1>T{i}</h1><div>Share this</div>{body}{odd}</div><div class="d4">All rights</div>'
+        pages.append((i, "https://x.example/p", page))
+    pages += pages[:4]  # rows repeat
+    few = [(100 + i, "https://y.example/p", page) for i, (_, _, page) in enumerate(pages[:2])]  # no template from two pages
+    got = html.extract_main_text(spark.createDataFrame(pages + few, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == 18
+    for r in got:
+        if r.page_id < 100:
+            assert r.text == "\n\n".join([f"T{r.page_id}", *stories[r.page_id]])
+        else:
+            assert "All rights" in r.text and "note" in r.text
+
+
+def test_html_classes_by_brute_force(spark):
+    """Vectors, order and nesting of classes, gathered in parts, against counting each token on each page."""
+    pages = [f"<ul>{'<li><i>x</i></li>' * (n % 3 + 1)}</ul><b>same</b>{'<s>old</s>' if n % 2 else ''}{'<u>a</u><em>b</em>' if n % 4 else '<em>b</em><u>a</u>'}" for n in range(8)]
+    frame = pd.DataFrame({"page_id": range(8), "host": "h", "html": pages})
+    parts = pd.concat(html._vectors(iter([frame[:3], frame[3:]])))
+    counts = [html.tokens(p) for p in pages]
+    vectors = {t: tuple(c.get(t, [0])[0] for c in counts) for c in counts for t in c}
+    summed = parts.groupby("token")[["pages", "n", "low", "high"]].sum()
+    summed.index = summed.index.to_numpy().view(np.uint64)
+    assert set(summed.index) == set(vectors)
+    for t, v in vectors.items():
+        assert summed.pages[t] == sum(n > 0 for n in v) and summed.n[t] == sum(v)
+        assert {x for x in vectors if vectors[x] == v} == {x for x in vectors if (summed.low[x], summed.high[x]) == (summed.low[t], summed.high[t])}
+    # Classes as templates() would pack them; u and em change places, so their class (that of each page) would not be valid.
+    groups: dict = {}
+    for t, v in vectors.items():
+        groups.setdefault((v, counts[1].get(t, [0, 0, 0])[2] and t), []).append(t)
+    rows = []
+    for no, ((v, text), ts) in enumerate(sorted(groups.items(), key=str)):
+        page = next(c for c in counts if ts[0] in c)
+        ts.sort(key=lambda t: page[t][1])
+        rows += [(np.uint64(t).astype(np.int64), no, i, len(ts), int(bool(text)), max(v) == 1, all(v), hash(v) % 1000, 8) for i, t in enumerate(ts)]
+    classes = html.Classes(np.array(rows, np.int64).tobytes())
+    facts = np.tile(np.array(html._START, np.int64), (len(rows), 1))
+    for p in pages:
+        html.place(p, classes, facts)
+    bad = {classes.own[r] for r in range(len(rows)) if facts[r, 0]}
+    page_class = classes.own[classes.row[html.PAGE]]
+    assert page_class in bad  # it holds u and em
+    li = next(c for c, t in ((classes.own[r], t) for t, r in classes.row.items()) if vectors[t] == tuple(n % 3 + 1 for n in range(8)))
+    assert li not in bad
+
+
 # 8
 
 
+def test_restore_forms():
+    """Each way of disguise brings back the word; decoding is the best of all readings; tokens of any length are read."""
+    text = "grumble is what old windows do when winter comes and people grumble too " * 30
+    counts = np.zeros(toxicity.SIZE**3)
+    x = toxicity._CODE[np.frombuffer(f"  {text} ".encode(), np.uint8)].astype(np.int64)
+    np.add.at(counts, (x[:-2] * toxicity.SIZE + x[1:-1]) * toxicity.SIZE + x[2:], 1)
+    model = toxicity.log_model(counts)
+    scorer = toxicity._Scorer({"grumble$": 0.97}, model)
+    forms = "6rumbl3|g.r.u.m.b.l.e|g r u m b l e|a g r u m b l e|g r u m b l e.|(g r u m b l e)|g  r  u  m  b  l  e|gr um bl e|grruumble|gr_umble|9 r u m b l 3|g-r-u-m-b-l-e"
+    for form in [*forms.split("|"), "g" + "r" * 10_000 + "umble", "g r u m b l e w i n d o w s"]:
+        assert scorer.score(f"the {form} end") >= 0.9, form
+    for clean in ["grum", "all is well in an old house", "1 2 3 4 5 6 7 8", "", " ", "x" * 20_000, "a b c d", "it is to be or no"]:
+        assert scorer.score(clean) < 0.1, clean
+    long = toxicity._Scorer({"grumbl": 0.95}, model)
+    assert long.score("grumble" * 5_000) >= 0.9 and long.score("0" * 20_000 + "x") < 0.1
+
+    def readings(word: str, at: int, a: int, b: int, last: str, cost: float, out: str):
+        if at == len(word):
+            yield cost - model[a][b][toxicity.EDGE], out
+            return
+        ch = word[at]
+        run = max(len(m[0]) for m in re.finditer(r"(.)\1*", word, re.S) if m.start() <= at < m.end())
+        if ch == " ":
+            yield from readings(word, at + 1, a, b, last, cost + toxicity.COST_JOIN, out)
+            if b != toxicity.EDGE:
+                yield from readings(word, at + 1, b, toxicity.EDGE, " ", cost - model[a][b][toxicity.EDGE], out + " ")
+            return
+        for letter in ch if ch.isalpha() else toxicity.STANDS_FOR.get(ch, ""):
+            price = 0.0 if ch.isalpha() else toxicity.COST_SWAP
+            k = toxicity.LETTERS.find(letter) if letter in toxicity.LETTERS else toxicity.OTHER
+            keep = toxicity.COST_KEEP_REPEAT if letter == last and run > 2 else 0.0
+            yield from readings(word, at + 1, b, k, letter, cost + price - model[a][b][k] + keep, out + letter)
+            if letter == last and run > 1:
+                yield from readings(word, at + 1, a, b, last, cost + price + (toxicity.COST_REPEAT if run > 2 else toxicity.COST_DOUBLE), out)
+        if not ch.isalpha():
+            noise = run > 2 or ch not in toxicity.STANDS_FOR and not ch.isalnum()
+            drop = toxicity.COST_DROP_NOISE if noise else toxicity.COST_DROP_DIGIT if ch.isalnum() else toxicity.COST_DROP_SIGN
+            yield from readings(word, at + 1, a, b, last, cost + drop, out)
+
+    rng = random.Random(8)
+    for _ in range(150):
+        word = "".join(rng.choice("grumble01!| .") for _ in range(rng.randint(1, 8)))
+        best = sorted(readings(word, 0, toxicity.EDGE, toxicity.EDGE, "", 0.0, ""))
+        assert toxicity.decode(word, model) in {t for c, t in best if c <= best[0][0] + 1e-9}
+
+
 def test_toxicity(spark, odd):
     rng = random.Random(6)
     bad = ["vrelk", "stumor", "gobbin"]
