@@ -233,6 +233,31 @@ def test_suffixes(spark, odd, docs, limits):
     assert suffixes.remove_repeats(empty(odd)).count() == 0
 
 
+def test_multikey_sort():
+    rng = np.random.default_rng(5)
+    for n, spread in ((0, 1), (1, 1), (50_000, 3), (50_000, 10**6), (20_000, 1)):
+        words = [rng.integers(0, spread, n).astype(np.uint64) for _ in range(4)] + [np.arange(n)]
+        assert (suffixes.multikey_sort(words) == np.lexsort(words[::-1])).all()
+
+
+def test_windows_with_colliding_digests(monkeypatch):
+    monkeypatch.setattr(suffixes.xxhash, "xxh3_64_intdigest", lambda b: len(b) % 7)
+    rng = random.Random(2)
+    cover = bytes(rng.choice(b"ab") for _ in range(400))
+    cover = cover + cover[50:200]
+    seen, met = suffixes.Windows(), []
+    for i in range(len(cover) - suffixes.LENGTH + 1):
+        met.append(seen.met(cover, i))
+    want = [cover[i : i + suffixes.LENGTH] in {cover[j : j + suffixes.LENGTH] for j in range(i)} for i in range(len(met))]
+    assert met == want and any(met)
+
+
+def test_suffixes_without_identifier(spark):
+    text = "".join(random.Random(1).choices("abcdefgh", k=300))
+    got = suffixes.remove_repeats(spark.createDataFrame([(None, text), (-1, text), (3, "x" + text)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {None: 0, -1: 300, 3: 300}
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 300)
     rng = random.Random(4)

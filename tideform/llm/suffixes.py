@@ -2,11 +2,11 @@
 
 A string of LENGTH bytes starts at every position; writing each of those suffixes out would take LENGTH times the corpus.
 Instead each window of LENGTH bytes names one of its suffixes, its anchor: the one whose first GRAM bytes hash lowest. Equal
-windows name the same anchor, and about one suffix in forty is named. Named suffixes are dealt out by splitters, sampled
-over (leading bytes, their hash, the hash of all bytes that the anchor's windows cover, document), so that even a passage
-that a third of all documents share spreads over buckets. A bucket sorts by multikey quicksort. Neighbours that agree in
-everything their windows cover are copies of the first; where neighbours agree in the leading bytes only, and at bucket
-boundaries, the windows themselves are compared, from the bytes of the first of each kind.
+windows name the same anchor, and about one suffix in forty is named. Named suffixes are dealt out in byte order by
+splitters, sampled over (first GRAM bytes, hash of all bytes that the anchor's windows cover, document), so that even a
+passage that a third of all documents share spreads over buckets. A bucket sorts by multikey quicksort. Neighbours with equal
+first bytes, equal cover hash (64 bits) and equal reach are copies of the first. Where neighbours agree in the first bytes
+only, and at bucket boundaries, the windows themselves are compared byte by byte, from the text of the first of each kind.
 """
 
 from __future__ import annotations
@@ -24,14 +24,19 @@ from pyspark.sql import functions as F
 from tideform.llm.common import Scratch, text_or_empty
 
 LENGTH, GRAM = 100, 32
-BUCKET_ROWS = 1_000_000  # suffixes of a bucket aimed at
-SAMPLE_DOCS = 2_000  # documents that splitters are taken from; at most SAMPLE_EACH suffixes of each
-SAMPLE_EACH = 24
-HOT = 20_000  # kinds of one leading string that one task compares; more are compared window by window, dealt by hash
+BUCKET_ROWS = 1_000_000  # suffixes of a bucket aimed at; a task holds one bucket at a time
+MAX_BUCKETS, MAX_TASKS = 1_000_000, 20_000  # bound what is sent to tasks (48 bytes a splitter), and how many deal at once
+#: Keys that splitters are taken from: so many for each bucket, within bounds, at most SAMPLE_EACH of one document.
+SAMPLE_KEYS, SAMPLE_LEAST, SAMPLE_MOST, SAMPLE_EACH = 24, 48_000, 2_000_000, 24
+HOT = 1_000  # kinds of one leading string that one task compares; more are compared window by window, dealt by their bytes
+SMALL_RUN = 4_096  # rows that quicksort leaves to the library's sort
 PIECE = 1 << 19  # bytes worked on at once; fewer than the position mask below allows
 _MASK = np.uint64((1 << 20) - 1)
 _P = 0x100000001B3
-ANCHOR = np.dtype([("lead", ">u8"), ("hash", ">u4"), ("cover", ">u8"), ("doc", ">u8"), ("pos", ">u4"), ("lo", "u1"), ("hi", "u1")])
+LEADS = [f"lead{k}" for k in range(GRAM // 8)]
+ANCHOR = np.dtype([*((n, ">u8") for n in LEADS), ("cover", ">u8"), ("doc", ">u8"), ("pos", ">u4"), ("lo", "u1"), ("hi", "u1")])
+KEY = np.dtype([(n, ANCHOR[n]) for n in (*LEADS, "cover", "doc")])
+NO_ID = -(2**63)
 
 
 def _gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -81,8 +86,9 @@ def anchors(ids: list[int], texts: list[bytes]) -> np.ndarray:
         last = np.concatenate([new[1:], [len(a)]]) - 1
         x, first, final, own = a[new], start[new], start[last], own[new]
         rec = np.empty(len(x), ANCHOR)
-        rec["lead"] = np.lib.stride_tricks.sliding_window_view(b, 8)[x].copy().view(">u8").ravel()
-        rec["hash"] = [xxhash.xxh32_intdigest(whole[i : i + GRAM]) for i in x.tolist()]
+        lead = np.lib.stride_tricks.sliding_window_view(b, GRAM)[x].view(">u8")
+        for k, name in enumerate(LEADS):
+            rec[name] = lead[:, k]
         rec["cover"] = [xxhash.xxh3_64_intdigest(whole[i : j + LENGTH]) for i, j in zip(first.tolist(), final.tolist())]
         base = np.concatenate([[0], ends[:-1]])[own]
         rec["doc"] = np.array([d for d, _, _ in group], np.int64)[own].view(np.uint64) ^ np.uint64(1 << 63)  # order of signed numbers
@@ -105,27 +111,35 @@ def anchors(ids: list[int], texts: list[bytes]) -> np.ndarray:
 
 
 def _keys(rec: np.ndarray) -> np.ndarray:
-    """Sort keys as byte strings: leading bytes, their hash, what is covered, document."""
-    out = np.empty(len(rec), np.dtype([(n, ANCHOR[n]) for n in ("lead", "hash", "cover", "doc")]))
-    for n in out.dtype.names:
+    """Sort keys as byte strings: leading bytes, what is covered, document."""
+    out = np.empty(len(rec), KEY)
+    for n in KEY.names:
         out[n] = rec[n]
-    return out.view("S28")
+    return out.view(f"S{KEY.itemsize}")
 
 
 def multikey_sort(words: list[np.ndarray]) -> np.ndarray:
-    """Order of rows by their words: quicksort by the first, then within runs of equals by the next, and so on."""
-    order = np.argsort(words[0], kind="stable")
-    run = np.concatenate([[0], np.cumsum(words[0][order][1:] != words[0][order][:-1])]) if len(order) else np.empty(0, np.int64)
-    for word in words[1:]:
-        size = np.bincount(run) if len(run) else run
-        some = np.flatnonzero(size[run] > 1)  # rows that are not yet alone
-        if not len(some):
-            break
-        rows, own = order[some], run[some]
-        inner = np.lexsort((word[rows], own))
-        order[some] = rows[inner]
-        value = word[order]
-        run = np.concatenate([[0], np.cumsum((run[1:] != run[:-1]) | (value[1:] != value[:-1]))])
+    """Order of rows by their words: quicksort that splits in three by one word, and goes on to the next word among equals.
+
+    Ranges of up to SMALL_RUN rows are left to the library's sort.
+    """
+    order = np.arange(len(words[0]))
+    open_ = [(0, len(order), 0)]
+    while open_:
+        lo, hi, at = open_.pop()
+        if hi - lo < 2 or at == len(words):
+            continue
+        rows = order[lo:hi]
+        if hi - lo <= SMALL_RUN:
+            order[lo:hi] = rows[np.lexsort([w[rows] for w in reversed(words[at:])])]
+            continue
+        word = words[at][rows]
+        pivot = np.sort(word[:: max(1, len(word) // 63)])[32]
+        less, same = word < pivot, word == pivot
+        parts = rows[less], rows[same], rows[~(less | same)]
+        order[lo:hi] = np.concatenate(parts)
+        a, b = lo + len(parts[0]), hi - len(parts[2])
+        open_ += [(lo, a, at), (a, b, at + 1), (b, hi, at)]
     return order
 
 
@@ -165,33 +179,48 @@ def _records(raw: bytes) -> np.ndarray:
 
 
 def _sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One task's buckets to runs of windows: removed (kind 0), or to be compared byte by byte (kind 1)."""
-    by_bucket: dict[int, list[bytes]] = {}
+    """One task's buckets, one after the other, to runs of windows: removed (kind 0), or to be compared byte by byte (kind 1)."""
+    now, raws = None, []
     for frame in frames:
         for bucket, raw in zip(frame["bucket"], frame["records"]):
-            by_bucket.setdefault(bucket, []).append(raw)
-    while by_bucket:
-        _, raws = by_bucket.popitem()
-        rec = np.concatenate([_records(r) for r in raws])
-        raws.clear()
-        native = {n: rec[n].astype(rec[n].dtype.newbyteorder("=")) for n in ANCHOR.names}
-        order = multikey_sort([native[n] for n in ("lead", "hash", "cover", "doc", "pos")])
-        s = {n: v[order] for n, v in native.items()}
-        leads = np.concatenate([[True], (s["lead"][1:] != s["lead"][:-1]) | (s["hash"][1:] != s["hash"][:-1])])
-        first = leads | np.concatenate([[True], s["cover"][1:] != s["cover"][:-1]])
-        lead_no = np.cumsum(leads) - 1
-        kinds = np.bincount(lead_no[first])
-        # The first and the last leading string may go on in another bucket.
-        open_ = (kinds > 1)[lead_no] | (lead_no == 0) | (lead_no == lead_no[-1])
-        for kind, pick in ((0, ~first), (1, first & open_)):
-            p = np.flatnonzero(pick)
-            if len(p):
-                pos = s["pos"][p].astype(np.int64)
-                lead = s["lead"][p] ^ (s["hash"][p].astype(np.uint64) << np.uint64(32))
-                yield pd.DataFrame({
-                    "doc_id": (s["doc"][p] ^ np.uint64(1 << 63)).view(np.int64), "kind": np.int32(kind), "lead": lead.view(np.int64) if kind else np.int64(0),
-                    "first": pos - s["lo"][p], "last": pos - s["hi"][p],
-                })
+            if bucket != now and raws:
+                yield from _runs(raws)
+                raws = []
+            now = bucket
+            raws.append(raw)
+    if raws:
+        yield from _runs(raws)
+
+
+def _runs(raws: list[bytes]) -> Iterator[pd.DataFrame]:
+    rec = np.concatenate([_records(r) for r in raws])
+    raws.clear()
+    native = {n: rec[n].astype(rec[n].dtype.newbyteorder("=")) for n in ANCHOR.names}
+    del rec
+    order = multikey_sort([native[n] for n in (*LEADS, "cover", "doc", "pos")])
+    s = {n: v[order] for n, v in native.items()}
+    del native
+    leads = np.ones(len(order), bool)
+    leads[1:] = np.any([s[n][1:] != s[n][:-1] for n in LEADS], axis=0)
+    first = leads.copy()
+    for n in ("cover", "lo", "hi"):
+        first[1:] |= s[n][1:] != s[n][:-1]
+    lead_no = np.cumsum(leads) - 1
+    kinds = np.bincount(lead_no[first])
+    # The first and the last leading string may go on in another bucket.
+    open_ = (kinds > 1)[lead_no] | (lead_no == 0) | (lead_no == lead_no[-1])
+    for kind, pick in ((0, ~first), (1, first & open_)):
+        p = np.flatnonzero(pick)
+        if len(p):
+            pos = s["pos"][p].astype(np.int64)
+            lead = np.zeros(len(p), np.uint64)
+            for n in LEADS if kind else []:  # only brings the strings together; equality is decided by their bytes
+                lead = (lead ^ s[n][p]) * np.uint64(_P | 1 << 63)
+                lead ^= lead >> np.uint64(29)
+            yield pd.DataFrame({
+                "doc_id": (s["doc"][p] ^ np.uint64(1 << 63)).view(np.int64), "kind": np.int32(kind), "lead": lead.view(np.int64),
+                "first": pos - s["lo"][p], "last": pos - s["hi"][p],
+            })
 
 
 def _covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,28 +247,39 @@ def _spans(doc: int, starts: list[int]) -> Iterator[tuple[int, int, int]]:
         i = j + 1
 
 
+class Windows:
+    """Windows met so far, by digest, with the bytes they stand in; equal digests are compared byte by byte."""
+
+    def __init__(self) -> None:
+        self.at: dict[int, tuple[bytes, int]] = {}
+
+    def met(self, cover: bytes, i: int) -> bool:
+        """Whether the window from ``i`` was met before; if not, it is now."""
+        window = cover[i : i + LENGTH]
+        key = xxhash.xxh3_64_intdigest(window)
+        while (known := self.at.get(key)) is not None:
+            if known[0][known[1] : known[1] + LENGTH] == window:
+                return True
+            key += 1  # another window has this digest
+        self.at[key] = cover, i
+        return False
+
+
 def _compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Frames sorted by leading string, document and position: windows that one before holds too."""
-    lead, seen = None, set()
+    lead, seen = None, Windows()
     for frame in frames:
         out = []
         for key, doc, first, last, cover in zip(*(frame[n] for n in ("lead", "doc_id", "first", "last", "cover"))):
             if key != lead:
-                lead, seen = key, set()
-            gone = []
-            for i in range(last - first + 1):
-                h = xxhash.xxh3_128_digest(cover[i : i + LENGTH])
-                if h in seen:
-                    gone.append(first + i)
-                else:
-                    seen.add(h)
-            out += _spans(doc, gone)
+                lead, seen = key, Windows()
+            out += _spans(doc, [first + i for i in range(last - first + 1) if seen.met(cover, i)])
         yield pd.DataFrame(out, columns=["doc_id", "first", "last"])
 
 
 def _each_window(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = [(xxhash.xxh3_128_digest(c[i : i + LENGTH]), d, f + i) for d, f, e, c in zip(frame["doc_id"], frame["first"], frame["last"], frame["cover"]) for i in range(e - f + 1)]
+        rows = [(c[i : i + LENGTH], d, f + i) for d, f, e, c in zip(frame["doc_id"], frame["first"], frame["last"], frame["cover"]) for i in range(e - f + 1)]
         yield pd.DataFrame(rows, columns=["window", "doc_id", "at"])
 
 
@@ -247,21 +287,26 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, hot: int = HOT, bucket_r
     """``(doc_id, first, last)``: runs of starts of windows that also start earlier. ``docs``: (doc_id bigint, text)."""
     spark = docs.sparkSession
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((size or 0) * 0.03 / bucket_rows) + 1)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MAX_BUCKETS, max(tasks, int((size or 0) * 0.03 / bucket_rows) + 1))
+    tasks = min(buckets, max(tasks, MAX_TASKS))
+    keys = min(SAMPLE_MOST, max(SAMPLE_LEAST, buckets * SAMPLE_KEYS))
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys = _keys(anchors([doc], [text.encode("utf-8")]))
                 step = max(1, len(keys) // SAMPLE_EACH)
-                yield pa.RecordBatch.from_arrays([pa.array([k.ljust(28, b"\0") for k in keys[::step][:SAMPLE_EACH].tolist()], pa.binary())], names=["key"])
+                yield pa.RecordBatch.from_arrays([pa.array([k.ljust(KEY.itemsize, b"\0") for k in keys[::step][:SAMPLE_EACH].tolist()], pa.binary())], names=["key"])
 
     # Splitters only steer the balance of the buckets; every suffix is dealt out below.
-    near = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_DOCS / max(1, n)) * (1 << 30)))
-    sample = np.sort(np.array([r[0] for r in near.mapInArrow(picked, "key binary").collect()], "S28"))
+    near = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, keys / SAMPLE_EACH / max(1, n)) * (1 << 30)))
+    sample = np.sort(np.array([r[0] for r in near.mapInArrow(picked, "key binary").collect()], f"S{KEY.itemsize}"))
     splitters = np.unique(sample[np.linspace(0, len(sample) - 1, buckets + 1).astype(int)[1:-1]]) if len(sample) else sample
     dealt = docs.mapInArrow(lambda b: _dealt(b, splitters), "bucket int, records binary")
-    runs = dealt.repartitionById(buckets, F.col("bucket")).mapInPandas(_sorted, "doc_id bigint, kind int, lead bigint, first bigint, last bigint")
+    # A task takes a range of buckets and holds one of them at a time; Spark sorts the packed records and spills.
+    dealt = dealt.repartitionById(tasks, F.expr(f"cast(cast(bucket as bigint) * {tasks} div {buckets} as int)")).sortWithinPartitions("bucket")
+    runs = dealt.mapInPandas(_sorted, "doc_id bigint, kind int, lead bigint, first bigint, last bigint")
     runs = scratch.save(runs, "runs")
     open_ = runs.where("kind = 1")
     by_doc = open_.groupBy("doc_id").agg(F.collect_list(F.struct("lead", "first", "last")).alias("spans"))  # as many as a document has
@@ -312,12 +357,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are UTF-8 bytes (null: empty); earlier means a smaller identifier, or an earlier start in the same document;
     strings are judged on the input and never cross documents. Returns one row per input row:
     ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``. Identifiers are integers; rows that share one are taken for
-    the same document and must share its text (each gets that document's result); rows without one are read as
-    identifier -1. Extra columns are ignored; an empty table gives an empty result.
+    the same document and must share its text (each gets that document's result); rows without one come before all
+    others and are one document likewise. Extra columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"))
     found = repeated_windows(rows, scratch, hot, bucket_rows)
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("s")).select("doc_id", F.col("s.first").alias("firsts"), F.col("s.last").alias("lasts"))
     joined = rows.join(spans, "doc_id", "left").select("doc_id", "text", "firsts", "lasts")
-    return joined.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = joined.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
