@@ -22,6 +22,95 @@ def test_integer_ema_cuts_towards_zero():
 def test_rsi_edges():
     assert folds.rsi(np.arange(30))[-1] == 100 and folds.rsi(-np.arange(30))[-1] == 0 and folds.rsi(np.ones(30))[-1] == 50
     assert np.isnan(folds.adx(np.arange(5), np.arange(5), np.arange(5))).all()
+    x = np.random.default_rng(1).normal(size=40).cumsum()
+    assert np.isnan(folds.adx(x + 1, x - 1, x)[:26]).all() and not np.isnan(folds.adx(x + 1, x - 1, x)[26:]).any()
+
+
+def test_tape_is_numbered_by_days(spark):
+    """A tape over several days, with equal times and a day that has one tick, numbers as one sort of a symbol would."""
+    import datetime as dt
+
+    start = dt.datetime(2024, 2, 28, 22)
+    rows = [(i, start + dt.timedelta(hours=(i * 7) % 60 // 2 * 2), i % 5, ("a", "b")[i % 3 == 0], i / 7) for i in range(90)] + [(99, start + dt.timedelta(days=9), 1, "a", 1.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").createOrReplaceTempView("some_events")
+    text = queries.PLANS["tick_view"].text(True).replace("FROM events", "FROM some_events")
+    got = sorted((r.symbol, r.seq, r.ts_ns) for r in spark.sql(text).collect())
+    want = []
+    for symbol in "ab":
+        own = sorted((r[1], r[0]) for r in rows if r[3] == symbol)
+        want += [(symbol, n + 1, t) for n, (t, _) in enumerate(own)]
+    epoch = dt.datetime(1970, 1, 1)
+    assert [(s, n, epoch + dt.timedelta(microseconds=t // 1000)) for s, n, t in got] == want
+
+
+def test_upper_tail():
+    import math
+
+    from tideform.operators import metrics
+
+    for t in (-4.0, -1.0, -0.2, 0.0, 0.5, 1.96, 6.0):
+        value = __import__("duckdb").execute(f"SELECT {metrics.upper_tail(f'CAST({t} AS DOUBLE)')}").fetchone()[0]
+        assert abs(value - 0.5 * math.erfc(t / math.sqrt(2))) < 2e-7
+    assert abs(metrics.harmonic(1_000_001) - sum(1 / k for k in range(1, 1_000_002))) < 1e-9
+
+
+def test_retest_rules(spark):
+    """The rules on a tape of bars, against looking through the bars for each cross."""
+    bars = queries.NUMBERED
+    bars = queries.Plan(*bars, select="SELECT symbol, bar, low_u, high_u, close_u FROM nb").run(spark, DATA).collect()
+    crosses = queries.Plan(*queries.CROSSED, select="SELECT symbol, side, level_id, bar, level, until_bar FROM crossed").run(spark, DATA).collect()
+    tape = {(b.symbol, b.bar): b for b in bars}
+    assert crosses
+    want = set()
+    for symbol, side in {(c.symbol, c.side) for c in crosses}:
+        own = sorted((c for c in crosses if (c.symbol, c.side) == (symbol, side)), key=lambda c: c.bar)
+        other = sorted(c.bar for c in crosses if c.symbol == symbol and c.side == -side)
+        last = max(b for s, b in tape if s == symbol)
+        inside = lambda c, b: tape[symbol, b].low_u <= c.level if side == 1 else tape[symbol, b].high_u >= c.level
+        beyond = lambda c, b: tape[symbol, b].close_u > c.level if side == 1 else tape[symbol, b].close_u < c.level
+        for rearm in folds.REARM:
+            for retest in folds.RETEST:
+                used, allowed, blocked = None, 0, 0
+                for c in own:
+                    until, end = c.until_bar or last + 1, min([c.until_bar or last + 1, *(o for o in other if o > c.bar), c.bar + 5])
+                    if c.bar < blocked or c.level_id == used and (rearm != "return" or c.bar < allowed):
+                        continue
+                    look = range(c.bar + 1, min(end, last + 1))
+                    if retest == "off":
+                        final = c.bar
+                    elif retest == "close":
+                        final = next((b for b in look if inside(c, b) and beyond(c, b)), None)
+                    else:
+                        touch = next((b for b in look if inside(c, b)), None)
+                        final = next((b for b in look if touch is not None and b >= touch and beyond(c, b)), None)
+                    if final is None:
+                        blocked = min([x for x in (c.until_bar, *(o for o in other if o > c.bar), c.bar + 5) if x])
+                        continue
+                    used, blocked = c.level_id, 0
+                    back = next((b for b in range(final + 1, until) if inside(c, b)), None)
+                    allowed = min([x for x in (back, c.until_bar) if x], default=10**9)
+                    want.add((symbol, side, rearm, retest, c.level_id, c.bar, final))
+    got = queries.queries()["retest_filter"](spark, DATA).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_impulse_and_scores(spark):
+    """One impulse that is armed, gives up 0.3 of its body, comes back and is confirmed; parts and scores by hand."""
+    bars = [(1, 100, 100, 110, 100, 110), (2, 101, 110, 111, 107, 108), (3, 102, 108, 110, 108, 110), (4, 103, 110, 112, 109, 111)]
+    rows = [("a", b, t, o, h, lo, c, 20.0, 0.75, 1.0, 2.0) for b, t, o, h, lo, c in bars]
+    df = spark.createDataFrame(rows, "symbol string, bar long, bucket long, open_u long, high_u long, low_u long, close_u long, atr14 double, up_share double, spread double, spread_p50 double")
+    got = folds.impulses(df).where("side = 1").collect()
+    assert len(got) == 1
+    r = got[0]
+    assert (r.bar, r.confirmed_bar, r.body_atr, r.efficiency) == (1, 4, 0.5, 1.0) and abs(r.retracement - 0.3) < 1e-12
+    assert (r.pulled, r.pullback_s, r.recovered, r.recovery_s) == (3.0, 3600.0, 2.0, 3600.0)
+    from tideform.operators import indicators
+    from tideform.plans.sql import dialect
+
+    one, two = folds.impulses(df).where("side = 1").selectExpr(dialect(indicators.ips(1), True), dialect(indicators.ips(2), True)).first()
+    parts = [0.15 / 0.55, 1.0, 1.0, (2 / 3) / 2, 0.75, 0.75]
+    for score, weights in ((one, (20, 15, 20, 20, 15, 10)), (two, (15, 5, 10, 20, 30, 20))):
+        assert abs(score - sum(w * p for w, p in zip(weights, parts))) < 1e-9
 
 
 def test_replay_against_loop(spark):

@@ -51,22 +51,25 @@ def rsi(close: np.ndarray, n: int = 14) -> np.ndarray:
 
 
 def adx(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> np.ndarray:
-    """Directional index: Wilder sums of directional moves over true range, smoothed once more."""
-    out = np.full(len(close), np.nan)
-    if len(close) < 2:
-        return out
+    """Directional index: Wilder means of directional moves over true range, smoothed once more.
+
+    The first bar moves nowhere and its range is its height, so values begin at bar 2 n - 1.
+    """
     h, l, c = (v.astype(float) for v in (high, low, close))
-    up, down = np.diff(h), -np.diff(l)
-    plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
-    tr = np.maximum(h[1:] - l[1:], np.maximum(np.abs(h[1:] - c[:-1]), np.abs(l[1:] - c[:-1])))
-    a, p, m = wilder(tr, n), wilder(plus, n), wilder(minus, n)
-    ok = ~np.isnan(a)
-    pi, mi = np.where(ok & (a > 0), 100 * p / np.where(a > 0, a, 1), 0.0), np.where(ok & (a > 0), 100 * m / np.where(a > 0, a, 1), 0.0)
-    dx = np.where(pi + mi > 0, 100 * np.abs(pi - mi) / np.where(pi + mi > 0, pi + mi, 1), 0.0)[ok]
-    first = int(ok.argmax()) if ok.any() else len(ok)
-    tail = wilder(dx, n)
-    out[1 + first :] = tail
-    return out
+    up, down = np.diff(h, prepend=h[:1]), -np.diff(l, prepend=l[:1])
+    before = np.concatenate([c[:1], c[:-1]])
+    tr = np.maximum(h - l, np.maximum(np.abs(h - before), np.abs(l - before)))
+    tr[:1] = (h - l)[:1]
+    a = wilder(tr, n)
+    p, m = wilder(np.where((up > down) & (up > 0), up, 0.0), n), wilder(np.where((down > up) & (down > 0), down, 0.0), n)
+    moved = a > 0  # false where missing
+    pi, mi = (np.where(moved, 100 * x / np.where(moved, a, 1), 0.0) for x in (p, m))
+    both = pi + mi
+    dx = np.where(both > 0, 100 * np.abs(pi - mi) / np.where(both > 0, both, 1), 0.0)
+    return np.concatenate([np.full(min(n - 1, len(c)), np.nan), wilder(dx[n - 1 :], n)])
+
+
+EMAS = (8, 20, 35)
 
 
 def indicator_folds(bars: DataFrame) -> DataFrame:
@@ -75,16 +78,36 @@ def indicator_folds(bars: DataFrame) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values("bar")
         close = f["close_u"].to_numpy()
-        cols = {
-            "ema8": ema(close, 8), "atr14": wilder(f["tr"].to_numpy().astype(float), 14), "rsi14": rsi(close),
-            "adx14": adx(f["high_u"].to_numpy(), f["low_u"].to_numpy(), close),
+        cols = {f"ema{n}": ema(close, n) for n in EMAS} | {
+            "atr14": wilder(f["tr"].to_numpy().astype(float), 14), "rsi14": rsi(close), "adx14": adx(f["high_u"].to_numpy(), f["low_u"].to_numpy(), close),
         }
-        out = pd.DataFrame({"symbol": f["symbol"].to_numpy(), "bar": f["bar"].to_numpy(), "ema_int5": ema_int(close, 5)})
+        out = pd.DataFrame({"symbol": f["symbol"].to_numpy(), "bar": f["bar"].to_numpy(), "close_u": close, "ema_int5": ema_int(close, 5)})
         for k, v in cols.items():
             out[k] = pd.Series(v).where(~np.isnan(v), None).astype(object)
         return out
 
-    return bars.groupBy("symbol").applyInPandas(run, "symbol string, bar bigint, ema_int5 bigint, ema8 double, atr14 double, rsi14 double, adx14 double")
+    doubles = ", ".join(f"{c} double" for c in (*(f"ema{n}" for n in EMAS), "atr14", "rsi14", "adx14"))
+    return bars.groupBy("symbol").applyInPandas(run, f"symbol string, bar bigint, close_u bigint, ema_int5 bigint, {doubles}")
+
+
+#: What the gates read of a bar beside the one before it.
+BEFORE = [f"lag(ema{n}) over (partition by symbol order by bar) as before{n}" for n in EMAS]
+
+
+def gates(folded: DataFrame, lookback: int = 5, adx_least: float = 25, slope_least: float = 0.1) -> DataFrame:
+    """Gates by side: order of the three averages (with close beyond the fast one, with all sloping), strength, slope of the
+    middle average against the range, and a cross of fast over middle within ``lookback`` bars. Missing input closes a gate."""
+    f = folded.selectExpr("*", *BEFORE)
+    f = f.selectExpr("*", "ema8 > ema20 and ema20 > ema35 as above", "ema8 < ema20 and ema20 < ema35 as below", "case when atr14 > 0 then (ema20 - before20) / atr14 end as slope",
+        "case when ema8 > ema20 and before8 <= before20 then bar end as crossed_up", "case when ema8 < ema20 and before8 >= before20 then bar end as crossed_down")
+    last = f"over (partition by symbol order by bar rows between {lookback - 1} preceding and current row)"
+    shut = {
+        "up": "above", "down": "below", "price_up": "above and close_u > ema8", "price_down": "below and close_u < ema8",
+        "slope_up": "above and ema8 > before8 and ema20 > before20 and ema35 > before35", "slope_down": "below and ema8 < before8 and ema20 < before20 and ema35 < before35",
+        "strong": f"adx14 >= {adx_least}", "rising": f"slope >= {slope_least}", "falling": f"slope <= -{slope_least}", "momentum_up": "rsi14 >= 55", "momentum_down": "rsi14 <= 45",
+        "recent_up": f"max(crossed_up) {last} is not null", "recent_down": f"max(crossed_down) {last} is not null",
+    }
+    return f.selectExpr("symbol", "bar", *(f"coalesce({e}, false) as {n}" for n, e in shut.items()))
 
 
 def greedy(trades: DataFrame, gap: bool = True) -> DataFrame:
@@ -133,39 +156,64 @@ def portfolio(trades: DataFrame, per_symbol: int = 2, per_day: int = 4) -> DataF
     return trades.groupBy("session_day").applyInPandas(run, "session_day bigint, symbol string, intent_id bigint, accepted boolean")
 
 
-def block_bootstrap(daily: DataFrame, reps: int = 500, block: int = 5, seed: int = 76) -> DataFrame:
-    """Circular block bootstrap of a symbol's mean daily result: share of resamples not above zero, and 5 % quantile."""
+def block_bootstrap(daily: DataFrame, reps: int = 20_000, block: int = 5, seed: int = 76) -> DataFrame:
+    """Circular block bootstrap of a symbol's daily results: share of resamples whose mean is not above zero, 5 % quantiles of
+    mean and profit factor (null where more than that share of resamples has no loss), 95 % quantile of the drawdown."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values("d")
         r, n = f["r"].to_numpy(), len(frame)
         rng = np.random.default_rng([seed, n])
-        start = rng.integers(0, n, (reps, -(-n // block)))
-        rows = ((start[:, :, None] + np.arange(block)) % n).reshape(reps, -1)[:, :n]
-        means = r[rows].mean(1)
-        return pd.DataFrame({"symbol": [f["symbol"].iloc[0]], "p_not_positive": [float((means <= 0).mean())], "q05": [float(np.quantile(means, 0.05))]})
+        means, factors, falls = [], [], []
+        for size in [500] * (reps // 500) + [reps % 500] * (reps % 500 > 0):  # so many resamples in memory at once
+            start = rng.integers(0, n, (size, -(-n // block)))
+            x = r[((start[:, :, None] + np.arange(block)) % n).reshape(size, -1)[:, :n]]
+            total = np.concatenate([np.zeros((size, 1)), x.cumsum(1)], 1)
+            means.append(x.mean(1))
+            falls.append((np.maximum.accumulate(total, 1) - total).max(1))
+            lost = -np.minimum(x, 0).sum(1)
+            factors.append(np.where(lost > 0, np.maximum(x, 0).sum(1) / np.where(lost > 0, lost, 1), np.inf))
+        m, factor = np.concatenate(means), float(np.quantile(np.concatenate(factors), 0.05, method="lower"))
+        out = {"symbol": f["symbol"].iloc[0], "p_not_positive": float((m <= 0).mean()), "q05": float(np.quantile(m, 0.05)), "factor_q05": factor if math.isfinite(factor) else None, "drawdown_q95": float(np.quantile(np.concatenate(falls), 0.95))}
+        return pd.DataFrame([out])
+
+    return daily.groupBy("symbol").applyInPandas(run, "symbol string, p_not_positive double, q05 double, factor_q05 double, drawdown_q95 double")
 
-    return daily.groupBy("symbol").applyInPandas(run, "symbol string, p_not_positive double, q05 double")
 
+REARM, RETEST = ("return", "replaced", "once"), ("off", "touch", "close")
 
-def retests(breaks: DataFrame, rest: int = 3) -> DataFrame:
-    """Breaks of a symbol's side in bar order, each with its touch and reclaim: one is pending at a time. A break while one is
-    pending is blocked; a pending one ends at its reclaim (accepted), at replacement or when ten bars are over, and the
-    side is armed again ``rest`` bars later."""
+
+def retests(crosses: DataFrame, window: int = 5) -> DataFrame:
+    """Crosses of levels that become signals, under three rules of rearming and three of retesting.
+
+    A cross signals at once, after a touch and reclaim, or after a close reclaim, found within ``window`` bars; one that waits
+    in vain blocks later ones until its end (replacement, a cross of the other side, the window). A level that has signalled
+    signals again after price returned inside it or it was replaced (``return``), or never (``replaced``, ``once``).
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values(["bar", "level_id"])
-        free, out = -1, []
-        for bar, reclaim, until in zip(f["bar"], f["reclaim_bar"], f["until_bar"]):
-            if bar < free:
-                out.append("BLOCKED")
-                continue
-            done = reclaim if not pd.isna(reclaim) else min(bar + 10, until if not pd.isna(until) else bar + 10)
-            out.append("RETEST" if not pd.isna(reclaim) else "LAPSED")
-            free = done + rest
-        return pd.DataFrame({"symbol": f["symbol"], "side": f["side"], "level_id": f["level_id"], "bar": f["bar"], "state": out})
-
-    return breaks.groupBy("symbol", "side").applyInPandas(run, "symbol string, side int, level_id bigint, bar bigint, state string")
+        rows = f[["bar", "level_id", "until_bar", "opposite_bar", "touch_bar", "close_bar", "return_bar", "return_touch", "return_close"]].astype("float64").to_numpy()
+        out = []
+        for rearm in REARM:
+            for k, retest in enumerate(RETEST):
+                used, allowed, blocked = None, -math.inf, -math.inf
+                for bar, level, until, opposite, touch, close, *back in rows.tolist():
+                    if bar < blocked or level == used and (rearm != "return" or bar < allowed):
+                        continue
+                    final = (bar, touch, close)[k]
+                    if math.isnan(final):
+                        blocked = min(x for x in (until, opposite, bar + window) if not math.isnan(x))
+                        continue
+                    blocked, used = -math.inf, level
+                    allowed = min([x for x in (back[k], until) if not math.isnan(x)], default=math.inf)
+                    out.append((rearm, retest, int(level), int(bar), int(final)))
+        got = pd.DataFrame(out, columns=["rearm", "retest", "level_id", "bar", "signal_bar"])
+        got.insert(0, "symbol", frame["symbol"].iloc[0])
+        got.insert(1, "side", frame["side"].iloc[0])
+        return got
+
+    return crosses.groupBy("symbol", "side").applyInPandas(run, "symbol string, side int, rearm string, retest string, level_id bigint, bar bigint, signal_bar bigint")
 
 
 def schedule(outcomes: DataFrame, per_day: int = 3) -> DataFrame:
@@ -185,65 +233,73 @@ def schedule(outcomes: DataFrame, per_day: int = 3) -> DataFrame:
     return outcomes.groupBy("symbol", "session_day").applyInPandas(run, "symbol string, session_day bigint, intent_id bigint, accepted boolean, reason string")
 
 
-def xorshift_signs(rows: int, columns: int, seed: int = 76) -> np.ndarray:
-    """Signs from a 64-bit xorshift* generator, the top bit of each output, row by row."""
-    x, out = seed or 1, np.empty(rows * columns, np.int8)
-    for i in range(len(out)):
+def xorshift_bits(n: int, seed: int = 76) -> np.ndarray:
+    """Lowest bits of a 64-bit xorshift* generator's outputs."""
+    x, out = seed or 1, np.empty(n, bool)
+    for i in range(n):
         x ^= x >> 12
         x ^= (x << 25) & (2**64 - 1)
         x ^= x >> 27
-        out[i] = 1 if (x * 0x2545F4914F6CDD1D) & (2**63) else -1
-    return out.reshape(rows, columns)
+        out[i] = x * 0x2545F4914F6CDD1D & 1
+    return out
 
 
-def sign_flip(blocks: DataFrame, reps: int = 499, seed: int = 76) -> DataFrame:
-    """Chance that randomly signed block totals sum to at least what a symbol's do, (hits + 1) / (reps + 1); each symbol
-    sees the same signs."""
+def sign_flip(blocks: DataFrame, reps: int = 999, seed: int = 76) -> DataFrame:
+    """Chance that randomly signed yearly totals sum to at least what a symbol's do, (hits + 1) / (reps + 1); 1 where that sum
+    is not above zero. Every symbol reads the same bits, drawn once: the years of a repetition after those before it."""
+    years = blocks.groupBy("symbol").count().agg(F.max("count")).first()[0] or 0
+    bits = blocks.sparkSession.sparkContext.broadcast(np.packbits(xorshift_bits(reps * years, seed)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        r = frame.sort_values("fold")["r"].to_numpy(float)
-        hits = int((xorshift_signs(reps, len(r), seed) @ r >= r.sum() - 1e-12).sum())
-        return pd.DataFrame({"symbol": [frame["symbol"].iloc[0]], "blocks": [len(r)], "p": [(hits + 1) / (reps + 1)]})
+        r = frame.sort_values("fold")["r"].to_numpy(np.int64)
+        plus = np.unpackbits(bits.value)[: reps * len(r)].reshape(reps, len(r)).astype(bool)
+        hits = int((np.where(plus, r, -r).sum(1) >= r.sum()).sum())
+        return pd.DataFrame({"symbol": [frame["symbol"].iloc[0]], "blocks": [len(r)], "p": [(hits + 1) / (reps + 1) if r.sum() > 0 else 1.0]})
 
     return blocks.groupBy("symbol").applyInPandas(run, "symbol string, blocks bigint, p double")
 
 
-def one_sided(tests: DataFrame, statistic: str = "t") -> DataFrame:
-    """Adds ``p``, the upper tail of the normal distribution; null where the statistic is."""
-
-    @F.pandas_udf("double")
-    def tail(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: None if pd.isna(x) else 0.5 * math.erfc(x / math.sqrt(2))).astype("float64")
+def impulses(bars: DataFrame, expire: int = 20) -> DataFrame:
+    """Impulse, pullback, confirmation on bars, a side's apart from the other's.
 
-    return tests.withColumn("p", tail(statistic))
-
-
-def impulses(bars: DataFrame, arm: float = 1.5, low: float = 0.15, cancel: float = 0.6, expire: int = 20) -> DataFrame:
-    """Impulse, pullback, confirmation: a bar longer than ``arm`` ranges arms its direction; a retracement between ``low``
-    and ``cancel`` of it readies, a close beyond the impulse's end confirms; deeper retracement, age or a new day cancels."""
+    A bar whose body is 0.35 to 1.2 ranges, fills six tenths of its height and closes in its last fifth arms its side. A
+    retracement from its close of 0.15 of the body or more readies; a close back within a tenth of the body then confirms
+    at the next bar, if no more than half was given up. More than 0.6, or ``expire`` bars, ends it. ``bars``: symbol, bar,
+    bucket, open_u, high_u, low_u, close_u, atr14, up_share, spread, spread_p50.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out, now = [], None
-        for bar, day, o, h, lo, c, atr in frame.sort_values("bar")[["bar", "session_day", "open_u", "high_u", "low_u", "close_u", "atr14"]].itertuples(index=False):
-            if now and (day != now[1] or bar - now[0] > expire):
-                out.append((*now[:3], bar, "EXPIRED"))
-                now = None
-            if now:
-                start, _, side, begin, end, ready = now
-                back = (end - (lo if side == 1 else h)) / (end - begin)
-                if back > cancel:
-                    out.append((*now[:3], bar, "CANCELLED"))
-                    now = None
-                elif ready and side * (c - end) > 0:
-                    out.append((*now[:3], bar, "CONFIRMED"))
+        out = []
+        f = frame.sort_values("bar")
+        rows = f[["bar", "bucket", "open_u", "high_u", "low_u", "close_u", "atr14", "up_share", "spread", "spread_p50"]].astype("float64").to_numpy().tolist()
+        for side in (1, -1):
+            now = wait = None
+            for bar, at, o, h, lo, c, atr, ups, spread, p50 in rows:
+                if wait:
+                    start, body, begun, base, far, far_at, back, back_at, of_atr, of_range = wait
+                    out.append((side, int(start), int(bar), of_atr, of_range, abs(base - far) / body, abs(base - far), (far_at - begun) * 3600.0,
+                                abs(back - far), (back_at - far_at) * 3600.0, ups if side == 1 else 1 - ups, spread, p50))
+                    wait = None
+                if now and bar - now[0] > expire:
                     now = None
-                elif back >= low:
-                    now = (start, day, side, begin, end, True)
-            if now is None and not pd.isna(atr) and abs(c - o) >= arm * atr and c != o:
-                side = 1 if c > o else -1
-                now = (bar, day, side, lo if side == 1 else h, h if side == 1 else lo, False)
-        f = pd.DataFrame(out, columns=["bar", "session_day", "side", "end_bar", "state"])
-        f.insert(0, "symbol", frame["symbol"].iloc[0])
-        return f
-
-    return bars.groupBy("symbol").applyInPandas(run, "symbol string, bar bigint, session_day bigint, side int, end_bar bigint, state string")
+                if now:
+                    start, body, begun, base, far, far_at, of_atr, of_range = now
+                    low = lo if side == 1 else h
+                    if side * (low - far) < 0:
+                        far, far_at = low, at
+                    gone, back = side * (base - far) / body, base - side * 0.1 * body
+                    now = None if gone > 0.6 else (start, body, begun, base, far, far_at, of_atr, of_range)
+                    if now and gone >= 0.15 and far_at < at and side * (c - back) >= 0:
+                        wait = (start, body, begun, base, far, far_at, back, at, of_atr, of_range) if gone <= 0.5 else None
+                        now = None
+                body, high = side * (c - o), h - lo
+                fits = body > 0 and high > 0 and atr > 0 and 0.35 <= body / atr <= 1.2 and body / high >= 0.6
+                if now is None and wait is None and fits and (h - c if side == 1 else c - lo) / high <= 0.2:
+                    now = (bar, body, at, c, c, at, body / atr, body / high)
+        cols = ["side", "bar", "confirmed_bar", "body_atr", "efficiency", "retracement", "pulled", "pullback_s", "recovered", "recovery_s", "micro", "spread", "spread_p50"]
+        got = pd.DataFrame(out, columns=cols)
+        got.insert(0, "symbol", frame["symbol"].iloc[0])
+        return got
+
+    parts = ", ".join(f"{c} double" for c in ("body_atr", "efficiency", "retracement", "pulled", "pullback_s", "recovered", "recovery_s", "micro", "spread", "spread_p50"))
+    return bars.groupBy("symbol").applyInPandas(run, f"symbol string, side int, bar bigint, confirmed_bar bigint, {parts}")

@@ -1,13 +1,12 @@
 """Audits of tapes, sessions, spreads and offsets."""
 
 TAPE = """
-SELECT symbol, count(*) AS n_rows, count_if(ask_u = bid_u) AS zero_spread, count_if(ask_u < bid_u) AS crossed, count_if(seq <> prev_seq + 1) AS seq_breaks,
-       count_if(ts_ns < prev_ts) AS time_reversals, count_if(session_day < prev_day) AS day_reversals, count_if(ts_ns = prev_ts) AS same_time,
-       count_if(ts_ns = prev_ts AND bid_u = prev_bid AND ask_u = prev_ask) AS repeated, count_if(bid_u <= 0 OR ask_u <= 0) AS not_positive,
-       max(CASE WHEN session_day = prev_day THEN ts_ns - prev_ts END) AS max_gap_ns, count_if(bid_u % 5 <> 0) AS off_grid
-FROM (SELECT symbol, seq, ts_ns, session_day, bid_u, ask_u, lag(seq) OVER w AS prev_seq, lag(ts_ns) OVER w AS prev_ts, lag(session_day) OVER w AS prev_day,
-             lag(bid_u) OVER w AS prev_bid, lag(ask_u) OVER w AS prev_ask FROM raw WINDOW w AS (PARTITION BY symbol ORDER BY seq))
-GROUP BY symbol"""
+SELECT symbol, count(*) AS n_rows, count_if(ask_u = bid_u) AS zero_spread, count_if(ask_u < bid_u) AS crossed, count_if(seq <> before_seq + 1) AS seq_breaks,
+       count_if(ts_ns < before_ts) AS time_reversals, count_if(session_day < before_day) AS day_reversals, count_if(ts_ns = before_ts) AS same_time,
+       count_if(ts_ns = before_ts AND bid_u = before_bid AND ask_u = before_ask) AS repeated, count_if(bid_u <= 0 OR ask_u <= 0) AS not_positive,
+       max(CASE WHEN session_day = before_day THEN ts_ns - before_ts END) AS max_gap_ns, count_if(bid_u % 5 <> 0) AS off_grid
+FROM followed GROUP BY symbol"""
+FOLLOWED = {"seq": "seq", "ts": "ts_ns", "day": "session_day", "bid": "bid_u", "ask": "ask_u"}
 
 SPREADS = """
 SELECT symbol, min(s) AS min_spread, CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY s) AS BIGINT) AS p50, CAST(percentile_disc(0.95) WITHIN GROUP (ORDER BY s) AS BIGINT) AS p95,

@@ -26,11 +26,22 @@ SELECT symbol, session_day, bucket, open_u, high_u, low_u, close_u, first_seq, l
        lag(close_u) OVER w AS prev_close, lag(last_seq) OVER w AS prev_last, lag(bucket) OVER w AS prev_bucket
 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bucket, session_day)""")
 
-MULTI = """
+_STEPS = ", ".join(f"({n})" for n in (2, 3, 4, 5, 6, 10, 12, 15, 20, 30, 60, 120, 180, 240, 1440))
+#: Fifteen time frames in minutes, rolled up from minute bars; checked by reading the ticks for each.
+MULTI = (
+    f"""
+SELECT symbol, step, bucket ~div~ step AS bucket, min_by(open_u, first_seq) AS open_u, max(high_u) AS high_u, min(low_u) AS low_u,
+       max_by(close_u, last_seq) AS close_u, min(first_seq) AS first_seq, max(last_seq) AS last_seq
+FROM m1 CROSS JOIN (VALUES {_STEPS}) AS v(step) GROUP BY symbol, step, bucket ~div~ step""",
+    f"""
 SELECT symbol, step, (ts_ns ~div~ 1000000) ~div~ (step * 60000) AS bucket, min_by(bid_u, seq) AS open_u, max(bid_u) AS high_u, min(bid_u) AS low_u,
        max_by(bid_u, seq) AS close_u, min(seq) AS first_seq, max(seq) AS last_seq
-FROM ticks CROSS JOIN (VALUES (5), (15), (60), (240), (1440)) AS v(step)
-GROUP BY symbol, step, (ts_ns ~div~ 1000000) ~div~ (step * 60000)"""
+FROM ticks CROSS JOIN (VALUES {_STEPS}) AS v(step) GROUP BY symbol, step, (ts_ns ~div~ 1000000) ~div~ (step * 60000)""",
+)
+#: Minute bars of the doubled middle between bid and ask.
+MID = """
+SELECT symbol, ts_ns ~div~ 60000000000 AS bucket, min_by(bid_u + ask_u, seq) AS open_mid2, max(bid_u + ask_u) AS high_mid2, min(bid_u + ask_u) AS low_mid2,
+       max_by(bid_u + ask_u, seq) AS close_mid2 FROM ticks GROUP BY symbol, ts_ns ~div~ 60000000000"""
 
 # 1970-01-01 was a Thursday: three days on, weeks begin on Monday.
 WEEKLY = """

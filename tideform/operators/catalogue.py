@@ -68,8 +68,8 @@ PIVOT_WINDOWS = "\nUNION ALL ".join(
 #: Ticks that first cross the level in force by a buffer of the range average, seen from the executable tick before.
 LEVEL_CROSSES = """
 SELECT symbol, buffer_pct, count(*) AS ups, min(seq) AS first_seq, max(seq) AS last_seq FROM (
-  SELECT t.symbol, t.seq, t.before, t.bid_u, v.buffer_pct, l.high_level + a.atr14 * v.buffer_pct / 100.0 AS threshold
-  FROM (SELECT symbol, seq, session_day, ts_ns, bid_u, lag(bid_u) OVER (PARTITION BY symbol ORDER BY seq) AS before FROM ticks WHERE ask_u > bid_u) t
+  SELECT t.symbol, t.seq, t.before_bid AS before, t.bid_u, v.buffer_pct, l.high_level + a.atr14 * v.buffer_pct / 100.0 AS threshold
+  FROM quotes t
   JOIN nb b ON b.symbol = t.symbol AND b.session_day = t.session_day AND b.bucket = t.ts_ns ~div~ 3600000000000
   JOIN levels l ON l.symbol = b.symbol AND l.bar = b.bar - 1 JOIN atrs a ON a.symbol = b.symbol AND a.bar = b.bar - 1 CROSS JOIN (VALUES (0), (5), (10), (25)) AS v(buffer_pct))
 WHERE before <= threshold AND bid_u > threshold GROUP BY symbol, buffer_pct"""

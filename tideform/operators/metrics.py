@@ -1,7 +1,9 @@
 """Ledger metrics, drawdowns, robustness and multiple testing."""
 
+import math
+
 METRICS = """
-SELECT symbol, count(*) AS n_trades, count_if(net_u > 0) AS wins, count_if(net_u < 0) AS losses, CAST(sum(net_u) AS BIGINT) AS net_u,
+SELECT symbol, count(*) AS n_trades, count_if(net_u > 0) AS wins, count_if(net_u < 0) AS losses, round(count_if(net_u > 0) * 1.0 / count(*), 6) AS win_rate, CAST(sum(net_u) AS BIGINT) AS net_u,
        CAST(sum(CASE WHEN net_u > 0 THEN net_u ELSE 0 END) AS BIGINT) AS gross_profit, CAST(sum(CASE WHEN net_u < 0 THEN -net_u ELSE 0 END) AS BIGINT) AS gross_loss,
        round(sum(CASE WHEN net_u > 0 THEN net_u ELSE 0 END) * 1.0 / nullif(sum(CASE WHEN net_u < 0 THEN -net_u ELSE 0 END), 0), 6) AS profit_factor,
        round(avg(net_u * 1.0 / risk_u), 6) AS expectancy_r, round(avg(net_u * 1.0 / risk_u) / nullif(stddev_samp(net_u * 1.0 / risk_u), 0), 6) AS trade_sharpe
@@ -30,10 +32,15 @@ FROM sessions s LEFT JOIN (SELECT symbol, session_day, sum(net_u * 1.0 / risk_u)
 SHARPE = """
 SELECT symbol, count(*) AS days, round(sqrt(252.0) * avg(r) / nullif(stddev_samp(r), 0), 6) AS sharpe,
        round(sqrt(252.0) * avg(r) / nullif(sqrt(avg(CASE WHEN r < 0 THEN r * r ELSE 0.0 END)), 0), 6) AS sortino FROM daily GROUP BY symbol"""
+#: Net result by year and by month, and each symbol's years above and below zero.
+PERIODS = ("periods", """
+SELECT symbol, kind, period, CAST(sum(net_u) AS BIGINT) AS net FROM (
+  SELECT symbol, net_u, v.kind, CASE v.kind WHEN 'year' THEN session_day ~div~ 10000 ELSE session_day ~div~ 100 END AS period FROM ledger CROSS JOIN (VALUES ('year'), ('month')) AS v(kind)) GROUP BY symbol, kind, period""")
+YEARS = "SELECT symbol, count(*) AS years, count_if(net > 0) AS positive, count_if(net < 0) AS negative, min(net) AS worst FROM periods WHERE kind = 'year' GROUP BY symbol"
+#: The period with the largest share of all absolute results; of equals the earliest.
 CONCENTRATION = """
-SELECT symbol, max_by(week, share) AS top_week, round(max(share), 6) AS top_share FROM (
-  SELECT symbol, week, abs(net) * 1.0 / nullif(sum(abs(net)) OVER (PARTITION BY symbol), 0) + week * 1e-12 AS share FROM (
-    SELECT symbol, session_day ~div~ 7 AS week, CAST(sum(net_u) AS BIGINT) AS net FROM ledger GROUP BY symbol, session_day ~div~ 7)) GROUP BY symbol"""
+SELECT symbol, kind, period AS top_period, round(share, 6) AS top_share FROM (
+  SELECT symbol, kind, period, abs(net) * 1.0 / nullif(sum(abs(net)) OVER (PARTITION BY symbol, kind), 0) AS share, row_number() OVER (PARTITION BY symbol, kind ORDER BY abs(net) DESC, period) AS n FROM periods) WHERE n = 1"""
 TAIL = """
 SELECT d.symbol, round(max(q.var5), 6) AS var5, round(avg(CASE WHEN d.r <= q.var5 THEN d.r END), 6) AS cvar5 FROM daily d
 JOIN (SELECT symbol, QUANTILE(r, 0.05) AS var5 FROM daily GROUP BY symbol) q ON q.symbol = d.symbol GROUP BY d.symbol"""
@@ -57,27 +64,69 @@ SELECT symbol, days, lag_n, mean, CASE WHEN v > 0 THEN mean / sqrt(v / days) END
   SELECT c.symbol, c.days, c.lag_n, c.mean, sum(CASE WHEN c.k = 0 THEN 1.0 ELSE 2.0 * (1 - c.k * 1.0 / (c.lag_n + 1)) END * c.cov) AS v FROM (
     SELECT m.symbol, m.days, m.lag_n, m.mean, k.k, sum((a.r - m.mean) * (b.r - m.mean)) / m.days AS cov
     FROM (SELECT symbol, count(*) AS days, CAST(floor(4 * power(count(*) / 100.0, 2.0 / 9)) AS BIGINT) AS lag_n, avg(r) AS mean FROM daily GROUP BY symbol) m
-    CROSS JOIN (SELECT SERIES(0, 12) AS k) k JOIN daily a ON a.symbol = m.symbol JOIN daily b ON b.symbol = a.symbol AND b.d = a.d - k.k
-    WHERE k.k <= m.lag_n GROUP BY m.symbol, m.days, m.lag_n, m.mean, k.k) c GROUP BY c.symbol, c.days, c.lag_n, c.mean)""")
+    JOIN (SELECT symbol, SPAN(zero, lag_n) AS k FROM (SELECT symbol, 0 AS zero, CAST(floor(4 * power(count(*) / 100.0, 2.0 / 9)) AS BIGINT) AS lag_n FROM daily GROUP BY symbol)) k ON k.symbol = m.symbol
+    JOIN daily a ON a.symbol = m.symbol JOIN daily b ON b.symbol = a.symbol AND b.d = a.d - k.k GROUP BY m.symbol, m.days, m.lag_n, m.mean, k.k) c GROUP BY c.symbol, c.days, c.lag_n, c.mean)""")
 HAC_T = "SELECT symbol, days, lag_n, round(mean, 6) AS mean_r, round(t, 6) AS t FROM hac"
+# A rational approximation of the complementary error function, within 1.5e-7.
+ERFC_P, ERFC_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def upper_tail(t: str) -> str:
+    """Upper tail of the normal distribution at ``t``."""
+    k = f"(1.0 / (1.0 + {ERFC_P} * abs({t}) / 1.4142135623730951))"
+    sum_ = "0.0"
+    for a in reversed(ERFC_A):
+        sum_ = f"({sum_} {'+' if a >= 0 else '-'} {abs(a)}) * {k}"
+    half = f"0.5 * {sum_} * exp(-({t}) * ({t}) / 2.0)"
+    return f"CASE WHEN {t} >= 0 THEN {half} ELSE 1.0 - {half} END"
+
+
+HAC_P = f"SELECT symbol, days, lag_n, round(t, 6) AS t, round({upper_tail('t')}, 6) AS p FROM hac WHERE t IS NOT NULL"
 
 #: One-sided tests of every symbol and weekday by a bound on the tail, for the step-up procedures.
 TESTS = ("tests", """
 SELECT symbol, weekday, least(1.0, 1.0 / (1.0 + greatest(0.0, t) * greatest(0.0, t))) AS p FROM (
   SELECT symbol, (CAST(session_day AS BIGINT) % 7) AS weekday, coalesce(avg(r) / nullif(stddev_samp(r) / sqrt(count(*)), 0), 0.0) AS t FROM daily GROUP BY symbol, CAST(session_day AS BIGINT) % 7)""")
-ADJUSTED = """
-SELECT symbol, weekday, round(p, 9) AS p, round(least(1.0, min(p * m / k) OVER w), 9) AS bh_q, round(least(1.0, min(p * m * h / k) OVER w), 9) AS by_q FROM (
-  SELECT t.symbol, t.weekday, t.p, row_number() OVER (ORDER BY t.p, t.symbol, t.weekday) AS k, c.m, c.h FROM tests t
-  CROSS JOIN (SELECT count(*) AS m, sum(1.0 / k) AS h FROM (SELECT row_number() OVER (ORDER BY symbol, weekday) AS k FROM tests)) c)
+#: Tests of the whole family, of which those below are part; fewer than there are is an error.
+FAMILY = 64
+
+
+def harmonic(n: int) -> float:
+    """Sum of 1/1 to 1/n; above a million by its expansion."""
+    return math.fsum(1 / k for k in range(1, n + 1)) if n <= 1_000_000 else math.log(n) + 0.5772156649015329 + 1 / (2 * n) - 1 / (12 * n * n)
+
+
+def adjusted(n_tests: int = FAMILY) -> str:
+    """Step-up adjusted chances among ``n_tests`` tests, assuming independence (bh_q) and not (by_q)."""
+    return f"""
+SELECT symbol, weekday, round(p, 9) AS p, round(least(1.0, min(p * {n_tests} / k) OVER w), 9) AS bh_q, round(least(1.0, min(p * {n_tests} * {harmonic(n_tests)!r} / k) OVER w), 9) AS by_q FROM (
+  SELECT symbol, weekday, CASE WHEN count(*) OVER () > {n_tests} THEN CAST(FAILED('more tests than the family holds') AS DOUBLE) ELSE p END AS p, row_number() OVER (ORDER BY p, symbol, weekday) AS k FROM tests)
 WINDOW w AS (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+ADJUSTED = adjusted()
 REJECTED = """
 SELECT symbol, weekday, k <= coalesce(last_k, 0) AS rejected FROM (
   SELECT symbol, weekday, k, max(CASE WHEN p <= 0.10 * k / (m * h) THEN k END) OVER () AS last_k FROM (
     SELECT t.symbol, t.weekday, t.p, row_number() OVER (ORDER BY t.p, t.symbol, t.weekday) AS k, c.m, c.h FROM tests t
     CROSS JOIN (SELECT count(*) AS m, sum(1.0 / k) AS h FROM (SELECT row_number() OVER (ORDER BY symbol, weekday) AS k FROM tests)) c))"""
-CORRELATION = """
-SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, count(*) AS days, round(corr(a.r, b.r), 6) AS correlation
-FROM daily a JOIN daily b ON a.session_day = b.session_day AND a.symbol < b.symbol GROUP BY a.symbol, b.symbol"""
+#: Correlation of daily results over the union of two symbols' days, a missing day counting as zero: from each symbol's own
+#: sums and those over the days that both have.
+SUMS = ("sums", "SELECT symbol, count(*) AS n, sum(r) AS s, sum(r * r) AS ss FROM daily GROUP BY symbol")
+CORRELATION = (
+    """
+SELECT symbol_a, symbol_b, n AS days, round((n * sab - sa * sb) / nullif(sqrt(n * saa - sa * sa) * sqrt(n * sbb - sb * sb), 0), 6) AS correlation FROM (
+  SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, a.n + b.n - coalesce(c.n, 0) AS n, a.s AS sa, b.s AS sb, a.ss AS saa, b.ss AS sbb, coalesce(c.sab, 0.0) AS sab
+  FROM sums a JOIN sums b ON a.symbol < b.symbol LEFT JOIN (
+    SELECT x.symbol AS sx, y.symbol AS sy, count(*) AS n, sum(x.r * y.r) AS sab FROM daily x JOIN daily y ON x.session_day = y.session_day AND x.symbol < y.symbol GROUP BY x.symbol, y.symbol) c
+  ON c.sx = a.symbol AND c.sy = b.symbol)""",
+    """
+SELECT symbol_a, symbol_b, count(*) AS days, round(corr(ra, rb), 6) AS correlation FROM (
+  SELECT u.symbol_a, u.symbol_b, u.session_day, coalesce(a.r, 0.0) AS ra, coalesce(b.r, 0.0) AS rb FROM (
+    SELECT DISTINCT p.symbol AS symbol_a, q.symbol AS symbol_b, d.session_day FROM (SELECT DISTINCT symbol FROM daily) p JOIN (SELECT DISTINCT symbol FROM daily) q ON p.symbol < q.symbol
+    JOIN daily d ON d.symbol IN (p.symbol, q.symbol)) u
+  LEFT JOIN daily a ON a.symbol = u.symbol_a AND a.session_day = u.session_day LEFT JOIN daily b ON b.symbol = u.symbol_b AND b.session_day = u.session_day) GROUP BY symbol_a, symbol_b""",
+)
 
 #: A hundred retellings of the ledger in which each trade is missed with a chance of one in sixteen, drawn from a digest of its key.
 MISSED = """

@@ -1,6 +1,7 @@
-"""What happens to a broken level: replacement, first return, close reclaim, and its identity.
+"""What happens to a broken level: replacement, first return, touch and close reclaim, the retest rules, and its identity.
 
-A bar looks ahead by a bounded number of offsets (equi joins), never by a range over all bars of a symbol.
+A level is in force until another replaces it, and on each side a bar has one level in force. So the bars that a broken level
+may still meet are found by the level's identifier (an equi join), however many they are, and in all a bar meets two levels.
 """
 
 #: How long each pair of levels was in force; the next pair replaces it.
@@ -17,26 +18,69 @@ LEFT JOIN (SELECT symbol, side, id, lead(since) OVER (PARTITION BY symbol, side
     SELECT symbol, 1 AS side, high_id AS id, min(bar) AS since FROM levels WHERE high_id IS NOT NULL GROUP BY symbol, high_id
     UNION ALL SELECT symbol, -1, low_id, min(bar) FROM levels WHERE low_id IS NOT NULL GROUP BY symbol, low_id)) r ON r.symbol = k.symbol AND r.side = k.side AND r.id = k.level_id""")
 
-#: First later bar, of the next ten and before replacement, whose extreme is back inside; then its first executable tick there.
-RETURNED = ("returned", """
-SELECT k.symbol, k.level_id, k.side, k.bar, k.level, min(b.bar) AS return_bar FROM broken k CROSS JOIN (SELECT SERIES(1, 10) AS o) s
-JOIN nb b ON b.symbol = k.symbol AND b.bar = k.bar + s.o WHERE (k.until_bar IS NULL OR b.bar < k.until_bar) AND (k.side = 1 AND b.low_u <= k.level OR k.side = -1 AND b.high_u >= k.level)
-GROUP BY k.symbol, k.level_id, k.side, k.bar, k.level""")
+INFORCE = ("inforce", """
+SELECT symbol, bar, 1 AS side, high_id AS level_id FROM levels WHERE high_id IS NOT NULL UNION ALL SELECT symbol, bar, -1, low_id FROM levels WHERE low_id IS NOT NULL""")
+
+
+def _meet(source: str) -> tuple[str, str]:
+    """Bars after those of ``source`` while their level is in force; checked by a range over all later bars."""
+    cols = """k.symbol, k.level_id, k.side, k.bar, k.level, b.bar AS at_bar, k.side = 1 AND b.low_u <= k.level OR k.side = -1 AND b.high_u >= k.level AS inside_f,
+       k.side = 1 AND b.close_u > k.level OR k.side = -1 AND b.close_u < k.level AS beyond_f, k.opposite_bar IS NULL OR b.bar < k.opposite_bar AS open_f"""
+    return (
+        f"SELECT {cols} FROM {source} k JOIN inforce f ON f.symbol = k.symbol AND f.side = k.side AND f.level_id = k.level_id AND f.bar > k.bar JOIN nb b ON b.symbol = f.symbol AND b.bar = f.bar",
+        f"SELECT {cols} FROM {source} k JOIN nb b ON b.symbol = k.symbol AND b.bar > k.bar AND (k.until_bar IS NULL OR b.bar < k.until_bar)",
+    )
+
+
+def _opposed(name: str, source: str) -> tuple[str, str]:
+    """Events with the first later bar that has one of the other side, which cancels a wait."""
+    return name, f"""
+SELECT symbol, level_id, side, bar, level, until_bar, CASE WHEN side = 1 THEN min(CASE WHEN side = -1 THEN bar END) OVER f ELSE min(CASE WHEN side = 1 THEN bar END) OVER f END AS opposite_bar
+FROM {source} WINDOW f AS (PARTITION BY symbol ORDER BY bar RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"""
+
+
+OPPOSED = _opposed("opposed", "broken")
+AFTERWARDS = ("afterwards", _meet("opposed"))
+
+#: First later bar before replacement whose extreme is back inside; then its first executable tick there.
+RETURNED = ("returned", "SELECT symbol, level_id, side, bar, level, min(at_bar) AS return_bar FROM afterwards WHERE inside_f GROUP BY symbol, level_id, side, bar, level")
 FIRST_RETURN = """
 SELECT r.symbol, r.level_id, r.side, r.bar, r.return_bar, min(t.seq) AS return_seq FROM returned r JOIN nb b ON b.symbol = r.symbol AND b.bar = r.return_bar
 LEFT JOIN ticks t ON t.symbol = b.symbol AND t.session_day = b.session_day AND t.ts_ns ~div~ 3600000000000 = b.bucket AND t.ask_u > t.bid_u AND (r.side = 1 AND t.bid_u <= r.level OR r.side = -1 AND t.bid_u >= r.level)
 GROUP BY r.symbol, r.level_id, r.side, r.bar, r.return_bar"""
 
-#: First later bar that touches the level and closes back beyond it.
-CLOSE_RECLAIM = """
-SELECT k.symbol, k.level_id, k.side, k.bar, min(b.bar) AS reclaim_bar FROM broken k CROSS JOIN (SELECT SERIES(1, 10) AS o) s JOIN nb b ON b.symbol = k.symbol AND b.bar = k.bar + s.o
-WHERE (k.until_bar IS NULL OR b.bar < k.until_bar) AND (k.side = 1 AND b.low_u <= k.level AND b.close_u > k.level OR k.side = -1 AND b.high_u >= k.level AND b.close_u < k.level) GROUP BY k.symbol, k.level_id, k.side, k.bar"""
+#: First later bar that touches the level and closes back beyond it, before replacement and before a break of the other side.
+RECLAIMED = ("reclaimed", "SELECT symbol, level_id, side, bar, min(at_bar) AS reclaim_bar FROM afterwards WHERE open_f AND inside_f AND beyond_f GROUP BY symbol, level_id, side, bar")
+CLOSE_RECLAIM = "SELECT symbol, level_id, side, bar, reclaim_bar FROM reclaimed"
+
+#: First bar that touches the level again, then the first from there that closes beyond it; cancelled likewise.
+TOUCHED = ("touched", "SELECT symbol, level_id, side, bar, min(at_bar) AS touch_bar FROM afterwards WHERE open_f AND inside_f GROUP BY symbol, level_id, side, bar")
+TOUCH_RECLAIM = """
+SELECT t.symbol, t.level_id, t.side, t.bar, t.touch_bar, min(CASE WHEN a.open_f AND a.beyond_f THEN a.at_bar END) AS reclaim_bar
+FROM touched t JOIN afterwards a ON a.symbol = t.symbol AND a.side = t.side AND a.level_id = t.level_id AND a.at_bar >= t.touch_bar GROUP BY t.symbol, t.level_id, t.side, t.bar, t.touch_bar"""
 
-#: What a retest rule reads of each break, in the order of a symbol's bars.
-CARRIER = """
-SELECT k.symbol, k.side, k.level_id, k.bar, min(CASE WHEN k.side = 1 AND b.low_u <= k.level OR k.side = -1 AND b.high_u >= k.level THEN b.bar END) AS touch_bar,
-       min(CASE WHEN k.side = 1 AND b.low_u <= k.level AND b.close_u > k.level OR k.side = -1 AND b.high_u >= k.level AND b.close_u < k.level THEN b.bar END) AS reclaim_bar, max(k.until_bar) AS until_bar
-FROM broken k CROSS JOIN (SELECT SERIES(1, 10) AS o) s JOIN nb b ON b.symbol = k.symbol AND b.bar = k.bar + s.o WHERE k.until_bar IS NULL OR b.bar < k.until_bar GROUP BY k.symbol, k.side, k.level_id, k.bar"""
+#: Every close across a level in force, not only the first; what a retest rule reads of each, within ``WINDOW`` bars.
+WINDOW = 5
+CROSSED = ("crossed", """
+SELECT c.symbol, c.side, c.level_id, c.bar, c.level, u.until_bar FROM (
+  SELECT symbol, 1 AS side, high_id AS level_id, bar, high_level AS level FROM levels WHERE prev_close <= high_level AND close_u > high_level
+  UNION ALL SELECT symbol, -1, low_id, bar, low_level FROM levels WHERE prev_close >= low_level AND close_u < low_level) c
+JOIN (SELECT symbol, side, level_id, lead(since) OVER (PARTITION BY symbol, side ORDER BY since) AS until_bar FROM (SELECT symbol, side, level_id, min(bar) AS since FROM inforce GROUP BY symbol, side, level_id)) u
+ON u.symbol = c.symbol AND u.side = c.side AND u.level_id = c.level_id""")
+CROSS_OPPOSED = _opposed("cross_opposed", "crossed")
+LATER = ("later", _meet("cross_opposed"))
+_SAME = "a.symbol = f.symbol AND a.side = f.side AND a.level_id = f.level_id AND a.bar = f.bar"
+FINALS = ("finals", f"""
+SELECT f.symbol, f.side, f.level_id, f.bar, f.until_bar, f.opposite_bar, min(CASE WHEN a.inside_f THEN a.at_bar END) AS touch_bar, min(CASE WHEN a.inside_f AND a.beyond_f THEN a.at_bar END) AS close_bar
+FROM cross_opposed f LEFT JOIN later a ON {_SAME} AND a.at_bar < f.bar + {WINDOW} AND a.open_f GROUP BY f.symbol, f.side, f.level_id, f.bar, f.until_bar, f.opposite_bar""")
+SETTLED = ("settled", f"""
+SELECT f.symbol, f.side, f.level_id, f.bar, f.until_bar, f.opposite_bar, f.close_bar, min(a.at_bar) AS touch_bar
+FROM finals f LEFT JOIN later a ON {_SAME} AND a.at_bar < f.bar + {WINDOW} AND a.open_f AND a.beyond_f AND a.at_bar >= f.touch_bar
+GROUP BY f.symbol, f.side, f.level_id, f.bar, f.until_bar, f.opposite_bar, f.close_bar""")
+CARRIER = f"""
+SELECT f.symbol, f.side, f.level_id, f.bar, f.until_bar, f.opposite_bar, f.touch_bar, f.close_bar, min(CASE WHEN a.inside_f THEN a.at_bar END) AS return_bar,
+       min(CASE WHEN a.inside_f AND a.at_bar > f.touch_bar THEN a.at_bar END) AS return_touch, min(CASE WHEN a.inside_f AND a.at_bar > f.close_bar THEN a.at_bar END) AS return_close
+FROM settled f LEFT JOIN later a ON {_SAME} GROUP BY f.symbol, f.side, f.level_id, f.bar, f.until_bar, f.opposite_bar, f.touch_bar, f.close_bar"""
 
 #: Identity of an event: the digest of its canonical text, names in order.
 EVENT_IDS = """

@@ -22,18 +22,21 @@ PERSISTENCE = """
 SELECT symbol, bar, close_u > max(close_u) OVER w AS above_all, close_u < min(close_u) OVER w AS below_all, up3 = 3 AS rising3, up3 = -3 AS falling3 FROM (
   SELECT symbol, bar, close_u, sum(sign(close_u - prev_close)) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS up3 FROM nb)
 WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"""
-TREND = """
-SELECT symbol, bar, fast > mid AND mid > slow AS up, fast < mid AND mid < slow AS down, fast > before AS rising FROM (
-  SELECT symbol, bar, fast, mid, slow, lag(fast) OVER (PARTITION BY symbol ORDER BY bar) AS before FROM (
-    SELECT symbol, bar, avg(close_u) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS fast, avg(close_u) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mid,
-           avg(close_u) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS slow FROM nb) )
-WHERE bar >= 20"""
-SESSION_GATE = """
-SELECT symbol, bar, minute BETWEEN 570 AND 959 AS regular, minute BETWEEN 570 AND 689 AS opening, minute BETWEEN 690 AND 839 AS midday, minute BETWEEN 840 AND 959 AS closing
-FROM (SELECT symbol, bar, (bucket % 24) * 60 AS minute FROM nb)"""
-RECENCY = """
-SELECT symbol, bar, max(crossed) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 1 AS recent FROM (
-  SELECT symbol, bar, CASE WHEN prev_close <= prev_open AND close_u > open_u THEN 1 ELSE 0 END AS crossed FROM nb)"""
+#: Six windows of civil time on bars of a quarter of an hour. Server time is New York's plus seven hours; London's follows from
+#: the difference at New York's noon of that date.
+QUARTERS = ("quarters", """
+SELECT symbol, bucket, (bucket * 15 - 420) % 1440 AS ny, ((bucket * 15 - 420) % 1440 + HOUROF(ZONED(noon)) * 60 - 720 + 1440) % 1440 AS london
+FROM (SELECT symbol, bucket, BACK7(noon_hour) AS noon FROM (SELECT symbol, bucket, (bucket * 15 - 420) ~div~ 1440 * 24 + 19 AS noon_hour FROM m15))""")
+_ZONES = """ny BETWEEN 570 AND 959 AS regular, ny BETWEEN 570 AND 689 AS opening, ny BETWEEN 690 AND 839 AS midday, ny BETWEEN 840 AND 959 AS closing,
+       london BETWEEN 480 AND 989 AS london, ny BETWEEN 570 AND 959 AND london BETWEEN 480 AND 989 AS both_open"""
+SESSION_GATE = (
+    f"SELECT symbol, bucket, {_ZONES} FROM quarters",
+    f"""
+SELECT symbol, bucket, {_ZONES} FROM (
+  SELECT symbol, bucket, CAST(extract(hour FROM ny_time) * 60 + extract(minute FROM ny_time) AS BIGINT) AS ny,
+         (CAST(extract(hour FROM ny_time) * 60 + extract(minute FROM ny_time) AS BIGINT) + 1440 + CAST(extract(hour FROM timezone('Europe/London', timezone('America/New_York', date_trunc('day', ny_time) + INTERVAL 12 HOUR))) * 60 AS BIGINT) - 720) % 1440 AS london
+  FROM (SELECT symbol, bucket, make_timestamp(bucket * 900000000) - INTERVAL 7 HOUR AS ny_time FROM m15))""",
+)
 
 #: As-of join by union and forward fill: the last four-hour bar that ended at or before (inclusive) or before the hour bar.
 MTF = """

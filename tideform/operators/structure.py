@@ -29,21 +29,11 @@ FROM (SELECT symbol, bar, high_level, low_level, high_id, low_id, lag(high_id) O
 WHERE high_id IS NOT NULL AND low_id IS NOT NULL AND (h0 IS NULL OR l0 IS NULL OR h0 <> high_id OR l0 <> low_id)
 WINDOW w AS (PARTITION BY symbol ORDER BY bar)"""
 
-#: After a break: first bar within ten that touches the level again, then the first that closes back beyond it.
-RECLAIMS = """
-SELECT k.symbol, k.level_id, k.side, k.bar, k.touch_bar, min(CASE WHEN k.side = 1 AND b.close_u > k.level OR k.side = -1 AND b.close_u < k.level THEN b.bar END) AS reclaim_bar FROM (
-  SELECT k.symbol, k.level_id, k.side, k.bar, k.level, min(b.bar) AS touch_bar FROM (
-    SELECT k.symbol, k.level_id, k.side, k.bar, CASE WHEN k.side = 1 THEN l.high_level ELSE l.low_level END AS level FROM breaks k JOIN levels l ON l.symbol = k.symbol AND l.bar = k.bar) k
-  CROSS JOIN (SELECT SERIES(1, 10) AS o) z JOIN nb b ON b.symbol = k.symbol AND b.bar = k.bar + z.o WHERE k.side = 1 AND b.low_u <= k.level OR k.side = -1 AND b.high_u >= k.level
-  GROUP BY k.symbol, k.level_id, k.side, k.bar, k.level) k
-CROSS JOIN (SELECT SERIES(1, 10) AS o) z LEFT JOIN nb b ON b.symbol = k.symbol AND b.bar = k.bar + z.o AND b.bar >= k.touch_bar
-GROUP BY k.symbol, k.level_id, k.side, k.bar, k.touch_bar"""
-
 #: Ticks that cross the previous bar's high by a buffer, from the tick before (of whatever bar).
 TICK_CROSSES = """
 SELECT symbol, buffer_pct, count(*) AS crosses, min(seq) AS first_seq, max(seq) AS last_seq FROM (
-  SELECT t.symbol, t.seq, v.buffer_pct, t.before, t.bid_u, b.prev_high + (b.prev_high - b.prev_low) * v.buffer_pct / 100.0 AS threshold
-  FROM (SELECT symbol, seq, session_day, ts_ns, bid_u, lag(bid_u) OVER (PARTITION BY symbol ORDER BY seq) AS before FROM ticks WHERE ask_u > bid_u) t
+  SELECT t.symbol, t.seq, v.buffer_pct, t.before_bid AS before, t.bid_u, b.prev_high + (b.prev_high - b.prev_low) * v.buffer_pct / 100.0 AS threshold
+  FROM quotes t
   JOIN nb b ON b.symbol = t.symbol AND b.session_day = t.session_day AND b.bucket = t.ts_ns ~div~ 3600000000000
   CROSS JOIN (VALUES (0), (5), (10), (25)) AS v(buffer_pct))
 WHERE before <= threshold AND bid_u > threshold GROUP BY symbol, buffer_pct"""

@@ -1,7 +1,9 @@
 """Declarative plans: named steps composed into one statement, so that the optimizer sees the whole query.
 
-Steps are written once in the SQL that Spark and the checking engine share; the few functions whose names differ are
-written as tokens and filled in for either.
+Steps are written in the SQL that Spark and the checking engine share; the few functions whose names differ are written as
+tokens and filled in for either. A step or a final SELECT may also be a pair (Spark, checking engine): what Spark does in
+several stages to spread the work is then checked by the plain statement of the same thing, and a step that only Spark needs
+has None there.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tideform.sources.written import written
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: token: (Spark, checking engine); \1 is the token's argument.
@@ -18,6 +22,7 @@ TOKENS = {
     r"MICROS\((\w+)\)": (r"unix_micros(CAST(\1 AS TIMESTAMP))", r"epoch_us(\1)"),
     r"DAYNUM\((\w+)\)": (r"CAST(date_format(\1, 'yyyyMMdd') AS BIGINT)", r"CAST(strftime(\1, '%Y%m%d') AS BIGINT)"),
     r"SHA\(": ("sha2(CAST(256 AS INT), ", "sha256("),
+    r"SPAN\((\w+), (\w+)\)": (r"explode(sequence(CAST(\1 AS BIGINT), CAST(\2 AS BIGINT)))", r"unnest(generate_series(CAST(\1 AS BIGINT), CAST(\2 AS BIGINT)))"),
     r"SERIES\((\d+), (\d+)\)": (r"explode(sequence(CAST(\1 AS BIGINT), CAST(\2 AS BIGINT)))", r"unnest(generate_series(CAST(\1 AS BIGINT), CAST(\2 AS BIGINT)))"),
     r"LASTKNOWN\((\w+)\)": (r"last(\1, true)", r"last_value(\1 IGNORE NULLS)"),
     r"QUANTILE\((\w+), ([\d.]+)\)": (r"percentile(\1, \2)", r"quantile_cont(\1, \2)"),
@@ -27,6 +32,7 @@ TOKENS = {
     r"BACK7\((\w+)\)": (r"CAST(timestamp_seconds((\1 - 7) * 3600) AS TIMESTAMP_NTZ)", r"CAST(make_timestamp((\1 - 7) * 3600000000) AS TIMESTAMP)"),
     r"ZONED\((\w+)\)": (r"convert_timezone('America/New_York', 'Europe/London', \1)", r"timezone('Europe/London', timezone('America/New_York', \1))"),
     r"HOUROF\(": ("hour(", "hour("),
+    r"FAILED\(": ("raise_error(", "error("),
     r"JOINED\((\w+)\)": (r"array_join(array_sort(collect_list(\1)), ',')", r"array_to_string(list_sort(list(\1)), ',')"),
     r"MATCHES\((\w+), ('[^']*')\)": (r"(\1 RLIKE \2)", r"regexp_matches(\1, \2)"),
 }
@@ -54,23 +60,43 @@ def dialect(text: str, spark: bool) -> str:
     return re.sub(r"sha2\(CAST\(256 AS INT\), (\w+)\)", r"sha2(\1, 256)", text)
 
 
+Text = str | tuple[str | None, str | None]
+
+#: Steps that a statement names again and again and that cost a shuffle: written once, then read, where named more than once.
+WRITTEN = ("ticks",)
+
+
 class Plan:
-    """A final SELECT over named steps; a step is (name, SELECT)."""
+    """A final SELECT over named steps; a step is (name, text)."""
 
-    def __init__(self, *steps: tuple[str, str], select: str) -> None:
-        self.steps: dict[str, str] = {}
+    def __init__(self, *steps: tuple[str, Text], select: Text) -> None:
+        self.steps: dict[str, Text] = {}
         for name, text in steps:
             if self.steps.setdefault(name, text) != text:
                 raise ValueError(f"step {name} is defined twice")
         self.select = select
 
-    def text(self, spark: bool) -> str:
-        body = ",\n".join(f"{n} AS ({t})" for n, t in self.steps.items())
-        return dialect((f"WITH {body}\n" if body else "") + self.select, spark)
+    @staticmethod
+    def _of(text: Text, spark: bool) -> str | None:
+        return text if isinstance(text, str) else text[0 if spark else 1]
+
+    def text(self, spark: bool, given: frozenset[str] = frozenset()) -> str:
+        """The statement; steps that are ``given`` exist as tables."""
+        steps = {n: self._of(t, spark) for n, t in self.steps.items() if n not in given}
+        body = ",\n".join(f"{n} AS ({t})" for n, t in steps.items() if t)
+        return dialect((f"WITH {body}\n" if body else "") + self._of(self.select, spark), spark)
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = self.text(True)
-        used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)}
+        text, made = self.text(True), {}
+        for name in WRITTEN:
+            if name in self.steps and len(re.findall(rf"\b(?:FROM|JOIN) {name}\b", text)) > 1:
+                at = list(self.steps).index(name)
+                before = Plan(*list(self.steps.items())[: at + 1], select=f"SELECT * FROM {name}")
+                made[name] = written(before.run(spark, sf_dir), name)
+        given = frozenset(made)
+        if given:
+            text = self.text(True, given)
+        used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)} | made
         if used:  # only then is the text a template
             text = text.replace("{", "{{").replace("}", "}}")
         for t in used:

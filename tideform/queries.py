@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideform.functions import clusters, folds
 from tideform.operators import audit, bars, brackets, catalogue, contexts, execution, features, indicators, metrics, retests, signals, structure, universe
-from tideform.plans.sql import Plan
+from tideform.plans.sql import Plan, dialect
 from tideform.sources import tape
 
-TAPE = (tape.TICKS,)
+TAPE = tape.TAPE
+MINUTES = (*TAPE, bars.bars(60_000, "m1"))
+QUOTES = tape.carried("quotes", "ticks", {"bid": "bid_u"}, "ask_u > bid_u")
 RAW = (*TAPE, tape.RAW)
 SESSIONS = (*TAPE, tape.SESSIONS)
 BARS = (*TAPE, bars.bars())
@@ -28,6 +31,9 @@ ATRS = (*RANGE, brackets.ATRS)
 HELD = (*SHOCKS, execution.NEXT, *brackets.STEPS)
 PATHS = (*HELD, brackets.PATHS, brackets.managed())
 BROKEN = (*BREAKS, retests.BROKEN)
+RETURNING = (*BROKEN, retests.INFORCE, retests.OPPOSED, retests.AFTERWARDS)
+CROSSED = (*LEVELS, retests.INFORCE, retests.CROSSED, retests.CROSS_OPPOSED, retests.LATER, retests.FINALS, retests.SETTLED)
+PERIODS = (*LEDGER, metrics.PERIODS)
 BOXED = (*LEVELS, retests.BOX_MARKS, retests.BOX_STATE)
 PAIRED = (*SHOCKS, brackets.ATRS, contexts.CONDITIONS)
 MASKED = (*PAIRED, contexts.PAIR_MASKS)
@@ -38,7 +44,7 @@ PLANS: dict[str, Plan] = {
     name: Plan(*steps, select=select)
     for name, steps, select in (
         ("tick_view", TAPE, "SELECT symbol, seq, ts_ns, session_day, bid_u, ask_u FROM ticks"),
-        ("tick_audit", RAW, audit.TAPE),
+        ("tick_audit", (*RAW, *tape.carried("followed", "raw", audit.FOLLOWED)), audit.TAPE),
         ("spread_percentiles", RAW, audit.SPREADS),
         ("session_map", SESSIONS, audit.SESSION_MAP),
         ("session_membership", SESSIONS, audit.MEMBERS),
@@ -46,8 +52,9 @@ PLANS: dict[str, Plan] = {
         ("shard_chain", TAPE, audit.SHARD_CHAIN),
         ("time_segments", (*TAPE, audit.SEGMENTS, audit.ANCHORS), audit.TIME_AUTHORITY),
         ("bars_hour", BARS, "SELECT symbol, session_day, bucket, open_u, high_u, low_u, close_u, first_seq, last_seq, n_ticks FROM bars"),
-        ("bars_minute", (*TAPE, bars.bars(60_000, "m1")), "SELECT symbol, session_day, bucket, open_u, high_u, low_u, close_u, first_seq, last_seq FROM m1"),
-        ("bars_multi", TAPE, bars.MULTI),
+        ("bars_minute", MINUTES, "SELECT symbol, session_day, bucket, open_u, high_u, low_u, close_u, first_seq, last_seq FROM m1"),
+        ("bars_multi", MINUTES, bars.MULTI),
+        ("bars_mid", TAPE, bars.MID),
         ("bars_coarser", (*BARS, bars.coarser(4, "b4")), "SELECT symbol, bucket, open_u, high_u, low_u, close_u, first_seq, last_seq FROM b4"),
         ("bars_weekly", TAPE, bars.WEEKLY),
         ("bars_executable", (*TAPE, bars.bars(name="xb", where="ask_u > bid_u")), "SELECT symbol, session_day, bucket, open_u, high_u, low_u, close_u FROM xb"),
@@ -66,14 +73,14 @@ PLANS: dict[str, Plan] = {
         ("ind_cci", NUMBERED, indicators.CCI),
         ("ind_stoch", NUMBERED, indicators.STOCHASTIC),
         ("ctx_rolling_quantile", RANGE, indicators.CONTEXT),
-        ("ind_imbalance", TAPE, indicators.IMBALANCE),
-        ("ind_score", RANGE, indicators.SCORE),
+        ("ind_imbalance", (*TAPE, *tape.carried("mids", "ticks", {"mid": "bid_u + ask_u"}), indicators.MOVES, indicators.MOVE_DAYS, indicators.SUMMED), indicators.IMBALANCE),
+        ("auction_score", (*RETURNING, retests.RECLAIMED, *ATRS[len(NUMBERED) :], indicators.MICRO, indicators.SPREAD_P50, indicators.AUCTIONS, indicators.AUCTION_PARTS), indicators.FAES),
         ("fractals", LEVELS[:-1], structure.PIVOTS),
         ("levels", LEVELS, "SELECT symbol, bar, high_level, high_id, low_level, low_id FROM levels"),
         ("level_breaks", BREAKS, "SELECT symbol, bar, level_id, side FROM breaks"),
         ("box_history", LEVELS, structure.BOXES),
-        ("touch_reclaim", BREAKS, structure.RECLAIMS),
-        ("tick_crosses", NUMBERED, structure.TICK_CROSSES),
+        ("touch_reclaim", (*RETURNING, retests.TOUCHED), retests.TOUCH_RECLAIM),
+        ("tick_crosses", (*NUMBERED, *QUOTES), structure.TICK_CROSSES),
         ("replay_intents", LEDGER, execution.REPLAY),
         ("target_before_stop", LEDGER, execution.LABELS),
         ("cost_scenarios", LEDGER, execution.COSTS),
@@ -84,7 +91,8 @@ PLANS: dict[str, Plan] = {
         ("underwater", EQUITY, metrics.UNDERWATER),
         ("streaks", EQUITY, metrics.STREAKS),
         ("daily_sharpe", DAILY, metrics.SHARPE),
-        ("period_concentration", LEDGER, metrics.CONCENTRATION),
+        ("period_concentration", PERIODS, metrics.CONCENTRATION),
+        ("year_results", PERIODS, metrics.YEARS),
         ("var_cvar", DAILY, metrics.TAIL),
         ("walk_forward", FOLDS, metrics.WALK),
         ("cpcv_pairs", FOLDS, metrics.CPCV),
@@ -93,16 +101,15 @@ PLANS: dict[str, Plan] = {
         ("missed_trades", LEDGER, metrics.MISSED),
         ("gate_screen", (*LEDGER, ("metrics", metrics.METRICS)), metrics.SCREEN),
         ("hac_test", (*DAILY, metrics.HAC), metrics.HAC_T),
+        ("hac_p", (*DAILY, metrics.HAC), metrics.HAC_P),
         ("bh_by_adjust", (*DAILY, metrics.TESTS), metrics.ADJUSTED),
         ("by_reject", (*DAILY, metrics.TESTS), metrics.REJECTED),
-        ("corr_daily", DAILY, metrics.CORRELATION),
+        ("corr_daily", (*DAILY, metrics.SUMS), metrics.CORRELATION),
         ("shock_signals", SHOCKS, signals.SHOCK_COUNTS),
         ("confirmations", SHOCKS, signals.CONFIRMED),
         ("bar_shape_filters", NUMBERED, signals.WICKS),
         ("persistence", NUMBERED, signals.PERSISTENCE),
-        ("gate_trend", NUMBERED, signals.TREND),
-        ("gate_session", NUMBERED, signals.SESSION_GATE),
-        ("gate_cross_recency", NUMBERED, signals.RECENCY),
+        ("gate_session", (*TAPE, bars.bars(900_000, "m15"), signals.QUARTERS), signals.SESSION_GATE),
         ("mtf_asof", (*NUMBERED, bars.coarser(4, "b4")), signals.MTF),
         ("mask_dedupe", (*SHOCKS, signals.MASKS), signals.CLASSES),
         ("jaccard_pairs", SHOCKS, signals.JACCARD),
@@ -119,13 +126,13 @@ PLANS: dict[str, Plan] = {
         ("median_spread", RAW, catalogue.MEDIAN_SPREAD),
         ("tolerant_parity", ATRS, catalogue.TOLERANT),
         ("pivot_windows", NUMBERED, catalogue.PIVOT_WINDOWS),
-        ("level_crosses", (*LEVELS, indicators.TRUE_RANGE, brackets.ATRS), catalogue.LEVEL_CROSSES),
+        ("level_crosses", (*LEVELS, *QUOTES, indicators.TRUE_RANGE, brackets.ATRS), catalogue.LEVEL_CROSSES),
         ("atr_brackets", (*HELD, execution.XBARS, brackets.REACHED, brackets.STRUCK), brackets.BRACKETS),
         ("managed_exits", PATHS, brackets.MANAGED),
         ("exact_decimal_r", HELD, brackets.EXACT_R),
         ("level_replacement", (*LEVELS, retests.REPLACED), retests.REPLACEMENT),
-        ("first_return", (*BROKEN, retests.RETURNED), retests.FIRST_RETURN),
-        ("close_reclaim", BROKEN, retests.CLOSE_RECLAIM),
+        ("first_return", (*RETURNING, retests.RETURNED), retests.FIRST_RETURN),
+        ("close_reclaim", (*RETURNING, retests.RECLAIMED), retests.CLOSE_RECLAIM),
         ("event_ids", BREAKS, retests.EVENT_IDS),
         ("gate_volatility", ATRS, contexts.VOLATILITY),
         ("atr_periods", RANGE, contexts.SMOOTHING),
@@ -154,10 +161,11 @@ TRADES = Plan(*LEDGER, select="SELECT symbol, session_day, intent_id, entry_seq,
 DAYS = Plan(*DAILY, select="SELECT symbol, d, r FROM daily")
 BAR_ATR = Plan(*ATRS, select="SELECT b.symbol, b.bar, b.session_day, b.open_u, b.high_u, b.low_u, b.close_u, b.prev_close, a.tr, a.atr14 FROM nb b JOIN atrs a ON a.symbol = b.symbol AND a.bar = b.bar")
 BOXES = Plan(*BOXED, indicators.TRUE_RANGE, brackets.ATRS, select="SELECT x.symbol, x.bar, x.middle, x.width, x.width1, x.width2, a.atr14 FROM box_state x JOIN atrs a ON a.symbol = x.symbol AND a.bar = x.bar")
-CARRIER = Plan(*BROKEN, select=retests.CARRIER)
+CARRIER = Plan(*CROSSED, select=retests.CARRIER)
+IMPULSE_BARS = Plan(*ATRS, indicators.MICRO, indicators.SPREAD_P50, select="SELECT b.symbol, b.bar, b.bucket, b.open_u, b.high_u, b.low_u, b.close_u, a.atr14, m.up_share, b.spread_sum * 1.0 / b.n_ticks AS spread, p.p50 AS spread_p50 FROM nb b JOIN atrs a ON a.symbol = b.symbol AND a.bar = b.bar JOIN micro m ON m.symbol = b.symbol AND m.bar = b.bar JOIN spread_p50 p ON p.symbol = b.symbol AND p.bar = b.bar")
 OUTCOMES = Plan(*PATHS, select=brackets.MANAGED)
-BLOCKS = Plan(*FOLDS, select="SELECT symbol, fold, r FROM folds")
-HAC = Plan(*DAILY, metrics.HAC, select=metrics.HAC_T)
+#: Yearly totals in billionths, so that their sums are exact.
+BLOCKS = Plan(*DAILY, select="SELECT symbol, session_day ~div~ 10000 AS fold, CAST(round(sum(r) * 1000000000) AS BIGINT) AS r FROM daily GROUP BY symbol, session_day ~div~ 10000")
 EDGES = Plan(*SHOCKS, select=f"SELECT symbol || ':' || CAST(side AS VARCHAR(9)) || ':' || CAST(threshold_a AS VARCHAR(9)) AS a, symbol || ':' || CAST(side AS VARCHAR(9)) || ':' || CAST(threshold_b AS VARCHAR(9)) AS b, jaccard AS weight FROM ({signals.JACCARD}) WHERE jaccard >= 0.5")
 EVENTS = Plan(*SHOCKS, select="SELECT symbol, threshold, side, bar FROM shocks")
 
@@ -168,10 +176,81 @@ def _recursive(plan: Plan, name: str, steps: str, select: str) -> str:
     return f"WITH RECURSIVE {name} AS ({inner}),\n{steps}\n{select}"
 
 
+#: Trades that a greedy pass in entry order accepts: from each accepted one to the first that enters after its exit.
+_ADMITTED = """o AS (SELECT symbol, intent_id, entry_seq, exit_seq, row_number() OVER (PARTITION BY symbol ORDER BY entry_seq, intent_id) AS n FROM l),
+nx AS (SELECT o.n, o.symbol, o.intent_id, o.exit_seq, (SELECT min(x.n) FROM o x WHERE x.symbol = o.symbol AND x.entry_seq > o.exit_seq) AS next_n FROM o),
+a AS (SELECT symbol, intent_id, next_n FROM nx WHERE n = 1 UNION ALL SELECT nx.symbol, nx.intent_id, nx.next_n FROM a JOIN nx ON nx.symbol = a.symbol AND nx.n = a.next_n)"""
+
 _EMA8 = '''e AS (SELECT symbol, CAST(8 AS BIGINT) AS bar, avg(close_u) AS ema8 FROM b WHERE bar <= 8 GROUP BY symbol HAVING count(*) = 8
  UNION ALL SELECT b.symbol, b.bar, e.ema8 + (b.close_u - e.ema8) * 2 / 9.0 FROM e JOIN b ON b.symbol = e.symbol AND b.bar = e.bar + 1)'''
 
 
+def _fold_sql() -> str:
+    """Every recurrence of folds.indicator_folds as one recursion over bars, seeds from running sums."""
+    ema = ", ".join(f"CASE WHEN b.bar = {n} THEN CAST(b.cs AS DOUBLE) / {n} WHEN b.bar > {n} THEN e.e{n} + (2e0 / {n + 1}) * (b.close_u - e.e{n}) END AS e{n}" for n in folds.EMAS)
+    means = (("atr", "tr", "ts", 14), ("up", "up", "us", 15), ("dn", "dn", "ds", 15), ("pm", "pdm", "ps", 14), ("mm", "mdm", "ms", 14))
+    wilder = ", ".join(f"CASE WHEN b.bar = {at} THEN CAST(b.{total} AS DOUBLE) / 14 WHEN b.bar > {at} THEN e.{name} + (1e0 / 14) * (b.{x} - e.{name}) END AS {name}" for name, x, total, at in means)
+    names = ", ".join([*(f"e{n}" for n in folds.EMAS), *(m[0] for m in means)])
+    nulls = ", ".join(f"CAST(NULL AS DOUBLE) AS {n}" for n in [*names.split(", "), "sdx", "adx"])
+    return f'''WITH RECURSIVE b0 AS ({BARS_TR.text(False)}),
+d AS (SELECT symbol, bar, close_u, tr, greatest(close_u - pc, 0) AS up, greatest(pc - close_u, 0) AS dn,
+  CASE WHEN high_u - ph > pl - low_u AND high_u > ph THEN high_u - ph ELSE 0 END AS pdm, CASE WHEN pl - low_u > high_u - ph AND pl > low_u THEN pl - low_u ELSE 0 END AS mdm
+  FROM (SELECT symbol, bar, high_u, low_u, close_u, tr, lag(close_u) OVER w AS pc, lag(high_u) OVER w AS ph, lag(low_u) OVER w AS pl FROM b0 WINDOW w AS (PARTITION BY symbol ORDER BY bar))),
+b AS (SELECT symbol, bar, close_u, tr, up, dn, pdm, mdm, sum(close_u) OVER w AS cs, sum(tr) OVER w AS ts, sum(up) OVER w AS us, sum(dn) OVER w AS ds, sum(pdm) OVER w AS ps, sum(mdm) OVER w AS ms
+  FROM d WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e AS (SELECT symbol, bar, close_u, close_u AS ei, {nulls} FROM b WHERE bar = 1
+ UNION ALL SELECT symbol, bar, close_u, ei, {names}, CASE WHEN bar >= 14 THEN coalesce(sdx, 0) + dx END, CASE WHEN bar = 27 THEN (sdx + dx) / 14 WHEN bar > 27 THEN adx + (1e0 / 14) * (dx - adx) END FROM (
+  SELECT *, CASE WHEN pi + mi > 0 THEN 100 * abs(pi - mi) / (pi + mi) ELSE 0e0 END AS dx FROM (
+   SELECT *, CASE WHEN atr > 0 THEN 100 * pm / atr ELSE 0e0 END AS pi, CASE WHEN atr > 0 THEN 100 * mm / atr ELSE 0e0 END AS mi FROM (
+    SELECT b.symbol, b.bar, b.close_u, e.ei + CAST(2 * (b.close_u - e.ei) // 6 AS BIGINT) AS ei, {ema}, {wilder}, e.sdx, e.adx FROM e JOIN b ON b.symbol = e.symbol AND b.bar = e.bar + 1)))),
+g AS (SELECT *, lag(e8) OVER w AS b8, lag(e20) OVER w AS b20, lag(e35) OVER w AS b35, CASE WHEN bar >= 15 THEN CASE WHEN up + dn > 0 THEN 100 * up / (up + dn) ELSE 50e0 END END AS rsi FROM e WINDOW w AS (PARTITION BY symbol ORDER BY bar)),
+x AS (SELECT symbol, bar, e8 > e20 AND b8 <= b20 AS crossed_up, e8 < e20 AND b8 >= b20 AS crossed_down FROM g)
+'''
+
+
+def _shut(**gates: str) -> str:
+    return ", ".join(f"coalesce({e}, FALSE) AS {n}" for n, e in gates.items())
+
+
+_TREND = {
+    "up": "e8 > e20 AND e20 > e35", "down": "e8 < e20 AND e20 < e35", "price_up": "close_u > e8 AND e8 > e20 AND e20 > e35", "price_down": "close_u < e8 AND e8 < e20 AND e20 < e35",
+    "slope_up": "e8 > e20 AND e20 > e35 AND e8 > b8 AND e20 > b20 AND e35 > b35", "slope_down": "e8 < e20 AND e20 < e35 AND e8 < b8 AND e20 < b20 AND e35 < b35",
+}
+_STRENGTH = {"strong": "adx >= 25", "rising": "CASE WHEN atr > 0 THEN (e20 - b20) / atr END >= 0.1e0", "falling": "CASE WHEN atr > 0 THEN (e20 - b20) / atr END <= -0.1e0"}
+_RECENT = {s: f"EXISTS (SELECT 1 FROM x WHERE x.symbol = g.symbol AND x.bar BETWEEN g.bar - 4 AND g.bar AND x.crossed_{s})" for s in ("up", "down")}
+EVENTS_10 = Plan(*SHOCKS, select="SELECT symbol, side, bar FROM shocks WHERE threshold = 10")
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.indicator_folds(BARS_TR.run(spark, sf_dir))
+
+
+def _gated(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    return folds.gates(_folded(spark, sf_dir)).select("symbol", "bar", *names)
+
+
+def _conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of a bar under the gates of the bar before, each family by the signal's side, and all of them."""
+    gates = folds.gates(_folded(spark, sf_dir)).withColumn("bar", F.col("bar") + 1)
+    f = EVENTS_10.run(spark, sf_dir).join(gates, ["symbol", "bar"])
+    by = lambda up, down, name: F.when(F.col("side") == 1, F.col(up)).otherwise(F.col(down)).alias(name)
+    f = f.select("symbol", "bar", "side", by("up", "down", "trend"), "strong", by("momentum_up", "momentum_down", "momentum"), by("recent_up", "recent_down", "recent"))
+    return f.withColumn("all_open", F.col("trend") & F.col("strong") & F.col("momentum") & F.col("recent"))
+
+
+def _impulses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.impulses(IMPULSE_BARS.run(spark, sf_dir))
+
+
+_SIGNS = f'''WITH RECURSIVE g AS ({BLOCKS.text(False)}),
+n AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY fold) AS b, count(*) OVER (PARTITION BY symbol) AS blocks FROM g),
+x AS (SELECT 0 AS i, CAST(76 AS UBIGINT) AS s
+ UNION ALL SELECT i + 1, xor(s, s >> 27) FROM (SELECT i, xor(s, (s & 549755813887) << 25) AS s FROM (SELECT i, xor(s, s >> 12) AS s FROM x WHERE i < 999 * (SELECT max(blocks) FROM n)))),
+t AS (SELECT n.symbol, k.rep, sum(CASE WHEN x.s & 1 = 1 THEN n.r ELSE -n.r END) AS sample FROM n CROSS JOIN (SELECT unnest(generate_series(0, 998)) AS rep) k JOIN x ON x.i = k.rep * n.blocks + n.b GROUP BY n.symbol, k.rep)
+SELECT o.symbol, o.blocks, CASE WHEN o.total > 0 THEN (1 + count(*) FILTER (WHERE t.sample >= o.total)) / 1000e0 ELSE 1e0 END AS p
+FROM t JOIN (SELECT symbol, count(*) AS blocks, sum(r) AS total FROM n GROUP BY symbol) o ON o.symbol = t.symbol GROUP BY o.symbol, o.blocks, o.total'''
+
+
 def _near_ema(boxes: DataFrame, emas: DataFrame) -> DataFrame:
     """Boxes that contract, are narrow against the range, and lie around the average."""
     rows = boxes.where("atr14 is not null").join(emas.where("ema8 is not null").select("symbol", "bar", "ema8"), ["symbol", "bar"])
@@ -179,7 +258,20 @@ def _near_ema(boxes: DataFrame, emas: DataFrame) -> DataFrame:
 
 
 FOLDED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "ind_folds": (lambda s, d: folds.indicator_folds(BARS_TR.run(s, d)), None),
+    "ind_folds": (
+        lambda s, d: _folded(s, d).selectExpr("symbol", "bar", "ema_int5", *(f"round({c}, 6) as {c}" for c in ("ema8", "ema20", "ema35", "atr14", "rsi14", "adx14"))),
+        _fold_sql() + "SELECT symbol, bar, ei AS ema_int5, round(e8, 6) AS ema8, round(e20, 6) AS ema20, round(e35, 6) AS ema35, round(atr, 6) AS atr14, round(rsi, 6) AS rsi14, round(adx, 6) AS adx14 FROM g",
+    ),
+    "gate_trend": (lambda s, d: _gated(s, d, *_TREND), _fold_sql() + f"SELECT symbol, bar, {_shut(**_TREND)} FROM g"),
+    "gate_cross_recency": (lambda s, d: _gated(s, d, "recent_up", "recent_down"), _fold_sql() + f"SELECT symbol, bar, {_RECENT['up']} AS recent_up, {_RECENT['down']} AS recent_down FROM g"),
+    "gate_conjunction": (
+        _conjunction,
+        _fold_sql() + f""", s AS ({EVENTS_10.text(False)}),
+c AS (SELECT symbol, bar + 1 AS bar, {_shut(**_TREND, strong="adx >= 25", mu="rsi >= 55", md="rsi <= 45")}, {_RECENT['up']} AS ru, {_RECENT['down']} AS rd FROM g)
+SELECT symbol, bar, side, trend, strong, momentum, recent, trend AND strong AND momentum AND recent AS all_open FROM (
+  SELECT s.symbol, s.bar, s.side, CASE WHEN s.side = 1 THEN c.up ELSE c.down END AS trend, c.strong, CASE WHEN s.side = 1 THEN c.mu ELSE c.md END AS momentum, CASE WHEN s.side = 1 THEN c.ru ELSE c.rd END AS recent
+  FROM s JOIN c ON c.symbol = s.symbol AND c.bar = s.bar)""",
+    ),
     "feat_ema_int": (
         lambda s, d: folds.indicator_folds(BARS_TR.run(s, d)).select("symbol", "bar", "ema_int5"),
         _recursive(BARS_TR, "b", """e AS (SELECT symbol, bar, close_u AS ema_int5 FROM b WHERE bar = 1
@@ -192,11 +284,12 @@ FOLDED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     ),
     "non_overlap_select": (
         lambda s, d: folds.greedy(TRADES.run(s, d)).where("accepted").select("symbol", "intent_id"),
-        _recursive(TRADES, "l", """o AS (SELECT symbol, intent_id, entry_seq, exit_seq, row_number() OVER (PARTITION BY symbol ORDER BY entry_seq, intent_id) AS n FROM l),
-nx AS (SELECT o.n, o.symbol, o.intent_id, o.exit_seq, (SELECT min(x.n) FROM o x WHERE x.symbol = o.symbol AND x.entry_seq > o.exit_seq) AS next_n FROM o),
-a AS (SELECT symbol, intent_id, next_n FROM nx WHERE n = 1 UNION ALL SELECT nx.symbol, nx.intent_id, nx.next_n FROM a JOIN nx ON nx.symbol = a.symbol AND nx.n = a.next_n)""", "SELECT symbol, intent_id FROM a"),
+        _recursive(TRADES, "l", _ADMITTED, "SELECT symbol, intent_id FROM a"),
+    ),
+    "overlap_admission": (
+        lambda s, d: folds.greedy(TRADES.run(s, d)),
+        _recursive(TRADES, "l", _ADMITTED, "SELECT l.symbol, l.intent_id, a.intent_id IS NOT NULL AS accepted, CASE WHEN a.intent_id IS NULL THEN 'OVERLAP' ELSE '' END AS reason FROM l LEFT JOIN a ON a.symbol = l.symbol AND a.intent_id = l.intent_id"),
     ),
-    "overlap_admission": (lambda s, d: folds.greedy(TRADES.run(s, d)), None),
     "refractory": (
         lambda s, d: folds.refractory(EVENTS.run(s, d), 5),
         _recursive(EVENTS, "l", """nx AS (SELECT o.symbol, o.threshold, o.side, o.bar, (SELECT min(x.bar) FROM l x WHERE x.symbol = o.symbol AND x.threshold = o.threshold AND x.side = o.side AND x.bar > o.bar + 5) AS next_bar FROM l o),
@@ -217,12 +310,19 @@ e AS (SELECT symbol, CAST(15 AS BIGINT) AS bar, avg(greatest(close_u - prev_clos
  UNION ALL SELECT b.symbol, b.bar, e.u + (greatest(b.close_u - b.prev_close, 0) - e.u) / 14.0, e.dn + (greatest(b.prev_close - b.close_u, 0) - e.dn) / 14.0 FROM e JOIN b ON b.symbol = e.symbol AND b.bar = e.bar + 1)
 SELECT symbol, bar, round(r, 6) AS rsi14, r >= 55 AS up, r <= 45 AS down FROM (SELECT symbol, bar, CASE WHEN u + dn > 0 THEN 100 * u / (u + dn) ELSE 50.0 END AS r FROM e)''',
     ),
-    "gate_trend_strength": (lambda s, d: folds.indicator_folds(BARS_TR.run(s, d)).selectExpr("symbol", "bar", "adx14 >= 25 as strong", "atr14 > 0 and abs(ema8 - lag(ema8) over (partition by symbol order by bar)) >= 0.1 * atr14 as sloped"), None),
+    "gate_trend_strength": (lambda s, d: _gated(s, d, *_STRENGTH), _fold_sql() + f"SELECT symbol, bar, {_shut(**_STRENGTH)} FROM g"),
     "retest_filter": (lambda s, d: folds.retests(CARRIER.run(s, d)), None),
-    "daily_schedule": (lambda s, d: folds.schedule(OUTCOMES.run(s, d)), None),
-    "impulse_states": (lambda s, d: folds.impulses(BAR_ATR.run(s, d)), None),
-    "sign_flip": (lambda s, d: folds.sign_flip(BLOCKS.run(s, d)), None),
-    "hac_p": (lambda s, d: folds.one_sided(HAC.run(s, d)), None),
+    "daily_schedule": (
+        lambda s, d: folds.schedule(OUTCOMES.run(s, d)),
+        _recursive(OUTCOMES, "l", """o AS (SELECT symbol, session_day, intent_id, entry_seq, exit_seq, row_number() OVER (PARTITION BY symbol, session_day ORDER BY entry_seq, intent_id) AS k FROM l),
+a AS (SELECT symbol, session_day, k, intent_id, exit_seq AS busy, 1 AS n, '' AS reason FROM o WHERE k = 1
+ UNION ALL SELECT symbol, session_day, k, intent_id, CASE WHEN reason = '' THEN exit_seq ELSE busy END, CASE WHEN reason = '' THEN n + 1 ELSE n END, reason FROM (
+  SELECT o.symbol, o.session_day, o.k, o.intent_id, o.exit_seq, a.busy, a.n, CASE WHEN o.entry_seq <= a.busy THEN 'OVERLAP' WHEN a.n >= 3 THEN 'DAILY_LIMIT' ELSE '' END AS reason
+  FROM a JOIN o ON o.symbol = a.symbol AND o.session_day = a.session_day AND o.k = a.k + 1))""", "SELECT symbol, session_day, intent_id, reason = '' AS accepted, reason FROM a"),
+    ),
+    "impulse_states": (_impulses, None),
+    "impulse_score": (lambda s, d: _impulses(s, d).selectExpr("symbol", "side", "bar", "confirmed_bar", *(f"round({dialect(indicators.ips(v), True)}, 6) as score_v{v}" for v in (1, 2))), None),
+    "sign_flip": (lambda s, d: folds.sign_flip(BLOCKS.run(s, d)), _SIGNS),
     "config_clusters": (
         lambda s, d: clusters.medoids(EDGES.run(s, d)),
         f"WITH RECURSIVE g AS ({EDGES.text(False)}), w AS (SELECT a AS u, b AS v, weight FROM g UNION ALL SELECT b, a, weight FROM g)," + '''
