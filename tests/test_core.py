@@ -206,3 +206,35 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_feature_language_refuses():
+    from tideform.plans.features import compile_graph
+
+    good = {"a": "CLOSE:$p", "b": "EMA:a:3", "c": "GT:a:b"}
+    assert [n.name for n in compile_graph(good, ["c"], {"p": 60_000})] == ["a", "b", "c"]
+    for bad, outputs, message in (
+        ({"a": "ADD:a:a"}, ["a"], "cycle"), ({"a": "NOT:b"}, ["a"], "unknown definition"), ({"a": "SUM:b"}, ["a"], "unknown operator"), (good | {"d": "BID"}, ["c"], "unused"),
+        ({"a": "BID", "b": "NOT:a"}, ["b"], "conditions"), ({"a": "BID", "b": "GT:a:a", "c": "ADD:a:b"}, ["c"], "numbers"), ({"a": "CLOSE:0"}, ["a"], "range"),
+        ({"a": "CLOSE:$q"}, ["a"], "parameter"), ({"a": "BID:1"}, ["a"], "arguments"), ({"a": "CONST:x"}, ["a"], "whole number"), ({"a": "BID", "b": "LAG:a:100001"}, ["b"], "range"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            compile_graph(bad, outputs, {"p": 60_000})
+
+
+def test_blocks_of_quotes(spark, monkeypatch):
+    """Looking back over quotes in small blocks gives what one sort of the tape would."""
+    from tideform.plans import features
+
+    monkeypatch.setattr(features, "BLOCK", 7)
+    ticks = queries.PLANS["tick_view"].run(spark, DATA)
+    nodes = features.compile_graph({"bid": "BID", "ask": "ASK", "old": "LAG:bid:5", "top": "HIGHEST:ask:4", "x": "CROSS_DOWN:bid:old"}, ["top", "x"])
+    got = features.Graph(ticks, nodes).values("old", "top", "x").toPandas().sort_values(["symbol", "seen"])
+    f = ticks.toPandas().sort_values(["symbol", "seq"])
+    g = f.groupby("symbol")
+    old, top = g["bid_u"].shift(5), g["ask_u"].transform(lambda s: s.rolling(4).max())
+    prior, prior_bid = old.groupby(f["symbol"]).shift(1), g["bid_u"].shift(1)
+    same = lambda a, b: (a.astype("float64").fillna(-1).to_numpy() == b.astype("float64").fillna(-1).to_numpy()).all()
+    assert len(got) == len(f) and same(got["old"], old) and same(got["top"], top)
+    want = ((prior_bid >= prior) & (f["bid_u"] < old)).where(prior.notna())
+    assert same(got["x"].map({True: 1, False: 0}), want.map({True: 1, False: 0}))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tideform.functions import clusters, folds
 from tideform.operators import audit, bars, brackets, catalogue, contexts, execution, features, indicators, metrics, retests, signals, structure, universe
+from tideform.plans import features as language
 from tideform.plans.sql import Plan, dialect
 from tideform.sources import tape
+from tideform.sources.written import written
 
 TAPE = tape.TAPE
 MINUTES = (*TAPE, bars.bars(60_000, "m1"))
@@ -251,6 +253,64 @@ SELECT o.symbol, o.blocks, CASE WHEN o.total > 0 THEN (1 + count(*) FILTER (WHER
 FROM t JOIN (SELECT symbol, count(*) AS blocks, sum(r) AS total FROM n GROUP BY symbol) o ON o.symbol = t.symbol GROUP BY o.symbol, o.blocks, o.total'''
 
 
+HOUR, FOUR_HOURS = bars.HOUR_MS, 4 * bars.HOUR_MS
+# One definition for each operator over bars of two lengths; one program with parameters; and operators over quotes.
+EVERY_OPERATOR = {
+    "o1": f"OPEN:{HOUR}", "c1": f"CLOSE:{HOUR}", "h4": f"HIGH:{FOUR_HOURS}", "l4": f"LOW:{FOUR_HOURS}", "two": "CONST:2", "total": "ADD:c1:o1", "step": "SUB:c1:o1", "least_of": "MIN:c1:l4", "most_of": "MAX:c1:h4",
+    "gt": "GT:c1:o1", "ge": "GE:c1:o1", "lt": "LT:step:two", "le": "LE:c1:h4", "eq": "EQ:c1:o1", "lag3": "LAG:c1:3", "lag_gt": "LAG:gt:2", "high5": "HIGHEST:c1:5", "low4": "LOWEST:o1:4", "ema3": "EMA:c1:3",
+    "up": "CROSS_UP:c1:o1", "down": "CROSS_DOWN:c1:h4", "both_true": "AND:gt:ge", "either": "OR:lt:up", "negated": "NOT:le", "range4": "SUB:h4:l4",
+}
+OPERATOR_OUTPUTS = [n for n in EVERY_OPERATOR if n != "two"]
+CROSSING = {"close": f"CLOSE:{HOUR}", "fast": "EMA:close:$fast", "slow": "EMA:close:$slow", "up": "CROSS_UP:fast:slow", "down": "CROSS_DOWN:fast:slow", "sig": "OR:up:down"}
+OVER_QUOTES = {"bid": "BID", "ask": "ASK", "spread": "SPREAD", "close": f"CLOSE:{HOUR}", "away": "SUB:bid:close", "lag2": "LAG:away:2", "high16": "HIGHEST:ask:16", "over": "CROSS_UP:bid:close", "wide": "GT:spread:one", "one": "CONST:1", "sig": "AND:over:wide"}
+
+
+def _graph(spark: SparkSession, sf_dir: str, definitions: dict[str, str], outputs: list[str], **parameters: int) -> language.Graph:
+    return language.Graph(written(PLANS["tick_view"].run(spark, sf_dir), "ticks"), language.compile_graph(definitions, outputs, parameters))
+
+
+def _program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of the crossing program at each choice of its parameters that its constraint allows."""
+    ticks = written(PLANS["tick_view"].run(spark, sf_dir), "ticks")
+    out = None
+    for fast, slow in ((f, s) for f in (2, 4) for s in (3, 5) if f < s):
+        graph = language.Graph(ticks, language.compile_graph(CROSSING, ["sig", "up"], {"fast": fast, "slow": slow}))
+        values = graph.values("sig", "up")
+        found = language.signals(values, "sig").join(values.select("symbol", "seen", "up"), ["symbol", "seen"]).select("symbol", F.lit(fast).alias("fast"), F.lit(slow).alias("slow"), "seen", "version", "up")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+_CLOSED = """SELECT symbol, lead(first_seq) OVER (PARTITION BY symbol ORDER BY first_seq) AS seen, o, h, l, c FROM (
+  SELECT symbol, min(seq) AS first_seq, arg_min(bid_u, seq) AS o, max(bid_u) AS h, min(bid_u) AS l, arg_max(bid_u, seq) AS c FROM ticks GROUP BY symbol, session_day, ts_ns // ({0} * CAST(1000000 AS BIGINT))) QUALIFY seen IS NOT NULL"""
+_TICK_VIEW = PLANS["tick_view"].text(False)
+_CUT = "CAST(2 * (b.c - e.{0}) // {1} AS BIGINT)"
+_OPERATORS_SQL = f"""WITH RECURSIVE ticks AS ({_TICK_VIEW}), c1 AS ({_CLOSED.format(HOUR)}), c4 AS ({_CLOSED.format(FOUR_HOURS)}),
+k1 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY seen) AS n FROM c1),
+e AS (SELECT symbol, n, c AS e3 FROM k1 WHERE n = 1 UNION ALL SELECT b.symbol, b.n, e.e3 + {_CUT.format('e3', 4)} FROM e JOIN k1 b ON b.symbol = e.symbol AND b.n = e.n + 1),
+s1 AS (SELECT k1.symbol, k1.seen, k1.o, k1.c, lag(k1.c, 3) OVER w AS lag3, lag(k1.c > k1.o, 2) OVER w AS lag_gt, CASE WHEN k1.n >= 5 THEN max(k1.c) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS high5,
+   CASE WHEN k1.n >= 4 THEN min(k1.o) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END AS low4, CASE WHEN k1.n >= 3 THEN e.e3 END AS ema3, CASE WHEN lag(k1.c) OVER w IS NOT NULL THEN lag(k1.c) OVER w <= lag(k1.o) OVER w AND k1.c > k1.o END AS up
+   FROM k1 JOIN e ON e.symbol = k1.symbol AND e.n = k1.n WINDOW w AS (PARTITION BY k1.symbol ORDER BY k1.seen)),
+u AS (SELECT symbol, seen FROM c1 UNION SELECT symbol, seen FROM c4),
+g AS (SELECT u.symbol, u.seen, s1.o AS o1, s1.c AS c1, f.h AS h4, f.l AS l4, s1.lag3, s1.lag_gt, s1.high5, s1.low4, s1.ema3, s1.up
+   FROM u LEFT JOIN s1 ON s1.symbol = u.symbol AND s1.seen = (SELECT max(x.seen) FROM s1 x WHERE x.symbol = u.symbol AND x.seen <= u.seen) LEFT JOIN c4 f ON f.symbol = u.symbol AND f.seen = (SELECT max(x.seen) FROM c4 x WHERE x.symbol = u.symbol AND x.seen <= u.seen))
+SELECT symbol, seen, seen - 1 AS version, o1, c1, h4, l4, c1 + o1 AS total, c1 - o1 AS step, CASE WHEN c1 < l4 THEN c1 WHEN c1 >= l4 THEN l4 END AS least_of, CASE WHEN c1 > h4 THEN c1 WHEN c1 <= h4 THEN h4 END AS most_of,
+  c1 > o1 AS gt, c1 >= o1 AS ge, c1 - o1 < 2 AS lt, c1 <= h4 AS le, c1 = o1 AS eq, lag3, lag_gt, high5, low4, ema3, up, CASE WHEN h4 IS NOT NULL AND lag(h4) OVER w IS NOT NULL THEN lag(c1) OVER w >= lag(h4) OVER w AND c1 < h4 END AS down,
+  c1 > o1 AND c1 >= o1 AS both_true, CASE WHEN up IS NOT NULL THEN c1 - o1 < 2 OR up END AS either, NOT (c1 <= h4) AS negated, h4 - l4 AS range4
+FROM g WINDOW w AS (PARTITION BY symbol ORDER BY seen)"""
+_PROGRAM_SQL = f"""WITH RECURSIVE ticks AS ({_TICK_VIEW}), c1 AS ({_CLOSED.format(HOUR)}), k1 AS (SELECT symbol, seen, c, row_number() OVER (PARTITION BY symbol ORDER BY seen) AS n FROM c1),
+e AS (SELECT symbol, n, seen, c AS e2, c AS e3, c AS e4, c AS e5 FROM k1 WHERE n = 1
+ UNION ALL SELECT b.symbol, b.n, b.seen, {', '.join(f"e.e{k} + " + _CUT.format(f"e{k}", k + 1) for k in (2, 3, 4, 5))} FROM e JOIN k1 b ON b.symbol = e.symbol AND b.n = e.n + 1),
+p AS (SELECT e.symbol, e.seen, e.n, v.fast, v.slow, CASE v.fast WHEN 2 THEN e2 ELSE e4 END AS f, CASE v.slow WHEN 3 THEN e3 ELSE e5 END AS s FROM e CROSS JOIN (VALUES (2, 3), (2, 5), (4, 5)) AS v(fast, slow)),
+x AS (SELECT symbol, fast, slow, seen, lag(f) OVER w <= lag(s) OVER w AND f > s AS up, lag(f) OVER w >= lag(s) OVER w AND f < s AS down FROM p WHERE n >= slow WINDOW w AS (PARTITION BY symbol, fast, slow ORDER BY seen))
+SELECT symbol, fast, slow, seen, seen - 1 AS version, up FROM (SELECT *, coalesce(lag(up OR down) OVER (PARTITION BY symbol, fast, slow ORDER BY seen), FALSE) AS before FROM x) WHERE (up OR down) AND NOT before"""
+_QUOTES_SQL = f"""WITH ticks AS ({_TICK_VIEW}), c1 AS ({_CLOSED.format(HOUR)}),
+t AS (SELECT t.symbol, t.seq, t.bid_u, t.ask_u, c1.c FROM ticks t ASOF LEFT JOIN c1 ON c1.symbol = t.symbol AND c1.seen <= t.seq)
+SELECT symbol, seen, seen AS version, away, lag2, high16, over_close AS over, CASE WHEN over_close IS NOT NULL THEN over_close AND wide END AS sig FROM (
+  SELECT symbol, seq AS seen, bid_u - c AS away, lag(bid_u - c, 2) OVER w AS lag2, CASE WHEN seq >= 16 THEN max(ask_u) OVER (w ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) END AS high16,
+    CASE WHEN lag(c) OVER w IS NOT NULL THEN lag(bid_u) OVER w <= lag(c) OVER w AND bid_u > c END AS over_close, ask_u - bid_u > 1 AS wide FROM t WINDOW w AS (PARTITION BY symbol ORDER BY seq))"""
+
+
 def _near_ema(boxes: DataFrame, emas: DataFrame) -> DataFrame:
     """Boxes that contract, are narrow against the range, and lie around the average."""
     rows = boxes.where("atr14 is not null").join(emas.where("ema8 is not null").select("symbol", "bar", "ema8"), ["symbol", "bar"])
@@ -272,6 +332,9 @@ SELECT symbol, bar, side, trend, strong, momentum, recent, trend AND strong AND
   SELECT s.symbol, s.bar, s.side, CASE WHEN s.side = 1 THEN c.up ELSE c.down END AS trend, c.strong, CASE WHEN s.side = 1 THEN c.mu ELSE c.md END AS momentum, CASE WHEN s.side = 1 THEN c.ru ELSE c.rd END AS recent
   FROM s JOIN c ON c.symbol = s.symbol AND c.bar = s.bar)""",
     ),
+    "feature_operators": (lambda s, d: _graph(s, d, EVERY_OPERATOR, OPERATOR_OUTPUTS).values(*OPERATOR_OUTPUTS), _OPERATORS_SQL),
+    "feature_program": (_program, _PROGRAM_SQL),
+    "feature_quotes": (lambda s, d: _graph(s, d, OVER_QUOTES, ["lag2", "high16", "sig"]).values("away", "lag2", "high16", "over", "sig"), _QUOTES_SQL),
     "feat_ema_int": (
         lambda s, d: folds.indicator_folds(BARS_TR.run(s, d)).select("symbol", "bar", "ema_int5"),
         _recursive(BARS_TR, "b", """e AS (SELECT symbol, bar, close_u AS ema_int5 FROM b WHERE bar = 1
