@@ -21,15 +21,26 @@ SELECT symbol, kind, count(*) AS n, min(bar) AS first_bar FROM (
 WHERE size * 10 >= 15 * atr GROUP BY symbol, kind"""
 
 
-def order_context(value: str, ranks: dict[str, int], length: int = 20) -> str:
-    """Nearest-rank quantiles of a bar's value over t-length-1 .. t-2, beside the value of t-1."""
-    picks = ", ".join(f"min(CASE WHEN rn = {r} THEN v END) AS {n}" for n, r in ranks.items())
-    return f"""
-SELECT symbol, bar, reference, {picks} FROM (
+def order_context(value: str, ranks: dict[str, int], length: int = 20, source: str = "nb", counted: bool = False) -> tuple[str, str]:
+    """Nearest-rank quantiles of a bar's value over t-length-1 .. t-2, beside the value of t-1.
+
+    A window gathers and sorts the few values of each bar; checked by a join of each bar with the bars before it.
+    """
+    picks = ", ".join(f"element_at(vs, {r}) AS {n}" for n, r in ranks.items())
+    plain = ", ".join(f"min(CASE WHEN rn = {r} THEN v END) AS {n}" for n, r in ranks.items())
+    return (
+        f"""
+SELECT symbol, bar, reference, {"CAST(size(vs) AS BIGINT) AS n, " if counted else ""}{picks} FROM (
+  SELECT symbol, bar, lag(v) OVER (PARTITION BY symbol ORDER BY bar) AS reference, array_sort(collect_list(v) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN {length + 1} PRECEDING AND 2 PRECEDING)) AS vs
+  FROM (SELECT symbol, bar, {value} AS v FROM {source}))
+WHERE size(vs) = {length}""",
+        f"""
+SELECT symbol, bar, reference, {"count(*) AS n, " if counted else ""}{plain} FROM (
   SELECT m.symbol, m.bar, m.reference, x.v, row_number() OVER (PARTITION BY m.symbol, m.bar ORDER BY x.v, x.src) AS rn
-  FROM (SELECT symbol, bar, lag({value}) OVER (PARTITION BY symbol ORDER BY bar) AS reference FROM nb) m
-  JOIN (SELECT symbol, bar AS src, bar + k AS at_bar, {value} AS v FROM nb CROSS JOIN (SELECT SERIES(2, {length + 1}) AS k) s) x ON x.symbol = m.symbol AND x.at_bar = m.bar)
-GROUP BY symbol, bar, reference HAVING count(*) = {length}"""
+  FROM (SELECT symbol, bar, lag({value}) OVER (PARTITION BY symbol ORDER BY bar) AS reference FROM {source}) m
+  JOIN (SELECT symbol, bar AS src, bar + k AS at_bar, {value} AS v FROM {source} CROSS JOIN (SELECT SERIES(2, {length + 1}) AS k) s) x ON x.symbol = m.symbol AND x.at_bar = m.bar)
+GROUP BY symbol, bar, reference HAVING count(*) = {length}""",
+    )
 
 
 SPREAD = order_context("spread_sum * 1.0 / n_ticks", {"q75": 15, "q90": 18})
@@ -51,7 +62,7 @@ INTERACTIONS = """
 SELECT a.symbol, a.side, a.cond AS cond_a, b.cond AS cond_b, count(*) AS n, min(a.bar) AS first_bar FROM conditions a JOIN conditions b ON b.symbol = a.symbol AND b.bar = a.bar AND b.side = a.side AND a.cond < b.cond
 GROUP BY a.symbol, a.side, a.cond, b.cond"""
 PAIR_MASKS = ("pair_masks", """
-SELECT symbol, cond_a || '&' || cond_b AS config, JOINED(mark) AS ids, count(*) AS events FROM (
+SELECT symbol, cond_a || '&' || cond_b AS config, SETKEY(mark) AS ids, count(*) AS events FROM (
   SELECT a.symbol, a.cond AS cond_a, b.cond AS cond_b, CAST(a.bar * a.side AS VARCHAR(20)) AS mark FROM conditions a JOIN conditions b ON b.symbol = a.symbol AND b.bar = a.bar AND b.side = a.side AND a.cond < b.cond)
 GROUP BY symbol, cond_a, cond_b""")
 #: Signed masks with equal content are aliases of the smallest name.
@@ -63,7 +74,7 @@ SELECT symbol, count(*) AS configs, count(DISTINCT config) AS distinct_configs,
   SELECT symbol, config, ids, events, min(events) OVER (PARTITION BY symbol, ids) AS low, max(events) OVER (PARTITION BY symbol, ids) AS high FROM pair_masks) GROUP BY symbol"""
 
 #: Order-free roots of event identities in shards by prefix, and classes merged from group results.
-ROOTS = "SELECT shard, n, SHA(ids) AS root FROM (SELECT shard, JOINED(id) AS ids, count(*) AS n FROM (SELECT substring(id, 1, 1) AS shard, id FROM (SELECT SHA(body) AS id FROM (SELECT symbol || ':' || CAST(bar AS VARCHAR(20)) || ':' || CAST(side AS VARCHAR(20)) AS body FROM breaks))) GROUP BY shard)"
+ROOTS = "SELECT shard, n, SHA(ids) AS root FROM (SELECT shard, SETKEY(id) AS ids, count(*) AS n FROM (SELECT substring(id, 1, 1) AS shard, id FROM (SELECT SHA(body) AS id FROM (SELECT symbol || ':' || CAST(bar AS VARCHAR(20)) || ':' || CAST(side AS VARCHAR(20)) AS body FROM breaks))) GROUP BY shard)"
 MERGED = """
 SELECT class_hash, min(representative) AS representative, CAST(sum(aliases) AS BIGINT) AS aliases, max(events) AS events, count(DISTINCT ids) = 1 AS exact, count(*) AS parts FROM (
   SELECT SHA(ids) AS class_hash, ids, symbol, min(symbol || ':' || config) AS representative, count(*) AS aliases, max(events) AS events FROM pair_masks GROUP BY ids, symbol) GROUP BY class_hash"""

@@ -12,26 +12,28 @@ FROM tr WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 13 PRECEDING
 ROC = """
 SELECT symbol, bar, round((close_u - lag(close_u, 5) OVER w) * 100.0 / nullif(lag(close_u, 5) OVER w, 0), 6) AS roc5 FROM nb WINDOW w AS (PARTITION BY symbol ORDER BY bar)"""
 
-#: Mean absolute deviation is taken around each window's own mean, so the window is joined with its bars.
-CCI = """
+#: Mean absolute deviation is taken around each window's own mean: Spark gathers the window, the check joins it with its bars.
+_TYPICAL = "(high_u + low_u + close_u) / 3.0"
+CCI = (
+    f"""
+SELECT symbol, bar, CASE WHEN md = 0 THEN 0.0 ELSE round((typical - mean) / (0.015 * md), 6) END AS cci20 FROM (
+  SELECT symbol, bar, typical, mean, aggregate(vs, CAST(0 AS DOUBLE), (a, x) -> a + abs(x - mean)) / 20 AS md FROM (
+    SELECT symbol, bar, typical, avg(typical) OVER w AS mean, collect_list(typical) OVER w AS vs FROM (SELECT symbol, bar, {_TYPICAL} AS typical FROM nb)
+    WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE bar >= 20)""",
+    f"""
 SELECT symbol, bar, CASE WHEN md = 0 THEN 0.0 ELSE round((typical - mean) / (0.015 * md), 6) END AS cci20 FROM (
   SELECT m.symbol, m.bar, max(m.typical) AS typical, max(m.mean) AS mean, avg(abs(x.typical - m.mean)) AS md FROM (
-    SELECT symbol, bar, (high_u + low_u + close_u) / 3.0 AS typical, avg((high_u + low_u + close_u) / 3.0) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS mean FROM nb) m
-  JOIN (SELECT symbol, bar + k AS at_bar, (high_u + low_u + close_u) / 3.0 AS typical FROM nb CROSS JOIN (SELECT SERIES(0, 19) AS k) s) x ON x.symbol = m.symbol AND x.at_bar = m.bar
-  WHERE m.bar >= 20 GROUP BY m.symbol, m.bar)"""
+    SELECT symbol, bar, {_TYPICAL} AS typical, avg({_TYPICAL}) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS mean FROM nb) m
+  JOIN (SELECT symbol, bar + k AS at_bar, {_TYPICAL} AS typical FROM nb CROSS JOIN (SELECT SERIES(0, 19) AS k) s) x ON x.symbol = m.symbol AND x.at_bar = m.bar
+  WHERE m.bar >= 20 GROUP BY m.symbol, m.bar)""",
+)
 
 STOCHASTIC = """
 SELECT symbol, bar, round(k, 6) AS k14, CASE WHEN bar >= 16 THEN round(avg(k) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) END AS d3 FROM (
   SELECT symbol, bar, CASE WHEN hh = ll THEN 50.0 ELSE 100.0 * (close_u - ll) / (hh - ll) END AS k FROM (
     SELECT symbol, bar, close_u, max(high_u) OVER w AS hh, min(low_u) OVER w AS ll FROM nb WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) WHERE bar >= 14)"""
 
-#: Nearest-rank quantile of the 20 values from t-21 to t-2, set against the value of t-1.
-CONTEXT = """
-SELECT m.symbol, m.bar, m.reference, count(*) AS n, min(CASE WHEN rn = 4 THEN v END) AS q20, min(CASE WHEN rn = 10 THEN v END) AS q50, min(CASE WHEN rn = 16 THEN v END) AS q80 FROM (
-  SELECT m.symbol, m.bar, m.reference, x.tr AS v, row_number() OVER (PARTITION BY m.symbol, m.bar ORDER BY x.tr, x.src) AS rn
-  FROM (SELECT symbol, bar, lag(tr) OVER (PARTITION BY symbol ORDER BY bar) AS reference FROM tr) m
-  JOIN (SELECT symbol, bar AS src, bar + k AS at_bar, tr FROM tr CROSS JOIN (SELECT SERIES(2, 21) AS k) s) x ON x.symbol = m.symbol AND x.at_bar = m.bar) m
-GROUP BY m.symbol, m.bar, m.reference HAVING count(*) = 20"""
+CONTEXT = order_context("tr", {"q20": 4, "q50": 10, "q80": 16}, source="tr", counted=True)
 
 #: Moves of the middle are numbered and summed by days; the last 64 are the difference of two running sums, met by number.
 MOVES = ("moves", ("""

@@ -47,7 +47,7 @@ SELECT symbol, bar, seen AS context_close, seen_strict AS context_close_strict F
     UNION ALL SELECT symbol, bar, bucket, 1, CAST(NULL AS BIGINT) FROM nb))
 WHERE kind = 1"""
 
-MASKS = ("masks", "SELECT symbol, threshold, side, JOINED(bar_text) AS ids, count(*) AS events FROM (SELECT symbol, threshold, side, CAST(bar AS VARCHAR(20)) AS bar_text FROM shocks) GROUP BY symbol, threshold, side")
+MASKS = ("masks", "SELECT symbol, threshold, side, SETKEY(bar_text) AS ids, count(*) AS events FROM (SELECT symbol, threshold, side, CAST(bar AS VARCHAR(20)) AS bar_text FROM shocks) GROUP BY symbol, threshold, side")
 CLASSES = """
 SELECT SHA(ids) AS class_hash, min(symbol || ':' || CAST(threshold AS VARCHAR(9)) || ':' || CAST(side AS VARCHAR(9))) AS representative, count(*) AS aliases, max(events) AS events, count(DISTINCT ids) = 1 AS exact FROM masks GROUP BY SHA(ids)"""
 JACCARD = """
