@@ -28,7 +28,7 @@ BUCKET_ROWS = 1_000_000  # suffixes of a bucket aimed at; a task holds one bucke
 MAX_BUCKETS, MAX_TASKS = 1_000_000, 20_000  # bound what is sent to tasks (48 bytes a splitter), and how many deal at once
 #: Keys that splitters are taken from: so many for each bucket, within bounds, at most SAMPLE_EACH of one document.
 SAMPLE_KEYS, SAMPLE_LEAST, SAMPLE_MOST, SAMPLE_EACH = 24, 48_000, 2_000_000, 24
-HOT = 1_000  # kinds of one leading string that one task compares; more are compared window by window, dealt by their bytes
+HOT = 20_000  # kinds of one leading string that one task compares; more are compared window by window, dealt by their bytes
 SMALL_RUN = 4_096  # rows that quicksort leaves to the library's sort
 PIECE = 1 << 19  # bytes worked on at once; fewer than the position mask below allows
 _MASK = np.uint64((1 << 20) - 1)
