@@ -126,12 +126,25 @@ def test_transducer_streams(word_bpe):
 
 def test_incremental_decoding():
     own = bpe.WordBpe(queries.word_bpe_path())
-    e = bpe.Encoder(queries.word_bpe_path())
-    ids = list(map(int, e.encode("naïve 😀 text")[0].split()))
+    ids = [i for part in own.portions("naïve 😀 text") for i in part]
     d = bpe.Decoder(own, byte_level=True)
     assert "".join(d.feed([i]) for i in ids) + d.feed([], True) == "naïve 😀 text "
 
 
+def test_digests_come_from_the_ids(word_bpe):
+    """Other ids give another decoded text, and a long word leaves in portions of a bounded size."""
+    own = bpe.WordBpe(queries.word_bpe_path())
+    ids = [i for part in own.portions("some words to change") for i in part]
+    n, a, b = bpe.digests_of([ids], bpe.Decoder(own))
+    assert n == len(ids) and bpe.digests_of([ids[:2], ids[2:]], bpe.Decoder(own)) == (n, a, b)
+    other = bpe.digests_of([[*ids[:-1], ids[0]]], bpe.Decoder(own))
+    assert other[1] != a and other[2] != b
+    word = "".join(random.Random(2).choices("abcdethinrso", k=300_000))
+    parts = list(own.portions(word))
+    assert len(parts) > 2 and max(map(len, parts)) <= bpe.PORTION
+    assert [i for p in parts for i in p] == word_bpe.encode(word, add_special_tokens=False).ids
+
+
 # 3
 
 
@@ -169,6 +182,23 @@ def test_tiles_keep_components():
         simhash.TILE = old
 
 
+def test_bit_blocks(spark, monkeypatch):
+    """Fingerprints within the radius agree under a mask at least, however many rows; wider masks for more rows."""
+    rng = np.random.default_rng(7)
+    for rows, count, width in ((10**6, 3, 21), (10**9, 6, 32), (10**12, 10, 38)):
+        masks = simhash.block_masks(2, rows)
+        assert len(masks) == count and min(m.bit_count() for m in masks) >= width
+        for _ in range(300):
+            x = int(rng.integers(0, 2**63))
+            y = x ^ sum(1 << int(b) for b in rng.choice(64, 2, replace=False))
+            assert any(x & m == y & m for m in masks)
+    rows = [(i, " ".join(f"w{(i // 4) * 100 + j}" for j in range(60)) + (" x" if i % 4 else "") * (i % 3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few = {tuple(r) for r in simhash.simhash_components(df, 3, 1, 2, 0).select("doc_id", "component_id").collect()}
+    monkeypatch.setattr(simhash, "block_masks", lambda radius, rows, f=simhash.block_masks: f(radius, 10**10))
+    assert {tuple(r) for r in simhash.simhash_components(df, 3, 1, 2, 0).select("doc_id", "component_id").collect()} == few
+
+
 def test_long_runs_are_dealt_in_parts(spark, monkeypatch):
     rows = [(i, " ".join(f"w{j}" for j in range(40)) + f" tail{i % 7}") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

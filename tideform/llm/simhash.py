@@ -1,14 +1,15 @@
 """SimHash near-duplicates: fingerprints of word shingles, compared exactly in tiles by exclusive-or and bit counts.
 
-Where the radius is small, fingerprints within it agree in at least one of radius + 1 bit blocks, so only rows that share a
-block meet. Where it is large, rows meet that share the shingle which hashes lowest, under one of several hashes: texts of
-similarity s do so with probability 1 - (1 - s) ** sketches. Either way rows meet in runs; a run is cut into tiles ordered by bit count, and tile pairs whose counts differ beyond the radius are skipped.
+Where the radius is small, fingerprints within it agree in some of their bit blocks, so only rows that share a choice of
+blocks meet; the more rows, the more and wider choices. Where it is large, rows meet that share the shingle which hashes
+lowest, under one of several hashes: texts of similarity s do so with probability 1 - (1 - s) ** sketches. Either way rows
+meet in runs; a run is cut into tiles ordered by bit count, and tile pairs whose counts differ beyond the radius are skipped.
 Runs longer than a bound are dealt out as pairs of parts, so no task holds a whole hot run.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -23,6 +24,7 @@ from tideform.llm.components import connected_components
 
 SEED = 42
 TILE = 256
+ROWS_EACH = 64  # rows that may meet by chance under one value of a mask, on average
 PART = 2048  # rows of a run that one task compares with as many others
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -169,18 +171,31 @@ def _runs(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]
         yield from done(pd.concat(rest))
 
 
-def fingerprint_links(reps: DataFrame, radius: int, scratch: Scratch, sketches: int = 0) -> DataFrame:
+def block_masks(radius: int, rows: int, bits: int = 64) -> list[int]:
+    """Bit masks of which two fingerprints within the radius agree on one at least.
+
+    Of m blocks of bits, ``radius`` differing bits leave m - radius alike, so each choice of so many is a mask. More rows
+    get more blocks, and masks so wide that few unlike rows meet under one.
+    """
+    blocks = radius + 1
+    while rows > ROWS_EACH << (bits * (blocks - radius) // blocks) and blocks < bits:
+        blocks += 1
+    cuts = [bits * i // blocks for i in range(blocks + 1)]
+    own = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    return [sum(c) for c in itertools.combinations(own, blocks - radius)]
+
+
+def fingerprint_links(reps: DataFrame, radius: int, scratch: Scratch, sketches: int = 0, rows: int = 0) -> DataFrame:
     """Links ``(a, b)`` between representatives whose fingerprints differ in at most ``radius`` bits.
 
-    ``reps``: (rep, fp, low), fingerprints distinct. Returns links that keep every component (not each pair). With
+    ``reps``: (rep, fp, low), fingerprints distinct, so many ``rows`` of them. Returns links that keep every component (not each pair). With
     ``sketches`` rows meet by their lowest shingles instead of by bit blocks.
     """
     if sketches:
         keys = F.transform("low", lambda v, i: F.struct(i.alias("block"), v.alias("value")))
     else:
-        width = math.ceil(64 / (radius + 1))
-        mask = F.lit((1 << width) - 1 if width < 64 else -1)
-        keys = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.element_at("fp", 1), width * i).bitwiseAND(mask).alias("value")) for i in range(radius + 1)])
+        masks = np.array(block_masks(radius, rows), np.uint64).view(np.int64).tolist()
+        keys = F.array(*[F.struct(F.lit(i).alias("block"), F.element_at("fp", 1).bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(masks)])
     keyed = reps.select("rep", "fp", F.explode(keys).alias("k")).select("rep", "fp", "k.*")
     sizes = reps.select(F.explode(keys).alias("k")).groupBy("k.block", "k.value").count().where("count > 1")
     sizes = scratch.save(sizes.select("block", "value", F.ceil(F.col("count") / PART).alias("parts")), "sizes")
@@ -214,7 +229,8 @@ def simhash_components(docs: DataFrame, size: int = 5, words: int = 4, radius: i
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save(fingerprints(docs, size, words, sketches, id_col, text_col), "prints")
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("low").alias("low"))
-    links = fingerprint_links(reps.select("rep", "fp", "low"), radius, scratch, sketches)
+    reps = scratch.save(reps, "reps")
+    links = fingerprint_links(reps.select("rep", "fp", "low"), radius, scratch, sketches, reps.count())
     joined = connected_components(scratch.save(links, "links"), scratch)
     groups = reps.select("fp", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     groups = scratch.save(groups.select("fp", F.coalesce("component", "rep").alias("component_id")), "groups")
