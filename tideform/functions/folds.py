@@ -216,7 +216,7 @@ def retests(crosses: DataFrame, window: int = 5) -> DataFrame:
     return crosses.groupBy("symbol", "side").applyInPandas(run, "symbol string, side int, rearm string, retest string, level_id bigint, bar bigint, signal_bar bigint")
 
 
-def schedule(outcomes: DataFrame, per_day: int = 3) -> DataFrame:
+def schedule(outcomes: DataFrame, per_day: int = 3, by: tuple[str, ...] = ("symbol", "session_day")) -> DataFrame:
     """Outcomes worked out beforehand, admitted in entry order within a symbol's session: no overlap, ``per_day`` at most.
     Sessions are independent. Every offer comes back with its reason."""
 
@@ -228,9 +228,10 @@ def schedule(outcomes: DataFrame, per_day: int = 3) -> DataFrame:
             out.append(reason)
             if not reason:
                 busy, n = b, n + 1
-        return pd.DataFrame({"symbol": f["symbol"], "session_day": f["session_day"], "intent_id": f["intent_id"], "accepted": [not x for x in out], "reason": out})
+        return f[[*by, "intent_id"]].assign(accepted=[not x for x in out], reason=out)
 
-    return outcomes.groupBy("symbol", "session_day").applyInPandas(run, "symbol string, session_day bigint, intent_id bigint, accepted boolean, reason string")
+    kinds = ", ".join(f"{c} {outcomes.schema[c].dataType.simpleString()}" for c in by)
+    return outcomes.groupBy(*by).applyInPandas(run, f"{kinds}, intent_id bigint, accepted boolean, reason string")
 
 
 def xorshift_bits(n: int, seed: int = 76) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideform.functions import clusters, folds
-from tideform.operators import audit, bars, brackets, catalogue, contexts, execution, features, indicators, metrics, retests, signals, structure, universe
+from tideform.operators import audit, bars, brackets, candidates, catalogue, contexts, execution, features, indicators, metrics, retests, signals, structure, universe
 from tideform.plans import features as language
 from tideform.plans.sql import Plan, dialect
 from tideform.sources import tape
@@ -132,6 +132,7 @@ PLANS: dict[str, Plan] = {
         ("atr_brackets", (*HELD, execution.XBARS, brackets.REACHED, brackets.STRUCK), brackets.BRACKETS),
         ("managed_exits", PATHS, brackets.MANAGED),
         ("exact_decimal_r", HELD, brackets.EXACT_R),
+        ("candidate_outcomes", (*NUMBERED, *candidates.STEPS), (candidates.OUTCOMES, candidates.CHECK)),
         ("level_replacement", (*LEVELS, retests.REPLACED), retests.REPLACEMENT),
         ("first_return", (*RETURNING, retests.RETURNED), retests.FIRST_RETURN),
         ("close_reclaim", (*RETURNING, retests.RECLAIMED), retests.CLOSE_RECLAIM),
@@ -374,6 +375,14 @@ e AS (SELECT symbol, CAST(15 AS BIGINT) AS bar, avg(greatest(close_u - prev_clos
 SELECT symbol, bar, round(r, 6) AS rsi14, r >= 55 AS up, r <= 45 AS down FROM (SELECT symbol, bar, CASE WHEN u + dn > 0 THEN 100 * u / (u + dn) ELSE 50.0 END AS r FROM e)''',
     ),
     "gate_trend_strength": (lambda s, d: _gated(s, d, *_STRENGTH), _fold_sql() + f"SELECT symbol, bar, {_shut(**_STRENGTH)} FROM g"),
+    "candidate_trades": (
+        lambda s, d: folds.schedule(PLANS["candidate_outcomes"].run(s, d), by=("symbol", "mode", "session_day")),
+        _recursive(PLANS["candidate_outcomes"], "l", """o AS (SELECT symbol, mode, session_day, intent_id, entry_seq, exit_seq, row_number() OVER (PARTITION BY symbol, mode, session_day ORDER BY entry_seq, intent_id) AS k FROM l),
+a AS (SELECT symbol, mode, session_day, k, intent_id, exit_seq AS busy, 1 AS n, '' AS reason FROM o WHERE k = 1
+ UNION ALL SELECT symbol, mode, session_day, k, intent_id, CASE WHEN reason = '' THEN exit_seq ELSE busy END, CASE WHEN reason = '' THEN n + 1 ELSE n END, reason FROM (
+  SELECT o.symbol, o.mode, o.session_day, o.k, o.intent_id, o.exit_seq, a.busy, a.n, CASE WHEN o.entry_seq <= a.busy THEN 'OVERLAP' WHEN a.n >= 3 THEN 'DAILY_LIMIT' ELSE '' END AS reason
+  FROM a JOIN o ON o.symbol = a.symbol AND o.mode = a.mode AND o.session_day = a.session_day AND o.k = a.k + 1))""", "SELECT symbol, mode, session_day, intent_id, reason = '' AS accepted, reason FROM a"),
+    ),
     "retest_filter": (lambda s, d: folds.retests(CARRIER.run(s, d)), None),
     "daily_schedule": (
         lambda s, d: folds.schedule(OUTCOMES.run(s, d)),
