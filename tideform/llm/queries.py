@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideform.llm import bpe, embeddings, exact, html, licenses, mixing, ordinal, simhash, suffixes, toxicity
+from tideform.llm import bpe, embeddings, exact, html, licenses, mixing, ordinal, simhash, suffixes, toxicity, vector_codes, whitening
 from tideform.llm.common import table
 
 
@@ -65,6 +65,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("doc_id", "n_tokens", "rate", mixing.copies_of(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
