@@ -58,3 +58,19 @@ def text_or_empty(column: str = "text") -> Column:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An input table."""
     return spark.read.option(*UNVECTORED).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, columns: list[str] | None = None, nulls_first: bool = False) -> DataFrame:
+    """``docs`` with a long ``key`` that is the row's own, ordered by (identifier, text), and its text; null counts as empty.
+
+    Where identifiers are whole numbers, all there and all different, they are the keys. Else rows are sorted once over the
+    whole cluster and written with a number, since a number must outlive the loss of a task; rows without identifier come
+    after all others, or first. Returns ``(key, text, *columns)``.
+    """
+    rows = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"), *(columns or []))
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        n, ids = rows.agg(F.count("*"), F.count("key")).first()
+        if n == ids and rows.groupBy("key").count().where("count > 1").isEmpty():
+            return rows.withColumn("key", F.col("key").cast("bigint"))
+    order = F.col("key").asc_nulls_first() if nulls_first else F.col("key").asc_nulls_last()
+    return scratch.save(rows.orderBy(order, "text").withColumn("key", F.monotonically_increasing_id()), "numbered")

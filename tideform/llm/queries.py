@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideform.llm import bpe, embeddings, exact, html, licenses, mixing, ordinal, simhash, suffixes, toxicity, vector_codes, whitening
+from tideform.llm import bpe, embeddings, exact, html, licenses, mixing, ordinal, passages, simhash, suffixes, toxicity, vector_codes, whitening
 from tideform.llm.common import table
 
 
@@ -73,6 +73,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
