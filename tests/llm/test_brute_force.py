@@ -76,18 +76,19 @@ def test_domains_by_hand(spark):
         e = [math.exp(x - max(logs)) for x in logs]
         assert got[i] == pytest.approx([x / sum(e) for x in e], abs=1e-4)
     many = df.select("doc_id", F.concat(F.lit("d"), F.col("doc_id") % 100).alias("domain"))
-    names, post = mixing.domain_posteriors(df.drop("domain"), many)
-    assert len(names) == mixing.MAX_DOMAINS and mixing.OTHERS in names and post.where(f"size(posterior) = {len(names)}").count() == 240
+    assert len(mixing.fit_domains(df.drop("domain"), many)[0]) == 100
+    names, post = mixing.domain_posteriors(df.drop("domain"), many, domains=64)
+    assert len(names) == 64 and mixing.OTHERS in names and post.where(f"size(posterior) = {len(names)}").count() == 240
 
 
 def test_rows_that_repeat(spark, docs):
-    """Two equal rows give two equal results (for the second-occurrence rule of op5: that of their document)."""
+    """Two equal rows give two equal results (but for op5, which keeps the first of them whole)."""
     some = docs.orderBy("doc_id").limit(30).select("doc_id", "text")
     twice = some.unionByName(some)
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     pages = spark.read.parquet(f"{DATA}/pages.parquet").limit(20)
     for f in (
-        lambda d: licenses.license_scan(d, licenses.known_licenses(spark)), lambda d: bpe.bpe_digests(d, queries.word_bpe_path()), simhash.simhash_components, suffixes.remove_repeats,
+        lambda d: licenses.license_scan(d, licenses.known_licenses(spark)), lambda d: bpe.bpe_digests(d, queries.word_bpe_path()), simhash.simhash_components,
         lambda d: ordinal.quality_scores(d, labels), lambda d: toxicity.toxicity_scores(d, labels.select("doc_id", "toxic")), exact.exact_groups,
     ):
         seen = Counter(tuple(map(str, r)) for r in f(twice).collect())
@@ -114,16 +115,31 @@ def test_pipeline_stages_on_odd_rows(spark, odd, docs):
         assert stage(spark, odd.where("false"), DATA).count() == 0, name
         if name in ("toxicity", "mixing"):
             assert set(ids) <= {-1, -2, -3, -4, -5, -6} and (name == "mixing" or len(ids) == 7)
-        if name == "exact_dedup":  # null and "" are one text
-            assert sorted(ids) == [-6, -5, -4, -3, -3, -2]
+        if name == "exact_dedup":  # null and "" are one text; of two equal rows that share an identifier one stays
+            assert sorted(ids) == [-6, -5, -4, -3, -2]
         if name == "simhash_near_dedup":  # no words: null, empty and white space
-            assert sorted(ids) == [-6, -5, -4, -3, -3]
+            assert sorted(ids) == [-6, -5, -4, -3]
         if name == "bpe":
             assert len(ids) == 7
         else:
             assert out.columns == docs.columns
 
 
+def test_pipeline_keeps_rows_without_identifier(spark, docs):
+    """Every stage decides about rows: a missing or shared identifier loses none, and of copies exactly one stays."""
+    import corpus_pipeline as p
+
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, long), (None, "another " * 9 + "text"), (4, "third text of its own"), (None, long), (7, long + " more"), (4, "a fourth text that shares an identifier"), (9, "third text of its own")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    kept = lambda stage: sorted((str(r.doc_id), r.text) for r in stage(spark, df, DATA).collect())
+    want = [("4", rows[2][1]), ("4", rows[5][1]), ("7", rows[4][1]), ("None", rows[1][1]), ("None", long)]
+    assert kept(p.drop_copies) == sorted(want)
+    assert kept(p.drop_near_copies) == sorted(w for w in want if w != ("None", long))  # near copies keep the one that has an identifier
+    assert kept(p.drop_toxic) == sorted((str(i), t) for i, t in rows)
+    assert kept(p.mix_domains) == sorted((str(i), t) for i, t in rows)  # no labelled rows: all are drawn
+
+
 def test_stages_by_brute_force(spark, docs):
     """Exact dedup, mixing and encoding against plain versions over the same rows."""
     import corpus_pipeline as p

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -68,6 +69,33 @@ def test_built_in_licenses_match_themselves(spark):
     assert licenses.license_scan(docs, known).where("license_id is null").count() == 0
 
 
+def test_licenses_in_several_typesettings(spark):
+    """Both engines know each licence again however it is typeset, and agree on all digests."""
+    known = licenses.license_rows() + licenses.full_rows()
+    rows, want = [], {}
+
+    def add(text, name):
+        want[len(rows)] = name
+        rows.append((len(rows), text))
+
+    for name, text in known:
+        add(text, name)
+        add("# Copyright (c) 2019, 2021 \u00c9mile Zola\r\n * \u00a9 Somebody\n\n" + text.upper(), name)
+        add("Copyright 2020 A\nCopyright 2021 B\nCopyright by C\n" + text.replace('"', "\u201d").replace("'", "\u2019").replace("-", "\u2014").replace(" ", "\u00a0", 40), name)
+        add("\ufeff" + re.sub(r"\blicense\b", "licence", text.replace("\n", "\n\n \u2022 ")), name)
+        add(text + "\nand more", None)
+        add(text[: len(text) // 2], None)
+    add("Copyright holders be liable", None)
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(df, licenses.known_licenses(spark)).collect()}
+    same = {n: got[i].license_id for i, n in want.items() if n and rows[i][1] in dict(known).values()}  # names that share a form
+    assert {i: got[i].license_id for i in want} == {i: n and same[n] for i, n in want.items()}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    theirs = con.execute(queries.license_sql()).fetchall()
+    assert {i: (n, h) for i, n, h in theirs} == {i: (r.license_id, r.canonical_sha256) for i, r in got.items()}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
@@ -282,10 +310,17 @@ def test_windows_with_colliding_digests(monkeypatch):
     assert met == want and any(met)
 
 
-def test_suffixes_without_identifier(spark):
-    text = "".join(random.Random(1).choices("abcdefgh", k=300))
-    got = suffixes.remove_repeats(spark.createDataFrame([(None, text), (-1, text), (3, "x" + text)], "doc_id long, text string")).collect()
-    assert {r.doc_id: r.n_removed for r in got} == {None: 0, -1: 300, 3: 300}
+def test_suffixes_of_rows_without_or_with_one_identifier(spark):
+    """Each row is a document: rows without identifier first, rows of one identifier in the order of their texts."""
+    rng = random.Random(1)
+    a, b, c = ("".join(rng.choices("abcdefgh", k=n)) for n in (408, 250, 130))
+    rows = [(None, a), (None, "x" * 20), (None, b), (3, "x" + a), (5, c), (5, b), (5, "y" + c), (-1, b)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed) for r in got) == Counter(
+        [(None, 408, 0), (None, 20, 0), (None, 250, 0), (-1, 250, 250), (3, 409, 408), (5, 130, 0), (5, 250, 250), (5, 131, 130)]
+    )
+    twice = suffixes.remove_repeats(spark.createDataFrame([(4, a), (4, a)], "doc_id int, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in twice) == [(4, 0), (4, 408)]
 
 
 def test_long_texts_in_pieces(spark, monkeypatch):
@@ -481,6 +516,19 @@ def test_restore():
     assert toxicity.restore("m0r0n", model) == "moron" and toxicity.restore("soooo", model) in ("so", "soo")
 
 
+def test_words_cut_in_pieces_of_any_length():
+    """Pieces that spell a rule are decoded together, whatever their length; neighbours that are words by themselves stay apart."""
+    text = "the stupid station of this district stood in distant dust and studied the lapidary inscription " * 30
+    counts = np.zeros(toxicity.SIZE**3)
+    x = toxicity._CODE[np.frombuffer(f"  {text} ".encode(), np.uint8)].astype(np.int64)
+    counts += np.bincount((x[:-2] * toxicity.SIZE + x[1:-1]) * toxicity.SIZE + x[2:], minlength=len(counts))
+    scorer = toxicity._Scorer({"stupid$": 0.95, "lapi": 0.95}, toxicity.log_model(counts))
+    for cut in ("stu pid", "s tupid", "stup id", "st upid", "stu p1d", "stu pid!", "s t u p i d", "stu\n\npid", "$tu pid", "lap idary"):
+        assert scorer.score(f"the district {cut} stood") >= toxicity.CERTAIN, cut
+    for clean in ("the district stood", "stu and pid", "distupid", "dust upon", "the stu pi", "la pis"):
+        assert scorer.score(clean) < toxicity.CERTAIN, clean
+
+
 # 9
 
 

@@ -22,25 +22,25 @@ SPELLINGS = (
     ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("sub license", "sublicense"),
     ("sub licenses", "sublicenses"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 )
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# For the checking SQL only: a line that opens with a copyright mark, whatever comment sign stands before it, up to its end.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|copr\.|\(c\)|©)[^a-z\n][^\n]*"
-# A notice: such a mark with a year (or the place for one), a second mark or "by", up to the line's end or to where the licence
-# itself begins on that line. Other lines that begin with the word belong to the licence ("copyright holders be liable").
+# A notice opens a line: a copyright mark, whatever comment sign stands before it, with a year (or the place for one), a second
+# mark or "by", up to the line's end or to where the licence itself begins on that line. Other lines that begin with the word
+# belong to the licence ("copyright holders be liable"). Kept free of look-around, so that other engines read it too.
 COPYRIGHT_NOTICE = (
-    r"(^|\n)[^a-z0-9\n]*(?:(?:copyright|copr\.|©)[^a-z0-9\n]*(?:\(c\)|©|[12][0-9]{3}|19yy|<?\[?(?:year|yyyy)\b|by )|©|\(c\)[^a-z0-9\n]*(?:copyright|[12][0-9]{3}))"
-    r"[^\n]*?(?=\n|\z|permission is hereby granted|permission to use,|redistribution and use|this software is provided|licensed under)"
+    r"^[^a-z0-9]*(?:(?:copyright|copr\.|©)[^a-z0-9]*(?:\(c\)|©|[12][0-9]{3}|19yy|<?\[?(?:year|yyyy)\b|by )|©|\(c\)[^a-z0-9]*(?:copyright|[12][0-9]{3}))"
+    r".*?($|permission is hereby granted|permission to use,|redistribution and use|this software is provided|licensed under)"
 )
-NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+# What separates words: anything in ASCII but letters and digits, no-break and other wide spaces, and typographic quotes, dashes,
+# bullets and signs (Latin-1 signs, general punctuation, CJK punctuation, byte order mark).
+NOT_WORD = r"[^a-z0-9\x{C0}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{FEFE}\x{FF00}-\x{10FFFF}]+"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case (A-Z), no copyright notices, words joined by two spaces, one spelling for each word.
+    """Lower case, no copyright notices, words joined by two spaces, one spelling for each word.
 
     Equal texts up to these have equal canonical forms; a text of punctuation only becomes empty.
     """
-    out = F.translate(text, UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT_NOTICE, "$1")
+    out = F.lower(F.replace(text, F.lit("\r"), F.lit("\n")))
+    out = F.array_join(F.transform(F.split(out, "\n"), lambda line: F.regexp_replace(line, COPYRIGHT_NOTICE, "$1")), "\n")
     # Two spaces between words give each word a space of its own on either side, so neighbours are replaced alike.
     out = F.regexp_replace(out, NOT_WORD, "  ")
     out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))

@@ -20,8 +20,7 @@ from tideform.llm.common import Scratch, text_or_empty
 
 TRAIN_ROWS = 20_000  # labelled documents that the classifier is fitted on, at most
 VOCABULARY = 128  # words that the classifier looks at: those whose frequency differs most between the domains
-MAX_DOMAINS = 64  # domains told apart; where there are more, the smallest ones count together as OTHERS
-OTHERS = "*"
+OTHERS = "*"  # the name under which the smallest domains count together, if a caller bounds their number
 DIGITS = 4  # places of a posterior
 PASSES, CLOSE = 400, 1e-5  # passes of a round at most; misses that count as none, as a share of all tokens
 RIDGE, ROUNDS = 1e-2, 4  # pull towards the rates of the round before
@@ -38,17 +37,18 @@ def _row_of(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, vocabulary: int = VOCABULARY, domains: int = MAX_DOMAINS) -> tuple[list[str], list[float], dict[str, list[float]]]:
+def fit_domains(docs: DataFrame, labelled: DataFrame, vocabulary: int = VOCABULARY, domains: int | None = None) -> tuple[list[str], list[float], dict[str, list[float]]]:
     """Domains, their base scores and the words' scores, from ``labelled`` (doc_id, domain).
 
     At most TRAIN_ROWS labelled documents are used (those with the smallest hash); words are the ``vocabulary`` ones whose
-    frequency differs most between domains. Of more than ``domains`` domains the smallest count together as OTHERS.
+    frequency differs most between domains. All domains are told apart, unless ``domains`` bounds their number: then the
+    smallest count together as OTHERS.
     """
     one = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min(F.col("domain").cast("string")).alias("domain"))
     some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)  # a bounded table: safe to broadcast
     train = docs.select("doc_id", F.array_distinct(_words(text_or_empty())).alias("words")).join(F.broadcast(some), "doc_id")
-    largest = train.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(domains + 1).collect()
-    if len(largest) > domains:
+    largest = train.groupBy("domain").count().orderBy(F.desc("count"), "domain").collect()  # at most TRAIN_ROWS
+    if domains and len(largest) > domains:
         own = [r["domain"] for r in largest[: domains - 1]]
         train = train.withColumn("domain", F.when(F.col("domain").isin(own), F.col("domain")).otherwise(OTHERS))
         largest = train.groupBy("domain").count().collect()
@@ -70,7 +70,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, vocabulary: int = VOCABULA
     return names, base, scores
 
 
-def domain_posteriors(docs: DataFrame, labelled: DataFrame, vocabulary: int = VOCABULARY, domains: int = MAX_DOMAINS) -> tuple[list[str], DataFrame]:
+def domain_posteriors(docs: DataFrame, labelled: DataFrame, vocabulary: int = VOCABULARY, domains: int | None = None) -> tuple[list[str], DataFrame]:
     """Names of the domains, and ``(doc_id, n_tokens, posterior array<double>)`` for every row of ``docs``."""
     names, base, scores = fit_domains(docs, labelled, vocabulary, domains)
     words = docs.select("doc_id", _words(text_or_empty()).alias("words"))
@@ -127,7 +127,7 @@ def fit_rates(mass: Callable[[list[float]], list[float]], own: list[float], want
 
 def mixing_rates(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | float, total: float | str = "same", cap: float | None = None,
-    vocabulary: int = VOCABULARY, domains: int = MAX_DOMAINS,
+    vocabulary: int = VOCABULARY, domains: int | None = None,
 ) -> DataFrame:
     """Rates at which documents are to be drawn so that domains reach their target weights.
 

@@ -164,7 +164,7 @@ def near_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, ske
     Returns one row per input row: ``(id_col, component_id)``; the component is the smallest identifier reachable by
     such pairs, the row's own included. No pair below the similarity is ever linked; at 0.8, eight sketches let 3 in a
     million of the pairs above it not meet. Equal sets always link, so do texts without words. Null texts count as
-    empty; identifiers are expected to be unique and not null. Extra columns are ignored.
+    empty; identifiers must be unique and not null (see ``common.numbered``). Extra columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))

@@ -216,8 +216,10 @@ def simhash_components(docs: DataFrame, size: int = 5, words: int = 4, radius: i
 
     Returns one row per input row: ``(id_col, fp array<bigint>, component_id)``; the component is the smallest
     identifier reachable by links, the row's own included. Null texts count as empty; texts without words have a zero
-    fingerprint and link like any other. Equal fingerprints always link. Identifiers are expected to be unique and not
-    null; a repeated one keeps its rows, all in the group of its smallest fingerprint link. Empty tables give empty
+    fingerprint and link like any other. Equal fingerprints always link. A repeated identifier
+    keeps its rows, each in the group of its own fingerprint. Rows without identifier belong to the group of their
+    fingerprint like others and never name it: a group of such rows only has a null component, and a fingerprint that
+    only they have makes no links to other fingerprints. Empty tables give empty
     results; extra columns are ignored.
 
     The radius bounds differing bits, which follow similarity only roughly: at a shingle similarity of 0.8 about 38.8 of

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideform.llm.common import Scratch, text_or_empty
+from tideform.llm.common import Scratch, numbered
 
 LENGTH, GRAM = 100, 32
 BUCKET_ROWS = 1_000_000  # suffixes of a bucket aimed at; a task holds one bucket at a time
@@ -36,7 +36,6 @@ _P = 0x100000001B3
 LEADS = [f"lead{k}" for k in range(GRAM // 8)]
 ANCHOR = np.dtype([*((n, ">u8") for n in LEADS), ("cover", ">u8"), ("doc", ">u8"), ("pos", ">u4"), ("lo", "u1"), ("hi", "u1")])
 KEY = np.dtype([(n, ANCHOR[n]) for n in (*LEADS, "cover", "doc")])
-NO_ID = -(2**63)
 
 
 def _gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -348,7 +347,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed, spans = sum(ends) - sum(starts), len(starts)
             for n, v in zip(names, (len(raw), removed, spans, hashlib.sha256(b"".join(kept)).hexdigest())):
                 cols[n].append(v)
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(cols[n], pa.string() if n == "kept_sha256" else pa.int64()) for n in names)], names=["doc_id", *names])
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(cols[n], pa.string() if n == "kept_sha256" else pa.int64()) for n in names)], names=["id", *names])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -356,14 +355,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes (null: empty); earlier means a smaller identifier, or an earlier start in the same document;
     strings are judged on the input and never cross documents. Returns one row per input row:
-    ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``. Identifiers are integers; rows that share one are taken for
-    the same document and must share its text (each gets that document's result); rows without one come before all
-    others and are one document likewise. Extra columns are ignored; an empty table gives an empty result.
+    ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``. Each row is a document of its own, also where identifiers
+    repeat or are missing: rows without one come before all others, and rows that share one are in the order of their
+    texts, so of two equal rows one is kept whole. Extra columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    found = repeated_windows(rows, scratch, hot, bucket_rows)
+    rows = numbered(docs, id_col, text_col, scratch, [F.col(id_col).alias("id")], nulls_first=True).withColumnRenamed("key", "doc_id")
+    found = repeated_windows(rows.select("doc_id", "text"), scratch, hot, bucket_rows)
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("s")).select("doc_id", F.col("s.first").alias("firsts"), F.col("s.last").alias("lasts"))
-    joined = rows.join(spans, "doc_id", "left").select("doc_id", "text", "firsts", "lasts")
-    out = joined.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    joined = rows.join(spans, "doc_id", "left").select("id", "text", "firsts", "lasts")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return joined.mapInArrow(_cut, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("id", id_col)

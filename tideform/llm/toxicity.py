@@ -12,10 +12,13 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,11 +34,12 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 COST_SWAP, COST_REPEAT, COST_KEEP_REPEAT, COST_DOUBLE, COST_JOIN = 1.0, 0.3, 1.5, 3.0, 0.2
+COST_CUT = 2.0  # for a space between tokens that look like words: most of those are just that
 # Signs without a letter to stand for, and runs of one sign, are likely noise; digits hardly ever are.
 COST_DROP_NOISE, COST_DROP_SIGN, COST_DROP_DIGIT = 1.0, 4.0, 7.5
 TRAIN_ROWS = 20_000  # labelled texts that the rules are fitted on, at most
 MIN_PREFIX, MAX_PREFIX = 4, 8
-CACHE_ROWS = 600_000
+CACHE_ROWS, RUNS = 400_000, 50_000
 REMEMBERED = 64  # tokens up to this length are remembered once restored; longer ones are restored each time
 FRAGMENTS = re.compile(r"(?<!\S)(?:\S{1,3}\s+){2,}\S{1,3}(?!\S)")
 DOUBLED = re.compile(r"(.)\1", re.S)
@@ -85,10 +89,10 @@ def log_model(counts: np.ndarray) -> list:
     return np.log(p3).tolist()
 
 
-def decode(written: str, model: list) -> str:
+def decode(written: str, model: list, join: float = COST_JOIN) -> str:
     """Likeliest letters behind lower-case characters; a space may be dropped, or stays as the end of a word.
 
-    Linear in the length: a state is the last two letters and the last one as text, and its text is a chain of letters that
+    ``join`` is what a dropped space costs. Linear in the length: a state is the last two letters and the last one as text, and its text is a chain of letters that
     states share. Runs of one character count as three at most.
     """
     written = STRETCHED.sub(r"\1\1\1", written)
@@ -105,7 +109,7 @@ def decode(written: str, model: list) -> str:
         options = [(ch, 0.0)] if letter_written else [(x, COST_SWAP) for x in STANDS_FOR.get(ch, "")]
         for (a, b, last), (cost, chain) in beam.items():
             if ch == " ":
-                offer((a, b, last), cost + COST_JOIN, chain)
+                offer((a, b, last), cost + join, chain)
                 if b != EDGE:
                     offer((b, EDGE, " "), cost - model[a][b][EDGE], (" ", chain))
                 continue
@@ -282,37 +286,68 @@ def _own_words(strong: dict[str, float], found: dict[str, frozenset]) -> list[st
 
 
 class _Scorer(dict):
-    """Token to the chance that it leaves of a text being clean (1.0 where no rule meets it)."""
+    """Token to its restored form and the chance that it leaves of a text being clean (1.0 where no rule meets it)."""
 
     def __init__(self, rules: dict[str, float], model: list) -> None:
         self.rules, self.model = rules, model
         words = sorted({f.rstrip("$") for f in rules})
         self.hint = re.compile("|".join(map(re.escape, words))) if words else None
+        self.marks = ahocorasick.Automaton()
+        for w in words:
+            self.marks.add_word(w, len(w))
+        self.marks.make_automaton()
+        self.runs: dict[tuple[str, float], list[str]] = {}
 
     def word(self, w: str) -> float:
         return min((1 - self.rules[f] for f in features({w}) if f in self.rules), default=1.0) if w else 1.0
 
-    def __missing__(self, token: str) -> float:
+    def __missing__(self, token: str) -> tuple[str, float]:
         word = _plain(token)
-        out = min(self.word(w) for w in {word, restore(word, self.model)})
+        read = restore(word, self.model)
+        out = read.replace(" ", ""), min(self.word(w) for w in {word, read})
         if len(self) >= CACHE_ROWS:
             self.clear()
         if len(token) <= REMEMBERED:
             self[token] = out
         return out
 
+    def decoded(self, run: str, join: float = COST_JOIN) -> list[str]:
+        if (out := self.runs.get((run, join))) is None:
+            out = decode(run, self.model, join).split()
+            if len(self.runs) >= RUNS:
+                self.runs.clear()
+            self.runs[run, join] = out
+        return out
+
+    def cut(self, tokens: list[str], read: list[str]) -> Iterator[str]:
+        """Runs of tokens that, joined, begin with a word or stem of a rule that no token holds by itself."""
+        joined = "".join(read)
+        hits = [(end - n + 1, end + 1) for end, n in self.marks.iter(joined)]
+        if not hits:
+            return
+        ends = list(accumulate(map(len, read)))
+        for begin, end in hits:
+            i, j = bisect_right(ends, begin), bisect_left(ends, end)
+            if i < j and ends[i] - len(read[i]) == begin:  # from the start of a token into another
+                yield " ".join(filter(None, map(_plain, tokens[i : j + 1])))
+
     def score(self, text: str) -> float:
         if not self.rules:
             return PRIOR
-        found = set(text.split())
+        tokens = text.split()
+        known = {t: self[t] for t in set(tokens)}
+        found = set(known)
         for run, spelt in _fragments(text):
             joined = run.replace(" ", "")
             if spelt:
                 found.add(joined)
             # Longer fragments are common in plain text: decoded where, joined, they hold a word or stem of a rule.
             if spelt or self.hint.search(joined):
-                found.update(decode(run, self.model).split())
-        return 1 - (1 - PRIOR) * math.prod(sorted(p for x in found if (p := self[x]) != 1.0))
+                found.update(self.decoded(run))
+        # So are words that stand beside each other: a word cut in pieces of any length is decoded where they spell a rule.
+        for run in set(self.cut(tokens, [known[t][0] for t in tokens])):
+            found.update(self.decoded(run, COST_CUT))
+        return 1 - (1 - PRIOR) * math.prod(sorted(p for x in found if (p := self[x][1]) != 1.0))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
