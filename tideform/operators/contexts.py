@@ -3,15 +3,13 @@
 VOLATILITY = """
 SELECT symbol, bar, round(atr14 / nullif(atr50, 0), 6) AS ratio, atr14 / nullif(atr50, 0) >= 1.1 AS expanding, atr14 / nullif(atr50, 0) <= 0.9 AS calm FROM atrs WHERE atr50 IS NOT NULL"""
 
-SMOOTHING = """
-SELECT symbol, period, count_if(tr >= 1.5 * before) AS shocks, count(before) AS bars FROM (
-  SELECT symbol, period, tr, lag(a) OVER (PARTITION BY symbol, period ORDER BY bar) AS before FROM (
-    SELECT symbol, 7 AS period, bar, tr, CASE WHEN bar >= 7 THEN avg(tr) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END AS a FROM tr
-    UNION ALL SELECT symbol, 14, bar, tr, CASE WHEN bar >= 14 THEN avg(tr) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END FROM tr
-    UNION ALL SELECT symbol, 20, bar, tr, CASE WHEN bar >= 20 THEN avg(tr) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END FROM tr
-    UNION ALL SELECT symbol, 28, bar, tr, CASE WHEN bar >= 28 THEN avg(tr) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) END FROM tr
-    UNION ALL SELECT symbol, 50, bar, tr, CASE WHEN bar >= 50 THEN avg(tr) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END FROM tr))
-GROUP BY symbol, period"""
+#: Simple averages of the range over each period, in one pass over the bars, and the shocks against them.
+PERIODS = (7, 10, 14, 20, 28, 50)
+_MEANS = ", ".join(f"CASE WHEN bar >= {n} THEN avg(tr) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END AS a{n}" for n in PERIODS)
+_BEFORE = ", ".join(f"lag(a{n}) OVER (PARTITION BY symbol ORDER BY bar) AS a{n}" for n in PERIODS)
+SMOOTHING = f"""
+SELECT symbol, v.period, count(CASE WHEN tr >= 1.5 * CASE v.period {" ".join(f"WHEN {n} THEN a{n}" for n in PERIODS)} END THEN 1 END) AS shocks, count(CASE v.period {" ".join(f"WHEN {n} THEN a{n}" for n in PERIODS)} END) AS bars
+FROM (SELECT symbol, tr, {_BEFORE} FROM (SELECT symbol, bar, tr, {_MEANS} FROM tr)) CROSS JOIN (VALUES {", ".join(f"({n})" for n in PERIODS)}) AS v(period) GROUP BY symbol, v.period"""
 
 #: What a shock may be measured by, against the range average before it.
 NUMERATORS = """

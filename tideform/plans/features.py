@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideform.functions.folds import ema_int
+from tideform.functions.scans import Average, averages
 
 # Names of operators.
 QUOTES = ("BID", "ASK", "SPREAD")
@@ -179,15 +180,18 @@ class Graph:
         self.tables[node.clock] = table
 
     def _smoothed(self, table: DataFrame, node: Node, a: Column) -> DataFrame:
+        """Over bars in one pass a symbol; over quotes block by block, each from the value that the ones before it lead to."""
+        rows = table.select("symbol", "seen", a.alias("a"))
         if 0 in node.clock:
-            raise ValueError("EMA of quotes would pass a symbol's whole tape through one task; take it of bars")
+            own = averages(rows.where("a is not null"), "seen", [Average(node.name, "a", "ema_int", node.parameter)]).drop("a")
+            return table.join(own, ["symbol", "seen"], "left")
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
             f = frame.sort_values("seen")
             out = ema_int(f["a"].to_numpy(), node.parameter)
             return pd.DataFrame({"symbol": f["symbol"], "seen": f["seen"], node.name: out})[node.parameter - 1 :]
 
-        own = table.select("symbol", "seen", a.alias("a")).where("a is not null").groupBy("symbol").applyInPandas(run, f"symbol string, seen bigint, {node.name} bigint")
+        own = rows.where("a is not null").groupBy("symbol").applyInPandas(run, f"symbol string, seen bigint, {node.name} bigint")
         return table.join(own, ["symbol", "seen"], "left")
 
     def _looking_back(self, table: DataFrame, node: Node, a: Column, b: Column | None) -> DataFrame:

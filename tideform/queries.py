@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideform.functions import clusters, folds
+from tideform.functions import clusters, folds, scans
 from tideform.operators import audit, bars, brackets, candidates, catalogue, contexts, execution, features, indicators, metrics, retests, signals, structure, universe
 from tideform.plans import features as language
 from tideform.plans.sql import Plan, dialect
@@ -312,6 +312,38 @@ SELECT symbol, seen, seen AS version, away, lag2, high16, over_close AS over, CA
     CASE WHEN lag(c) OVER w IS NOT NULL THEN lag(bid_u) OVER w <= lag(c) OVER w AND bid_u > c END AS over_close, ask_u - bid_u > 1 AS wide FROM t WINDOW w AS (PARTITION BY symbol ORDER BY seq))"""
 
 
+OVER_TAPE = {"bid": "BID", "close": f"CLOSE:{HOUR}", "away": "SUB:bid:close", "fast": "EMA:bid:$fast", "slow": "EMA:bid:$slow", "drift": "EMA:away:50", "up": "CROSS_UP:fast:slow"}
+_TAPE_SQL = f"""WITH RECURSIVE ticks AS ({_TICK_VIEW}), c1 AS ({_CLOSED.format(HOUR)}),
+t AS (SELECT t.symbol, t.seq, t.bid_u AS c, t.bid_u - c1.c AS away FROM ticks t ASOF LEFT JOIN c1 ON c1.symbol = t.symbol AND c1.seen <= t.seq),
+e AS (SELECT symbol, seq, c AS e12, c AS e80 FROM t WHERE seq = 1 UNION ALL SELECT b.symbol, b.seq, e.e12 + {_CUT.format('e12', 13)}, e.e80 + {_CUT.format('e80', 81)} FROM e JOIN t b ON b.symbol = e.symbol AND b.seq = e.seq + 1),
+a AS (SELECT symbol, seq, away AS c, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS n FROM t WHERE away IS NOT NULL),
+d AS (SELECT symbol, seq, n, c AS e50 FROM a WHERE n = 1 UNION ALL SELECT b.symbol, b.seq, b.n, d.e50 + {_CUT.replace('e.{0}', 'd.{0}').format('e50', 51)} FROM d JOIN a b ON b.symbol = d.symbol AND b.n = d.n + 1),
+v AS (SELECT e.symbol, e.seq, CASE WHEN e.seq >= 12 THEN e12 END AS fast, CASE WHEN e.seq >= 80 THEN e80 END AS slow, CASE WHEN d.n >= 50 THEN d.e50 END AS drift FROM e LEFT JOIN d ON d.symbol = e.symbol AND d.seq = e.seq)
+SELECT symbol, seq AS seen, seq AS version, fast, slow, drift, CASE WHEN lag(slow) OVER w IS NOT NULL THEN lag(fast) OVER w <= lag(slow) OVER w AND fast > slow END AS up FROM v WINDOW w AS (PARTITION BY symbol ORDER BY seq)"""
+
+
+def _averaged(spark: SparkSession, sf_dir: str, specs: list[scans.Average]) -> DataFrame:
+    rows = written(BARS_TR.run(spark, sf_dir).select("symbol", "bar", "close_u", "tr"), "bars")
+    return scans.averages(rows, "bar", specs).select("symbol", "bar", *(F.round(s.name, 6).alias(s.name) for s in specs))
+
+
+# Periods of the averages of closes, and of the ranges.
+EMA_PERIODS = (5, 8, 9, 10, 13, 18, 20, 21, 26, 34, 35, 44, 50, 53, 55, 70, 79, 88, 89, 100, 105, 131, 140, 144, 158, 200, 210)
+ATR_PERIODS = (7, 10, 14, 20, 28, 50)
+CLOSE_AVERAGES = [scans.Average(f"e{n}", "close_u", "ema", n) for n in EMA_PERIODS]
+RANGE_AVERAGES = [scans.Average(f"{kind}{n}", "tr", kind, n) for kind in ("wilder", "ema") for n in ATR_PERIODS]
+
+
+def _averages_sql(specs: list[scans.Average]) -> str:
+    """The same averages as one recursion over a symbol's bars."""
+    sums = ", ".join(f"sum({v}) OVER w AS sum_{v}" for v in dict.fromkeys(s.value for s in specs))
+    step = ", ".join(f"CASE WHEN b.bar = {s.n} THEN CAST(b.sum_{s.value} AS DOUBLE) / {s.n} WHEN b.bar > {s.n} THEN e.{s.name} + CAST({s.alpha!r} AS DOUBLE) * (b.{s.value} - e.{s.name}) END AS {s.name}" for s in specs)
+    return f"""WITH RECURSIVE b AS (SELECT *, {sums} FROM ({BARS_TR.text(False)}) WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e AS (SELECT symbol, bar, {', '.join(f'CAST(NULL AS DOUBLE) AS {s.name}' for s in specs)} FROM b WHERE bar = 1
+ UNION ALL SELECT b.symbol, b.bar, {step} FROM e JOIN b ON b.symbol = e.symbol AND b.bar = e.bar + 1)
+SELECT symbol, bar, {', '.join(f'round({s.name}, 6) AS {s.name}' for s in specs)} FROM e"""
+
+
 def _near_ema(boxes: DataFrame, emas: DataFrame) -> DataFrame:
     """Boxes that contract, are narrow against the range, and lie around the average."""
     rows = boxes.where("atr14 is not null").join(emas.where("ema8 is not null").select("symbol", "bar", "ema8"), ["symbol", "bar"])
@@ -336,6 +368,9 @@ SELECT symbol, bar, side, trend, strong, momentum, recent, trend AND strong AND
     "feature_operators": (lambda s, d: _graph(s, d, EVERY_OPERATOR, OPERATOR_OUTPUTS).values(*OPERATOR_OUTPUTS), _OPERATORS_SQL),
     "feature_program": (_program, _PROGRAM_SQL),
     "feature_quotes": (lambda s, d: _graph(s, d, OVER_QUOTES, ["lag2", "high16", "sig"]).values("away", "lag2", "high16", "over", "sig"), _QUOTES_SQL),
+    "feature_tape_ema": (lambda s, d: language.Graph(written(PLANS["tick_view"].run(s, d), "ticks"), language.compile_graph(OVER_TAPE, ["drift", "up"], {"fast": 12, "slow": 80})).values("fast", "slow", "drift", "up"), _TAPE_SQL),
+    "ind_ema_periods": (lambda s, d: _averaged(s, d, CLOSE_AVERAGES), _averages_sql(CLOSE_AVERAGES)),
+    "atr_smoothings": (lambda s, d: _averaged(s, d, RANGE_AVERAGES), _averages_sql(RANGE_AVERAGES)),
     "feat_ema_int": (
         lambda s, d: folds.indicator_folds(BARS_TR.run(s, d)).select("symbol", "bar", "ema_int5"),
         _recursive(BARS_TR, "b", """e AS (SELECT symbol, bar, close_u AS ema_int5 FROM b WHERE bar = 1
