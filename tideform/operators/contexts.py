@@ -59,20 +59,9 @@ WHERE CASE v.cond WHEN 'body' THEN s.side * (b.close_u - b.open_u) > 0
 INTERACTIONS = """
 SELECT a.symbol, a.side, a.cond AS cond_a, b.cond AS cond_b, count(*) AS n, min(a.bar) AS first_bar FROM conditions a JOIN conditions b ON b.symbol = a.symbol AND b.bar = a.bar AND b.side = a.side AND a.cond < b.cond
 GROUP BY a.symbol, a.side, a.cond, b.cond"""
-PAIR_MASKS = ("pair_masks", """
-SELECT symbol, cond_a || '&' || cond_b AS config, SETKEY(mark) AS ids, count(*) AS events FROM (
-  SELECT a.symbol, a.cond AS cond_a, b.cond AS cond_b, CAST(a.bar * a.side AS VARCHAR(20)) AS mark FROM conditions a JOIN conditions b ON b.symbol = a.symbol AND b.bar = a.bar AND b.side = a.side AND a.cond < b.cond)
-GROUP BY symbol, cond_a, cond_b""")
-#: Signed masks with equal content are aliases of the smallest name.
-TERNARY = "SELECT symbol, config, min(config) OVER (PARTITION BY symbol, ids) AS canonical, SHA(ids) AS mask_sha, events FROM pair_masks"
+#: Signed marks of each pair of conditions, a mask for each symbol and pair.
+PAIR_MARKS = """
+SELECT a.symbol, a.cond || '&' || b.cond AS config, a.bar * a.side AS number FROM conditions a JOIN conditions b ON b.symbol = a.symbol AND b.bar = a.bar AND b.side = a.side AND a.cond < b.cond"""
 
-#: Every configuration once, equal masks with equal counts, parts summing to the whole.
-RESULT_AUDIT = """
-SELECT symbol, count(*) AS configs, count(DISTINCT config) AS distinct_configs, count(DISTINCT ids) AS classes, CAST(sum(events) AS BIGINT) AS events, count_if(low <> high) AS unequal FROM (
-  SELECT symbol, config, ids, events, min(events) OVER (PARTITION BY symbol, ids) AS low, max(events) OVER (PARTITION BY symbol, ids) AS high FROM pair_masks) GROUP BY symbol"""
-
-#: Order-free roots of event identities in shards by prefix, and classes merged from group results.
-ROOTS = "SELECT shard, n, SHA(ids) AS root FROM (SELECT shard, SETKEY(id) AS ids, count(*) AS n FROM (SELECT substring(id, 1, 1) AS shard, id FROM (SELECT SHA(body) AS id FROM (SELECT symbol || ':' || CAST(bar AS VARCHAR(20)) || ':' || CAST(side AS VARCHAR(20)) AS body FROM breaks))) GROUP BY shard)"
-MERGED = """
-SELECT class_hash, min(representative) AS representative, CAST(sum(aliases) AS BIGINT) AS aliases, max(events) AS events, count(DISTINCT ids) = 1 AS exact, count(*) AS parts FROM (
-  SELECT SHA(ids) AS class_hash, ids, symbol, min(symbol || ':' || config) AS representative, count(*) AS aliases, max(events) AS events FROM pair_masks GROUP BY ids, symbol) GROUP BY class_hash"""
+#: Identities of breaks, in shards by their first two characters.
+IDENTITIES = "SELECT id, substring(id, 1, 2) AS shard FROM (SELECT SHA(body) AS id FROM (SELECT symbol || ':' || CAST(bar AS VARCHAR(20)) || ':' || CAST(side AS VARCHAR(20)) AS body FROM breaks))"

@@ -47,9 +47,8 @@ SELECT symbol, bar, seen AS context_close, seen_strict AS context_close_strict F
     UNION ALL SELECT symbol, bar, bucket, 1, CAST(NULL AS BIGINT) FROM nb))
 WHERE kind = 1"""
 
-MASKS = ("masks", "SELECT symbol, threshold, side, SETKEY(bar_text) AS ids, count(*) AS events FROM (SELECT symbol, threshold, side, CAST(bar AS VARCHAR(20)) AS bar_text FROM shocks) GROUP BY symbol, threshold, side")
-CLASSES = """
-SELECT SHA(ids) AS class_hash, min(symbol || ':' || CAST(threshold AS VARCHAR(9)) || ':' || CAST(side AS VARCHAR(9))) AS representative, count(*) AS aliases, max(events) AS events, count(DISTINCT ids) = 1 AS exact FROM masks GROUP BY SHA(ids)"""
+#: A mask is the set of bars at which a configuration signals; packed and told apart by content in tideform.sources.masks.
+MARKS = "SELECT symbol || ':' || CAST(threshold AS VARCHAR(9)) || ':' || CAST(side AS VARCHAR(9)) AS config, symbol, bar AS number FROM shocks"
 JACCARD = """
 SELECT a.symbol, a.side, a.threshold AS threshold_a, b.threshold AS threshold_b, count(*) AS both_n, round(count(*) * 1.0 / (max(na.n) + max(nc.n) - count(*)), 6) AS jaccard
 FROM shocks a JOIN shocks b ON a.symbol = b.symbol AND a.side = b.side AND a.bar = b.bar AND a.threshold < b.threshold

@@ -33,11 +33,6 @@ TOKENS = {
     r"ZONED\((\w+)\)": (r"convert_timezone('America/New_York', 'Europe/London', \1)", r"timezone('Europe/London', timezone('America/New_York', \1))"),
     r"HOUROF\(": ("hour(", "hour("),
     r"FAILED\(": ("raise_error(", "error("),
-    # What a set of texts is known by, whatever their order: how many, and the sum of 60 bits of each one's digest.
-    r"SETKEY\((\w+)\)": (
-        r"concat(CAST(count(*) AS STRING), ':', CAST(sum(CAST(conv(substring(sha2(\1, 256), 1, 15), 16, 10) AS DECIMAL(38, 0))) AS STRING))",
-        r"concat(CAST(count(*) AS VARCHAR), ':', CAST(sum(CAST('0x' || substring(sha256(\1), 1, 15) AS HUGEINT)) AS VARCHAR))",
-    ),
     r"MATCHES\((\w+), ('[^']*')\)": (r"(\1 RLIKE \2)", r"regexp_matches(\1, \2)"),
 }
 

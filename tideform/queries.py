@@ -11,7 +11,7 @@ from tideform.functions import clusters, folds, scans
 from tideform.operators import audit, bars, brackets, candidates, catalogue, contexts, execution, features, indicators, metrics, retests, signals, structure, universe
 from tideform.plans import features as language
 from tideform.plans.sql import Plan, dialect
-from tideform.sources import tape
+from tideform.sources import masks, tape
 from tideform.sources.written import written
 
 TAPE = tape.TAPE
@@ -38,7 +38,6 @@ CROSSED = (*LEVELS, retests.INFORCE, retests.CROSSED, retests.CROSS_OPPOSED, ret
 PERIODS = (*LEDGER, metrics.PERIODS)
 BOXED = (*LEVELS, retests.BOX_MARKS, retests.BOX_STATE)
 PAIRED = (*SHOCKS, brackets.ATRS, contexts.CONDITIONS)
-MASKED = (*PAIRED, contexts.PAIR_MASKS)
 STATUS = (universe.DECODED, universe.STATUS)
 TOKENS = (universe.TOKENS, universe.PRIORS, universe.IDF)
 
@@ -113,7 +112,6 @@ PLANS: dict[str, Plan] = {
         ("persistence", NUMBERED, signals.PERSISTENCE),
         ("gate_session", (*TAPE, bars.bars(900_000, "m15"), signals.QUARTERS), signals.SESSION_GATE),
         ("mtf_asof", (*NUMBERED, bars.coarser(4, "b4")), signals.MTF),
-        ("mask_dedupe", (*SHOCKS, signals.MASKS), signals.CLASSES),
         ("jaccard_pairs", SHOCKS, signals.JACCARD),
         ("set_algebra", SHOCKS, signals.SETS),
         ("gate_zones", NUMBERED, catalogue.ZONES),
@@ -144,10 +142,6 @@ PLANS: dict[str, Plan] = {
         ("ctx_intensity", NUMBERED, contexts.INTENSITY),
         ("gap_conditioned", SHOCKS, contexts.GAP_KINDS),
         ("interactions", PAIRED, contexts.INTERACTIONS),
-        ("ternary_masks", MASKED, contexts.TERNARY),
-        ("result_audit", MASKED, contexts.RESULT_AUDIT),
-        ("content_roots", BREAKS, contexts.ROOTS),
-        ("mask_merge", MASKED, contexts.MERGED),
         ("universe_decode", STATUS[:1], "SELECT birth, expiry, fast, slow, stop FROM decoded"),
         ("universe_aliases", STATUS, universe.ALIASES),
         ("universe_account", STATUS, universe.ACCOUNT),
@@ -350,6 +344,48 @@ def _near_ema(boxes: DataFrame, emas: DataFrame) -> DataFrame:
     return rows.selectExpr("symbol", "bar", "coalesce(width < width1 and width1 < width2, false) as contracting", "width <= 3 * atr14 as narrow", "abs(middle - ema8) <= atr14 as near_ema")
 
 
+MARKS = Plan(*SHOCKS, select=signals.MARKS)
+PAIR_MARKS = Plan(*PAIRED, select=contexts.PAIR_MARKS)
+IDENTITIES = Plan(*BREAKS, select=contexts.IDENTITIES)
+
+
+def _packed(plan: Plan, by: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: written(masks.pack(plan.run(spark, sf_dir), by), "masks")
+
+
+def _unpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mask packed, written, read again and unpacked."""
+    packed = _packed(MARKS, ["config"])(spark, sf_dir)
+    read = masks.unpack(packed, ["config"]).groupBy("config").agg(F.count("*").alias("events"), F.min("number").alias("first_bar"), F.max("number").alias("last_bar"), F.sum("number").alias("total"))
+    return read.join(masks.masks(packed, ["config"]).select("config", "class_hash", "chunks"), "config")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of each symbol by itself, then the classes of those, by content again."""
+    packed = _packed(PAIR_MARKS, ["symbol", "config"])(spark, sf_dir)
+    groups = written(masks.classes(packed, ["symbol"], "config"), "classes")
+    named = F.concat_ws(":", "symbol", "config").alias("name")
+    first = packed.join(groups.select("symbol", F.col("representative").alias("config")), ["symbol", "config"], "left_semi")
+    merged = masks.aliases(first.select(named, "chunk", "n", "first", "last", "digest", "deltas"), [], "name")
+    parts = groups.select(F.concat_ws(":", "symbol", "representative").alias("name"), F.col("aliases").alias("own"))
+    return merged.join(parts, "name").groupBy("class_hash").agg(F.min("name").alias("representative"), F.sum("own").alias("aliases"), F.max("events").alias("events"), F.bool_and("same").alias("exact"), F.count("*").alias("parts"))
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations, classes by content, and masks that are unequal in spite of an equal digest."""
+    own = masks.aliases(_packed(PAIR_MARKS, ["symbol", "config"])(spark, sf_dir), ["symbol"], "config")
+    return own.groupBy("symbol").agg(F.count("*").alias("configs"), F.countDistinct("config").alias("distinct_configs"), F.countDistinct("class_hash").alias("classes"), F.sum("events").alias("events"), F.count_if(~F.col("same")).alias("unequal"))
+
+
+def _mask_sql(plan: Plan, by: str) -> str:
+    """Masks with the digest of their chunks' digests, and all their numbers as one text."""
+    floor = f"(number - ((number % {masks.SPAN}) + {masks.SPAN}) % {masks.SPAN}) // {masks.SPAN}"
+    return f"""WITH marks AS (SELECT DISTINCT {by}, number FROM ({plan.text(False)})),
+chunks AS (SELECT {by}, {floor} AS chunk, sha256(string_agg(CAST(number AS VARCHAR), ',' ORDER BY number)) AS digest, string_agg(CAST(number AS VARCHAR), ',' ORDER BY number) AS text, count(*) AS n, min(number) AS low, max(number) AS high, sum(number) AS total FROM marks GROUP BY ALL),
+m AS (SELECT {by}, sha256(string_agg(digest, ',' ORDER BY chunk)) AS class_hash, string_agg(text, ',' ORDER BY chunk) AS ids, CAST(sum(n) AS BIGINT) AS events, count(*) AS chunks, min(low) AS low, max(high) AS high, CAST(sum(total) AS BIGINT) AS total FROM chunks GROUP BY {by})
+"""
+
+
 FOLDED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "ind_folds": (
         lambda s, d: _folded(s, d).selectExpr("symbol", "bar", "ema_int5", *(f"round({c}, 6) as {c}" for c in ("ema8", "ema20", "ema35", "atr14", "rsi14", "adx14"))),
@@ -368,6 +404,29 @@ SELECT symbol, bar, side, trend, strong, momentum, recent, trend AND strong AND
     "feature_operators": (lambda s, d: _graph(s, d, EVERY_OPERATOR, OPERATOR_OUTPUTS).values(*OPERATOR_OUTPUTS), _OPERATORS_SQL),
     "feature_program": (_program, _PROGRAM_SQL),
     "feature_quotes": (lambda s, d: _graph(s, d, OVER_QUOTES, ["lag2", "high16", "sig"]).values("away", "lag2", "high16", "over", "sig"), _QUOTES_SQL),
+    "mask_pack": (_unpacked, _mask_sql(MARKS, "config") + "SELECT config, events, low AS first_bar, high AS last_bar, total, class_hash, chunks FROM m"),
+    "mask_dedupe": (
+        lambda s, d: masks.classes(_packed(MARKS, ["config"])(s, d), [], "config"),
+        _mask_sql(MARKS, "config") + "SELECT class_hash, min(config) AS representative, count(*) AS aliases, max(events) AS events, count(DISTINCT ids) = 1 AS exact FROM m GROUP BY class_hash",
+    ),
+    "ternary_masks": (
+        lambda s, d: masks.aliases(_packed(PAIR_MARKS, ["symbol", "config"])(s, d), ["symbol"], "config").where("same").selectExpr("symbol", "config", "canonical", "class_hash as mask_sha", "events"),
+        _mask_sql(PAIR_MARKS, "symbol, config") + "SELECT symbol, config, min(config) OVER (PARTITION BY symbol, ids) AS canonical, class_hash AS mask_sha, events FROM m",
+    ),
+    "result_audit": (_audited, _mask_sql(PAIR_MARKS, "symbol, config") + """
+SELECT symbol, count(*) AS configs, count(DISTINCT config) AS distinct_configs, count(DISTINCT ids) AS classes, CAST(sum(events) AS BIGINT) AS events, count(*) FILTER (WHERE low_ids <> ids) AS unequal
+FROM (SELECT *, min(ids) OVER (PARTITION BY symbol, class_hash) AS low_ids FROM m) GROUP BY symbol"""),
+    "mask_merge": (_merged, _mask_sql(PAIR_MARKS, "symbol, config") + """
+SELECT class_hash, min(symbol || ':' || representative) AS representative, CAST(sum(aliases) AS BIGINT) AS aliases, max(events) AS events, count(DISTINCT ids) = 1 AS exact, count(*) AS parts FROM (
+  SELECT class_hash, ids, symbol, min(config) AS representative, count(*) AS aliases, max(events) AS events FROM m GROUP BY class_hash, ids, symbol) GROUP BY class_hash"""),
+    "mask_conjunctions": (
+        lambda s, d: masks.conjunctions(MARKS.run(s, d), ["symbol"], "config"),
+        f"WITH k AS ({MARKS.text(False)}) SELECT a.symbol, a.config AS config_a, b.config AS config_b, count(*) AS both_n FROM k a JOIN k b ON a.symbol = b.symbol AND a.number = b.number AND a.config < b.config GROUP BY a.symbol, a.config, b.config",
+    ),
+    "content_roots": (
+        lambda s, d: masks.sorted_roots(IDENTITIES.run(s, d), F.col("shard")),
+        f"SELECT shard, count(*) AS n, sha256(string_agg(id || chr(10), '' ORDER BY id)) AS root FROM (SELECT DISTINCT id, shard FROM ({IDENTITIES.text(False)})) GROUP BY shard",
+    ),
     "feature_tape_ema": (lambda s, d: language.Graph(written(PLANS["tick_view"].run(s, d), "ticks"), language.compile_graph(OVER_TAPE, ["drift", "up"], {"fast": 12, "slow": 80})).values("fast", "slow", "drift", "up"), _TAPE_SQL),
     "ind_ema_periods": (lambda s, d: _averaged(s, d, CLOSE_AVERAGES), _averages_sql(CLOSE_AVERAGES)),
     "atr_smoothings": (lambda s, d: _averaged(s, d, RANGE_AVERAGES), _averages_sql(RANGE_AVERAGES)),
