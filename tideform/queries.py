@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideform.functions import clusters, folds, scans
-from tideform.operators import audit, bars, brackets, candidates, catalogue, contexts, execution, features, indicators, metrics, retests, signals, structure, universe
+from tideform.operators import audit, bars, brackets, candidates, catalogue, contexts, crossings, execution, features, indicators, metrics, retests, signals, structure, universe
 from tideform.plans import features as language
 from tideform.plans.sql import Plan, dialect
 from tideform.sources import masks, tape
@@ -349,6 +349,17 @@ PAIR_MARKS = Plan(*PAIRED, select=contexts.PAIR_MARKS)
 IDENTITIES = Plan(*BREAKS, select=contexts.IDENTITIES)
 
 
+BANDS = Plan(*RANGE, brackets.ATRS, crossings.PIVOTS, crossings.KNOWN, crossings.IN_FORCE, select=crossings.THRESHOLDS)
+#: Moves from the tick before, whatever it is, and from the last executable quote to the next.
+EVERY_MOVE = Plan(*TAPE, *tape.carried("every_tick", "ticks", {"bid": "bid_u"}), select=crossings.MOVES.format("every_tick"))
+VALID_MOVE = Plan(*TAPE, *QUOTES, select=crossings.MOVES.format("quotes"))
+
+
+def _crossed(moves: Plan) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    run = lambda spark, sf_dir: crossings.crosses(moves.run(spark, sf_dir), written(BANDS.run(spark, sf_dir), "bands"))
+    return run, f"WITH m AS ({moves.text(False)}), t AS ({BANDS.text(False)}){crossings.PLAIN}"
+
+
 def _packed(plan: Plan, by: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: written(masks.pack(plan.run(spark, sf_dir), by), "masks")
 
@@ -404,6 +415,8 @@ SELECT symbol, bar, side, trend, strong, momentum, recent, trend AND strong AND
     "feature_operators": (lambda s, d: _graph(s, d, EVERY_OPERATOR, OPERATOR_OUTPUTS).values(*OPERATOR_OUTPUTS), _OPERATORS_SQL),
     "feature_program": (_program, _PROGRAM_SQL),
     "feature_quotes": (lambda s, d: _graph(s, d, OVER_QUOTES, ["lag2", "high16", "sig"]).values("away", "lag2", "high16", "over", "sig"), _QUOTES_SQL),
+    "structure_crosses": _crossed(EVERY_MOVE),
+    "structure_crosses_valid": _crossed(VALID_MOVE),
     "mask_pack": (_unpacked, _mask_sql(MARKS, "config") + "SELECT config, events, low AS first_bar, high AS last_bar, total, class_hash, chunks FROM m"),
     "mask_dedupe": (
         lambda s, d: masks.classes(_packed(MARKS, ["config"])(s, d), [], "config"),
