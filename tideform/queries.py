@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideform.functions import clusters, folds, scans
+from tideform.functions import clusters, folds, ranks, scans
 from tideform.operators import audit, bars, brackets, candidates, catalogue, contexts, crossings, execution, features, indicators, metrics, retests, signals, structure, universe
 from tideform.plans import features as language
 from tideform.plans.sql import Plan, dialect
@@ -360,6 +360,33 @@ def _crossed(moves: Plan) -> tuple[Callable[[SparkSession, str], DataFrame], str
     return run, f"WITH m AS ({moves.text(False)}), t AS ({BANDS.text(False)}){crossings.PLAIN}"
 
 
+# Lookbacks of the contexts, and the quantiles that they compare with.
+CONTEXTS: dict[str, tuple[Plan, tuple[int, ...], dict[str, tuple[int, int]], dict[str, str]]] = {
+    "ctx_volatility_lookbacks": (
+        Plan(*RANGE, select="SELECT symbol, bar, CASE WHEN count(*) OVER w = 14 THEN CAST(sum(tr) OVER w AS BIGINT) END AS v FROM tr WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)"),
+        (20, 50, 100, 200, 500), {"q20": (1, 5), "q50": (1, 2), "q80": (4, 5)},
+        {"rising": "reference > q50", "middle": "reference >= q20 AND reference <= q80", "high": "reference >= q80", "low": "reference <= q20"},
+    ),
+    "ctx_spread_lookbacks": (
+        Plan(*NUMBERED, select="SELECT symbol, bar, CASE WHEN spread_sum > 0 THEN spread_sum * 1.0 / n_ticks END AS v FROM nb"),
+        (50, 100, 500, 2000), {"q75": (3, 4), "q90": (9, 10)}, {"below_q75": "reference <= q75", "below_q90": "reference <= q90", "below_cap": "reference <= 2"},
+    ),
+    "ctx_intensity_lookbacks": (Plan(*NUMBERED, select="SELECT symbol, bar, n_ticks AS v FROM nb"), (20, 50, 100, 500), {"q50": (1, 2), "q80": (4, 5)}, {"busy": "reference > q50", "busiest": "reference >= q80"}),
+}
+
+
+def _context(name: str) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    plan, lookbacks, quantiles, flags = CONTEXTS[name]
+    shown = [f"{e} AS {n}" for n, e in flags.items()]
+    run = lambda spark, sf_dir: ranks.rolling(plan.run(spark, sf_dir), "v", lookbacks, quantiles).selectExpr("symbol", "bar", "lookback", "reference", *quantiles, *shown)
+    one = "\nUNION ALL ".join(
+        f"SELECT symbol, bar, {n} AS lookback, reference, vs, {', '.join(f'list_sort(vs)[{ranks.nearest_rank(n, *q)}] AS {c}' for c, q in quantiles.items())} FROM (SELECT symbol, bar, lag(v) OVER o AS reference, "
+        f"list(v) FILTER (WHERE v IS NOT NULL) OVER (o ROWS BETWEEN {n + 1} PRECEDING AND 2 PRECEDING) AS vs FROM b WINDOW o AS (PARTITION BY symbol ORDER BY bar)) WHERE len(vs) = {n} AND reference IS NOT NULL"
+        for n in lookbacks
+    )
+    return run, f"WITH b AS ({plan.text(False)}) SELECT symbol, bar, lookback, reference, {', '.join(quantiles)}, {', '.join(shown)} FROM ({one})"
+
+
 def _packed(plan: Plan, by: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: written(masks.pack(plan.run(spark, sf_dir), by), "masks")
 
@@ -415,6 +442,7 @@ SELECT symbol, bar, side, trend, strong, momentum, recent, trend AND strong AND
     "feature_operators": (lambda s, d: _graph(s, d, EVERY_OPERATOR, OPERATOR_OUTPUTS).values(*OPERATOR_OUTPUTS), _OPERATORS_SQL),
     "feature_program": (_program, _PROGRAM_SQL),
     "feature_quotes": (lambda s, d: _graph(s, d, OVER_QUOTES, ["lag2", "high16", "sig"]).values("away", "lag2", "high16", "over", "sig"), _QUOTES_SQL),
+    **{name: _context(name) for name in CONTEXTS},
     "structure_crosses": _crossed(EVERY_MOVE),
     "structure_crosses_valid": _crossed(VALID_MOVE),
     "mask_pack": (_unpacked, _mask_sql(MARKS, "config") + "SELECT config, events, low AS first_bar, high AS last_bar, total, class_hash, chunks FROM m"),
