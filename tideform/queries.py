@@ -13,6 +13,7 @@ from tideform.plans import features as language
 from tideform.plans.sql import Plan, dialect
 from tideform.sources import masks, tape
 from tideform.sources.written import written
+from tideform.streaming import impulses as machines
 
 TAPE = tape.TAPE
 MINUTES = (*TAPE, bars.bars(60_000, "m1"))
@@ -235,6 +236,10 @@ def _conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("all_open", F.col("trend") & F.col("strong") & F.col("momentum") & F.col("recent"))
 
 
+#: The tape has a tick every few hours: its bars, and what follows from them, are as much longer.
+SLOW_TAPE = machines.Clock(fast=4 * bars.HOUR_MS, slow=12 * bars.HOUR_MS, expire=16 * bars.HOUR_MS, confirm=60_000)
+
+
 def _impulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.impulses(IMPULSE_BARS.run(spark, sf_dir))
 
@@ -528,6 +533,9 @@ a AS (SELECT symbol, session_day, k, intent_id, exit_seq AS busy, 1 AS n, '' AS
   FROM a JOIN o ON o.symbol = a.symbol AND o.session_day = a.session_day AND o.k = a.k + 1))""", "SELECT symbol, session_day, intent_id, reason = '' AS accepted, reason FROM a"),
     ),
     "impulse_states": (_impulses, None),
+    "impulse_ticks": (
+        lambda s, d: machines.impulses(PLANS["tick_view"].run(s, d), SLOW_TAPE).selectExpr("symbol", "entry_ms", "seq", "side", "round(score_v1, 6) as score_v1", "round(score_v2, 6) as score_v2", "eligible"), None,
+    ),
     "impulse_score": (lambda s, d: _impulses(s, d).selectExpr("symbol", "side", "bar", "confirmed_bar", *(f"round({dialect(indicators.ips(v), True)}, 6) as score_v{v}" for v in (1, 2))), None),
     "sign_flip": (lambda s, d: folds.sign_flip(BLOCKS.run(s, d)), _SIGNS),
     "config_clusters": (
