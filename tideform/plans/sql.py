@@ -26,7 +26,8 @@ TOKENS = {
     r"SERIES\((\d+), (\d+)\)": (r"explode(sequence(CAST(\1 AS BIGINT), CAST(\2 AS BIGINT)))", r"unnest(generate_series(CAST(\1 AS BIGINT), CAST(\2 AS BIGINT)))"),
     r"LASTKNOWN\((\w+)\)": (r"last(\1, true)", r"last_value(\1 IGNORE NULLS)"),
     r"QUANTILE\((\w+), ([\d.]+)\)": (r"percentile(\1, \2)", r"quantile_cont(\1, \2)"),
-    r"WORDS\((\w+)\)": (r"explode(split(trim(regexp_replace(lower(\1), '[^a-z0-9]+', ' ')), ' '))", r"unnest(string_split(trim(regexp_replace(lower(\1), '[^a-z0-9]+', ' ', 'g')), ' '))"),
+    # Letters beyond ASCII (Latin, Greek, Cyrillic and further alphabets up to U+1FFF) are parts of words.
+    r"WORDS\((\w+)\)": (r"explode(split(trim(regexp_replace(lower(\1), '[^a-z0-9À-ɏͰ-῿]+', ' ')), ' '))", r"unnest(string_split(trim(regexp_replace(lower(\1), '[^a-z0-9À-ɏͰ-῿]+', ' ', 'g')), ' '))"),
     r"EACHMATCH\((\w+), ('[^']*')\)": (r"explode(regexp_extract_all(\1, r\2, 1))", r"unnest(regexp_extract_all(\1, \2, 1))"),
     # A bucket of hours as civil time seven hours earlier; that time in New York as London's; the hour of a civil time.
     r"BACK7\((\w+)\)": (r"CAST(timestamp_seconds((\1 - 7) * 3600) AS TIMESTAMP_NTZ)", r"CAST(make_timestamp((\1 - 7) * 3600000000) AS TIMESTAMP)"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideform.functions import clusters, folds, ranks, scans
-from tideform.operators import audit, bars, brackets, candidates, catalogue, contexts, crossings, execution, features, indicators, metrics, retests, signals, structure, universe
+from tideform.operators import audit, bars, brackets, candidates, catalogue, contexts, crossings, execution, features, indicators, matching, metrics, retests, signals, structure, universe
 from tideform.plans import features as language
 from tideform.plans.sql import Plan, dialect
 from tideform.sources import masks, tape
@@ -392,6 +392,14 @@ def _context(name: str) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
     return run, f"WITH b AS ({plan.text(False)}) SELECT symbol, bar, lookback, reference, {', '.join(quantiles)}, {', '.join(shown)} FROM ({one})"
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.nearest(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def _packed(plan: Plan, by: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: written(masks.pack(plan.run(spark, sf_dir), by), "masks")
 
@@ -447,6 +455,15 @@ SELECT symbol, bar, side, trend, strong, momentum, recent, trend AND strong AND
     "feature_operators": (lambda s, d: _graph(s, d, EVERY_OPERATOR, OPERATOR_OUTPUTS).values(*OPERATOR_OUTPUTS), _OPERATORS_SQL),
     "feature_program": (_program, _PROGRAM_SQL),
     "feature_quotes": (lambda s, d: _graph(s, d, OVER_QUOTES, ["lag2", "high16", "sig"]).values("away", "lag2", "high16", "over", "sig"), _QUOTES_SQL),
+    "hybrid_nearest": (
+        lambda s, d: _nearest(s, d).selectExpr("doc_id", "item_id", "round(lexical, 6) as lexical", "round(tagged, 6) as tagged", "round(score, 6) as score"),
+        matching.check_sql() + " SELECT doc_id, item_id, round(lexical, 6) AS lexical, round(tagged, 6) AS tagged, round(score, 6) AS score FROM best",
+    ),
+    "dispatch_waves": (lambda s, d: matching.waves(_nearest(s, d), _table(s, d, "documents"), _table(s, d, "labels")), matching.waves_sql()),
+    "first_wave": (
+        lambda s, d: matching.waves(_nearest(s, d), _table(s, d, "documents"), _table(s, d, "labels"), top=30),
+        f"SELECT * FROM ({matching.waves_sql()}) WHERE wave = 1 ORDER BY rank DESC, doc_id LIMIT 30",
+    ),
     **{name: _context(name) for name in CONTEXTS},
     "structure_crosses": _crossed(EVERY_MOVE),
     "structure_crosses_valid": _crossed(VALID_MOVE),
