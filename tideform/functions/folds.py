@@ -110,8 +110,9 @@ def gates(folded: DataFrame, lookback: int = 5, adx_least: float = 25, slope_lea
     return f.selectExpr("symbol", "bar", *(f"coalesce({e}, false) as {n}" for n, e in shut.items()))
 
 
-def greedy(trades: DataFrame, gap: bool = True) -> DataFrame:
-    """Trades in entry order, each accepted if it enters after the last accepted exit; the others carry a reason."""
+def greedy(trades: DataFrame) -> DataFrame:
+    """Trades in entry order, each accepted if it enters after the last accepted exit; the others carry a reason. Trades end
+    within their session, so a symbol's sessions are independent."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values(["entry_seq", "intent_id"])
@@ -122,7 +123,7 @@ def greedy(trades: DataFrame, gap: bool = True) -> DataFrame:
                 busy = b
         return pd.DataFrame({"symbol": f["symbol"], "intent_id": f["intent_id"], "accepted": ok, "reason": ["" if x else "OVERLAP" for x in ok]})
 
-    return trades.groupBy("symbol").applyInPandas(run, "symbol string, intent_id bigint, accepted boolean, reason string")
+    return trades.groupBy("symbol", "session_day").applyInPandas(run, "symbol string, intent_id bigint, accepted boolean, reason string")
 
 
 def refractory(events: DataFrame, rest: int) -> DataFrame:
@@ -139,23 +140,6 @@ def refractory(events: DataFrame, rest: int) -> DataFrame:
     return events.groupBy("symbol", "threshold", "side").applyInPandas(run, events.schema)
 
 
-def portfolio(trades: DataFrame, per_symbol: int = 2, per_day: int = 4) -> DataFrame:
-    """Offers of a day in (entry time, symbol, id) order, under daily caps per symbol and in all and without overlap
-    within a symbol. A session day settles all its trades, so days are independent and run in parallel."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(["entry_ts_ns", "symbol", "intent_id"])
-        count, busy, ok = {}, {}, []
-        for s, a, b in zip(f["symbol"], f["entry_ts_ns"], f["exit_ts_ns"]):
-            take = sum(count.values()) < per_day and count.get(s, 0) < per_symbol and a > busy.get(s, -1)
-            ok.append(take)
-            if take:
-                count[s], busy[s] = count.get(s, 0) + 1, b
-        return pd.DataFrame({"session_day": f["session_day"], "symbol": f["symbol"], "intent_id": f["intent_id"], "accepted": ok})
-
-    return trades.groupBy("session_day").applyInPandas(run, "session_day bigint, symbol string, intent_id bigint, accepted boolean")
-
-
 def block_bootstrap(daily: DataFrame, reps: int = 20_000, block: int = 5, seed: int = 76) -> DataFrame:
     """Circular block bootstrap of a symbol's daily results: share of resamples whose mean is not above zero, 5 % quantiles of
     mean and profit factor (null where more than that share of resamples has no loss), 95 % quantile of the drawdown."""

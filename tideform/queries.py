@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideform.functions import clusters, folds, ranks, scans
+from tideform.functions import clusters, folds, portfolios, ranks, scans
 from tideform.operators import audit, bars, brackets, candidates, catalogue, contexts, crossings, execution, features, indicators, matching, metrics, retests, signals, structure, universe
 from tideform.plans import features as language
 from tideform.plans.sql import Plan, dialect
@@ -26,7 +26,7 @@ RANGE = (*NUMBERED, indicators.TRUE_RANGE)
 LEVELS = (*NUMBERED, structure.FRACTALS, structure.LEVELS)
 BREAKS = (*LEVELS, structure.BREAKS)
 LEDGER = (*SESSIONS, tape.INTENTS, *execution.STEPS)
-EQUITY = (*LEDGER, metrics.EQUITY)
+EQUITY = (*LEDGER, *metrics.EQUITY)
 DAILY = (*LEDGER, metrics.DAILY)
 FOLDS = (*DAILY, metrics.FOLDS)
 SHOCKS = (*RANGE, signals.SHOCKS)
@@ -86,12 +86,12 @@ PLANS: dict[str, Plan] = {
         ("replay_intents", LEDGER, execution.REPLAY),
         ("target_before_stop", LEDGER, execution.LABELS),
         ("cost_scenarios", LEDGER, execution.COSTS),
-        ("ledger_validate", LEDGER, execution.VALIDATE),
-        ("ledger_parity", LEDGER, execution.PARITY),
+        ("ledger_validate", (*LEDGER, execution.TRADE_DAYS, execution.FOLLOWING), execution.VALIDATE),
+        ("ledger_parity", (*LEDGER, *execution.POSITIONS, *execution.RETOLD), execution.PARITY),
         ("ledger_metrics", LEDGER, metrics.METRICS),
         ("drawdown", EQUITY, metrics.DRAWDOWN),
-        ("underwater", EQUITY, metrics.UNDERWATER),
-        ("streaks", EQUITY, metrics.STREAKS),
+        ("underwater", (*EQUITY, *metrics.WATER), metrics.UNDERWATER),
+        ("streaks", (*EQUITY, *metrics.LOST, *metrics.WON), metrics.STREAKS),
         ("daily_sharpe", DAILY, metrics.SHARPE),
         ("period_concentration", PERIODS, metrics.CONCENTRATION),
         ("year_results", PERIODS, metrics.YEARS),
@@ -354,6 +354,17 @@ PAIR_MARKS = Plan(*PAIRED, select=contexts.PAIR_MARKS)
 IDENTITIES = Plan(*BREAKS, select=contexts.IDENTITIES)
 
 
+OFFERS = Plan(*LEDGER, select=execution.OFFERS)
+SIGNALLED = Plan(*LEDGER, select=execution.OUTCOMES)
+_SCHEDULE_SQL = f"""WITH RECURSIVE l AS ({SIGNALLED.text(False)}), o AS (SELECT *, row_number() OVER (PARTITION BY symbol, session_day ORDER BY signal_seq, intent_id) AS k FROM l),
+f AS (SELECT symbol, session_day, k, r, signal_seq, intent_id, CASE WHEN NOT inside THEN 'SESSION' ELSE state END AS reason, CASE WHEN inside AND state = '' THEN exit_seq ELSE -1 END AS busy, CASE WHEN inside AND state = '' THEN 1 ELSE 0 END AS n FROM o WHERE k = 1
+ UNION ALL SELECT symbol, session_day, k, r, signal_seq, intent_id, reason, CASE WHEN reason = '' THEN exit_seq ELSE busy END, CASE WHEN reason = '' THEN n + 1 ELSE n END FROM (
+  SELECT o.symbol, o.session_day, o.k, o.r, o.signal_seq, o.intent_id, o.exit_seq, f.busy, f.n, CASE WHEN o.signal_seq <= f.busy THEN 'PAST' WHEN NOT o.inside THEN 'SESSION' WHEN f.n >= 3 THEN 'CAP' ELSE o.state END AS reason
+  FROM f JOIN o ON o.symbol = f.symbol AND o.session_day = f.session_day AND o.k = f.k + 1)),
+e AS (SELECT symbol, r, eq, greatest(0e0, max(eq) OVER (PARTITION BY symbol ORDER BY signal_seq, intent_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS peak FROM (
+  SELECT symbol, r, signal_seq, intent_id, sum(r) OVER (PARTITION BY symbol ORDER BY signal_seq, intent_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eq FROM f WHERE reason = ''))
+SELECT c.*, t.trades, t.total_r, t.gains_r, t.losses_r, t.drawdown_r FROM (SELECT symbol, count(*) AS signals, {', '.join(f"count(*) FILTER (WHERE reason = '{r}') AS {r.lower()}" for r in portfolios.REASONS)} FROM f GROUP BY symbol) c
+LEFT JOIN (SELECT symbol, count(*) AS trades, round(sum(r), 6) AS total_r, round(sum(greatest(r, 0e0)), 6) AS gains_r, round(sum(greatest(-r, 0e0)), 6) AS losses_r, round(max(peak - eq), 6) AS drawdown_r FROM e GROUP BY symbol) t ON t.symbol = c.symbol"""
 BANDS = Plan(*RANGE, brackets.ATRS, crossings.PIVOTS, crossings.KNOWN, crossings.IN_FORCE, select=crossings.THRESHOLDS)
 #: Moves from the tick before, whatever it is, and from the last executable quote to the next.
 EVERY_MOVE = Plan(*TAPE, *tape.carried("every_tick", "ticks", {"bid": "bid_u"}), select=crossings.MOVES.format("every_tick"))
@@ -517,7 +528,9 @@ SELECT class_hash, min(symbol || ':' || representative) AS representative, CAST(
 a AS (SELECT symbol, threshold, side, bar, next_bar FROM nx WHERE bar = (SELECT min(bar) FROM l WHERE l.symbol = nx.symbol AND l.threshold = nx.threshold AND l.side = nx.side)
  UNION ALL SELECT nx.symbol, nx.threshold, nx.side, nx.bar, nx.next_bar FROM a JOIN nx ON nx.symbol = a.symbol AND nx.threshold = a.threshold AND nx.side = a.side AND nx.bar = a.next_bar)""", "SELECT symbol, threshold, side, bar FROM a"),
     ),
-    "portfolio_allocation": (lambda s, d: folds.portfolio(TRADES.run(s, d)), None),
+    "portfolio_allocation": (lambda s, d: portfolios.allocate(OFFERS.run(s, d)).select("session_day", "symbol", F.col("offer_id").alias("intent_id"), (F.col("reason") == "").alias("accepted"), "reason"), None),
+    "portfolio_report": (lambda s, d: portfolios.settle(written(portfolios.allocate(OFFERS.run(s, d)), "allocated"), 10**9), None),
+    "session_schedule": (lambda s, d: portfolios.schedule_report(portfolios.schedule(SIGNALLED.run(s, d))), _SCHEDULE_SQL),
     "gate_geometry": (
         lambda s, d: _near_ema(BOXES.run(s, d), folds.indicator_folds(BARS_TR.run(s, d))),
         f"WITH RECURSIVE x AS ({BOXES.text(False)}), b AS ({BARS_TR.text(False)}), {_EMA8}" + '''
