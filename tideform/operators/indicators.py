@@ -95,7 +95,7 @@ SELECT symbol, bar, coalesce((ups * 1.0 / nullif(moved, 0) + 1.0) / 2.0, 0.5) AS
 #: time constant of the dwell is three bars.
 AUCTIONS = ("auctions", """
 SELECT k.symbol, k.level_id, k.side, k.bar, min(k.level) AS level, min(r.reclaim_bar) AS reclaim_bar,
-       CASE WHEN k.side = 1 THEN max(b.high_u) ELSE min(b.low_u) END AS extreme, CASE WHEN k.side = 1 THEN max_by(b.bar, b.high_u * 1000000 - b.bar) ELSE min_by(b.bar, b.low_u * 1000000 + b.bar) END AS extreme_bar
+       CASE WHEN k.side = 1 THEN max(b.high_u) ELSE min(b.low_u) END AS extreme, CASE WHEN k.side = 1 THEN max_by(b.bar, PAIROF(b.high_u, -b.bar)) ELSE min_by(b.bar, PAIROF(b.low_u, b.bar)) END AS extreme_bar
 FROM broken k JOIN reclaimed r ON r.symbol = k.symbol AND r.side = k.side AND r.level_id = k.level_id JOIN inforce f ON f.symbol = k.symbol AND f.side = k.side AND f.level_id = k.level_id AND f.bar BETWEEN k.bar AND r.reclaim_bar
 JOIN nb b ON b.symbol = f.symbol AND b.bar = f.bar GROUP BY k.symbol, k.level_id, k.side, k.bar""")
 AUCTION_PARTS = ("auction_parts", """

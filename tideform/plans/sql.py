@@ -23,6 +23,7 @@ TOKENS = {
     r"DAYNUM\((\w+)\)": (r"CAST(date_format(\1, 'yyyyMMdd') AS BIGINT)", r"CAST(strftime(\1, '%Y%m%d') AS BIGINT)"),
     # Monday is 1; a day is a number like 20240131.
     r"WEEKDAYOF\((\w+)\)": (r"CAST(weekday(to_date(CAST(\1 AS STRING), 'yyyyMMdd')) + 1 AS BIGINT)", r"CAST(isodow(strptime(CAST(\1 AS VARCHAR), '%Y%m%d')) AS BIGINT)"),
+    r"PAIROF\(": ("struct(", "row("),
     r"SHA\(": ("sha2(CAST(256 AS INT), ", "sha256("),
     r"SPAN\((\w+), (\w+)\)": (r"explode(sequence(CAST(\1 AS BIGINT), CAST(\2 AS BIGINT)))", r"unnest(generate_series(CAST(\1 AS BIGINT), CAST(\2 AS BIGINT)))"),
     r"SERIES\((\d+), (\d+)\)": (r"explode(sequence(CAST(\1 AS BIGINT), CAST(\2 AS BIGINT)))", r"unnest(generate_series(CAST(\1 AS BIGINT), CAST(\2 AS BIGINT)))"),

@@ -34,8 +34,8 @@ ATRS = (*RANGE, brackets.ATRS)
 HELD = (*SHOCKS, execution.NEXT, *brackets.STEPS)
 PATHS = (*HELD, brackets.PATHS, brackets.managed())
 BROKEN = (*BREAKS, retests.BROKEN)
-RETURNING = (*BROKEN, retests.INFORCE, retests.OPPOSED, retests.AFTERWARDS)
-CROSSED = (*LEVELS, retests.INFORCE, retests.CROSSED, retests.CROSS_OPPOSED, retests.LATER, retests.FINALS, retests.SETTLED)
+RETURNING = (*BROKEN, retests.INFORCE, retests.INSIDE, retests.OPPOSED, retests.AFTERWARDS)
+CROSSED = (*LEVELS, retests.INFORCE, retests.INSIDE, retests.CROSSED, retests.CROSS_OPPOSED, retests.LATER, retests.SOON, retests.FINALS, retests.SETTLED)
 PERIODS = (*LEDGER, metrics.PERIODS)
 BOXED = (*LEVELS, retests.BOX_MARKS, retests.BOX_STATE)
 PAIRED = (*SHOCKS, brackets.ATRS, contexts.CONDITIONS)
@@ -553,7 +553,7 @@ a AS (SELECT symbol, mode, session_day, k, intent_id, exit_seq AS busy, 1 AS n,
   SELECT o.symbol, o.mode, o.session_day, o.k, o.intent_id, o.exit_seq, a.busy, a.n, CASE WHEN o.entry_seq <= a.busy THEN 'OVERLAP' WHEN a.n >= 3 THEN 'DAILY_LIMIT' ELSE '' END AS reason
   FROM a JOIN o ON o.symbol = a.symbol AND o.mode = a.mode AND o.session_day = a.session_day AND o.k = a.k + 1))""", "SELECT symbol, mode, session_day, intent_id, reason = '' AS accepted, reason FROM a"),
     ),
-    "retest_filter": (lambda s, d: folds.retests(CARRIER.run(s, d)), None),
+    "retest_filter": (lambda s, d: folds.retests(CARRIER.run(s, d)), retests.RETEST_SQL.format(CARRIER.text(False))),
     "daily_schedule": (
         lambda s, d: folds.schedule(OUTCOMES.run(s, d)),
         _recursive(OUTCOMES, "l", """o AS (SELECT symbol, session_day, intent_id, entry_seq, exit_seq, row_number() OVER (PARTITION BY symbol, session_day ORDER BY entry_seq, intent_id) AS k FROM l),
