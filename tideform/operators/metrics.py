@@ -175,10 +175,3 @@ SELECT symbol_a, symbol_b, count(*) AS days, round(corr(ra, rb), 6) AS correlati
     JOIN daily d ON d.symbol IN (p.symbol, q.symbol)) u
   LEFT JOIN daily a ON a.symbol = u.symbol_a AND a.session_day = u.session_day LEFT JOIN daily b ON b.symbol = u.symbol_b AND b.session_day = u.session_day) GROUP BY symbol_a, symbol_b""",
 )
-
-#: A hundred retellings of the ledger in which each trade is missed with a chance of one in sixteen, drawn from a digest of its key.
-MISSED = """
-SELECT symbol, count(*) AS reps, min(net) AS worst, QUANTILE(net, 0.05) AS q05, QUANTILE(net, 0.5) AS q50, max(net) AS best, count_if(net <= 0) AS not_positive FROM (
-  SELECT symbol, rep, CAST(sum(CASE WHEN substring(draw, 1, 1) = '0' THEN 0 ELSE net_u END) AS BIGINT) AS net FROM (
-    SELECT symbol, rep, net_u, SHA(body) AS draw FROM (SELECT symbol, rep, net_u, symbol || ':' || CAST(intent_id AS VARCHAR(20)) || ':' || CAST(rep AS VARCHAR(9)) AS body FROM ledger CROSS JOIN (SELECT SERIES(0, 99) AS rep) x)) GROUP BY symbol, rep)
-GROUP BY symbol"""

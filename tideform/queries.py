@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideform.functions import clusters, folds, portfolios, ranks, scans
-from tideform.operators import audit, bars, brackets, candidates, catalogue, contexts, crossings, execution, features, indicators, matching, metrics, retests, signals, structure, universe
+from tideform.functions import clusters, folds, portfolios, ranks, scalars, scans
+from tideform.operators import audit, bars, brackets, candidates, catalogue, contexts, crossings, execution, families, features, indicators, matching, metrics, retests, signals, structure, universe
 from tideform.plans import features as language
 from tideform.plans.sql import Plan, dialect
 from tideform.sources import masks, tape
@@ -100,7 +100,18 @@ PLANS: dict[str, Plan] = {
         ("cpcv_pairs", FOLDS, metrics.CPCV),
         ("leave_fold_out", FOLDS, metrics.LEAVE_OUT),
         ("top_removed", LEDGER, metrics.TOP_REMOVED),
-        ("missed_trades", LEDGER, metrics.MISSED),
+        ("missed_trades", LEDGER, families.MISSED),
+        ("persistence_families", (*NUMBERED, families.BASES), families.PERSISTENCE),
+        ("shock_families", (*ATRS, families.BASES, families.SHOCKED), families.SHOCK_FAMILIES),
+        ("shape_thresholds", NUMBERED, families.SHAPES),
+        ("confirmation_kinds", SHOCKS, families.CONFIRMED),
+        ("cost_spreads", (*LEDGER, families.COSTED), families.COST_SPREADS),
+        ("walk_forward_verdict", (*LEDGER, families.COSTED, families.FOLD_OF, families.FOLDED), families.WALK_VERDICT),
+        ("gate_screens", (*LEDGER, families.COSTED, families.FOLD_OF), families.SCREENS),
+        ("parity_classes", (*LEDGER, *execution.POSITIONS, families.TOLD, families.TOLD_AGAIN), families.PARITY_CLASSES),
+        ("result_integrity", (*PERIODS, families.COSTED), families.INTEGRITY),
+        ("raw_brackets", HELD, families.RAW_BRACKETS),
+        ("signals_merged", SHOCKS, families.MERGED_SIGNALS),
         ("gate_screen", (*LEDGER, ("metrics", metrics.METRICS)), metrics.SCREEN),
         ("hac_test", (*DAILY, metrics.HAC), metrics.HAC_T),
         ("hac_p", (*DAILY, metrics.HAC), metrics.HAC_P),
