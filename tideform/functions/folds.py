@@ -140,28 +140,56 @@ def refractory(events: DataFrame, rest: int) -> DataFrame:
     return events.groupBy("symbol", "threshold", "side").applyInPandas(run, events.schema)
 
 
-def block_bootstrap(daily: DataFrame, reps: int = 20_000, block: int = 5, seed: int = 76) -> DataFrame:
-    """Circular block bootstrap of a symbol's daily results: share of resamples whose mean is not above zero, 5 % quantiles of
-    mean and profit factor (null where more than that share of resamples has no loss), 95 % quantile of the drawdown."""
+RESAMPLES = 500  # of a symbol, that one task draws at once
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values("d")
-        r, n = f["r"].to_numpy(), len(frame)
-        rng = np.random.default_rng([seed, n])
-        means, factors, falls = [], [], []
-        for size in [500] * (reps // 500) + [reps % 500] * (reps % 500 > 0):  # so many resamples in memory at once
-            start = rng.integers(0, n, (size, -(-n // block)))
-            x = r[((start[:, :, None] + np.arange(block)) % n).reshape(size, -1)[:, :n]]
-            total = np.concatenate([np.zeros((size, 1)), x.cumsum(1)], 1)
-            means.append(x.mean(1))
-            falls.append((np.maximum.accumulate(total, 1) - total).max(1))
-            lost = -np.minimum(x, 0).sum(1)
-            factors.append(np.where(lost > 0, np.maximum(x, 0).sum(1) / np.where(lost > 0, lost, 1), np.inf))
-        m, factor = np.concatenate(means), float(np.quantile(np.concatenate(factors), 0.05, method="lower"))
-        out = {"symbol": f["symbol"].iloc[0], "p_not_positive": float((m <= 0).mean()), "q05": float(np.quantile(m, 0.05)), "factor_q05": factor if math.isfinite(factor) else None, "drawdown_q95": float(np.quantile(np.concatenate(falls), 0.95))}
-        return pd.DataFrame([out])
-
-    return daily.groupBy("symbol").applyInPandas(run, "symbol string, p_not_positive double, q05 double, factor_q05 double, drawdown_q95 double")
+
+def _stream(seed: int, kind: int, block: int, n: int) -> np.random.Generator:
+    """Generator of one block of resamples: counter-based, so that blocks are independent wherever they run."""
+    return np.random.Generator(np.random.Philox(key=[seed, (kind << 56) + (block << 32) + n]))
+
+
+def _resampled(daily: DataFrame, reps: int, run, schema: str) -> DataFrame:
+    """``run`` (frame in order, block, number of resamples) for each symbol and block; a symbol's days go to every block."""
+    blocks = daily.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // RESAMPLES) - 1))))
+
+    def part(frame: pd.DataFrame) -> pd.DataFrame:
+        block = int(frame["block"].iloc[0])
+        return run(frame.sort_values(frame.columns[1]), block, min(RESAMPLES, reps - block * RESAMPLES))
+
+    return blocks.groupBy("symbol", "block").applyInPandas(part, schema)
+
+
+def block_bootstrap(daily: DataFrame, reps: int = 20_000, block: int = 5, seed: int = 76) -> DataFrame:
+    """Circular block bootstrap of a symbol's daily results (symbol, d, r): share of resamples whose mean is not above zero, 5 %
+    quantiles of mean and profit factor (null where more than that share of resamples has no loss), 95 % quantile of the
+    drawdown. Blocks of resamples are drawn in parallel; Spark takes the quantiles."""
+
+    def run(f: pd.DataFrame, k: int, size: int) -> pd.DataFrame:
+        r, n = f["r"].to_numpy(), len(f)
+        start = _stream(seed, 1, k, n).integers(0, n, (size, -(-n // block)))
+        x = r[((start[:, :, None] + np.arange(block)) % n).reshape(size, -1)[:, :n]]
+        total = np.concatenate([np.zeros((size, 1)), x.cumsum(1)], 1)
+        lost = -np.minimum(x, 0).sum(1)
+        factor = np.where(lost > 0, np.maximum(x, 0).sum(1) / np.where(lost > 0, lost, 1), np.inf)
+        return pd.DataFrame({"symbol": f["symbol"].iloc[0], "mean": x.mean(1), "factor": factor, "fall": (np.maximum.accumulate(total, 1) - total).max(1)})
+
+    drawn = _resampled(daily.select("symbol", "d", "r"), reps, run, "symbol string, mean double, factor double, fall double")
+    out = drawn.groupBy("symbol").agg(
+        F.avg(F.when(F.col("mean") <= 0, 1.0).otherwise(0.0)).alias("p_not_positive"), F.percentile("mean", 0.05).alias("q05"),
+        F.expr("percentile_disc(0.05) within group (order by factor)").alias("factor_q05"), F.percentile("fall", 0.95).alias("drawdown_q95"),
+    )
+    return out.withColumn("factor_q05", F.when(F.col("factor_q05") < float("inf"), F.col("factor_q05")))
+
+
+def year_bootstrap(blocks: DataFrame, reps: int = 10_000, seed: int = 76) -> DataFrame:
+    """Resamples of a symbol's yearly totals (symbol, fold, r): how many years, share of sums not above zero, 5 % and 50 % quantiles."""
+
+    def run(f: pd.DataFrame, k: int, size: int) -> pd.DataFrame:
+        r = f["r"].to_numpy()
+        return pd.DataFrame({"symbol": f["symbol"].iloc[0], "years": len(r), "total": r[_stream(seed, 2, k, len(r)).integers(0, len(r), (size, len(r)))].sum(1)})
+
+    drawn = _resampled(blocks.select("symbol", "fold", "r"), reps, run, "symbol string, years bigint, total bigint")
+    return drawn.groupBy("symbol").agg(F.max("years").alias("years"), F.avg(F.when(F.col("total") <= 0, 1.0).otherwise(0.0)).alias("p_not_positive"), F.percentile("total", 0.05).alias("q05"), F.percentile("total", 0.5).alias("q50"))
 
 
 REARM, RETEST = ("return", "replaced", "once"), ("off", "touch", "close")

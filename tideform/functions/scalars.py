@@ -10,9 +10,8 @@ MOST_ROWS = 10**12  # counts up to here times a million fit a long
 
 def valid_date(day: Column) -> Column:
     """Whether a number like 20240131 is a date from 1970 to 2200; missing ones are not."""
-    text = day.cast("string")
-    return F.coalesce(day.between(19700101, 22001231) & F.try_to_date(text, F.lit("yyyyMMdd")).isNotNull(), F.lit(False)) if hasattr(F, "try_to_date") else (
-        F.coalesce(day.between(19700101, 22001231) & F.try_to_timestamp(text, F.lit("yyyyMMdd")).isNotNull(), F.lit(False)))
+    there = F.try_to_timestamp(day.cast("string"), F.lit("yyyyMMdd")).isNotNull()
+    return F.coalesce(day.between(19700101, 22001231) & there, F.lit(False))
 
 
 def valid_hash(text: Column) -> Column:

@@ -170,6 +170,7 @@ TRADES = Plan(*LEDGER, select="SELECT symbol, session_day, intent_id, entry_seq,
 DAYS = Plan(*DAILY, select="SELECT symbol, d, r FROM daily")
 BAR_ATR = Plan(*ATRS, select="SELECT b.symbol, b.bar, b.session_day, b.open_u, b.high_u, b.low_u, b.close_u, b.prev_close, a.tr, a.atr14 FROM nb b JOIN atrs a ON a.symbol = b.symbol AND a.bar = b.bar")
 BOXES = Plan(*BOXED, indicators.TRUE_RANGE, brackets.ATRS, select="SELECT x.symbol, x.bar, x.middle, x.width, x.width1, x.width2, a.atr14 FROM box_state x JOIN atrs a ON a.symbol = x.symbol AND a.bar = x.bar")
+BOX_WIDTHS = Plan(*BOXED, indicators.TRUE_RANGE, brackets.ATRS, select="SELECT x.symbol, x.bar, x.middle, x.width, x.width1, x.width2, x.width3, a.atr14 FROM box_state x JOIN atrs a ON a.symbol = x.symbol AND a.bar = x.bar")
 CARRIER = Plan(*CROSSED, select=retests.CARRIER)
 IMPULSE_BARS = Plan(*ATRS, indicators.MICRO, indicators.SPREAD_P50, select="SELECT b.symbol, b.bar, b.bucket, b.open_u, b.high_u, b.low_u, b.close_u, a.atr14, m.up_share, b.spread_sum * 1.0 / b.n_ticks AS spread, p.p50 AS spread_p50 FROM nb b JOIN atrs a ON a.symbol = b.symbol AND a.bar = b.bar JOIN micro m ON m.symbol = b.symbol AND m.bar = b.bar JOIN spread_p50 p ON p.symbol = b.symbol AND p.bar = b.bar")
 OUTCOMES = Plan(*PATHS, select=brackets.MANAGED)
@@ -422,6 +423,67 @@ def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.nearest(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks and conversions over the orders: dates of which some are none, names, digests, parts per million, multiples, decimals."""
+    o = _table(spark, sf_dir, "orders")
+    day = F.date_format("o_orderdate", "yyyyMMdd").cast("bigint") + F.col("o_orderkey") % 3 * 15
+    digest = F.sha2(F.col("o_orderkey").cast("string"), 256)
+    kind = F.col("o_orderkey") % 5
+    number = (F.col("o_custkey") % 40 / 8).cast("decimal(9,3)")
+    text = F.when(kind == 0, F.concat(F.lit("R"), scalars.plain_decimal(number))).when(kind == 1, F.concat(F.lit("AT"), scalars.plain_decimal(number), F.lit("R"))).when(kind == 2, F.concat(F.lit("BE_AT_"), scalars.plain_decimal(number), F.lit("R"))).when(kind == 3, "OFF").otherwise("free")
+    price = (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("decimal(18,4)") / 100
+    return o.select(
+        "o_orderkey", scalars.valid_date(day).alias("dated"), scalars.valid_name(F.col("o_orderpriority")).alias("named"), scalars.valid_hash(F.when(kind < 4, digest).otherwise(F.upper(digest))).alias("hashed"),
+        scalars.parts_per_million(F.col("o_custkey"), F.col("o_orderkey") % 7 * 1000).alias("ppm"), scalars.multiple(text).alias("multiple"), scalars.plain_decimal(price.cast("decimal(18,4)")).alias("price"),
+    )
+
+
+_SCALARS_SQL = """SELECT o_orderkey, try_strptime(CAST(day AS VARCHAR), '%Y%m%d') IS NOT NULL AND length(CAST(day AS VARCHAR)) = 8 AND CAST(substring(CAST(day AS VARCHAR), 7, 2) AS INT) <= 31 AS dated,
+  regexp_full_match(o_orderpriority, '[A-Za-z0-9_-]{1,128}') AS named, k < 4 OR NOT regexp_matches(digest, '[a-f]') AS hashed, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_custkey * 1000000 // (o_orderkey % 7 * 1000) END AS ppm,
+  CASE WHEN k <= 2 THEN o_custkey % 40 / 8e0 END AS multiple, CASE WHEN cents % 100 = 0 THEN CAST(cents // 100 AS VARCHAR) ELSE rtrim(CAST(CAST(cents AS DECIMAL(18, 2)) / 100 AS VARCHAR), '0') END AS price
+FROM (SELECT *, CAST(strftime(o_orderdate, '%Y%m%d') AS BIGINT) + o_orderkey % 3 * 15 AS day, sha256(CAST(o_orderkey AS VARCHAR)) AS digest, o_orderkey % 5 AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)"""
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of a program at every tick as text, NA where there is none: the form in which features leave for other tools."""
+    names = ["bid", "spread", "away", "lag2", "high16", "over", "sig"]
+    values = _graph(spark, sf_dir, OVER_QUOTES, ["lag2", "high16", "sig"]).values(*names)
+    shown = lambda c: F.when(F.col(c), "1").otherwise("0") if values.schema[c].dataType.typeName() == "boolean" else F.col(c).cast("string")
+    return values.select("symbol", F.col("seen").alias("seq"), *(F.when(F.col(c).isNull(), "NA").otherwise(shown(c)).alias(c) for c in names))
+
+
+_MATRIX_SQL = f"""WITH q AS ({_QUOTES_SQL}), v AS ({_TICK_VIEW})
+SELECT q.symbol, q.seen AS seq, {', '.join(f"coalesce(CAST({e} AS VARCHAR), 'NA') AS {n}" for n, e in (('bid', 'v.bid_u'), ('spread', 'v.ask_u - v.bid_u'), ('away', 'q.away'), ('lag2', 'q.lag2'), ('high16', 'q.high16'), ('over', 'CAST(q.over AS INT)'), ('sig', 'CAST(q.sig AS INT)')))}
+FROM q JOIN v ON v.symbol = q.symbol AND v.seq = q.seen"""
+
+
+# Settings of the geometry gate; null switches a part off.
+_GEOMETRY = "CROSS JOIN (VALUES (CAST(NULL AS INT)), (2), (3), (4)) AS a(contracting) CROSS JOIN (VALUES (CAST(NULL AS INT)), (2), (3), (5)) AS b(widest) CROSS JOIN (VALUES (CAST(NULL AS INT)), (1), (2)) AS c(furthest)"
+_GEOMETRY_OPEN = """CASE contracting WHEN 2 THEN width < width1 WHEN 3 THEN width < width1 AND width1 < width2 WHEN 4 THEN width < width1 AND width1 < width2 AND width2 < width3 ELSE TRUE END
+  AND (widest IS NULL OR atr14 > 0 AND width <= widest * atr14) AND (furthest IS NULL OR atr14 > 0 AND abs(middle - e35) <= furthest * atr14)"""
+
+
+def _geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars that pass each setting: boxes that contract, are narrow, and lie around the average of 35."""
+    emas = _averaged(spark, sf_dir, [scans.Average("e35", "close_u", "ema", 35)])
+    rows = BOX_WIDTHS.run(spark, sf_dir).join(emas, ["symbol", "bar"])
+    return spark.sql(f"SELECT symbol, contracting, widest, furthest, count(*) AS bars, count_if(coalesce({_GEOMETRY_OPEN}, FALSE)) AS passing FROM {{rows}} {_GEOMETRY} GROUP BY symbol, contracting, widest, furthest", rows=rows)
+
+
+def _momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rules of momentum for either side at every bar."""
+    rsi = _folded(spark, sf_dir).select("symbol", "bar", F.round("rsi14", 6).alias("rsi14"))
+    out = rsi
+    for name in ("ind_roc", "ind_cci", "ind_stoch"):
+        out = out.join(PLANS[name].run(spark, sf_dir), ["symbol", "bar"], "left")
+    return out.selectExpr("symbol", "bar", *_MOMENTUM)
+
+
+_MOMENTUM = [f"coalesce({e}, FALSE) AS {n}" for n, e in (
+    ("rsi_buy", "rsi14 >= 55"), ("rsi_sell", "rsi14 <= 45"), ("roc_buy", "roc5 > 0"), ("roc_sell", "roc5 < 0"), ("cci_buy", "cci20 > 0"), ("cci_sell", "cci20 < 0"), ("stoch_buy", "d3 > 50"), ("stoch_sell", "d3 < 50"),
+)]
+
+
 def _packed(plan: Plan, by: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: written(masks.pack(plan.run(spark, sf_dir), by), "masks")
 
@@ -477,6 +539,17 @@ SELECT symbol, bar, side, trend, strong, momentum, recent, trend AND strong AND
     "feature_operators": (lambda s, d: _graph(s, d, EVERY_OPERATOR, OPERATOR_OUTPUTS).values(*OPERATOR_OUTPUTS), _OPERATORS_SQL),
     "feature_program": (_program, _PROGRAM_SQL),
     "feature_quotes": (lambda s, d: _graph(s, d, OVER_QUOTES, ["lag2", "high16", "sig"]).values("away", "lag2", "high16", "over", "sig"), _QUOTES_SQL),
+    "scalar_checks": (_scalars, _SCALARS_SQL),
+    "feature_matrix": (_matrix, _MATRIX_SQL),
+    "geometry_settings": (
+        _geometry,
+        f"SELECT symbol, contracting, widest, furthest, count(*) AS bars, count(*) FILTER (WHERE coalesce({_GEOMETRY_OPEN}, FALSE)) AS passing FROM ({BOX_WIDTHS.text(False)}) x JOIN ({_averages_sql([scans.Average('e35', 'close_u', 'ema', 35)])}) e USING (symbol, bar) {_GEOMETRY} GROUP BY symbol, contracting, widest, furthest",
+    ),
+    "momentum_rules": (
+        _momentum,
+        _fold_sql() + f", r AS ({PLANS['ind_roc'].text(False)}), c AS ({PLANS['ind_cci'].text(False)}), k AS ({PLANS['ind_stoch'].text(False)}) SELECT symbol, bar, {', '.join(_MOMENTUM)} FROM (SELECT symbol, bar, round(rsi, 6) AS rsi14 FROM g) LEFT JOIN r USING (symbol, bar) LEFT JOIN c USING (symbol, bar) LEFT JOIN k USING (symbol, bar)",
+    ),
+    "year_bootstrap": (lambda s, d: folds.year_bootstrap(BLOCKS.run(s, d)), None),
     "hybrid_nearest": (
         lambda s, d: _nearest(s, d).selectExpr("doc_id", "item_id", "round(lexical, 6) as lexical", "round(tagged, 6) as tagged", "round(score, 6) as score"),
         matching.check_sql() + " SELECT doc_id, item_id, round(lexical, 6) AS lexical, round(tagged, 6) AS tagged, round(score, 6) AS score FROM best",
