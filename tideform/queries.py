@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideform.functions import clusters, folds, portfolios, ranks, scalars, scans
+from tideform.functions import clusters, folds, machines as sessions, portfolios, ranks, scalars, scans
 from tideform.operators import audit, bars, brackets, candidates, catalogue, contexts, crossings, execution, families, features, indicators, matching, metrics, retests, signals, structure, universe
 from tideform.plans import features as language
 from tideform.plans.sql import Plan, dialect
@@ -366,6 +366,8 @@ PAIR_MARKS = Plan(*PAIRED, select=contexts.PAIR_MARKS)
 IDENTITIES = Plan(*BREAKS, select=contexts.IDENTITIES)
 
 
+RAISED = Plan(*NUMBERED, candidates.RAISED, select="SELECT r.symbol, t.session_day, r.mode, CAST(r.side AS INT) AS side, r.signal_seq FROM raised r JOIN ticks t ON t.symbol = r.symbol AND t.seq = r.signal_seq")
+MOVING = sessions.Rules(even_ppm=500_000, even_u=50, trail_u=2000)
 OFFERS = Plan(*LEDGER, select=execution.OFFERS)
 SIGNALLED = Plan(*LEDGER, select=execution.OUTCOMES)
 _SCHEDULE_SQL = f"""WITH RECURSIVE l AS ({SIGNALLED.text(False)}), o AS (SELECT *, row_number() OVER (PARTITION BY symbol, session_day ORDER BY signal_seq, intent_id) AS k FROM l),
@@ -612,6 +614,7 @@ SELECT class_hash, min(symbol || ':' || representative) AS representative, CAST(
 a AS (SELECT symbol, threshold, side, bar, next_bar FROM nx WHERE bar = (SELECT min(bar) FROM l WHERE l.symbol = nx.symbol AND l.threshold = nx.threshold AND l.side = nx.side)
  UNION ALL SELECT nx.symbol, nx.threshold, nx.side, nx.bar, nx.next_bar FROM a JOIN nx ON nx.symbol = a.symbol AND nx.threshold = a.threshold AND nx.side = a.side AND nx.bar = a.next_bar)""", "SELECT symbol, threshold, side, bar FROM a"),
     ),
+    "candidate_machine": (lambda s, d: sessions.trades(PLANS["tick_view"].run(s, d), RAISED.run(s, d), MOVING), None),
     "portfolio_allocation": (lambda s, d: portfolios.allocate(OFFERS.run(s, d)).select("session_day", "symbol", F.col("offer_id").alias("intent_id"), (F.col("reason") == "").alias("accepted"), "reason"), None),
     "portfolio_report": (lambda s, d: portfolios.settle(written(portfolios.allocate(OFFERS.run(s, d)), "allocated"), 10**9), None),
     "session_schedule": (lambda s, d: portfolios.schedule_report(portfolios.schedule(SIGNALLED.run(s, d))), _SCHEDULE_SQL),
