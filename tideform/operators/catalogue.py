@@ -11,8 +11,10 @@ SELECT g.symbol, g.segment_id, count_if(a.utc_ns < g.start_ns) > 0 AS anchored_b
 FROM segments g LEFT JOIN anchors a ON a.symbol = g.symbol AND a.utc_ns >= g.start_ns - (g.end_ns - g.start_ns) ~div~ 10 AND a.utc_ns < g.start_ns + (g.end_ns - g.start_ns) ~div~ 10
 WHERE g.segment_id > 0 GROUP BY g.symbol, g.segment_id"""
 
-#: Filter settings by family; configurations take one setting from each of at most three families.
-SETTINGS = ("settings", "SELECT family, setting FROM (VALUES (1, 'trend=up'), (1, 'trend=strong'), (2, 'vol=calm'), (2, 'vol=wide'), (3, 'mom=rsi'), (3, 'mom=roc'), (4, 'day=mid'), (5, 'gap=none'), (5, 'gap=open')) AS v(family, setting)")
+#: Filter settings by family, from what the tables hold; configurations take one setting from each of at most three families.
+SETTINGS = ("settings", """
+SELECT DISTINCT 1 AS family, 'flag=' || l_returnflag AS setting FROM lineitem UNION ALL SELECT DISTINCT 2, 'line=' || l_linestatus FROM lineitem UNION ALL SELECT DISTINCT 3, 'order=' || o_orderstatus FROM orders
+UNION ALL SELECT DISTINCT 4, 'priority=' || o_orderpriority FROM orders UNION ALL SELECT DISTINCT 5, 'event=' || event_type FROM events""")
 COMBINED = ("combined", """
 SELECT 1 AS size, setting AS config, CAST(family AS VARCHAR(9)) AS signature FROM settings
 UNION ALL SELECT 2, a.setting || ';' || b.setting, CAST(a.family AS VARCHAR(9)) || ',' || CAST(b.family AS VARCHAR(9)) FROM settings a JOIN settings b ON a.family < b.family
@@ -21,11 +23,11 @@ COMBINATIONS = "SELECT size, config, signature, CAST(row_number() OVER (PARTITIO
 PARTITIONS = "SELECT signature, count(*) AS configs, min(config) AS first_config FROM combined GROUP BY signature"
 IDENTITIES = """
 SELECT birth, SHA(body) AS config_id FROM (SELECT birth, '{"expiry":' || CAST(expiry AS VARCHAR(9)) || ',"fast":' || CAST(fast AS VARCHAR(9)) || ',"slow":' || CAST(slow AS VARCHAR(9)) || ',"stop":' || CAST(stop AS VARCHAR(9)) || '}' AS body FROM decoded)"""
-#: The same universe from its axes; whatever either enumeration lacks is listed.
+#: The same universe as the product of its axes; whatever either enumeration lacks is listed.
 PARITY = """
 SELECT count(*) AS births, count_if(b.expiry IS NULL) AS missing, count_if(d.birth IS NULL) AS extra FROM decoded d FULL OUTER JOIN (
-  SELECT e.k * 48 + f.k * 16 + s.k * 4 + t.k AS birth, e.expiry, f.fast, s.slow, t.stop FROM (VALUES (0, 5), (1, 10)) AS e(k, expiry) CROSS JOIN (VALUES (0, 3), (1, 5), (2, 8)) AS f(k, fast)
-  CROSS JOIN (VALUES (0, 5), (1, 8), (2, 13), (3, 8)) AS s(k, slow) CROSS JOIN (VALUES (0, 50), (1, 100), (2, 150), (3, 200)) AS t(k, stop)) b
+  SELECT ((e.k * z.nf + f.k) * z.ns + s.k) * z.nt + t.k AS birth, e.v AS expiry, f.v AS fast, s.v AS slow, t.v AS stop FROM sizes z CROSS JOIN axes e CROSS JOIN axes f CROSS JOIN axes s CROSS JOIN axes t
+  WHERE e.axis = 'expiry' AND f.axis = 'fast' AND s.axis = 'slow' AND t.axis = 'stop') b
 ON b.birth = d.birth AND b.expiry = d.expiry AND b.fast = d.fast AND b.slow = d.slow AND b.stop = d.stop"""
 
 SECTIONS = """

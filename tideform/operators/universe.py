@@ -1,16 +1,29 @@
 """Finite parameter universes, exact aliases, and text operators over a catalogue."""
 
-#: Axes in lexicographic order, the last one fastest: expiry (2), fast (3), slow (4), stop (4).
+#: Axes from what the tables hold, each value at its place: line numbers, small quantities, those by threes (so that values repeat),
+#: discounts.
+AXES = ("axes", """
+SELECT axis, row_number() OVER (PARTITION BY axis ORDER BY place) - 1 AS k, v FROM (
+  SELECT DISTINCT 'expiry' AS axis, CAST(l_linenumber AS BIGINT) AS place, CAST(l_linenumber AS BIGINT) AS v FROM lineitem
+  UNION ALL SELECT DISTINCT 'fast', CAST(l_quantity AS BIGINT), CAST(l_quantity AS BIGINT) FROM lineitem WHERE l_quantity <= 10
+  UNION ALL SELECT DISTINCT 'slow', CAST(l_quantity AS BIGINT), CAST(l_quantity AS BIGINT) ~div~ 3 * 3 FROM lineitem WHERE l_quantity BETWEEN 3 AND 14
+  UNION ALL SELECT DISTINCT 'stop', CAST(round(l_discount * 100) AS BIGINT), 50 * (CAST(round(l_discount * 100) AS BIGINT) + 1) FROM lineitem)""")
+SIZES = ("sizes", "SELECT count_if(axis = 'expiry') AS ne, count_if(axis = 'fast') AS nf, count_if(axis = 'slow') AS ns, count_if(axis = 'stop') AS nt FROM axes")
+#: Births count through the axes, the last one fastest; each is decoded by its own number, so any range of them can be.
 DECODED = ("decoded", """
-SELECT birth, CASE birth ~div~ 48 % 2 WHEN 0 THEN 5 ELSE 10 END AS expiry, CASE birth ~div~ 16 % 3 WHEN 0 THEN 3 WHEN 1 THEN 5 ELSE 8 END AS fast,
-       CASE birth ~div~ 4 % 4 WHEN 0 THEN 5 WHEN 1 THEN 8 WHEN 2 THEN 13 ELSE 8 END AS slow, 50 * (birth % 4 + 1) AS stop FROM (SELECT SERIES(0, 95) AS birth) b""")
+SELECT b.birth, e.v AS expiry, f.v AS fast, s.v AS slow, t.v AS stop FROM (
+  SELECT birth, birth ~div~ (nf * ns * nt) AS ke, birth ~div~ (ns * nt) % nf AS kf, birth ~div~ nt % ns AS ks, birth % nt AS kt FROM (SELECT nf, ns, nt, SPAN(zero, last) AS birth FROM (SELECT nf, ns, nt, 0 AS zero, ne * nf * ns * nt - 1 AS last FROM sizes WHERE ne * nf * ns * nt > 0))) b
+JOIN axes e ON e.axis = 'expiry' AND e.k = b.ke JOIN axes f ON f.axis = 'fast' AND f.k = b.kf JOIN axes s ON s.axis = 'slow' AND s.k = b.ks JOIN axes t ON t.axis = 'stop' AND t.k = b.kt""")
+UNIVERSE = (AXES, SIZES, DECODED)
 STATUS = ("status", """
 SELECT birth, expiry, fast, slow, stop, identity, first_birth, CASE WHEN fast >= slow THEN 'EXCLUDED' WHEN birth > first_birth THEN 'ALIAS' ELSE 'EXECUTED' END AS state FROM (
   SELECT birth, expiry, fast, slow, stop, identity, min(birth) OVER (PARTITION BY identity) AS first_birth FROM (
     SELECT birth, expiry, fast, slow, stop, 'expiry=' || CAST(expiry AS VARCHAR(9)) || ',fast=' || CAST(fast AS VARCHAR(9)) || ',slow=' || CAST(slow AS VARCHAR(9)) || ',stop=' || CAST(stop AS VARCHAR(9)) AS identity FROM decoded))""")
 ALIASES = "SELECT birth, identity_sha, first_birth, state FROM (SELECT birth, SHA(identity) AS identity_sha, first_birth, state FROM status)"
 ACCOUNT = "SELECT state, count(*) AS births, min(birth) AS first_one FROM status GROUP BY state"
-PAIRS = "SELECT a.stop AS stop, a.fast AS fast_a, b.fast AS fast_b, count(*) AS n FROM status a JOIN status b ON a.stop = b.stop AND a.fast < b.fast GROUP BY a.stop, a.fast, b.fast"
+PAIRS = "SELECT a.stop AS stop, a.fast AS fast_a, b.fast AS fast_b, count(*) AS n FROM status a JOIN status b ON a.stop = b.stop AND a.expiry = b.expiry AND a.slow = b.slow AND a.fast < b.fast GROUP BY a.stop, a.fast, b.fast"
+#: A stretch of births as a run would take it up again: the second tenth of them.
+SLICE = "SELECT d.birth, d.expiry, d.fast, d.slow, d.stop FROM decoded d JOIN (SELECT ne * nf * ns * nt AS n FROM sizes) z ON d.birth >= z.n ~div~ 10 AND d.birth < 2 * z.n ~div~ 10"
 
 TOKENS = ("tokens", "SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, WORDS(text) AS token FROM documents) WHERE length(token) > 2 GROUP BY doc_id, token")
 TOKEN_STATS = "SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM tokens GROUP BY token HAVING count(*) >= 5"

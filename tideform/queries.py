@@ -39,7 +39,7 @@ CROSSED = (*LEVELS, retests.INFORCE, retests.INSIDE, retests.CROSSED, retests.CR
 PERIODS = (*LEDGER, metrics.PERIODS)
 BOXED = (*LEVELS, retests.BOX_MARKS, retests.BOX_STATE)
 PAIRED = (*SHOCKS, brackets.ATRS, contexts.CONDITIONS)
-STATUS = (universe.DECODED, universe.STATUS)
+STATUS = (*universe.UNIVERSE, universe.STATUS)
 TOKENS = (universe.TOKENS, universe.PRIORS, universe.IDF)
 
 PLANS: dict[str, Plan] = {
@@ -130,8 +130,8 @@ PLANS: dict[str, Plan] = {
         ("offset_brackets", (*TAPE, audit.SEGMENTS, audit.ANCHORS), catalogue.BRACKETED),
         ("family_combinations", (catalogue.SETTINGS, catalogue.COMBINED), catalogue.COMBINATIONS),
         ("signature_partitions", (catalogue.SETTINGS, catalogue.COMBINED), catalogue.PARTITIONS),
-        ("config_ids", STATUS[:1], catalogue.IDENTITIES),
-        ("universe_parity", STATUS[:1], catalogue.PARITY),
+        ("config_ids", universe.UNIVERSE, catalogue.IDENTITIES),
+        ("universe_parity", universe.UNIVERSE, catalogue.PARITY),
         ("page_sections", (), catalogue.SECTIONS),
         ("text_normalised", (catalogue.NORMALISED,), catalogue.NORMAL_STATS),
         ("gate_report", (*EQUITY, *DAILY[len(LEDGER) :], ("metrics", metrics.METRICS), metrics.TESTS, ("adjusted", metrics.ADJUSTED)), catalogue.REPORT),
@@ -154,10 +154,11 @@ PLANS: dict[str, Plan] = {
         ("ctx_intensity", NUMBERED, contexts.INTENSITY),
         ("gap_conditioned", SHOCKS, contexts.GAP_KINDS),
         ("interactions", PAIRED, contexts.INTERACTIONS),
-        ("universe_decode", STATUS[:1], "SELECT birth, expiry, fast, slow, stop FROM decoded"),
+        ("universe_decode", universe.UNIVERSE, "SELECT birth, expiry, fast, slow, stop FROM decoded"),
         ("universe_aliases", STATUS, universe.ALIASES),
         ("universe_account", STATUS, universe.ACCOUNT),
         ("universe_pairs", STATUS, universe.PAIRS),
+        ("universe_slice", universe.UNIVERSE, universe.SLICE),
         ("text_tokens", TOKENS[:1], universe.TOKEN_STATS),
         ("tfidf_nearest", TOKENS, universe.NEAREST),
         ("text_tags", (), universe.TAGS),
