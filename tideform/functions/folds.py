@@ -111,8 +111,9 @@ def gates(folded: DataFrame, lookback: int = 5, adx_least: float = 25, slope_lea
 
 
 def greedy(trades: DataFrame) -> DataFrame:
-    """Trades in entry order, each accepted if it enters after the last accepted exit; the others carry a reason. Trades end
-    within their session, so a symbol's sessions are independent."""
+    """Trades in entry order, each accepted if it enters after the last accepted exit; the others carry a reason. Trades that
+    have a session end within it, so a symbol's sessions are independent."""
+    by = [c for c in ("symbol", "session_day") if c in trades.columns]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values(["entry_seq", "intent_id"])
@@ -123,7 +124,7 @@ def greedy(trades: DataFrame) -> DataFrame:
                 busy = b
         return pd.DataFrame({"symbol": f["symbol"], "intent_id": f["intent_id"], "accepted": ok, "reason": ["" if x else "OVERLAP" for x in ok]})
 
-    return trades.groupBy("symbol", "session_day").applyInPandas(run, "symbol string, intent_id bigint, accepted boolean, reason string")
+    return trades.groupBy(*by).applyInPandas(run, "symbol string, intent_id bigint, accepted boolean, reason string")
 
 
 def refractory(events: DataFrame, rest: int) -> DataFrame:
