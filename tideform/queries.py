@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideform.functions import clusters, folds, machines as sessions, portfolios, ranks, scalars, scans
@@ -346,14 +346,53 @@ CLOSE_AVERAGES = [scans.Average(f"e{n}", "close_u", "ema", n) for n in EMA_PERIO
 RANGE_AVERAGES = [scans.Average(f"{kind}{n}", "tr", kind, n) for kind in ("wilder", "ema") for n in ATR_PERIODS]
 
 
-def _averages_sql(specs: list[scans.Average]) -> str:
-    """The same averages as one recursion over a symbol's bars."""
+def _averages_sql(specs: list[scans.Average], plan: Plan = BARS_TR, late: tuple[str, ...] = (), also: str = "") -> str:
+    """The same averages as one recursion over a symbol's bars; values in ``late`` begin at the second bar."""
     sums = ", ".join(f"sum({v}) OVER w AS sum_{v}" for v in dict.fromkeys(s.value for s in specs))
-    step = ", ".join(f"CASE WHEN b.bar = {s.n} THEN CAST(b.sum_{s.value} AS DOUBLE) / {s.n} WHEN b.bar > {s.n} THEN e.{s.name} + CAST({s.alpha!r} AS DOUBLE) * (b.{s.value} - e.{s.name}) END AS {s.name}" for s in specs)
-    return f"""WITH RECURSIVE b AS (SELECT *, {sums} FROM ({BARS_TR.text(False)}) WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    step = ", ".join(f"CASE WHEN b.bar = {s.n + (s.value in late)} THEN CAST(b.sum_{s.value} AS DOUBLE) / {s.n} WHEN b.bar > {s.n + (s.value in late)} THEN e.{s.name} + CAST({s.alpha!r} AS DOUBLE) * (b.{s.value} - e.{s.name}) END AS {s.name}" for s in specs)
+    return f"""WITH RECURSIVE b AS (SELECT *, {sums} FROM ({plan.text(False)}) WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 e AS (SELECT symbol, bar, {', '.join(f'CAST(NULL AS DOUBLE) AS {s.name}' for s in specs)} FROM b WHERE bar = 1
  UNION ALL SELECT b.symbol, b.bar, {step} FROM e JOIN b ON b.symbol = e.symbol AND b.bar = e.bar + 1)
-SELECT symbol, bar, {', '.join(f'round({s.name}, 6) AS {s.name}' for s in specs)} FROM e"""
+{also or f"SELECT symbol, bar, {', '.join(f'round({s.name}, 6) AS {s.name}' for s in specs)} FROM e"}"""
+
+
+#: Bars of one and two steps of the ladder above an hour, each known at the first tick of the next.
+STEPS_UP = {"four_hours": 4, "day": 24}
+_ABOVE = ("nb", """
+SELECT symbol, bucket, high_u, low_u, close_u, CAST(row_number() OVER w AS BIGINT) AS bar, lag(close_u) OVER w AS prev_close, lead(first_seq) OVER w AS available FROM upper_bars WINDOW w AS (PARTITION BY symbol ORDER BY bucket)""")
+UPPER = {n: (*BARS, bars.coarser(k, "upper_bars"), _ABOVE) for n, k in STEPS_UP.items()}
+UPPER_VALUES = {n: Plan(*steps, select="SELECT symbol, bar, available, close_u, CASE WHEN prev_close IS NOT NULL THEN greatest(close_u - prev_close, 0) END AS up, CASE WHEN prev_close IS NOT NULL THEN greatest(prev_close - close_u, 0) END AS dn FROM nb") for n, steps in UPPER.items()}
+UPPER_CCI = {n: Plan(*steps, select=indicators.CCI) for n, steps in UPPER.items()}
+HOURS = Plan(*NUMBERED, select="SELECT symbol, bar, last_seq FROM nb")
+UPPER_AVERAGES = [*(scans.Average(f"e{n}", "close_u", "ema", n) for n in (35, 70, 105)), scans.Average("gain", "up", "wilder", 14), scans.Average("loss", "dn", "wilder", 14)]
+_UPPER_RULES = {
+    "trend_buy": "close_u > e35 AND e35 > e70 AND e70 > e105", "trend_sell": "close_u < e35 AND e35 < e70 AND e70 < e105", "rsi_buy": "CASE WHEN gain + loss > 0 THEN gain >= loss ELSE gain IS NOT NULL END",
+    "rsi_sell": "CASE WHEN gain + loss > 0 THEN gain <= loss ELSE gain IS NOT NULL END", "cci_buy": "cci20 > 0", "cci_sell": "cci20 < 0",
+}
+
+
+def _rules_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on the last completed bar one and two steps up, for every hour: a union in the order of ticks, filled forward."""
+    hours, out = written(HOURS.run(spark, sf_dir), "hours"), None
+    for name in STEPS_UP:
+        values = written(UPPER_VALUES[name].run(spark, sf_dir), "upper")
+        known = scans.averages(values, "bar", UPPER_AVERAGES).join(UPPER_CCI[name].run(spark, sf_dir), ["symbol", "bar"], "left").where("available is not null")
+        rules = known.select("symbol", F.col("available").alias("moment"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("bar"), F.struct(F.col("bar").alias("context"), *(F.expr(f"coalesce({e}, false)").alias(n) for n, e in _UPPER_RULES.items())).alias("rules"))
+        asked = hours.select("symbol", F.col("last_seq").alias("moment"), F.lit(0).alias("kind"), "bar", F.lit(None).cast(rules.schema["rules"].dataType).alias("rules"))
+        past = Window.partitionBy("symbol").orderBy("moment", "kind").rowsBetween(Window.unboundedPreceding, 0)
+        found = rules.unionByName(asked).withColumn("rules", F.last("rules", True).over(past)).where("kind = 0")
+        part = found.select("symbol", "bar", F.lit(name).alias("step"), F.col("rules.context").alias("context"), *(F.coalesce(F.col("rules")[n], F.lit(False)).alias(n) for n in _UPPER_RULES))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _rules_above_sql() -> str:
+    parts = []
+    for name in STEPS_UP:
+        flags = ", ".join(f"coalesce({e}, FALSE) AS {n}" for n, e in _UPPER_RULES.items())
+        inner = _averages_sql(UPPER_AVERAGES, UPPER_VALUES[name], ("up", "dn"), f"SELECT e.symbol, e.bar, b.available, {flags} FROM e JOIN b USING (symbol, bar) LEFT JOIN ({UPPER_CCI[name].text(False)}) c USING (symbol, bar)")
+        parts.append(f"SELECT h.symbol, h.bar, '{name}' AS step, c.bar AS context, {', '.join(f'coalesce(c.{n}, FALSE) AS {n}' for n in _UPPER_RULES)} FROM ({HOURS.text(False)}) h ASOF LEFT JOIN ({inner}) c ON c.symbol = h.symbol AND c.available < h.last_seq")
+    return "\nUNION ALL ".join(parts)
 
 
 def _near_ema(boxes: DataFrame, emas: DataFrame) -> DataFrame:
@@ -544,6 +583,7 @@ SELECT symbol, bar, side, trend, strong, momentum, recent, trend AND strong AND
     "feature_quotes": (lambda s, d: _graph(s, d, OVER_QUOTES, ["lag2", "high16", "sig"]).values("away", "lag2", "high16", "over", "sig"), _QUOTES_SQL),
     "scalar_checks": (_scalars, _SCALARS_SQL),
     "feature_matrix": (_matrix, _MATRIX_SQL),
+    "rules_above": (_rules_above, _rules_above_sql()),
     "geometry_settings": (
         _geometry,
         f"SELECT symbol, contracting, widest, furthest, count(*) AS bars, count(*) FILTER (WHERE coalesce({_GEOMETRY_OPEN}, FALSE)) AS passing FROM ({BOX_WIDTHS.text(False)}) x JOIN ({_averages_sql([scans.Average('e35', 'close_u', 'ema', 35)])}) e USING (symbol, bar) {_GEOMETRY} GROUP BY symbol, contracting, widest, furthest",
