@@ -89,19 +89,30 @@ def _hashed(frames: Iterator[pd.DataFrame], rows: int, threshold: float, slim: b
                     if not slim:
                         out["rep"], out["size"] = frame["rep"].to_numpy(), frame["size"].to_numpy()
                         out["vec"] = [v.tobytes() for v in x.astype(packed)]
-                        out["codes"] = [c.tobytes() for c in codes]
                     yield out
 
 
-def _verified(frame: pd.DataFrame, threshold: float, tables: int, packed: type) -> pd.DataFrame | None:
-    """Links that one run owns: for each vector how many others, and edges that keep the components."""
+def _verified(frame: pd.DataFrame, threshold: float, hashes: int, tables: int, packed: type) -> pd.DataFrame | None:
+    """Links that one run owns: for each vector how many others, and edges that keep the components.
+
+    The buckets of a vector follow from it, so they are worked out again for those that link instead of travelling along.
+    """
     tab, code = int(frame["tab"].iloc[0]), int(frame["code"].iloc[0])
     frame = frame.sort_values("side", kind="stable")
     side, ids, size = frame["side"].to_numpy(), frame["rep"].to_numpy(), frame["size"].to_numpy()
     x = np.stack([np.frombuffer(v, packed) for v in frame["vec"]]).astype(np.float64)
     norm = np.sqrt((x * x).sum(1))
-    codes = np.stack([np.frombuffer(c, np.int64) for c in frame["codes"]]).reshape(len(x), tables, -1)
     links = np.zeros(len(x))
+    known: dict[int, np.ndarray] = {}
+
+    def codes(rows: np.ndarray) -> np.ndarray:
+        """Buckets of some rows: rows x tables x probes."""
+        new = np.array([k for k in np.unique(rows).tolist() if k not in known], np.int64)
+        if len(new):
+            got = np.stack([_codes(x[new], t, hashes) for t in range(tables)], axis=1)
+            known.update(zip(new.tolist(), got))
+        return np.stack([known[k] for k in rows.tolist()])
+
     a, b = [], []
     split = int((side == 0).sum()) if (side == 1).any() else None
     cuts = sorted({0, len(x), *range(0, len(x), TILE), *([split] if split else [])})
@@ -115,12 +126,13 @@ def _verified(frame: pd.DataFrame, threshold: float, tables: int, packed: type)
             if p == r:
                 match = np.triu(match, 1)
             m, n = np.nonzero(match)
-            for at in range(0, len(m), 1 << 18):  # where several buckets hold the pair, the first one owns it
-                mm, nn = m[at : at + (1 << 18)], n[at : at + (1 << 18)]
-                same = codes[p + mm][:, :, :, None] == codes[r + nn][:, :, None, :]
+            for at in range(0, len(m), 1 << 16):  # where several buckets hold the pair, the first one owns it
+                mm, nn = m[at : at + (1 << 16)], n[at : at + (1 << 16)]
+                left, right = codes(p + mm), codes(r + nn)
+                same = left[:, :, :, None] == right[:, :, None, :]
                 first = same.any((2, 3)).argmax(1)
                 k = np.arange(len(mm))
-                common = np.where(same[k, first].any(2), codes[p + mm, first], np.iinfo(np.int64).max).min(1)
+                common = np.where(same[k, first].any(2), left[k, first], np.iinfo(np.int64).max).min(1)
                 lost = (first != tab) | (common != code)
                 match[mm[lost], nn[lost]] = False
             m, n = np.nonzero(match)
@@ -151,8 +163,7 @@ def _compare(frames: Iterator[pd.DataFrame], rows: int, threshold: float, packed
     def done(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         for _, run in frame.groupby(["dim", "tab", "code", "pair"], sort=False):
             if len(run) > 1:
-                tables = plan(rows, int(run["dim"].iloc[0]), threshold)[1]
-                if (out := _verified(run, threshold, tables, packed)) is not None:
+                if (out := _verified(run, threshold, *plan(rows, int(run["dim"].iloc[0]), threshold), packed)) is not None:
                     yield out
 
     for frame in frames:
@@ -193,7 +204,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     codes = reps.mapInPandas(lambda f: _hashed(f, n, threshold, True), key)
     sizes = codes.groupBy("dim", "tab", "code").count().where("count > 1")
     sizes = scratch.save(sizes.withColumn("parts", F.ceil(F.col("count") / PART)).drop("count"), "sizes")
-    keyed = reps.mapInPandas(lambda f: _hashed(f, n, threshold, False, packed), f"{key}, rep {kind}, size bigint, vec binary, codes binary")
+    keyed = reps.mapInPandas(lambda f: _hashed(f, n, threshold, False, packed), f"{key}, rep {kind}, size bigint, vec binary")
     keyed = keyed.join(sizes, ["dim", "tab", "code"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, F.col("own")) * F.col("parts") + F.greatest(o, F.col("own")))
     keyed = keyed.withColumn("pair", F.explode(pair))
