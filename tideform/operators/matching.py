@@ -74,8 +74,8 @@ def nearest(texts: DataFrame, priors: DataFrame, seeds: int = SEEDS) -> DataFram
 
     def scored(pairs: DataFrame) -> DataFrame:
         """Exact scores of (doc_id, item_id) pairs."""
-        words = pairs.join(mine.select("doc_id", "token", "w"), "doc_id").join(postings.withColumnRenamed("w", "v"), ["item_id", "token"], "left")
-        sums = words.groupBy("doc_id", "item_id").agg(F.coalesce(F.sum(F.col("w") * F.col("v")), F.lit(0.0)).alias("lexical"))
+        words = pairs.join(postings.withColumnRenamed("w", "v"), "item_id").join(mine.select("doc_id", "token", "w"), ["doc_id", "token"])  # a prior has fewer words
+        sums = words.groupBy("doc_id", "item_id").agg(F.sum(F.col("w") * F.col("v")).alias("lexical"))
         tagged = sums.join(d_tags, "doc_id").join(p_tags, "item_id").join(sets.select("d_tags", "p_tags", "tagged"), ["d_tags", "p_tags"])
         return tagged.select("doc_id", "item_id", "lexical", "tagged", (LEXICAL * F.col("lexical") + TAGGED * F.col("tagged")).alias("score"))
 
@@ -85,10 +85,11 @@ def nearest(texts: DataFrame, priors: DataFrame, seeds: int = SEEDS) -> DataFram
     seed = mine.where(F.col("nth") <= seeds).join(postings.select("token", "item_id"), "token").select("doc_id", "item_id").distinct()
     first = written(scored(seed), "seeds")
     bars = written(plain.select("doc_id", "score").unionByName(first.select("doc_id", "score")).groupBy("doc_id").agg(F.max("score").alias("bar")), "bars")
-    # For each class of priors: the words without which a prior could still reach the bar, heaviest first.
-    looked = mine.join(bars, "doc_id").join(d_tags, "doc_id").join(sets.select("d_tags", "p_tags", "tagged"), "d_tags")
-    looked = looked.where(LEXICAL * F.col("rest") + TAGGED * F.col("tagged") >= F.col("bar") - SLACK).select("doc_id", "token", "p_tags")
-    found = looked.join(filed.select("token", "item_id", "p_tags"), ["token", "p_tags"]).select("doc_id", "item_id").distinct()
+    # A word is looked up for priors whose tags are alike enough that it and all lighter ones could still reach the bar.
+    need = (F.col("bar") - SLACK - LEXICAL * F.col("rest")) / TAGGED
+    looked = mine.join(bars, "doc_id").join(d_tags, "doc_id").join(best_class.select("d_tags", F.col("tagged").alias("most_alike")), "d_tags")
+    looked = looked.withColumn("need", need).where("need <= most_alike").select("doc_id", "token", "d_tags", "need")
+    found = looked.join(filed.select("token", "item_id", "p_tags"), "token").join(sets.select("d_tags", "p_tags", "tagged"), ["d_tags", "p_tags"]).where("tagged >= need").select("doc_id", "item_id").distinct()
     second = written(scored(found.join(first.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")), "candidates")
     every = first.unionByName(second)
     counted = every.groupBy("doc_id").agg(F.count("*").alias("compared"))
