@@ -27,11 +27,13 @@ SLICE = "SELECT d.birth, d.expiry, d.fast, d.slow, d.stop FROM decoded d JOIN (S
 
 TOKENS = ("tokens", "SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, WORDS(text) AS token FROM documents) WHERE length(token) > 2 GROUP BY doc_id, token")
 TOKEN_STATS = "SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM tokens GROUP BY token HAVING count(*) >= 5"
+#: What separates words, as WORDS reads them.
+APART = "[^a-z0-9À-ɏͰ-῿]+"
 PRIORS = ("priors", "SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, WORDS(text) AS token FROM benchmark) WHERE length(token) > 2 GROUP BY item_id, token")
 IDF = ("idf", """
 SELECT token, ln((1.0 + max(n)) / (1.0 + count(*))) + 1 AS idf FROM (SELECT token FROM tokens UNION ALL SELECT token FROM priors)
 CROSS JOIN (SELECT (SELECT count(DISTINCT doc_id) FROM tokens) + (SELECT count(DISTINCT item_id) FROM priors) AS n) c GROUP BY token""")
-#: Cosine through shared tokens only; the priors are a small fixed list.
+#: Cosine through shared tokens only; checks what `matching.nearest` finds without shuffling pairs.
 NEAREST = """
 SELECT doc_id, item_id, round(score, 6) AS score FROM (
   SELECT d.doc_id, d.item_id, d.score, row_number() OVER (PARTITION BY d.doc_id ORDER BY round(d.score, 9) DESC, d.item_id) AS n FROM (

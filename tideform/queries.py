@@ -461,8 +461,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.nearest(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+def _nearest(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return matching.nearest(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"), **options)
 
 
 def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -593,6 +593,10 @@ SELECT symbol, bar, side, trend, strong, momentum, recent, trend AND strong AND
         _fold_sql() + f", r AS ({PLANS['ind_roc'].text(False)}), c AS ({PLANS['ind_cci'].text(False)}), k AS ({PLANS['ind_stoch'].text(False)}) SELECT symbol, bar, {', '.join(_MOMENTUM)} FROM (SELECT symbol, bar, round(rsi, 6) AS rsi14 FROM g) LEFT JOIN r USING (symbol, bar) LEFT JOIN c USING (symbol, bar) LEFT JOIN k USING (symbol, bar)",
     ),
     "year_bootstrap": (lambda s, d: folds.year_bootstrap(BLOCKS.run(s, d)), None),
+    "tfidf_nearest": (
+        lambda s, d: _nearest(s, d, tagged=False, apart=universe.APART).selectExpr("doc_id", "item_id", "round(score, 6) as score"),
+        PLANS["tfidf_nearest"].text(False),
+    ),
     "hybrid_nearest": (
         lambda s, d: _nearest(s, d).selectExpr("doc_id", "item_id", "round(lexical, 6) as lexical", "round(tagged, 6) as tagged", "round(score, 6) as score"),
         matching.check_sql() + " SELECT doc_id, item_id, round(lexical, 6) AS lexical, round(tagged, 6) AS tagged, round(score, 6) AS score FROM best",
