@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideform.functions import clusters, folds, machines as sessions, portfolios, ranks, scalars, scans
+from tideform.functions import clusters, folds, machines as sessions, portfolios, ranks, retellings, scalars, scans
 from tideform.operators import audit, bars, brackets, candidates, catalogue, contexts, crossings, execution, families, features, indicators, matching, metrics, retests, signals, structure, universe
 from tideform.plans import features as language
 from tideform.plans.sql import Plan, dialect
@@ -593,6 +593,7 @@ SELECT symbol, bar, side, trend, strong, momentum, recent, trend AND strong AND
         _fold_sql() + f", r AS ({PLANS['ind_roc'].text(False)}), c AS ({PLANS['ind_cci'].text(False)}), k AS ({PLANS['ind_stoch'].text(False)}) SELECT symbol, bar, {', '.join(_MOMENTUM)} FROM (SELECT symbol, bar, round(rsi, 6) AS rsi14 FROM g) LEFT JOIN r USING (symbol, bar) LEFT JOIN c USING (symbol, bar) LEFT JOIN k USING (symbol, bar)",
     ),
     "year_bootstrap": (lambda s, d: folds.year_bootstrap(BLOCKS.run(s, d)), None),
+    "missed_trades": (lambda s, d: retellings.missed(Plan(*LEDGER, select="SELECT symbol, intent_id, net_u FROM ledger").run(s, d), families.BLOCKS), PLANS["missed_trades"].text(False)),
     "tfidf_nearest": (
         lambda s, d: _nearest(s, d, tagged=False, apart=universe.APART).selectExpr("doc_id", "item_id", "round(score, 6) as score"),
         PLANS["tfidf_nearest"].text(False),
