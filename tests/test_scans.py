@@ -58,3 +58,21 @@ def test_empty(spark):
     assert scans.averages(df, "seq", SPECS).count() == 0
     nothing = spark.createDataFrame([("A", 1, None, None)], "symbol string, seq long, x long, y double")
     assert scans.averages(nothing, "seq", SPECS).first().i4 is None
+
+
+def test_int_map_reads_the_end_only_where_it_decides(monkeypatch):
+    """Rows before an end that brings all values to one are not stepped through; where it does not, all are."""
+    rnd = np.random.default_rng(3)
+    steps = []
+    monkeypatch.setattr(scans, "_cut", lambda x, n, f=scans._cut: (steps.append(1), f(x, n))[1])
+    for x, most in ((rnd.integers(0, 10_000, 20_000), 2_048), (np.full(20_000, 77), 20_000 + 8_192 + 2_048)):
+        for n in (12, 80):
+            steps.clear()
+            begin, e = scans.int_map(x, n, 0, 10_000)
+            assert len(steps) <= most
+            for first in (0, 1, 76, 77, 78, 5_000, 10_000):
+                want = first
+                for v in x.tolist():
+                    step = 2 * (v - want)
+                    want += step // (n + 1) if step >= 0 else -(-step // (n + 1))
+                assert e[np.searchsorted(begin, first, side="right") - 1] == want

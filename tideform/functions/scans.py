@@ -21,6 +21,7 @@ from tideform.sources.written import written
 
 BLOCK = 65_536
 MERGE = 8  # steps between two looks for values that have met
+END = 2_048  # rows at the end of a block that are looked at first
 
 
 @dataclass(frozen=True)
@@ -46,8 +47,19 @@ def _cut(x: np.ndarray, n: int) -> np.ndarray:
 def int_map(x: np.ndarray, n: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     """What a block makes of a first value between ``low`` and ``high``: where its value changes, and the values.
 
-    The step is monotone and brings values closer, so those that met stay together; in the end some n + 1 are left.
+    The step is monotone and brings values closer, so those that met stay together; in the end some n + 1 are left, or one. All
+    values stay between ``low`` and ``high``: where the end of the block alone brings all of these to one, no row before it matters.
     """
+    end = END
+    while end < len(x):
+        begin, e = _int_map(x[-end:], n, low, high)
+        if len(e) == 1:
+            return begin, e
+        end *= 4
+    return _int_map(x, n, low, high)
+
+
+def _int_map(x: np.ndarray, n: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     begin = np.arange(low, high + 1, dtype=np.int64)
     e = begin.copy()
     for i, v in enumerate(x.tolist()):
